@@ -48,16 +48,11 @@ def segments(text: Column, profile: str = "braces") -> Column:
 
 def rebuild(parts: Column, holders: Column) -> Column:
     """Interleave parts and placeholders again."""
-    return F.concat(
-        F.array_join(
-            F.zip_with(
-                F.slice(parts, F.lit(1), F.size(holders)),
-                holders,
-                lambda part, holder: F.concat(part, holder),
-            ),
-            "",
+    return F.array_join(
+        F.zip_with(
+            parts, holders, lambda part, holder: F.concat(part, F.coalesce(holder, F.lit("")))
         ),
-        F.element_at(parts, -1),
+        "",
     )
 
 
@@ -135,3 +130,13 @@ def placeholders_kept(source: Column, answer: Column, profile: str = "braces") -
         lambda holder: F.size(F.filter(got, lambda x: x == holder))
         >= F.size(F.filter(needed, lambda x: x == holder)),
     )
+
+
+def case(branches: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    """``when`` chain over a list that may be empty."""
+    if not branches:
+        return otherwise
+    chain = F.when(*branches[0])
+    for condition, value in branches[1:]:
+        chain = chain.when(condition, value)
+    return chain.otherwise(otherwise)

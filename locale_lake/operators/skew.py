@@ -37,15 +37,21 @@ def lookup(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     spread: int = SPREAD,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Join rows to a table that has few rows per key, however frequent a key is.
 
     Rows of a hot key get a salt and the matching rows of ``one`` are copied once
     per salt. All other keys keep salt 0, so ``one`` grows only by
     ``hot keys x spread`` rows. The result equals ``many.join(one, keys, how)``.
+
+    With ``broadcast_rows``, ``one`` is counted first (never past that number) and
+    broadcast if it is no larger; ``many`` is then not shuffled at all.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup supports left and inner joins")
+    if broadcast_rows is not None and has_at_most(one, broadcast_rows):
+        return many.join(F.broadcast(one), keys, how)
     hot = F.broadcast(hot_keys(many, keys, hot_rows).withColumn("_is_hot", F.lit(True)))
     rest = [c for c in many.columns if c not in keys]
     salt = F.when(
@@ -73,6 +79,11 @@ def lookup(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def has_at_most(df: DataFrame, rows: int) -> bool:
+    """Is the table that small? Reads no more than ``rows + 1`` rows of it."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def number_rows(
     df: DataFrame,
     group: list[str],
