@@ -16,13 +16,13 @@ parse_error STRING
 """
 
 UNITS = """
-unit_id STRING, pkg_id STRING, channel STRING, def_type STRING, out_path STRING,
-layer INT, path STRING, seq BIGINT, key STRING, is_comment BOOLEAN, has_bom BOOLEAN,
-source_text STRING
+unit_id STRING, pkg_id STRING, file_id STRING, channel STRING, def_type STRING,
+type_key STRING, out_path STRING, layer INT, sort_path STRING, seq BIGINT, key STRING,
+is_comment BOOLEAN, has_bom BOOLEAN, source_text STRING
 """
 
 STATE = """
-kind STRING, pkg_id STRING, lang STRING, channel STRING, def_type STRING, key STRING,
+kind STRING, pkg_id STRING, lang STRING, channel STRING, type_key STRING, key STRING,
 text STRING, origin STRING, deleted BOOLEAN
 """
 
@@ -31,8 +31,9 @@ src_lang STRING, tgt_lang STRING, source_text STRING, target_text STRING, seq BI
 """
 
 # What makes a unit unique. Keys are only unique inside a channel and type: two
-# definitions of different types may share a name.
-TYPED_KEY = ["pkg_id", "channel", "def_type", "key"]
+# definitions of different types may share a name. ``type_key`` is the short type,
+# never null, since units of one definition may stand under two type names.
+TYPED_KEY = ["pkg_id", "channel", "type_key", "key"]
 FLAT_KEY = ["pkg_id", "key"]
 
 

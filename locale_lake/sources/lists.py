@@ -47,3 +47,8 @@ def split_lines(
 
 def _is_comment(line):
     return tx.is_blank(line) | line.rlike(r"(?U)^\s*//")
+
+
+def decode(content):
+    """UTF-8 without a byte order mark; invalid bytes are replaced."""
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), r"^\x{FEFF}", "")
