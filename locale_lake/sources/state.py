@@ -1,10 +1,15 @@
-"""State tables: key -> text, from JSON objects or from earlier output."""
+"""State tables: key -> text, from JSON objects or from committed runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locale_lake import schemas
+from locale_lake.sources.existing import _exists
+
+TABLES = {"state": schemas.STATE, "memory": schemas.MEMORY}
+
 
 def explode_json_map(df: DataFrame, column: str) -> DataFrame:
     """One row per entry of a JSON object; anything else gives no row.
@@ -15,3 +20,56 @@ def explode_json_map(df: DataFrame, column: str) -> DataFrame:
     return df.select(
         *keep, F.explode(F.from_json(column, "map<string,string>")).alias("key", "text")
     )
+
+
+def read_json_state(spark: SparkSession, path: str) -> DataFrame:
+    """(file, key, text) of JSON files that hold one object each.
+
+    A folder that is not there and a file that is no JSON object give no rows.
+    """
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "file string, key string, text string")
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), "value"
+    )
+    return explode_json_map(files, "value")
+
+
+def committed_run(spark: SparkSession, path: str) -> int | None:
+    """The last run that finished; runs without a commit row do not exist."""
+    runs = f"{path}/runs"
+    if not _exists(spark, runs):
+        return None
+    return spark.read.schema("run_id bigint").parquet(runs).agg(F.max("run_id")).first()[0]
+
+
+def read_state(spark: SparkSession, path: str, name: str, before: int | None = None) -> DataFrame:
+    """A state table as the last committed run left it (empty without one).
+
+    ``before`` leaves out later runs, so a repeated run starts from the same state.
+    """
+    schema = TABLES[name]
+    runs = f"{path}/runs"
+    last = None
+    if _exists(spark, runs):
+        done = spark.read.schema("run_id bigint").parquet(runs)
+        if before is not None:
+            done = done.filter(F.col("run_id") < before)
+        last = done.agg(F.max("run_id")).first()[0]
+    if last is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/{name}/run_id={last}")
+
+
+def commit_run(tables: dict[str, DataFrame], path: str, run_id: int) -> None:
+    """Write the state of a run, then its commit row.
+
+    The row is written last: a run that fails or is cancelled leaves files, but no
+    state. A repeated run replaces its own folders.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}/run_id={run_id}")
+    spark.range(1).select(F.lit(run_id).cast("bigint").alias("run_id")).coalesce(1).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/runs/commit={run_id}")
