@@ -6,6 +6,8 @@ Patterns carry ``(?U)`` because Java's classes are ASCII-only without it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,15 +125,31 @@ def rule_parts(text: Column) -> Column:
 
 def placeholders_kept(source: Column, answer: Column, profile: str = "braces") -> Column:
     """Does the answer hold every placeholder at least as often as the source?"""
-    needed = placeholders(source, profile)
-    got = placeholders(answer, profile)
-    return F.forall(
-        F.array_distinct(needed),
-        lambda holder: F.size(F.filter(got, lambda x: x == holder))
-        >= F.size(F.filter(needed, lambda x: x == holder)),
+    both = F.struct(
+        placeholders(source, profile).alias("needed"), placeholders(answer, profile).alias("got")
+    )
+
+    def times(holders: Column, holder: Column) -> Column:
+        return F.size(F.filter(holders, lambda x: x == holder))
+
+    return let(
+        both,
+        lambda found: F.forall(
+            F.array_distinct(found["needed"]),
+            lambda holder: times(found["got"], holder) >= times(found["needed"], holder),
+        ),
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is named.
+
+    An expression that a lambda mentions is evaluated for every element; a lambda
+    variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def case(branches: list[tuple[Column, Column]], otherwise: Column) -> Column:
     """``when`` chain over a list that may be empty."""
     if not branches:

@@ -192,34 +192,43 @@ def agree(
     """
     if not inflections:
         return units.withColumn("agreed", F.col(text))
+    literals = {
+        lang: agreement_pattern(lang, list(table)) for lang, table in sorted(inflections.items())
+    }
     pattern = tx.case(
-        [
-            (F.col("lang") == lang, F.lit(agreement_pattern(lang, list(table))))
-            for lang, table in sorted(inflections.items())
-        ],
+        [(F.col("lang") == lang, F.lit(literal)) for lang, literal in literals.items()],
         F.lit(None).cast("string"),
     )
 
-    def groups(n: int) -> Column:
-        return F.regexp_extract_all(F.col(text), F.col("_pattern"), F.lit(n))
-
+    # one pass over the text finds the pairs; their parts come from the short matches
     tagged = units.withColumn("_pattern", pattern)
+
+    def group(n: int) -> Column:
+        return tx.case(
+            [
+                (F.col("lang") == lang, F.regexp_extract("_match", f"^(?:{literal})$", n))
+                for lang, literal in literals.items()
+            ],
+            F.lit(""),
+        )
+
+    matches = F.regexp_extract_all(F.col(text), F.col("_pattern"), F.lit(0))
     pairs = (
-        tagged.filter(F.col("_pattern").isNotNull() & F.regexp_like(F.col(text), F.col("_pattern")))
+        tagged.filter(F.col("_pattern").isNotNull())
+        .select(unit_id, "lang", F.posexplode(matches).alias("pos", "_match"))
         .select(
             unit_id,
             "lang",
-            F.posexplode(F.arrays_zip(*[groups(n).alias(f"g{n}") for n in (1, 2, 3, 4)])).alias(
-                "pos", "g"
-            ),
+            "pos",
+            *[group(n).alias(f"g{n}") for n in (1, 2, 3, 4)],
         )
         .select(
             unit_id,
             "lang",
             "pos",
-            (F.col("g.g1") != "").alias("adjective_first"),
-            F.when(F.col("g.g1") != "", F.col("g.g1")).otherwise(F.col("g.g4")).alias("adjective"),
-            F.when(F.col("g.g1") != "", F.col("g.g2")).otherwise(F.col("g.g3")).alias("noun"),
+            (F.col("g1") != "").alias("adjective_first"),
+            F.when(F.col("g1") != "", F.col("g1")).otherwise(F.col("g4")).alias("adjective"),
+            F.when(F.col("g1") != "", F.col("g2")).otherwise(F.col("g3")).alias("noun"),
         )
         .withColumn("_noun", F.lower("noun"))
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locale_lake.functions import text as tx
@@ -123,19 +124,56 @@ def chains(
     )
 
 
-def _child_facts(trees: DataFrame) -> DataFrame:
-    """Per node with children: number, whether all are list members, ordinals, tags."""
+_NODE = ["pos", "tags", "tag", "text"]
+_FACTS = ["refuses", "child_tags", "lo", "hi", "is_first"]
+
+
+def _subtree_end(pos: Column) -> Column:
+    """The smallest label after a node's subtree, in document order."""
+    return F.when(F.size(pos) == 0, F.array(F.lit(2**31 - 1))).otherwise(
+        F.concat(parent(pos), F.array(F.try_element_at(pos, F.lit(-1)) + 1))
+    )
+
+
+def _in_document(*keys: str) -> W:
+    return W.partitionBy(*keys).orderBy("pos")
+
+
+def _below_any(marked: Column, document: W) -> Column:
+    """Is a node inside the subtree of an earlier marked node?
+
+    Subtrees nest, so it is enough to keep the farthest end seen so far.
+    """
+    before = document.rowsBetween(W.unboundedPreceding, -1)
+    farthest = F.max(F.when(marked, _subtree_end(F.col("pos")))).over(before)
+    return F.coalesce(farthest > F.col("pos"), F.lit(False))
+
+
+def _with_facts(trees: DataFrame) -> DataFrame:
+    """Per node: tags and ordinals of its children, and whether the way to it leads
+    only over first elements of their tag. Trees are shuffled once for all of it."""
     last = F.element_at("pos", -1)
-    return (
+    children = (
         trees.filter(F.size("pos") > 0)
         .groupBy("tree_id", parent(F.col("pos")).alias("pos"))
         .agg(
-            F.bool_and(F.col("tag") == "li").alias("all_li"),
+            F.collect_set("tag").alias("child_tags"),
             F.min(last).alias("lo"),
             F.max(last).alias("hi"),
-            F.collect_set("tag").alias("child_tags"),
         )
     )
+    alike = W.partitionBy("tree_id", "_parent", "tag").orderBy("pos")
+    refuses = F.lower(F.coalesce(F.try_element_at("attrs", F.lit("Inherit")), F.lit("")))
+    return (
+        trees.withColumn("_parent", parent(F.col("pos")))
+        .withColumn("_other", (F.size("pos") > 0) & (F.row_number().over(alike) > 1))
+        .withColumn(
+            "is_first", ~F.col("_other") & ~_below_any(F.col("_other"), _in_document("tree_id"))
+        )
+        .withColumn("refuses", refuses == "false")
+        .join(children, ["tree_id", "pos"], "left")
+        .select("tree_id", *_NODE, *_FACTS)
+    )
 
 
 def merge_level(child: DataFrame, above: DataFrame) -> DataFrame:
@@ -146,123 +184,128 @@ def merge_level(child: DataFrame, above: DataFrame) -> DataFrame:
     or if the child is a text; the parent's content, if the child is empty; both
     lists one after the other, parent first; else element by element, where an
     element of the child meets the parent's first element of that tag.
+
+    Both sides carry facts about their nodes, which are kept up to date here, so a
+    level takes two joins and one pass in document order.
     """
-    facts = _child_facts(child)
-    above_facts = _child_facts(above)
-    # the parent's candidate for a tag path; only an unbroken line of firsts counts
-    firsts = above.groupBy("tree_id", "tags").agg(F.min("pos").alias("ppos"))
-    mine = child.join(facts, ["tree_id", "pos"], "left").select(
+    theirs = above.filter("is_first").select(
         "tree_id",
-        "pos",
         "tags",
-        F.col("lo").isNotNull().alias("has_children"),
-        "all_li",
-        F.coalesce("hi", F.lit(-1)).alias("hi"),
-        F.coalesce("lo", F.lit(0)).alias("lo"),
-        "child_tags",
-        (F.lower(F.coalesce(F.try_element_at("attrs", F.lit("Inherit")), F.lit(""))) == "false").alias("refuses"),
-        (~tx.is_blank(F.col("text"))).alias("has_text"),
-    )
-    theirs = above_facts.select(
-        "tree_id",
         F.col("pos").alias("ppos"),
-        F.col("all_li").alias("p_all_li"),
+        F.col("child_tags").alias("p_tags"),
         F.col("lo").alias("p_lo"),
         F.col("hi").alias("p_hi"),
     )
+    only_items = F.array(F.lit("li"))
+    empty = F.col("child_tags").isNull()
     rule = (
-        F.when(F.col("refuses") | F.col("p_lo").isNull(), "child")
-        .when(~F.col("has_children") & F.col("has_text"), "child")
-        .when(~F.col("has_children"), "parent")
-        .when(F.col("all_li") & F.col("p_all_li"), "append")
+        F.when(F.col("refuses") | F.col("p_tags").isNull(), "child")
+        .when(empty & ~tx.is_blank(F.col("text")), "child")
+        .when(empty, "parent")
+        .when((F.col("child_tags") == only_items) & (F.col("p_tags") == only_items), "append")
         .otherwise("merge")
     )
-    pairs = (
-        mine.join(firsts, ["tree_id", "tags"])
-        .join(theirs, ["tree_id", "ppos"], "left")
+    document = _in_document("tree_id")
+    # below a pair that is not merged element by element, nothing corresponds
+    decided = (
+        child.join(theirs, ["tree_id", "tags"], "left")
         .withColumn("rule", rule)
+        .withColumn("_stops", ~empty & (F.col("rule") != "merge"))
+        .withColumn("_live", ~_below_any(F.col("_stops"), document))
+        .withColumn("_appends", F.col("_live") & (F.col("rule") == "append"))
+        .withColumn("_shifted", _below_any(F.col("_appends"), document))
     )
-    # a pair is reached only through pairs that are merged element by element
-    above_pairs = pairs.select(
+    takes = F.col("_live") & (F.col("rule") != "child")
+    width = F.col("p_hi") - F.col("p_lo")
+    lo, hi = F.coalesce("lo", F.lit(0)), F.coalesce("hi", F.lit(-1))
+    kept = decided.select(
         "tree_id",
-        F.col("pos").alias("_up"),
-        F.col("ppos").alias("_up_ppos"),
-        (F.col("rule") == "merge").alias("_merged"),
+        *_NODE,
+        "refuses",
+        F.when(takes, F.array_union(F.coalesce("child_tags", "p_tags"), "p_tags"))
+        .otherwise(F.col("child_tags"))
+        .alias("child_tags"),
+        F.when(F.col("_appends"), lo - 1 - width).when(takes, lo).otherwise(F.col("lo")).alias("lo"),
+        F.when(takes & ~F.col("_appends"), hi + 1 + width).otherwise(F.col("hi")).alias("hi"),
+        # the parent's members come first in a joint list
+        (F.col("is_first") & ~F.col("_shifted")).alias("is_first"),
     )
-    broken = (
-        pairs.filter(F.size("pos") > 0)
-        .select("tree_id", "pos", "ppos", F.explode(prefixes(F.col("pos"), 0, proper=True)).alias("_up"))
-        .join(above_pairs, ["tree_id", "_up"], "left")
-        .filter(
-            ~(
-                F.coalesce("_merged", F.lit(False))
-                & F.coalesce(
-                    F.col("_up_ppos") == F.slice("ppos", F.lit(1), F.size("_up")), F.lit(False)
-                )
-            )
-        )
-        .select("tree_id", "pos")
-        .distinct()
+    live = decided.filter(takes).select(
+        "tree_id",
+        "ppos",
+        F.col("pos").alias("_cpos"),
+        F.col("is_first").alias("_c_first"),
+        "rule",
+        lo.alias("_lo"),
+        hi.alias("_hi"),
+        F.col("child_tags").alias("_c_tags"),
+        "p_lo",
+        "p_hi",
     )
-    live = pairs.filter(F.col("rule") != "child").join(broken, ["tree_id", "pos"], "left_anti")
-
     # every node of the parent below a live pair, seen from that pair
     seen = above.filter(F.size("pos") > 0).withColumn(
         "ppos", F.explode(prefixes(F.col("pos"), 0, proper=True))
     )
     depth = F.size("ppos")
-    adopted = seen.join(
-        live.select(
-            "tree_id", F.col("pos").alias("_cpos"), "ppos", "rule", "lo", "hi", "child_tags", "p_lo", "p_hi"
-        ),
-        ["tree_id", "ppos"],
-    ).filter(
-        (F.col("rule") != "merge")
-        | ~F.array_contains(F.col("child_tags"), F.get("tags", depth))
+    adopted = seen.join(live, ["tree_id", "ppos"]).filter(
+        (F.col("rule") != "merge") | ~F.array_contains("_c_tags", F.get("tags", depth))
     )
     ordinal = F.get("pos", depth)
     place = F.when(
-        F.col("rule") == "append", F.col("lo") - 1 - (F.col("p_hi") - ordinal)
-    ).otherwise(F.col("hi") + 1 + (ordinal - F.col("p_lo")))
+        F.col("rule") == "append", F.col("_lo") - 1 - (F.col("p_hi") - ordinal)
+    ).otherwise(F.col("_hi") + 1 + (ordinal - F.col("p_lo")))
     rest = F.slice("pos", depth + 2, F.greatest(F.size("pos") - depth - 1, F.lit(0)))
-    moved = adopted.withColumn("pos", F.concat("_cpos", F.array(place), rest))
-    return child.unionByName(moved.select(*child.columns))
+    moved = adopted.withColumns(
+        {
+            "pos": F.concat("_cpos", F.array(place), rest),
+            "is_first": F.col("is_first") & F.col("_c_first"),
+        }
+    )
+    return kept.unionByName(moved.select(*kept.columns))
 
 
 def merge_inherited(
     trees: DataFrame,
     chain: DataFrame,
     materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+    hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
     """Trees with everything they inherit, farthest ancestor first.
 
     Only definitions with a known parent take part; the others pass unchanged.
+    The nodes of all ancestors are fetched by one lookup (spread over tasks where
+    many definitions share a parent); after that everything is keyed by the heir.
     One round serves all packages and all definitions of that distance.
     """
-    columns = ["tree_id", "pos", "tags", "tag", "attrs", "text"]
-    own = trees.select(*columns)
-    chain = materialise(chain.select("tree_id", "anc_id", "dist"))
-    longest = chain.agg(F.max("dist")).first()[0]
+    own = trees.select("tree_id", *_NODE, "attrs")
+    length = chain.groupBy("tree_id").agg(F.max("dist").alias("length"))
+    levels = (
+        chain.select("tree_id", "anc_id", "dist")
+        .unionByName(
+            length.select("tree_id", F.col("tree_id").alias("anc_id"), F.lit(0).alias("dist"))
+        )
+        .join(length, "tree_id")
+    )
+    levels = materialise(levels)
+    longest = levels.agg(F.max("dist")).first()[0]
     if longest is None:
-        return own
+        return own.drop("attrs")
+    involved = own.join(
+        levels.select(F.col("anc_id").alias("tree_id")).distinct(), "tree_id", "left_semi"
+    )
+    facts = _with_facts(involved).withColumnRenamed("tree_id", "anc_id")
+    line = materialise(
+        skew.lookup(levels, facts, ["anc_id"], "inner", hot_rows).drop("anc_id")
+    )
 
-    def nodes_at(dist: int, only: DataFrame | None = None) -> DataFrame:
-        """Nodes of the ancestor at a distance, under the id of the heir."""
-        at = chain.filter(F.col("dist") == dist)
-        if only is not None:
-            at = at.join(only, "tree_id", "left_semi")
-        source = own.withColumnRenamed("tree_id", "anc_id")
-        return skew.lookup(at.select("tree_id", "anc_id"), source, ["anc_id"], "inner").select(*columns)
+    def nodes_at(dist: int) -> DataFrame:
+        return line.filter(F.col("dist") == dist)
 
-    heirs = chain.select("tree_id").distinct()
-    length = chain.groupBy("tree_id").agg(F.max("dist").alias("length"))
     merged = None
     for dist in range(longest, 0, -1):
-        starting = nodes_at(dist, length.filter(F.col("length") == dist))
+        starting = nodes_at(dist).filter(F.col("length") == dist).drop("dist", "length")
         above = starting if merged is None else merged.unionByName(starting)
-        if dist == 1:
-            below = own.join(heirs, "tree_id", "left_semi")
-        else:
-            below = nodes_at(dist - 1, length.filter(F.col("length") >= dist))
-        merged = materialise(merge_level(below, above))
-    return own.join(heirs, "tree_id", "left_anti").unionByName(merged)
+        merged = materialise(merge_level(nodes_at(dist - 1).filter(
+            F.col("length") >= dist).drop("dist", "length"), above))
+    untouched = own.join(length, "tree_id", "left_anti").drop("attrs")
+    return untouched.unionByName(merged.select("tree_id", *_NODE))

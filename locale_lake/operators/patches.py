@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locale_lake.functions import fixed
 from locale_lake.functions import text as tx
 from locale_lake.operators.tree import drop_first, parent, short_type, walk_fields
+from locale_lake.session import cut_lineage
 
 
 def patch_ops(nodes: DataFrame, carry: list[str]) -> DataFrame:
@@ -79,7 +82,11 @@ def parse_address(ops: DataFrame, address: str = "address") -> DataFrame:
     )
 
 
-def patch_fields(nodes: DataFrame, carry: list[str]) -> DataFrame:
+def patch_fields(
+    nodes: DataFrame,
+    carry: list[str],
+    materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+) -> DataFrame:
     """(carry, def_type, def_name, field_path, text, patch_pos) of all operations.
 
     The value of an Add goes into the addressed node, that of a Replace or Insert
@@ -89,11 +96,13 @@ def patch_fields(nodes: DataFrame, carry: list[str]) -> DataFrame:
     """
     targets = parse_address(patch_ops(nodes, carry))
     segments = F.col("segments")
-    targets = targets.withColumn(
-        "segments",
-        F.when(F.col("op") == "PatchOperationAdd", segments).otherwise(
-            F.slice(segments, F.lit(1), F.greatest(F.size(segments) - 1, F.lit(0)))
-        ),
+    targets = materialise(
+        targets.withColumn(
+            "segments",
+            F.when(F.col("op") == "PatchOperationAdd", segments).otherwise(
+                F.slice(segments, F.lit(1), F.greatest(F.size(segments) - 1, F.lit(0)))
+            ),
+        )
     )
     # payloads: the children of a value node and all below them
     values = targets.select("file_id", "value_pos").distinct()

@@ -54,7 +54,7 @@ def glossary_hits(spark: SparkSession, folder: str) -> DataFrame:
         F.array().cast("array<string>"),
     )
     return (
-        table(spark, folder, "documents")
+        table(spark, folder, "documents", spread=True)
         .select("lang", F.explode(hits).alias("hit"))
         .groupBy("lang", "hit")
         .agg(F.count("*").alias("n"))
@@ -72,7 +72,7 @@ def glossary_join(spark: SparkSession, folder: str) -> DataFrame:
     """The same hits through the join that serves term tables of any size."""
     rows = [(lang, term, value) for lang, terms in GLOSSARIES.items() for term, value in terms.items()]
     glossary = spark.createDataFrame(rows, "lang string, term string, replacement string")
-    hits = go.find_terms(table(spark, folder, "documents"), glossary, 2, "text", "doc_id")
+    hits = go.find_terms(table(spark, folder, "documents", spread=True), glossary, 2, "text", "doc_id")
     return (
         hits.select("doc_id", F.explode("hits").alias("h"))
         .groupBy("doc_id", F.lower("h.hit").alias("hit"))
@@ -128,7 +128,7 @@ _SELF = {lang: {t: t for t in terms} for lang, terms in GLOSSARIES.items()}
 def protect_restore(spark: SparkSession, folder: str) -> DataFrame:
     """Protect, an echo for a model, restore: terms stay, spacing is normalised."""
     text, lang, none = F.col("text"), F.col("lang"), F.array().cast("array<string>")
-    staged = table(spark, folder, "documents").select(
+    staged = table(spark, folder, "documents", spread=True).select(
         "doc_id", "lang", F.lower("text").alias("text")
     )
     for name, function, otherwise in (
@@ -144,7 +144,7 @@ def protect_restore(spark: SparkSession, folder: str) -> DataFrame:
 def agreement_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every German or French "word nicht/qui" pair, inflected by a lexicon that is
     built from the documents: words ending in -e are feminine, others masculine."""
-    documents = table(spark, folder, "documents").withColumnRenamed("doc_id", "unit_id")
+    documents = table(spark, folder, "documents", spread=True).withColumnRenamed("doc_id", "unit_id")
     lexicon = (
         documents.filter(F.col("lang").isin("de", "fr"))
         .select("lang", F.explode(F.split(F.lower("text"), r"(?U)\W+")).alias("noun"))
@@ -202,7 +202,7 @@ _PIECE_SQL = (
 )
 def draft_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Markup stays, each distinct piece of text goes through the model once."""
-    units = table(spark, folder, "pages").select(
+    units = table(spark, folder, "pages", spread=True).select(
         F.col("page_id").alias("unit_id"), F.col("html").alias("source_text")
     )
     return inf.draft(units, _swap_case, "xx", profile="html", delays=()).select(
@@ -244,7 +244,7 @@ _WORDS_SQL = r"len(string_split_regex(regexp_replace({0}, '^\s+|\s+$', '', 'g'),
 )
 def guards(spark: SparkSession, folder: str) -> DataFrame:
     """Both guards around a model that cuts and slips; one row per distinct piece."""
-    pieces = table(spark, folder, "conversations").select(
+    pieces = table(spark, folder, "conversations", spread=True).select(
         F.explode(tx.sentences(F.col("text"))).alias("piece")
     )
     return inf.translate_pieces(pieces, _cut_when_protected, "ru", _SELF["en"], ()).select(
@@ -253,7 +253,7 @@ def guards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "conversations").select(
+    return table(spark, folder, "conversations", spread=True).select(
         F.col("role").alias("pkg_id"),
         F.concat_ws(".", "conv_id", "turn").alias("key"),
         "conv_id",
@@ -344,7 +344,7 @@ def _responses(spark: SparkSession, folder: str) -> DataFrame:
         number, F.lit(': "'), "text", F.lit('"\n '), beyond, F.lit(" : beyond\n1:  \n"),
         F.when(F.col("role") == "user", F.concat(number, F.lit(": again "), "role")).otherwise(""),
     )
-    return table(spark, folder, "conversations").select(
+    return table(spark, folder, "conversations", spread=True).select(
         "conv_id",
         "turn",
         (F.col("turn") + 1).alias("count"),
@@ -409,7 +409,7 @@ def parse_single(spark: SparkSession, folder: str) -> DataFrame:
     raw = F.when(F.col("role") == "system", F.concat("text", F.lit("\n \n"))).otherwise(
         F.concat(F.lit("so <ans> "), "text", F.lit(" </ans> done"))
     )
-    return table(spark, folder, "conversations").select(
+    return table(spark, folder, "conversations", spread=True).select(
         "conv_id", "turn", an.single_answer(raw).alias("answer")
     )
 
@@ -423,7 +423,7 @@ def parse_single(spark: SparkSession, folder: str) -> DataFrame:
 def answer_guard(spark: SparkSession, folder: str) -> DataFrame:
     """User turns lose a placeholder in the answer, so their draft stays."""
     holder = F.concat(F.lit(" {"), F.col("turn").cast("string"), F.lit("}"))
-    items = table(spark, folder, "conversations").select(
+    items = table(spark, folder, "conversations", spread=True).select(
         "conv_id",
         "turn",
         F.concat("text", holder).alias("source_text"),
@@ -448,6 +448,6 @@ def answer_guard(spark: SparkSession, folder: str) -> DataFrame:
 def truncation_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Would the first line of a document pass as a whole translation of it?"""
     head = F.substring_index("text", "\n", 1)
-    return table(spark, folder, "documents").select(
+    return table(spark, folder, "documents", spread=True).select(
         "doc_id", cl.is_truncated(F.col("text"), head).alias("truncated")
     )

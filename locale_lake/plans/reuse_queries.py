@@ -245,7 +245,7 @@ pieces AS (
 )
 def memory_propagation(spark: SparkSession, folder: str) -> DataFrame:
     units = (
-        table(spark, folder, "documents")
+        table(spark, folder, "documents", spread=True)
         .join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id", "left")
         .select(
             F.expr("cast(substring(source, 4) as bigint)").alias("pkg_seq"),

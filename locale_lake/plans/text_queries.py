@@ -33,7 +33,7 @@ _VALUES = (
 
 def _tagged_values(spark: SparkSession, folder: str) -> DataFrame:
     parts = [
-        table(spark, folder, name).select(
+        table(spark, folder, name, spread=name in ("documents", "conversations")).select(
             F.lit(tag).alias("tag"), F.col(column).cast("string").alias("value")
         )
         for name, column, tag in _VALUES
@@ -101,10 +101,10 @@ def classify_reasons(spark: SparkSession, folder: str) -> DataFrame:
 )
 def classify_words(spark: SparkSession, folder: str) -> DataFrame:
     """The same rules on every word of the documents and every piece of the pages."""
-    words = table(spark, folder, "documents").select(
+    words = table(spark, folder, "documents", spread=True).select(
         F.lit("word").alias("tag"), F.explode(F.split("text", r"[ \n]+", -1)).alias("value")
     )
-    pieces = table(spark, folder, "pages").select(
+    pieces = table(spark, folder, "pages", spread=True).select(
         F.lit("piece").alias("tag"), F.explode(F.split("html", '[<>"]', -1)).alias("value")
     )
     return (
@@ -160,7 +160,7 @@ def rule_strings(spark: SparkSession, folder: str) -> DataFrame:
                 "event_type", F.lit("("), "props", F.lit(") -> "), "event_type", F.lit(" done")
             ).alias("value")
         )
-        .unionAll(table(spark, folder, "conversations").select(F.col("text").alias("value")))
+        .unionAll(table(spark, folder, "conversations", spread=True).select(F.col("text").alias("value")))
     )
     parts = tx.rule_parts(F.col("value"))
     return (
@@ -190,7 +190,7 @@ def rule_strings(spark: SparkSession, folder: str) -> DataFrame:
     FROM (SELECT kind, regexp_replace(value, '^\s+|\s+$', '', 'g') AS s FROM items) GROUP BY 1, 2""",
 )
 def trivial_strings(spark: SparkSession, folder: str) -> DataFrame:
-    part, documents = table(spark, folder, "part"), table(spark, folder, "documents")
+    part, documents = table(spark, folder, "part"), table(spark, folder, "documents", spread=True)
 
     def items(df: DataFrame, kind: str, value) -> DataFrame:
         return df.select(F.lit(kind).alias("kind"), value.alias("value"))
@@ -217,7 +217,7 @@ def trivial_strings(spark: SparkSession, folder: str) -> DataFrame:
 )
 def placeholder_extract(spark: SparkSession, folder: str) -> DataFrame:
     return (
-        table(spark, folder, "pages")
+        table(spark, folder, "pages", spread=True)
         .select(F.explode(tx.placeholders(F.col("html"), "html")).alias("placeholder"))
         .groupBy("placeholder")
         .agg(F.count("*").alias("n"))
@@ -231,7 +231,7 @@ def placeholder_extract(spark: SparkSession, folder: str) -> DataFrame:
 )
 def placeholder_counts(spark: SparkSession, folder: str) -> DataFrame:
     found = tx.placeholders(F.col("html"), "html")
-    return table(spark, folder, "pages").select(
+    return table(spark, folder, "pages", spread=True).select(
         "page_id",
         F.size(found).cast("bigint").alias("n"),
         F.array_join(found, "").alias("joined"),
@@ -249,7 +249,7 @@ def placeholder_counts(spark: SparkSession, folder: str) -> DataFrame:
     FROM marked""",
 )
 def placeholder_braces(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = table(spark, folder, "documents", spread=True)
     marked = F.concat(
         "lang",
         F.lit("_rule(x=1) -> {"),
@@ -282,7 +282,7 @@ def placeholder_braces(spark: SparkSession, folder: str) -> DataFrame:
     FROM answers a LEFT JOIN per USING (page_id, kind) GROUP BY 1, 2""",
 )
 def placeholder_guard(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages")
+    pages = table(spark, folder, "pages", spread=True)
     html = F.col("html")
     answers = (
         ("lost", F.replace(html, F.lit("</b>"), F.lit(""))),
@@ -309,7 +309,7 @@ def placeholder_guard(spark: SparkSession, folder: str) -> DataFrame:
 )
 def segments(spark: SparkSession, folder: str) -> DataFrame:
     return (
-        table(spark, folder, "pages")
+        table(spark, folder, "pages", spread=True)
         .select("page_id", F.posexplode(tx.segments(F.col("html"), "html")).alias("pos", "segment"))
         .withColumn("pos", F.col("pos").cast("bigint"))
     )
@@ -321,7 +321,7 @@ def segments(spark: SparkSession, folder: str) -> DataFrame:
 )
 def rebuild_identity(spark: SparkSession, folder: str) -> DataFrame:
     html = F.col("html")
-    return table(spark, folder, "pages").select(
+    return table(spark, folder, "pages", spread=True).select(
         "page_id",
         tx.rebuild(tx.segments(html, "html"), tx.placeholders(html, "html")).alias("rebuilt"),
     )
@@ -337,7 +337,7 @@ def rebuild_identity(spark: SparkSession, folder: str) -> DataFrame:
 def edges(spark: SparkSession, folder: str) -> DataFrame:
     part = F.col("part")
     return (
-        table(spark, folder, "pages")
+        table(spark, folder, "pages", spread=True)
         .select(F.explode(tx.segments(F.col("html"), "html")).alias("part"))
         .groupBy(tx.lead_space(part).alias("lead"), tx.trail_space(part).alias("trail"))
         .agg(F.count("*").alias("n"))
@@ -353,7 +353,7 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
 )
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
     return (
-        table(spark, folder, "documents")
+        table(spark, folder, "documents", spread=True)
         .select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
         .withColumn("pos", F.col("pos").cast("bigint"))
     )
@@ -367,7 +367,7 @@ def sentences(spark: SparkSession, folder: str) -> DataFrame:
 )
 def long_only_split(spark: SparkSession, folder: str) -> DataFrame:
     pieces = tx.sentences(F.col("text"))
-    return table(spark, folder, "documents").select(
+    return table(spark, folder, "documents", spread=True).select(
         "doc_id",
         F.size(pieces).cast("bigint").alias("n"),
         tx.join_sentences(pieces).alias("joined"),
@@ -380,7 +380,7 @@ def long_only_split(spark: SparkSession, folder: str) -> DataFrame:
     FROM pages""",
 )
 def xml_escape(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select(
+    return table(spark, folder, "pages", spread=True).select(
         "page_id", tx.xml_escape(F.col("html")).alias("escaped")
     )
 
@@ -393,7 +393,7 @@ def xml_escape(spark: SparkSession, folder: str) -> DataFrame:
 )
 def comment_sanitise(spark: SparkSession, folder: str) -> DataFrame:
     raw = F.concat(F.replace("html", F.lit("<"), F.lit("--")), F.lit("---"))
-    return table(spark, folder, "pages").select(
+    return table(spark, folder, "pages", spread=True).select(
         "page_id", tx.xml_comment(raw).alias("comment")
     )
 
@@ -406,7 +406,7 @@ def comment_sanitise(spark: SparkSession, folder: str) -> DataFrame:
     SELECT event_type, upper(event_type[1]) || event_type[2:], count(*) FROM events GROUP BY 1, 2""",
 )
 def language_folders(spark: SparkSession, folder: str) -> DataFrame:
-    codes = table(spark, folder, "documents").select("lang").unionAll(
+    codes = table(spark, folder, "documents", spread=True).select("lang").unionAll(
         table(spark, folder, "events").select("event_type")
     )
     return codes.groupBy("lang", tx.language_folder(F.col("lang")).alias("folder")).agg(
@@ -430,7 +430,7 @@ def language_folders(spark: SparkSession, folder: str) -> DataFrame:
 def line_lists(spark: SparkSession, folder: str) -> DataFrame:
     from locale_lake.sources.lists import split_lines
 
-    files = table(spark, folder, "documents").select(
+    files = table(spark, folder, "documents", spread=True).select(
         F.col("doc_id").alias("file_id"),
         F.concat(F.lit("Strings/"), F.col("doc_id").cast("string")).alias("prefix"),
         F.col("text").alias("content"),

@@ -9,6 +9,7 @@ from locale_lake.functions import text as tx
 from locale_lake.operators import inherit, patches, tree
 from locale_lake.plans.registry import query, table
 from locale_lake.plans.text_queries import _REASON_SQL
+from locale_lake.session import cut_lineage
 from locale_lake.sources import files as fs
 from locale_lake.sources import xml
 
@@ -28,7 +29,7 @@ def _lines(text: Column) -> Column:
 
 
 def _turn_files(spark: SparkSession, folder: str) -> DataFrame:
-    turns = table(spark, folder, "conversations")
+    turns = table(spark, folder, "conversations", spread=True)
     body = F.concat(_text("role", F.col("role")), _lines(F.col("text")))
     return turns.select(
         F.concat_ws(".", "conv_id", "turn").alias("file_id"),
@@ -67,7 +68,7 @@ def keyed_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 def _definition_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """One document per turn: a definition with a label and a list of lines."""
-    turns = table(spark, folder, "conversations")
+    turns = table(spark, folder, "conversations", spread=True)
     name = F.concat(F.lit(" t"), F.concat_ws("_", "conv_id", "turn"), F.lit(" "))
     body = F.concat(_text("defName", name), _text("label", F.col("role")), _lines(F.col("text")))
     definition = F.concat(
@@ -115,7 +116,7 @@ def list_index(spark: SparkSession, folder: str) -> DataFrame:
     """List items of the pages as a list element: parsed, numbered, read back."""
     items = F.regexp_extract_all("html", F.lit("<li>(.*?)</li>"), F.lit(1))
     body = F.array_join(F.transform(items, lambda item: _text("li", item)), "")
-    files = table(spark, folder, "pages").select(
+    files = table(spark, folder, "pages", spread=True).select(
         F.col("page_id").alias("file_id"), _element("nav", body).cast("binary").alias("content")
     )
     return xml.read_keyed(xml.shred_xml(files, ["file_id"], keep_comments=True)).select(
@@ -334,7 +335,7 @@ def patch_fields(spark: SparkSession, folder: str) -> DataFrame:
     files = table(spark, folder, "part").select(
         F.col("p_partkey").alias("file_id"), document.cast("binary").alias("content")
     )
-    nodes = xml.shred_xml(files, ["file_id"])
+    nodes = cut_lineage(xml.shred_xml(files, ["file_id"]))
     return patches.patch_fields(nodes, ["file_id"]).select(
         "file_id", "def_type", "def_name", "field_path", "text"
     )

@@ -48,6 +48,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a plain file scan as many partitions as there are cores.
+
+    Only where it has fewer, which happens with few or unsplittable files; a large
+    input keeps its partitions and is not shuffled. For steps that cost much more
+    CPU than a shuffle of their input.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder.
 

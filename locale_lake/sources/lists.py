@@ -46,7 +46,8 @@ def split_lines(
 
 
 def _is_comment(line):
-    return tx.is_blank(line) | line.rlike(r"(?U)^\s*//")
+    stripped = tx.strip(line)
+    return (stripped == "") | F.startswith(stripped, F.lit("//"))
 
 
 def decode(content):
