@@ -41,12 +41,15 @@ def find_terms(
     # words and gaps alternate, so words sit at every second place
     first_word = F.when(F.get("_pieces", F.lit(0)).rlike(r"(?U)^\w"), 1).otherwise(2)
     places = F.filter(
-        F.sequence(F.lit(1), F.size("_pieces") + 1), lambda i: (i - first_word) % 2 == 0
+        F.sequence(F.lit(1), F.greatest(F.size("_pieces"), F.lit(1))),
+        lambda i: ((i - first_word) % 2 == 0) & (i <= F.size("_pieces")),
     )
 
     def spans_at(i: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(1), F.lit(2 * max_words - 1), F.lit(2)),
+            F.sequence(
+                F.lit(1), F.least(F.lit(2 * max_words - 1), F.size("_pieces") + 1 - i), F.lit(2)
+            ),
             lambda size: F.struct(
                 i.alias("start"),
                 size.alias("size"),
@@ -59,7 +62,6 @@ def find_terms(
         units.select(unit_id, "lang", pieces.alias("_pieces"))
         .select(unit_id, "lang", F.explode(F.flatten(F.transform(places, spans_at))).alias("_s"))
         .select(unit_id, "lang", "_s.*", F.lower("_s.hit").alias("_span"))
-        .filter(F.col("start") + F.col("size") > 1)
     )
     found = skew.lookup(
         spans, terms, ["lang", "_span"], "inner", hot_rows, broadcast_rows=BROADCAST_TERMS

@@ -426,7 +426,7 @@ def polish(
         units,
         size or plan_run(True, True, mode),
         group,
-        buckets or ["layer", "path"],
+        buckets or ["layer", "sort_path"],
         order or ["seq"],
         fields,
     )
