@@ -125,35 +125,29 @@ def scan_corpus(
     keys = key_columns(key_scope)
     packages = cut_lineage(packages)
     listing = cut_lineage(fs.read_corpus(spark, locations, packages))
-    content = fs.read_corpus(spark, locations, packages, content=True)
 
-    is_manifest = (F.size("rel") == 1) & (F.lower("name") == "loadfolders.xml")
-    manifests = content.filter(is_manifest)
+    def contents(pattern: str) -> DataFrame:
+        return fs.read_corpus(spark, locations, packages, pattern)
+
+    manifests = contents(fs.MANIFEST).filter(F.size("rel") == 1)
     manifest_nodes = cut_lineage(xml.shred_xml(manifests, ["pkg_id", "file_id"]))
     roots = cut_lineage(fs.newest_roots(listing, manifest_nodes))
     languages = fs.language_roots(listing, roots, all_language_roots)
     lang_dirs = cut_lineage(fs.source_language(listing, languages, source_folder))
 
-    # definitions and patches of the folders that are loaded
-    documents = content.filter(F.endswith(F.col("name"), F.lit(".xml")))
-    placed = [*_FILE, "root_rank"]
-    def_nodes = cut_lineage(xml.shred_xml(fs.under_roots(documents, roots, "Defs"), placed))
-    patch_nodes = cut_lineage(
-        xml.shred_xml(fs.under_roots(documents, roots, "Patches"), placed)
-    )
-    fields = cut_lineage(
-        definition_fields(def_nodes.filter(F.col("parse_error").isNull()))
+    # every file that is used is opened and parsed once, whatever it is used for
+    described = [*_FILE, "area", "root_rank", "channel", "def_type", "out_path", "spoken"]
+    placed = fs.place_files(contents("*.xml"), roots, lang_dirs).withColumn(
+        "spoken", F.col("area").isin("keyed", "injected")
     )
+    nodes = cut_lineage(xml.shred_xml(placed, described, keep_comments="spoken"))
+    readable = nodes.filter(F.col("parse_error").isNull())
 
-    # language files
-    lang_files = fs.channel_files(content, lang_dirs)
-    described = [*_FILE, "channel", "def_type", "out_path"]
-    lang_nodes = cut_lineage(
-        xml.shred_xml(
-            lang_files.filter(F.col("channel") != "strings"), described, keep_comments=True
-        )
-    )
-    entries = xml.read_keyed(lang_nodes.filter(F.col("parse_error").isNull()))
+    def area(name: str) -> DataFrame:
+        return readable.filter(F.col("area") == name)
+
+    fields = cut_lineage(definition_fields(area("definitions")))
+    entries = xml.read_keyed(readable.filter("spoken"))
     rank = {"keyed": KEYED, "injected": INJECTED, "strings": STRINGS}
     language = _language_units(entries, rank)
 
@@ -176,7 +170,7 @@ def scan_corpus(
 
     patch_fields = cut_lineage(
         patches.patch_fields(
-            patch_nodes.filter(F.col("parse_error").isNull()),
+            area("patches"),
             ["pkg_id", "file_id", "sort_path", "stem", "root_rank"],
         )
     )
@@ -196,14 +190,18 @@ def scan_corpus(
         refreshed, change_units, keys, ["stem_rank", "sort_path"], new_key_policy
     ).drop("stem", "stem_rank")
 
+    texts = fs.place_files(contents("*.txt"), roots, lang_dirs)
     strings = lists.split_lines(
-        lang_files.filter(F.col("channel") == "strings").select(
-            *described,
+        texts.filter(F.col("area") == "strings").select(
+            *_FILE,
+            "channel",
+            "def_type",
+            "out_path",
             F.startswith(F.col("content"), F.lit(b"\xef\xbb\xbf")).alias("has_bom"),
             F.col("out_path").alias("prefix"),
             lists.decode(F.col("content")).alias("content"),
         ),
-        [*described, "has_bom"],
+        [*_FILE, "channel", "def_type", "out_path", "has_bom"],
         line_breaks,
     ).withColumnRenamed("text", "source_text")
 
@@ -222,18 +220,9 @@ def scan_corpus(
             256,
         ),
     ).select(*UNIT_COLUMNS)
-    bad = [
-        xml.quarantine(n, ["pkg_id", "file_id"]) for n in (def_nodes, patch_nodes, lang_nodes)
-    ]
-    about = xml.shred_xml(
-        documents.filter(
-            (F.size("rel") >= 2) & (F.col("name") == "About.xml") & (F.element_at("rel", -2) == "About")
-        ),
-        _FILE,
-    )
     return Scan(
         units=units,
-        packages=fs.read_packages(packages, about, lang_dirs),
-        quarantine=bad[0].unionByName(bad[1]).unionByName(bad[2]),
+        packages=fs.read_packages(packages, area("about"), lang_dirs),
+        quarantine=xml.quarantine(nodes, ["pkg_id", "file_id", "area"]),
         roots=roots,
     )

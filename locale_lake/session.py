@@ -26,6 +26,8 @@ def local_session(cores: str | int = "*", **extra: str) -> SparkSession:
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
+        # do not look up the Python call site of every column expression
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **extra,
     }
     for name, value in settings.items():

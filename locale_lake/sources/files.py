@@ -11,7 +11,13 @@ from locale_lake.operators import skew
 
 # Package dimension tables (roots, language folders) are broadcast only when
 # counted to be no larger; else the join is spread over tasks.
-BROADCAST_PACKAGES = 100_000
+BROADCAST_PACKAGES = 1_000_000
+
+
+# the manifest's name in any case
+MANIFEST = "".join(
+    f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in "loadfolders.xml"
+)
 
 
 def _local(path: Column) -> Column:
@@ -53,14 +59,15 @@ def _listing(spark: SparkSession, paths: list[str], glob: str | None = None) ->
 
 
 def read_corpus(
-    spark: SparkSession, locations: list[str], packages: DataFrame, content: bool = False
+    spark: SparkSession, locations: list[str], packages: DataFrame, content: str | None = None
 ) -> DataFrame:
     """Files below the given locations, assigned to their packages.
 
-    Without content only the listing is read. ``rel`` is the path below the package
+    ``content`` names the files to read by a pattern; without it only the listing
+    is made and no file is opened. ``rel`` is the path below the package
     as an array, ``sort_path`` orders files the way path components compare.
     """
-    files = _listing(spark, locations, "*.{xml,txt}" if content else None)
+    files = _listing(spark, locations, content)
     files = files.select(
         _local(F.col("path")).alias("path"), *(["content"] if content else [])
     ).withColumn("_parts", F.split("path", "/"))
@@ -173,28 +180,6 @@ def dedup_roots(roots: DataFrame) -> DataFrame:
     )
 
 
-def under_roots(files: DataFrame, roots: DataFrame, subfolder: str) -> DataFrame:
-    """Files below ``<root>/<subfolder>``; adds ``root_rank``.
-
-    Only a direct child folder of a root counts.
-    """
-    at = F.filter(
-        F.sequence(F.lit(1), F.size("rel")),
-        lambda i: (F.get("rel", i - 1) == subfolder) & (i < F.size("rel")),
-    )
-    candidates = files.withColumn(
-        "root",
-        F.explode(F.transform(at, lambda i: F.array_join(F.slice("rel", F.lit(1), i - 1), "/"))),
-    )
-    return skew.lookup(
-        candidates,
-        roots.select("pkg_id", "root", "root_rank"),
-        ["pkg_id", "root"],
-        "inner",
-        broadcast_rows=BROADCAST_PACKAGES,
-    )
-
-
 def language_roots(files: DataFrame, roots: DataFrame, all_roots: bool = False) -> DataFrame:
     """(pkg_id, languages): the least nested Languages folder of each package.
 
@@ -246,30 +231,107 @@ def source_language(files: DataFrame, languages: DataFrame, folder: str = "engli
     )
 
 
-def channel_files(files: DataFrame, lang_dirs: DataFrame) -> DataFrame:
-    """Language files with ``channel``, ``def_type`` and ``out_path``."""
-    inside = files.join(lang_dirs, "pkg_id").filter(
-        F.startswith(F.col("rel_path"), F.concat("lang_dir", F.lit("/")))
+def _below(folder: Column) -> Column:
+    """Path components of a file below a folder, or null outside of it."""
+    return F.when(
+        F.startswith(F.col("rel_path"), F.concat(folder, F.lit("/"))),
+        F.slice("rel", F.size(F.split(folder, "/")) + 1, F.size("rel")),
     )
-    below = F.slice("rel", F.size(F.split("lang_dir", "/")) + 1, F.size("rel"))
-    top = F.get("_below", F.lit(0))
+
+
+def _channel(below: Column) -> Column:
+    top, depth = F.get(below, F.lit(0)), F.size(below)
     is_xml = F.endswith(F.col("name"), F.lit(".xml"))
-    deep = F.size("_below")
-    channel = (
-        F.when((top == "Keyed") & (deep > 1) & is_xml, "keyed")
-        .when((top == "DefInjected") & (deep > 2) & is_xml, "injected")
-        .when((top == "Strings") & (deep > 1) & F.endswith(F.col("name"), F.lit(".txt")), "strings")
+    is_text = F.endswith(F.col("name"), F.lit(".txt"))
+    return (
+        F.when((top == "Keyed") & (depth > 1) & is_xml, "keyed")
+        .when((top == "DefInjected") & (depth > 2) & is_xml, "injected")
+        .when((top == "Strings") & (depth > 1) & is_text, "strings")
+    )
+
+
+def channel_files(files: DataFrame, lang_dirs: DataFrame) -> DataFrame:
+    """Language files with ``channel``, ``def_type`` and ``out_path``."""
+    inside = skew.lookup(
+        files, lang_dirs, ["pkg_id"], "inner", broadcast_rows=BROADCAST_PACKAGES
+    ).withColumn("_below", _below(F.col("lang_dir")))
+    return _described(inside.withColumn("channel", _channel(F.col("_below")))).filter(
+        F.col("channel").isNotNull()
     )
+
+
+def _described(files: DataFrame) -> DataFrame:
     return (
-        inside.withColumn("_below", below)
-        .withColumn("channel", channel)
-        .filter(F.col("channel").isNotNull())
-        .withColumn("def_type", F.when(F.col("channel") == "injected", F.get("_below", F.lit(1))))
+        files.withColumn("def_type", F.when(F.col("channel") == "injected", F.get("_below", F.lit(1))))
         .withColumn("out_path", F.array_join("_below", "/"))
         .drop("_below")
     )
 
 
+AREAS = ("definitions", "patches", "about", "keyed", "injected", "strings")
+
+
+def place_files(files: DataFrame, roots: DataFrame, lang_dirs: DataFrame) -> DataFrame:
+    """Files that are used, with their ``area`` and what the area needs to know.
+
+    Folder choices are a few values per package, so one lookup brings them to the
+    files and the content of files is read once for all areas. Definitions and
+    patches count only directly below a loaded root; a file of two roots stands
+    under both.
+    """
+    chosen = roots.groupBy("pkg_id").agg(
+        F.collect_list(F.struct("root", "root_rank")).alias("_roots")
+    )
+    spoken = lang_dirs.groupBy("pkg_id").agg(F.sort_array(F.collect_set("lang_dir")).alias("_dirs"))
+    found = skew.lookup(
+        files,
+        chosen.join(spoken, "pkg_id", "left"),
+        ["pkg_id"],
+        "inner",
+        broadcast_rows=BROADCAST_PACKAGES,
+    )
+    place = "array<struct<area:string,root_rank:int>>"
+    nowhere = F.array().cast(place)
+    is_xml = F.endswith(F.col("name"), F.lit(".xml"))
+
+    def under(folder: str, area: str) -> Column:
+        holding = F.filter(
+            "_roots",
+            lambda r: F.startswith(
+                F.col("rel_path"),
+                F.concat(r["root"], F.when(r["root"] == "", "").otherwise("/"), F.lit(folder + "/")),
+            ),
+        )
+        places = F.transform(holding, lambda r: F.struct(F.lit(area), r["root_rank"]))
+        return F.when(is_xml, places.cast(place)).otherwise(nowhere)
+
+    def only(condition: Column, area: Column) -> Column:
+        there = F.array(F.struct(area, F.lit(0))).cast(place)
+        return F.when(F.coalesce(condition, F.lit(False)), there).otherwise(nowhere)
+
+    about = (F.col("name") == "About.xml") & (F.get("rel", F.size("rel") - 2) == "About")
+    folder = F.get(
+        F.filter("_dirs", lambda d: F.startswith(F.col("rel_path"), F.concat(d, F.lit("/")))),
+        F.lit(0),
+    )
+    placed = (
+        found.withColumn("_below", _below(folder))
+        .withColumn("channel", _channel(F.col("_below")))
+        .withColumn(
+            "_place",
+            F.explode(
+                F.concat(
+                    under("Defs", "definitions"),
+                    under("Patches", "patches"),
+                    only(about, F.lit("about")),
+                    only(F.col("channel").isNotNull(), F.col("channel")),
+                )
+            ),
+        )
+    )
+    return _described(placed.select("*", "_place.*").drop("_place", "_roots", "_dirs"))
+
+
 def covered_types(files: DataFrame, lang_dirs: DataFrame) -> DataFrame:
     """(pkg_id, def_type) of every folder of injected text, whatever it holds."""
     inside = files.join(lang_dirs, "pkg_id").filter(

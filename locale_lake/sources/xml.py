@@ -59,9 +59,13 @@ def node_rows(content: bytes, keep_comments: bool) -> Iterator[tuple]:
             stack.extend(reversed(children))
 
 
-def shred_xml(files: DataFrame, keep: list[str], keep_comments: bool = False) -> DataFrame:
+def shred_xml(
+    files: DataFrame, keep: list[str], keep_comments: bool | str = False
+) -> DataFrame:
     """One row per node with the ``keep`` columns of its file.
 
+    ``keep_comments`` may name a boolean column among ``keep``.
+
     ``pos`` is the Dewey label below the document root (the root has ``[]``).
     Files are parsed one by one inside tasks; rows leave in small batches, so a
     large file is never held as one Arrow table.
@@ -73,9 +77,13 @@ def shred_xml(files: DataFrame, keep: list[str], keep_comments: bool = False) ->
         for batch in batches:
             carried = batch.select(keep)
             contents = batch.column("content")
+            if isinstance(keep_comments, str):
+                comments = batch.column(keep_comments).to_pylist()
+            else:
+                comments = [keep_comments] * batch.num_rows
             for i in range(batch.num_rows):
                 rows: list[tuple] = []
-                for row in node_rows(contents[i].as_py() or b"", keep_comments):
+                for row in node_rows(contents[i].as_py() or b"", comments[i]):
                     rows.append(row)
                     if len(rows) == _FLUSH_ROWS:
                         yield _batch(carried, i, rows)
