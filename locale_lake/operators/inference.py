@@ -154,16 +154,17 @@ def translate_pieces(
     delays: Sequence[float] = fixed.RETRY_DELAYS_SECONDS,
     materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
-    """(piece, translated, error) per distinct piece, with both quality guards.
+    """(piece, translated, error, n) per distinct piece, with both quality guards.
 
     Each model pass is written to the shared checkpoint folder before anything
     reads it: a model need not answer twice the same, so a recomputed task must
     not ask again. Only pieces a guard flags are asked a second time.
     """
     terms = glossary or {}
-    distinct = pieces.filter(F.col("piece").isNotNull()).groupBy("piece").agg(F.lit(1).alias("_"))
+    distinct = pieces.filter(F.col("piece").isNotNull()).groupBy("piece").agg(F.count("*").alias("n"))
     protected = distinct.select(
         "piece",
+        "n",
         gl.protect(F.col("piece"), terms).alias("_protected"),
         (gl.replacements(F.col("piece"), terms) if terms else F.array().cast("array<string>")).alias(
             "_tokens"
@@ -175,11 +176,15 @@ def translate_pieces(
 
     first = materialise(
         translate_column(protected, "_protected", "_raw", translate_fn, delays).select(
-            "piece", "_protected", "_tokens", restored("_raw").alias("translated"),
+            "piece",
+            "n",
+            "_protected",
+            "_tokens",
+            restored("_raw").alias("translated"),
             F.col("_raw_error").alias("error"),
         )
     )
-    columns = ["piece", "translated", "error"]
+    columns = ["piece", "translated", "error", "n"]
 
     # another script in the answer: ask once more, take a clean second answer
     foreign = F.coalesce(cl.has_foreign_script(F.col("translated"), F.lit(lang)), F.lit(False))
@@ -226,7 +231,11 @@ def draft(
     """
     pieces = explode_pieces(units.filter(~tx.is_blank(F.col(text))), text, unit_id, profile)
     known = translate_pieces(pieces, translate_fn, lang, glossary, delays, materialise)
-    joined = skew.lookup(pieces, known, ["piece"], "left", hot_rows)
+    # how often a piece occurs was counted when the pieces were made distinct
+    counts = known.select(F.xxhash64("piece").alias("_hot"), F.col("n").alias("_n"))
+    joined = skew.lookup(
+        pieces, known.drop("n"), ["piece"], "left", hot=skew.hottest(counts, hot_rows)
+    )
     whole = joined.groupBy(unit_id).agg(
         F.array_join(
             F.transform(

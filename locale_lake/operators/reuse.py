@@ -101,16 +101,19 @@ def lookup_memory(
     memory: DataFrame,
     languages: list[str] | None = None,
     hot_rows: int = skew.HOT_ROWS,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``memory_text`` by exact source text, for units nothing else settles.
 
     Texts repeat, and a text may repeat a lot, so the lookup is spread. ``memory``
-    may hold several results for one text; the last one counts.
+    may hold several results for one text; the last one counts. ``texts`` are the
+    same units before other joins, to count frequent texts without those joins.
     """
     keys = [*(languages or []), "source_text"]
+    hot = skew.hot_keys(units if texts is None else texts, keys, hot_rows)
     known = skew.latest(memory, keys, ["target_text"], ["seq"])
     settled = F.col("reused_text").isNotNull() | F.col("override_text").isNotNull()
-    found = skew.lookup(units, known, keys, "left", hot_rows)
+    found = skew.lookup(units, known, keys, "left", hot=hot)
     return found.withColumn(
         "memory_text", F.when(~settled, F.col("target_text"))
     ).drop("target_text")

@@ -19,11 +19,18 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
 
     Only hashes and counts are shuffled, after a map-side count.
     """
-    return (
+    counts = (
         df.select(F.xxhash64(*keys).alias("_hot"))
         .groupBy("_hot")
         .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") >= hot_rows)
+    )
+    return hottest(counts, hot_rows)
+
+
+def hottest(counts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The hot list from hashes ``_hot`` with their row counts ``_n``."""
+    return (
+        counts.filter(F.col("_n") >= hot_rows)
         .orderBy(F.col("_n").desc(), "_hot")
         .limit(HOT_LIST)
         .select("_hot")
@@ -38,6 +45,7 @@ def lookup(
     hot_rows: int = HOT_ROWS,
     spread: int = SPREAD,
     broadcast_rows: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join rows to a table that has few rows per key, however frequent a key is.
 
@@ -46,13 +54,16 @@ def lookup(
     ``hot keys x spread`` rows. The result equals ``many.join(one, keys, how)``.
 
     With ``broadcast_rows``, ``one`` is counted first (never past that number) and
-    broadcast if it is no larger; ``many`` is then not shuffled at all.
+    broadcast if it is no larger; ``many`` is then not shuffled at all. Where
+    ``many`` is costly to make, pass the ``hot`` keys counted on something cheaper.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup supports left and inner joins")
     if broadcast_rows is not None and has_at_most(one, broadcast_rows):
         return many.join(F.broadcast(one), keys, how)
-    hot = F.broadcast(hot_keys(many, keys, hot_rows).withColumn("_is_hot", F.lit(True)))
+    if hot is None:
+        hot = hot_keys(many, keys, hot_rows)
+    hot = F.broadcast(hot.withColumn("_is_hot", F.lit(True)))
     rest = [c for c in many.columns if c not in keys]
     salt = F.when(
         F.col("_is_hot"), F.pmod(F.xxhash64(*(rest or keys)), F.lit(spread)).cast("int")

@@ -50,9 +50,10 @@ def _resolved(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("tr:"), "source_text").alias("target_text"),
         F.col("key").alias("seq"),
     )
-    units = reuse.reuse_unchanged(_documents(spark, folder), old_source, old_target, KEY)
+    documents = _documents(spark, folder)
+    units = reuse.reuse_unchanged(documents, old_source, old_target, KEY)
     units = reuse.apply_overrides(units, edits, KEY)
-    return reuse.resolve(reuse.lookup_memory(units, memory, ["lang"]))
+    return reuse.resolve(reuse.lookup_memory(units, memory, ["lang"], texts=documents))
 
 
 _RESOLVED_SQL = """

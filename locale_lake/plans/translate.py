@@ -77,8 +77,12 @@ def settle(
         .filter(F.col("memory_text").isNotNull())
         .select("source_text", "pkg_seq", F.col("memory_text").alias("_carried"))
     )
-    known = reuse.lookup_memory(known, memory, ["src_lang", "tgt_lang"])
-    known = skew.lookup(known, carried, ["source_text", "pkg_seq"], "left")
+    spoken = units.withColumns(
+        {"src_lang": F.lit(languages[0]), "tgt_lang": F.lit(languages[1])}
+    )
+    known = reuse.lookup_memory(known, memory, ["src_lang", "tgt_lang"], texts=spoken)
+    again = ["source_text", "pkg_seq"]
+    known = skew.lookup(known, carried, again, "left", hot=skew.hot_keys(units, again))
     pinned = F.col("pinned_text").isNotNull()
     known = known.withColumn(
         "memory_text", F.when(~pinned, F.coalesce("_carried", "memory_text"))

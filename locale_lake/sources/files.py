@@ -26,7 +26,10 @@ def _local(path: Column) -> Column:
 
 
 def packages_in(spark: SparkSession, folder: str) -> DataFrame:
-    """(pkg_id, pkg_seq): every folder directly below ``folder`` is a package."""
+    """(pkg_id, pkg_seq): every folder directly below ``folder`` is a package.
+
+    Packages are numbered by name, in buckets of equal first letters.
+    """
     folder = folder.rstrip("/")
     paths = _listing(spark, [folder]).select(_local(F.col("path")).alias("path"))
     base = folder if "://" in folder else _plain(folder)
@@ -36,7 +39,13 @@ def packages_in(spark: SparkSession, folder: str) -> DataFrame:
         .select(F.concat(F.lit(base + "/"), F.col("p")[0]).alias("pkg_id"))
         .distinct()
     )
-    return names.withColumn("pkg_seq", F.xxhash64("pkg_id"))
+    name = F.element_at(F.split("pkg_id", "/"), -1)
+    lettered = names.withColumns(
+        {"_first": F.substring(name, 1, 2), "_more": F.substring(name, 1, 8)}
+    )
+    return skew.number_rows(lettered, [], ["_first", "_more"], ["pkg_id"], "pkg_seq").select(
+        "pkg_id", "pkg_seq"
+    )
 
 
 def packages_from(spark: SparkSession, roots: list[str]) -> DataFrame:

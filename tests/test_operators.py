@@ -192,6 +192,13 @@ def test_each_distinct_piece_is_asked_once(spark, tmp_path):
     assert open(log).read() == "same words\n"
 
 
+def test_frequent_pieces_are_spread_not_lost(spark):
+    texts = [f"{{0}} common [x] own {i % 9}" for i in range(60)]
+    units = spark.createDataFrame(list(enumerate(texts)), "unit_id int, source_text string")
+    got = inf.draft(units, shout, "de", delays=(), hot_rows=10).orderBy("unit_id").collect()
+    assert [r.draft_text for r in got] == [f"{{0}} COMMON [x] OWN {i % 9}" for i in range(60)]
+
+
 def test_script_guard_takes_a_clean_second_answer(spark, tmp_path):
     seen = str(tmp_path / "seen")
 

@@ -156,6 +156,11 @@ def test_conditional_root_is_marked(scanned):
     assert marks == {"": False, "Mods/X": True}
 
 
+def test_packages_are_numbered_by_name(scanned):
+    ordered = sorted(scanned["packages"], key=lambda n: n)
+    assert [scanned["packages"][n].pkg_seq for n in ordered] == list(range(len(ordered)))
+
+
 def test_other_source_folder(spark, tmp_path):
     roots = packages.write(tmp_path, ["german"])
     scan = scan_corpus(spark, roots, fs.packages_from(spark, roots), source_folder="deutsch")
