@@ -32,11 +32,9 @@ def find_terms(
     ``hits`` ARRAY<STRUCT<start, size, hit, replacement>>, start and size counted
     in pieces (words and gaps).
     """
-    terms = glossary.select(
-        "lang",
-        F.lower("term").alias("_span"),
-        "replacement",
-    ).dropDuplicates(["lang", "_span"])
+    terms = glossary.groupBy("lang", F.lower("term").alias("_span")).agg(
+        F.min("replacement").alias("replacement")
+    )
     pieces = F.regexp_extract_all(F.col(text), F.lit(_WORDS_AND_GAPS), F.lit(1))
     # words and gaps alternate, so words sit at every second place
     first_word = F.when(F.get("_pieces", F.lit(0)).rlike(r"(?U)^\w"), 1).otherwise(2)
@@ -234,9 +232,11 @@ def agree(
         )
         .withColumn("_noun", F.lower("noun"))
     )
-    nouns = lexicon.select(
-        "lang", F.lower("noun").alias("_noun"), "gender", "number"
-    ).dropDuplicates(["lang", "_noun"])
+    nouns = (
+        lexicon.groupBy("lang", F.lower("noun").alias("_noun"))
+        .agg(F.min(F.struct("gender", "number")).alias("_form"))
+        .select("lang", "_noun", "_form.*")
+    )
     known = skew.lookup(
         pairs, nouns, ["lang", "_noun"], "left", hot_rows, broadcast_rows=BROADCAST_TERMS
     )

@@ -106,8 +106,12 @@ def patch_fields(
     )
     # payloads: the children of a value node and all below them
     values = targets.select("file_id", "value_pos").distinct()
+    # only an ancestor called "value" can be one
     ups = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("pos") - 1, F.lit(1))),
+        F.filter(
+            F.sequence(F.lit(1), F.greatest(F.size("pos") - 1, F.lit(1))),
+            lambda n: F.get("tags", n) == "value",
+        ),
         lambda n: F.slice("pos", F.lit(1), n),
     )
     below = (
@@ -124,7 +128,7 @@ def patch_fields(
         .groupBy("file_id", "value_pos", "child_pos")
         .agg(tx.strip(F.min_by("text", "pos")).alias("own_name"))
     )
-    payload = below.join(names, ["file_id", "value_pos", "child_pos"], "left")
+    payload = materialise(below.join(names, ["file_id", "value_pos", "child_pos"], "left"))
 
     def trees(rows: DataFrame, root: str) -> DataFrame:
         """``root`` becomes the root of the tree."""

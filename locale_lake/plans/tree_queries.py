@@ -129,7 +129,7 @@ def list_index(spark: SparkSession, folder: str) -> DataFrame:
 def _forest(spark: SparkSession, folder: str) -> DataFrame:
     """Every part hangs below the part with a quarter of its number."""
     up = F.expr("p_partkey div 4")
-    return table(spark, folder, "part").select(
+    return table(spark, folder, "part", spread=True).select(
         F.col("p_partkey").alias("id"),
         F.when(up > 0, up).alias("parent_id"),
         F.when(F.col("p_size") > 25, F.col("p_type")).alias("own_value"),
@@ -240,7 +240,7 @@ def inherit_merge(spark: SparkSession, folder: str) -> DataFrame:
 )
 def dual_types(spark: SparkSession, folder: str) -> DataFrame:
     full = F.concat(F.lit("Ns."), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("."), "p_type")
-    tags = table(spark, folder, "part").select(
+    tags = table(spark, folder, "part", spread=True).select(
         F.when(F.col("p_size") > 25, full).otherwise(F.col("p_type")).alias("type_tag"),
         F.col("p_brand").alias("stem"),
     )
@@ -257,7 +257,7 @@ def _addresses(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("p_type") == "ECONOMY", "")
         .otherwise(F.concat(F.lit("/steps/li["), F.col("p_size").cast("string"), F.lit("]/label")))
     )
-    return table(spark, folder, "part").select(
+    return table(spark, folder, "part", spread=True).select(
         "p_partkey",
         F.concat(
             F.when(F.col("p_size") > 40, " /Defs/").otherwise("Defs/"),
@@ -332,7 +332,7 @@ def patch_fields(spark: SparkSession, folder: str) -> DataFrame:
         _element("value", payload),
         F.lit("</li></operations></Operation></Patch>"),
     )
-    files = table(spark, folder, "part").select(
+    files = table(spark, folder, "part", spread=True).select(
         F.col("p_partkey").alias("file_id"), document.cast("binary").alias("content")
     )
     nodes = cut_lineage(xml.shred_xml(files, ["file_id"]))
@@ -348,7 +348,7 @@ def patch_fields(spark: SparkSession, folder: str) -> DataFrame:
       AS version FROM versions GROUP BY 1, 2""",
 )
 def newest_version(spark: SparkSession, folder: str) -> DataFrame:
-    versions = table(spark, folder, "part").select(
+    versions = table(spark, folder, "part", spread=True).select(
         "p_type",
         "p_brand",
         F.concat_ws(".", "p_size", (F.col("p_partkey") % 20)).alias("version"),

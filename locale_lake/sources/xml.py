@@ -81,21 +81,25 @@ def shred_xml(
                 comments = batch.column(keep_comments).to_pylist()
             else:
                 comments = [keep_comments] * batch.num_rows
+            rows: list[tuple] = []
+            owners: list[int] = []
             for i in range(batch.num_rows):
-                rows: list[tuple] = []
                 for row in node_rows(contents[i].as_py() or b"", comments[i]):
                     rows.append(row)
+                    owners.append(i)
                     if len(rows) == _FLUSH_ROWS:
-                        yield _batch(carried, i, rows)
-                        rows = []
-                if rows:
-                    yield _batch(carried, i, rows)
+                        yield _batch(carried, owners, rows)
+                        rows, owners = [], []
+            if rows:
+                yield _batch(carried, owners, rows)
 
     return source.mapInArrow(run, schema)
 
 
-def _batch(carried: pa.RecordBatch, row: int, rows: list[tuple]) -> pa.RecordBatch:
-    same = [column.take(pa.array([row] * len(rows))) for column in carried.columns]
+def _batch(carried: pa.RecordBatch, owners: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    """Node rows with the columns of the files they belong to."""
+    at = pa.array(owners)
+    same = [column.take(at) for column in carried.columns]
     values = [
         pa.array(list(column), field.type) for column, field in zip(zip(*rows), _NODE)
     ]
