@@ -47,46 +47,27 @@ def ancestors(
     written to the checkpoint folder, so plans stay as small as the first.
     """
     scope = scope or []
-    steps = links.select(*scope, F.col(node).alias("_n"), F.col(up).alias("_up"))
-    steps = steps.filter(F.col("_up").isNotNull())
-    frontier = steps.select(
-        *scope,
-        F.col("_n").alias(node),
-        F.col("_up").alias("ancestor"),
-        F.array("_n").alias("_way"),
+    # one lookup tells whether an ancestor exists and where its own pointer leads
+    table = links.select(*scope, F.col(node).alias("ancestor"), F.col(up).alias("_next"))
+    frontier = links.filter(F.col(up).isNotNull()).select(
+        *scope, node, F.col(up).alias("ancestor"), F.array(node).alias("_way")
     )
-    known = links.select(*scope, F.col(node).alias("ancestor"))
-    found = None
+    found = links.select(*scope, node, F.col(up).alias("ancestor"), F.lit(0).alias("dist")).limit(0)
     for dist in range(1, max_levels + 1):
-        # the ancestor must exist and must not close a cycle
-        frontier = materialise(
-            skew.lookup(
-                frontier.filter(~F.array_contains("_way", F.col("ancestor"))),
-                known,
-                [*scope, "ancestor"],
-                "inner",
-            )
+        open_ended = frontier.filter(~F.array_contains("_way", F.col("ancestor")))
+        reached = materialise(skew.lookup(open_ended, table, [*scope, "ancestor"], "inner"))
+        if reached.isEmpty():
+            return found
+        found = found.unionByName(
+            reached.select(*scope, node, "ancestor", F.lit(dist).alias("dist"))
         )
-        if frontier.isEmpty():
-            break
-        level = frontier.select(*scope, node, "ancestor", F.lit(dist).alias("dist"))
-        found = level if found is None else found.unionByName(level)
-        frontier = skew.lookup(
-            frontier,
-            steps.withColumnRenamed("_n", "ancestor"),
-            [*scope, "ancestor"],
-            "inner",
-        ).select(
+        frontier = reached.filter(F.col("_next").isNotNull()).select(
             *scope,
             node,
-            F.col("_up").alias("_next"),
+            F.col("_next").alias("ancestor"),
             F.concat("_way", F.array("ancestor")).alias("_way"),
-        ).withColumnRenamed("_next", "ancestor")
-    else:
-        raise ValueError(f"chains are longer than {max_levels} levels")
-    if found is None:
-        return frontier.select(*scope, node, "ancestor", F.lit(0).alias("dist"))
-    return found
+        )
+    raise ValueError(f"chains are longer than {max_levels} levels")
 
 
 def chains(
