@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from locale_lake.llm import bitsliced, mixing
+from locale_lake.llm import bitsliced, contamination, mixing, notices, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,6 +53,65 @@ def bit_sliced_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return bitsliced.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20, scale=64)
 
 
+@query("op4_license_notices")
+def license_notices(spark: SparkSession, folder: str) -> DataFrame:
+    return notices.find_notices(table(spark, folder, "documents"))
+
+
+@query("op5_secret_ledger")
+def secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return secrets.digest(secrets.findings_by_row(documents, secrets.scan_unseen(documents)))
+
+
+@query(
+    "op8_suffix_automaton",
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM documents
+    ), b AS (
+        SELECT item_id, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+    ), windows AS (
+        SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g
+        FROM (SELECT item_id, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i
+              FROM b WHERE len(w) > 0)
+    ), grams AS (
+        SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g
+        FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+              FROM d, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m)
+    ), hits AS (
+        SELECT doc_id, i, grams.m, item_id FROM grams JOIN windows ON grams.g = windows.g AND grams.m = windows.m
+    ), places AS (
+        SELECT doc_id, count(DISTINCT place) AS n_hit
+        FROM (SELECT doc_id, unnest(range(i, i + m)) AS place FROM hits) GROUP BY doc_id
+    ), items AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+    )
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN places ON d.doc_id = places.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+    """,
+)
+def suffix_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination.find_spans(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10)
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 @query(
     "op10_mix_sources",
     r"""
