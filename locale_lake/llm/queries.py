@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from locale_lake.llm import bitsliced, contamination, mixing, notices, secrets
+from locale_lake.llm import bitsliced, contamination, mixing, notices, secrets, trie_join, units
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +64,61 @@ def secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.findings_by_row(documents, secrets.scan_unseen(documents)))
 
 
+@query(
+    "op6_repeated_lines",
+    r"""
+    WITH lines AS (
+        SELECT doc_id, i, line, sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(line) - 1 AS start
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+              FROM documents)
+    ), u AS (
+        SELECT doc_id, start, start + len(line) AS stop, len(w) AS n_words, array_to_string(w, ' ') AS unit
+        FROM (SELECT *, regexp_extract_all(
+                  translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+              FROM lines)
+        WHERE len(w) >= 20
+    ), ranked AS (
+        SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start
+        FROM u WINDOW w AS (PARTITION BY unit ORDER BY doc_id, start)
+    )
+    SELECT doc_id, start::BIGINT AS start, stop::BIGINT AS "end", n_words, kept_doc_id, kept_start::BIGINT AS kept_start
+    FROM ranked WHERE doc_id <> kept_doc_id OR start <> kept_start
+    """,
+)
+def repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return units.repeated_units(table(spark, folder, "documents"), kind="line", min_words=20)
+
+
+@query(
+    "op7_prefix_tree_join",
+    r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+    ), n AS (
+        SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), pairs AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+    ), links AS (
+        SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * m >= 75 * (x.n + y.n - m)
+    ), reach(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM d
+        UNION
+        SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a
+    )
+    SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+    FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN reach ON d.doc_id = reach.doc_id
+    GROUP BY d.doc_id
+    """,
+)
+def prefix_tree_join(spark: SparkSession, folder: str) -> DataFrame:
+    return trie_join.near_duplicates(table(spark, folder, "documents"))
+
+
 @query(
     "op8_suffix_automaton",
     r"""
