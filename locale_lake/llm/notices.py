@@ -54,12 +54,9 @@ class Normalised:
     """Texts as lower-case words, each followed by one space, in one buffer."""
 
     def __init__(self, texts: rawtext.Texts):
-        inside = rawtext.ALNUM[texts.data]
-        keep = inside.copy()
-        keep[1:] |= inside[:-1]
-        self.source = np.flatnonzero(keep)
-        self.bytes = np.where(inside, rawtext.LOWER[texts.data], np.uint8(32))[self.source].tobytes()
-        self.offsets = np.searchsorted(self.source, texts.offsets)
+        condensed = rawtext.Condensed(texts, rawtext.ALNUM)
+        self.source, self.offsets = condensed.source, condensed.offsets
+        self.bytes = condensed.data.tobytes()
         self.texts = texts
 
     def find(self, needle: bytes) -> np.ndarray:

@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from locale_lake.llm import bitsliced, contamination, mixing, notices, secrets, trie_join, units
+from locale_lake.llm import (
+    bitsliced,
+    contamination,
+    factorisation,
+    langid,
+    mixing,
+    notices,
+    sampling,
+    secrets,
+    toxicity,
+    trie_join,
+    units,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +41,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_factorisation_quality")
+def factorisation_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return factorisation.scored(documents, factorisation.train(documents, table(spark, folder, "labels")))
+
+
 @query(
     "op2_bit_sliced_top_k",
     """
@@ -53,6 +71,12 @@ def bit_sliced_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return bitsliced.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20, scale=64)
 
 
+@query("op3_nearest_toxicity")
+def nearest_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return toxicity.scored(documents, toxicity.train(documents, table(spark, folder, "labels")))
+
+
 @query("op4_license_notices")
 def license_notices(spark: SparkSession, folder: str) -> DataFrame:
     return notices.find_notices(table(spark, folder, "documents"))
@@ -167,6 +191,13 @@ def suffix_automaton(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op9_string_kernel_language")
+def string_kernel_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    told = langid.predict(documents.select("doc_id", "text"), langid.train(documents))
+    return told.select("doc_id", (sampling.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query(
     "op10_mix_sources",
     r"""

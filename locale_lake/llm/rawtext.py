@@ -131,6 +131,18 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> Iterato
             yield np.zeros(0, dtype=np.uint64)
 
 
+class Condensed:
+    """Texts as the lower-cased runs of a byte class, each followed by one space, in one buffer."""
+
+    def __init__(self, texts: Texts, kind: np.ndarray):
+        inside = kind[texts.data]
+        keep = inside.copy()
+        keep[1:] |= inside[:-1]
+        self.source = np.flatnonzero(keep)
+        self.data = np.where(inside, LOWER[texts.data], np.uint8(32))[self.source]
+        self.offsets = np.searchsorted(self.source, texts.offsets)
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most ``size`` bytes in ``column``; a longer row comes alone."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -107,6 +107,7 @@ def _without(text: str | None, cuts: list) -> str | None:
 def without_units(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs`` with the removed units cut from the texts; ``removed`` keeps their offsets."""
     cuts = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "end")).alias("_cuts"))
+    kept = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +117,7 @@ def without_units(docs: DataFrame, removed: DataFrame) -> DataFrame:
             ]
             place = batch.schema.get_field_index("text")
             batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.column(place).type))
-            yield batch.select(docs.columns)
+            yield batch.select(kept)
 
     joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["_id"]), "left").select(*docs.columns, "_cuts")
     return joined.mapInArrow(run, docs.schema)
