@@ -123,8 +123,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(row, word, value, statistics, y, weights, epochs: int = 12, batch: int = 64, rate: float = 0.05, decay: float = 1e-4) -> Machine:
-    """Adagrad on the weighted log loss; the order of texts is drawn from a fixed seed."""
+def fit(row, word, value, statistics, y, weights, updates: int = 1200, batch: int = 64, rate: float = 0.05, decay: float = 1e-4) -> Machine:
+    """Adagrad on the weighted log loss; the order of texts is drawn from a fixed seed; as many updates for any number of texts."""
     draw = np.random.default_rng(11)
     n, k = statistics.shape
     scale = statistics.std(axis=0)
@@ -133,27 +133,26 @@ def fit(row, word, value, statistics, y, weights, epochs: int = 12, batch: int =
     owner, feature, value = machine.entries(row, word, value, statistics)
     starts = np.searchsorted(owner, np.arange(n + 1))
     seen_w, seen_v, seen_b = np.full(WORDS + k, 1e-3, np.float32), np.full((WORDS + k, RANK), 1e-3, np.float32), 1e-3
-    for _ in range(epochs):
-        order = draw.permutation(n)
-        for first in range(0, n, batch):
-            some = order[first : first + batch]
-            at = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in some])
-            sizes = starts[some + 1] - starts[some]
-            local, f, x = np.repeat(np.arange(len(some)), sizes), feature[at], value[at]
-            out, sums = machine.outputs(local, f, x, len(some))
-            slope = (weights[some] * (_sigmoid(out) - y[some])).astype(np.float32) / len(some)
-            g = slope[local] * x
-            used, place = np.unique(f, return_inverse=True)
-            gw = np.bincount(place, g, minlength=len(used)).astype(np.float32) + decay * machine.w[used]
-            each = g[:, None] * (sums[local] - machine.v[f] * x[:, None])
-            by = np.argsort(place, kind="stable")
-            gv = np.add.reduceat(each[by], np.searchsorted(place[by], np.arange(len(used))), axis=0) + decay * machine.v[used]
-            seen_w[used] += gw * gw
-            seen_v[used] += gv * gv
-            machine.w[used] -= rate * gw / np.sqrt(seen_w[used])
-            machine.v[used] -= rate * gv / np.sqrt(seen_v[used])
-            seen_b += float(slope.sum()) ** 2
-            machine.bias -= rate * float(slope.sum()) / seen_b**0.5
+    order = np.concatenate([draw.permutation(n) for _ in range(-(-updates * batch // n))])
+    for first in range(0, updates * batch, batch):
+        some = order[first : first + batch]
+        at = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in some])
+        sizes = starts[some + 1] - starts[some]
+        local, f, x = np.repeat(np.arange(len(some)), sizes), feature[at], value[at]
+        out, sums = machine.outputs(local, f, x, len(some))
+        slope = (weights[some] * (_sigmoid(out) - y[some])).astype(np.float32) / len(some)
+        g = slope[local] * x
+        used, place = np.unique(f, return_inverse=True)
+        gw = np.bincount(place, g, minlength=len(used)).astype(np.float32) + decay * machine.w[used]
+        each = g[:, None] * (sums[local] - machine.v[f] * x[:, None])
+        by = np.argsort(place, kind="stable")
+        gv = np.add.reduceat(each[by], np.searchsorted(place[by], np.arange(len(used))), axis=0) + decay * machine.v[used]
+        seen_w[used] += gw * gw
+        seen_v[used] += gv * gv
+        machine.w[used] -= rate * gw / np.sqrt(seen_w[used])
+        machine.v[used] -= rate * gv / np.sqrt(seen_v[used])
+        seen_b += float(slope.sum()) ** 2
+        machine.bias -= rate * float(slope.sum()) / seen_b**0.5
     trained = np.zeros(WORDS + k, dtype=bool)
     trained[feature] = True
     machine.v[~trained] = 0  # words that no example has say nothing
