@@ -66,6 +66,23 @@ def call_with_retry(
     return [None] * len(batch), f"{type(error).__name__}: {error}"
 
 
+def each_or_none(
+    function: Callable[[list], list[str]], items: list, delays: Sequence[float]
+) -> tuple[list[str | None], list[str | None]]:
+    """Answers and errors by item: a batch that fails is halved until the faulty item is alone.
+
+    The waits between repetitions are spent once, on the whole batch.
+    """
+    if not items:
+        return [], []
+    answers, error = call_with_retry(function, items, delays)
+    if error is None or len(items) == 1:
+        return answers, [error] * len(items)
+    middle = len(items) // 2
+    first, second = (each_or_none(function, part, ()) for part in (items[:middle], items[middle:]))
+    return first[0] + second[0], first[1] + second[1]
+
+
 def translate_column(
     df: DataFrame,
     source: str,
@@ -78,10 +95,8 @@ def translate_column(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(source).to_pylist()
-            answers, error = call_with_retry(translate_fn, texts, delays) if texts else ([], None)
-            yield _with_columns(
-                batch, {out: answers, f"{out}_error": [error] * len(answers)}
-            )
+            answers, errors = each_or_none(translate_fn, texts, delays)
+            yield _with_columns(batch, {out: answers, f"{out}_error": errors})
 
     return df.mapInArrow(run, _extended(df, out, f"{out}_error"))
 
@@ -361,22 +376,19 @@ def render_requests(
 def call_requests(
     requests: DataFrame,
     call_fn: CallFn,
-    batch_rows: int = 16,
     materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
-    """Adds ``raw`` and ``call_error``; a failed call is a row, never an exception."""
+    """Adds ``raw`` and ``call_error``; a failed request is a row, never an exception.
+
+    The function gets the requests of an Arrow batch at once; if that fails,
+    the batch is halved until the faulty ones are alone, and only these go without an answer.
+    """
     wanted = ["prompt", "n_items", "answer_tokens", "timeout_seconds"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw: list[str | None] = []
-            errors: list[str | None] = []
             calls = batch.select(wanted).to_pylist()
-            for at in range(0, len(calls), batch_rows):
-                part = calls[at : at + batch_rows]
-                texts, error = call_with_retry(call_fn, part, delays=())
-                raw += texts
-                errors += [error] * len(part)
+            raw, errors = each_or_none(call_fn, calls, delays=())
             yield _with_columns(batch, {"raw": raw, "call_error": errors})
 
     return materialise(requests.mapInArrow(run, _extended(requests, "raw", "call_error")))

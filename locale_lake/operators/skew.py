@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 # A key with at least this many rows on the many side is spread over SPREAD tasks.
 HOT_ROWS = 1_000_000
 SPREAD = 64
-# Hard bound on the list of hot keys that is broadcast (8-byte hashes). Keys that
-# do not make the list still join exactly, they are just not spread.
-HOT_LIST = 4096
+# A key is hot from this share of all rows on, so there are at most HOT_SHARE hot
+# keys (8-byte hashes) to broadcast, however large the table.
+HOT_SHARE = 65_536
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of the most frequent keys: at most HOT_LIST rows of one BIGINT.
+    """Hashes of the most frequent keys: at most HOT_SHARE rows of one BIGINT.
 
     Only hashes and counts are shuffled, after a map-side count.
     """
@@ -28,11 +28,15 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
 
 
 def hottest(counts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The hot list from hashes ``_hot`` with their row counts ``_n``."""
+    """The hot list from hashes ``_hot`` with their row counts ``_n``.
+
+    Hot is a key with ``hot_rows`` rows, or with a HOT_SHAREth of all rows where that
+    is more: the list is bounded by arithmetic and no key that qualifies is left out.
+    """
+    total = counts.agg((F.sum("_n") / HOT_SHARE).alias("_share"))
     return (
         counts.filter(F.col("_n") >= hot_rows)
-        .orderBy(F.col("_n").desc(), "_hot")
-        .limit(HOT_LIST)
+        .join(F.broadcast(total), F.col("_n") >= F.col("_share"))  # one row
         .select("_hot")
     )
 

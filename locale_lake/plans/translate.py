@@ -115,8 +115,12 @@ def translate_corpus(
         all_units.filter(~F.col("is_comment")), packages.select("pkg_id", "pkg_seq"), ["pkg_id"], "inner"
     )
 
-    # state of the last committed run and what its files say now
-    state = read_state(spark, state_path, "state", run_id).filter(F.col("lang") == options.lang)
+    # what earlier runs left for these packages, and what their files say now
+    state = cut_lineage(
+        read_state(spark, state_path, "state", run_id)
+        .filter(F.col("lang") == options.lang)
+        .join(packages.select("pkg_id"), "pkg_id", "left_semi")
+    )
     memory = read_state(spark, state_path, "memory", run_id)
 
     def part(kind: str) -> DataFrame:
@@ -158,8 +162,9 @@ def translate_corpus(
     commit_run(
         {
             "state": new_state(final, overrides, keys, options.lang),
-            "memory": new_memory(memory, final, options),
+            "memory": new_memory(final, options),
         },
+        packages.select("pkg_id", F.lit(options.lang).alias("lang")),
         state_path,
         run_id,
     )
@@ -241,21 +246,17 @@ def new_state(final: DataFrame, overrides: DataFrame, keys: list[str], lang: str
     )
 
 
-def new_memory(memory: DataFrame, final: DataFrame, options: Options) -> DataFrame:
-    """Stored memory with this run's results; packages in order, last unit wins."""
+def new_memory(final: DataFrame, options: Options) -> DataFrame:
+    """This run's results for memory; packages in order, last unit wins."""
     order = ["pkg_seq", "layer", "sort_path", "seq"]
-    latest = skew.latest(
+    return skew.latest(
         final.filter(F.col("origin") != "fallback"), ["source_text"], ["final_text"], order
     ).select(
         F.lit(options.source_lang).alias("src_lang"),
         F.lit(options.lang).alias("tgt_lang"),
         "source_text",
         F.col("final_text").alias("target_text"),
-        F.lit(1).cast("bigint").alias("seq"),
-    )
-    stored = memory.withColumn("seq", F.lit(0).cast("bigint"))
-    return skew.latest(
-        stored.unionByName(latest), ["src_lang", "tgt_lang", "source_text"], ["target_text", "seq"], ["seq"]
+        F.lit(0).cast("bigint").alias("seq"),
     )
 
 

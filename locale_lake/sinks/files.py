@@ -20,7 +20,6 @@ from locale_lake.session import cut_lineage
 # fixed values: the frame of a language file
 XML_HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<LanguageData>\n'
 XML_FOOT = "</LanguageData>\n"
-MAX_ENTRIES = 1_000_000
 
 _WRITTEN = T.StructType(
     [T.StructField("file", T.StringType()), T.StructField("lines", T.LongType())]
@@ -35,7 +34,7 @@ def output_folders(packages: DataFrame, out: str, lang: str) -> DataFrame:
         named.groupBy("_base").agg(F.count("*").alias("_n")).filter("_n > 1").select("_base", F.lit(True).alias("_shared"))
     )
     mark = F.when(
-        F.col("_shared"), F.concat(F.lit("-"), F.substring(F.sha2("pkg_id", 256), 1, 10))
+        F.col("_shared"), F.concat(F.lit("-"), F.sha2("pkg_id", 256))
     ).otherwise(F.lit(""))
     return (
         skew.lookup(named, shared, ["_base"], "left")
@@ -60,49 +59,10 @@ def entry_line(with_source: bool = False) -> Column:
     return F.when(F.col("is_comment"), comment).otherwise(entry)
 
 
-def split_oversized(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """Language files beyond ``max_entries`` become numbered files of that size.
-
-    All files of a folder are read together, so the split changes nothing for
-    their reader, and no task has to write a file of unbounded length. Line lists
-    keep one file, because their line numbers are keys.
-    """
-    group = ["out_root", "out_path"]
-    large = (
-        rows.filter(F.col("channel") != "strings")
-        .groupBy(*group)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > max_entries)
-        .select(*group)
-    )
-    if large.isEmpty():
-        return rows
-    numbered = skew.number_rows(
-        rows.join(large, group, "left_semi").withColumn(
-            "_slice", F.floor(F.col("seq") / 65536)
-        ),
-        group,
-        ["layer", "sort_path", "_slice"],
-        ["seq"],
-        "_at",
-    )
-    part = F.floor(F.col("_at") / max_entries)
-    renamed = numbered.withColumn(
-        "out_path",
-        F.when(part == 0, F.col("out_path")).otherwise(
-            F.concat(
-                F.regexp_replace("out_path", r"\.xml$", ""), F.lit("."), part.cast("string"), F.lit(".xml")
-            )
-        ),
-    ).drop("_at", "_slice")
-    return rows.join(large, group, "left_anti").unionByName(renamed)
-
-
 def write_language_files(
     results: DataFrame,
     lang_folder: str,
     with_source: bool = False,
-    max_entries: int = MAX_ENTRIES,
     materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
     """Write all channels; returns (file, lines).
@@ -112,10 +72,9 @@ def write_language_files(
     so neither a file nor a package has to fit into memory. A file appears under
     its name only when it is complete, so a repeated task replaces it.
     """
-    rows = split_oversized(results, max_entries)
     is_list = F.col("channel") == "strings"
     plain = F.coalesce(F.when(~F.col("is_comment"), F.col("final_text")), F.col("source_text"))
-    lines = rows.select(
+    lines = results.select(
         F.concat_ws("/", "out_root", F.lit("Languages"), F.lit(lang_folder), "out_path").alias("file"),
         "layer",
         "sort_path",

@@ -290,13 +290,10 @@ def test_large_files_are_split_and_names_told_apart(spark, tmp_path):
         "pkg_id string, out_root string, channel string, out_path string, layer int, sort_path string, "
         "seq long, key string, is_comment boolean, has_bom boolean, source_text string, final_text string",
     )
-    written = sink.write_language_files(frame, "Russian", max_entries=10).collect()
-    assert sorted(r.lines for r in written) == [5, 10, 10]
-    folder = tmp_path / "p/Languages/Russian/Keyed"
-    keys = [
-        re.findall(r"<(k\d+)>", (folder / name).read_text()) for name in ("K.xml", "K.1.xml", "K.2.xml")
-    ]
-    assert sum(keys, []) == [f"k{i}" for i in range(25)]
+    (written,) = sink.write_language_files(frame, "Russian").collect()
+    assert written.lines == 25
+    text = (tmp_path / "p/Languages/Russian/Keyed/K.xml").read_text()
+    assert re.findall(r"<(k\d+)>", text) == [f"k{i}" for i in range(25)]
     packages = spark.createDataFrame([("/a/m",), ("/b/m",), ("/b/n",)], "pkg_id string")
     names = [r.out_root for r in sink.output_folders(packages, "/out", "ru").orderBy("pkg_id").collect()]
     assert len(set(names)) == 3 and names[2] == "/out/n_RU"

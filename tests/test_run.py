@@ -6,7 +6,7 @@ from locale_lake.operators import inference as inf
 from locale_lake.plans.scan import scan_corpus
 from locale_lake.plans.translate import Options, RunCancelled, translate_corpus
 from locale_lake.sources import files as fs
-from locale_lake.sources.state import committed_run, read_state
+from locale_lake.sources.state import committed_run, compact, read_state, take_back
 from locale_lake.streaming.queue import queue_report, run_queue
 from tests import packages
 
@@ -135,3 +135,70 @@ def test_engine_options():
         inf.plan_run(False, False)
     with pytest.raises(ValueError):
         inf.plan_run(False, True, inf.CHECK)
+
+
+def _by_hand(folder, old, new):
+    things = folder / "Languages/Russian/DefInjected/ThingDef/Things.xml"
+    things.write_text(things.read_text().replace(old, new))
+
+
+def test_state_of_other_packages_and_languages_stays(spark, tmp_path):
+    roots = packages.write(tmp_path / "in", ["keyed_plus_defs", "line_list"])
+    out, state = tmp_path / "out", tmp_path / "state"
+    run(spark, roots[:1], out, state, 1)
+    run(spark, roots[1:], out, state, 2)
+    scan = scan_corpus(spark, roots[:1], fs.packages_from(spark, roots[:1]))
+    translate_corpus(spark, scan, str(out), str(state), 3, Options(lang="de", retry_delays=()), prefix)
+    _by_hand(out / "keyed_plus_defs_RU", "RU:oil lamp", "by hand")
+    fourth = rows(run(spark, roots[:1], out, state, 4, update=True))
+    assert fourth["Lamp.label"] == ("by hand", "override")
+    assert fourth["Greeting"] == ("RU:Hello there", "reuse")
+    table = read_state(spark, str(state), "state")
+    assert {(r.lang, r.n) for r in table.groupBy("lang").agg({"pkg_id": "approx_count_distinct"}).toDF("lang", "n").collect()} == {("ru", 2), ("de", 1)}
+
+    # compacted, the state is the same; an edit that is taken back is gone
+    before = sorted(map(str, table.collect()))
+    compact(spark, str(state))
+    assert sorted(map(str, read_state(spark, str(state), "state").collect())) == before
+    edits = table.filter("kind = 'override'")
+    taken = take_back(spark, str(state), edits, ["pkg_id", "channel", "type_key", "key"])
+    assert read_state(spark, str(state), "state").filter("kind = 'override'").count() == 0
+    again = rows(run(spark, roots[:1], out, state, taken + 1, update=True))
+    assert again["Lamp.label"][1] in ("draft", "memory") and again["Greeting"][1] == "reuse"
+
+
+def test_queue_keeps_edits_and_goes_on_after_a_failure(spark, tmp_path):
+    roots = packages.write(tmp_path / "in", ["keyed_plus_defs", "line_list"])
+    queue, out, state = tmp_path / "queue", tmp_path / "out", tmp_path / "state"
+    queue.mkdir()
+    options = Options(lang="ru", update=True, retry_delays=())
+
+    def work(name, lines, checkpoint):
+        (queue / name).write_text("".join(f"{x}\n" for x in lines))
+        run_queue(spark, str(queue), str(out), str(state), str(tmp_path / checkpoint), options, prefix).awaitTermination()
+
+    work("1.txt", roots[:1], "a")
+    work("2.txt", [*roots[1:], str(tmp_path / "nowhere")], "a")
+    _by_hand(out / "keyed_plus_defs_RU", "RU:oil lamp", "by hand")
+    work("3.txt", roots[:1], "a")
+    text = (out / "keyed_plus_defs_RU/Languages/Russian/DefInjected/ThingDef/Things.xml").read_text()
+    assert "by hand" in text
+    assert committed_run(spark, str(state)) == 2
+    # a new checkpoint starts its batches at 0 again, but not its runs
+    work("4.txt", roots[:1], "b")
+    assert committed_run(spark, str(state)) >= 3
+    assert "by hand" in (out / "keyed_plus_defs_RU/Languages/Russian/DefInjected/ThingDef/Things.xml").read_text()
+    failed = [r for r in queue_report(spark, str(state)).collect() if r.status == "failed"]
+    assert failed[0].messages == ["package folder not found"]
+
+
+def test_one_fault_costs_one_answer():
+    def touchy(texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        return [t.upper() for t in texts]
+
+    texts = [*"abc", "bad", *"de"]
+    answers, errors = inf.each_or_none(touchy, texts, ())
+    assert answers == ["A", "B", "C", None, "D", "E"]
+    assert [e is None for e in errors] == [True, True, True, False, True, True]
