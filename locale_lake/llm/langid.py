@@ -71,23 +71,34 @@ class Model:
         return (found.astype(np.float32) @ self.weights) / norms[:, None] + self.means
 
 
-def fit(found: np.ndarray, languages: list[str], landmarks: int, ridge: float) -> Model:
-    """Kernel ridge regression on Nyström features of the normalised presence kernel."""
+def _unit(bits: np.ndarray) -> np.ndarray:
+    """Presence vectors of length one, from bitmaps."""
+    out = np.unpackbits(bits, axis=1).astype(np.float32)
+    out /= np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
+    return out
+
+
+def fit(bits: np.ndarray, languages: list[str], landmarks: int, ridge: float) -> Model:
+    """Kernel ridge regression on Nyström features of the normalised presence kernel.
+
+    ``bits`` holds a bitmap per text; only the landmarks and a block of texts are
+    unpacked at a time.
+    """
     names = sorted(set(languages))
     y = np.array([[float(x == name) for name in names] for x in languages]).reshape(len(languages), len(names))
-    unit = (found / np.sqrt(np.maximum(found.sum(axis=1, keepdims=True), 1))).astype(np.float32)
     # landmarks: the first rows of each language in turn
-    order = sorted(range(len(languages)), key=lambda i: (languages[:i].count(languages[i]), languages[i]))[:landmarks]
-    marks = unit[order]
+    turn = {i: languages[:i].count(x) for i, x in enumerate(languages)}
+    marks = _unit(bits[sorted(turn, key=lambda i: (turn[i], languages[i]))[:landmarks]])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max(initial=1e-12)
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = (unit @ marks.T).astype(np.float64) @ root
+    kernel = [_unit(bits[first : first + BLOCK]) @ marks.T for first in range(0, len(bits), BLOCK)]
+    features = np.concatenate(kernel).astype(np.float64) @ root
     means = y.mean(axis=0)
     gram = features.T @ features + ridge * np.eye(features.shape[1])
     beta = np.linalg.solve(gram, features.T @ (y - means))
-    weights = marks.T.astype(np.float64) @ (root @ beta)
-    return Model(names, weights.astype(np.float32), means.astype(np.float32))
+    weights = marks.T @ (root @ beta).astype(np.float32)
+    return Model(names, weights, means.astype(np.float32))
 
 
 def _presence_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +134,8 @@ def train(
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], bytes(r["bits"])))
     if not rows:
         return None
-    found = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
-    return fit(found, [r["lang"] for r in rows], landmarks, ridge)
+    bits = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1)
+    return fit(bits, [r["lang"] for r in rows], landmarks, ridge)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
