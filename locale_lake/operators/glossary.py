@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,18 +165,6 @@ def protect_terms(
     )
 
 
-def agreement_pattern(lang: str, adjectives: list[str]) -> str:
-    """Adjective and noun side by side, in either order; articles are no nouns."""
-    noun = fixed.NOUN_LETTERS.get(lang, fixed.NOUN_LETTERS_LATIN)
-    adjective = "|".join(rf"\Q{a}\E" for a in sorted(adjectives))
-    articles = fixed.NON_NOUNS.get(lang)
-    guard = rf"(?<!\w)(?!(?:{'|'.join(articles)})\b)" if articles else ""
-    return (
-        rf"(?iuU)\b({adjective})\b\s+{guard}({noun})"
-        rf"|{guard}({noun})\s+\b({adjective})\b"
-    )
-
-
 def agree(
     units: DataFrame,
     lexicon: DataFrame,
@@ -187,49 +177,62 @@ def agree(
 
     ``lexicon`` (lang, noun, gender, number) may be large and is joined; the
     ``inflections`` ``{lang: {adjective: {(gender or None, number): form}}}`` cover
-    a handful of adjectives and become expressions. A noun the lexicon does not
-    know leaves the adjective alone. Only units that hold a pair are exploded.
+    a handful of one-word adjectives and become expressions. A noun the lexicon does
+    not know leaves the adjective alone. Only units that hold a pair are exploded.
+
+    A text is its words and the gaps between them. A word beside an adjective, with
+    nothing but space between, is its noun if it is made of noun letters and no
+    article; of two pairs that share a word the first one counts.
     """
     if not inflections:
         return units.withColumn("agreed", F.col(text))
-    literals = {
-        lang: agreement_pattern(lang, list(table)) for lang, table in sorted(inflections.items())
-    }
-    pattern = tx.case(
-        [(F.col("lang") == lang, F.lit(literal)) for lang, literal in literals.items()],
-        F.lit(None).cast("string"),
-    )
-
-    # one pass over the text finds the pairs; their parts come from the short matches
-    tagged = units.withColumn("_pattern", pattern)
+    by_lang = sorted(inflections.items())
 
-    def group(n: int) -> Column:
+    def per_language(expression: Callable[[str, list[str]], Column], otherwise: Column) -> Column:
         return tx.case(
-            [
-                (F.col("lang") == lang, F.regexp_extract("_match", f"^(?:{literal})$", n))
-                for lang, literal in literals.items()
-            ],
-            F.lit(""),
+            [(F.col("lang") == lang, expression(lang, sorted(a.lower() for a in table))) for lang, table in by_lang], otherwise
         )
 
-    matches = F.regexp_extract_all(F.col(text), F.col("_pattern"), F.lit(0))
+    def noun_like(word: Column) -> Column:
+        def test(lang: str, _: list[str]) -> Column:
+            letters = word.rlike(f"^{fixed.NOUN_LETTERS.get(lang, fixed.NOUN_LETTERS_LATIN)}$")
+            return letters & ~F.lower(word).isin(*fixed.NON_NOUNS.get(lang, ("",)))
+
+        return per_language(test, F.lit(False))
+
+    def adjective(word: Column) -> Column:
+        return per_language(lambda _, table: F.lower(word).isin(*table), F.lit(False))
+
+    pieces = F.col("_pieces")
+
+    def pair_at(i: Column) -> Column:
+        first, gap, second = (F.get(pieces, i + k) for k in range(3))
+        beside = (adjective(first) & noun_like(second)) | (noun_like(first) & adjective(second))
+        return F.coalesce(gap.rlike(r"^(?U)\s+$") & beside, F.lit(False))
+
+    # words and gaps alternate, so a pair is three pieces; one that starts on the last
+    # word of the pair before is left out
+    places = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), pair_at)
+    apart = F.aggregate(
+        places,
+        F.array().cast("array<int>"),
+        lambda kept, i: F.when(F.coalesce(F.try_element_at(kept, F.lit(-1)) + 2 >= i, F.lit(False)), kept).otherwise(
+            F.concat(kept, F.array(i))
+        ),
+    )
+    lowered = F.lower(F.col(text))
+    some = per_language(
+        lambda _, table: F.array_contains(F.transform(F.array(*map(F.lit, table)), lambda a: F.contains(lowered, a)), True),
+        F.lit(False),
+    )
+    split = F.regexp_extract_all(F.col(text), F.lit(_WORDS_AND_GAPS), F.lit(1))
+    holding = units.filter(some & F.col(text).isNotNull()).select(unit_id, "lang", split.alias("_pieces"))
     pairs = (
-        tagged.filter(F.col("_pattern").isNotNull())
-        .select(unit_id, "lang", F.posexplode(matches).alias("pos", "_match"))
-        .select(
-            unit_id,
-            "lang",
-            "pos",
-            *[group(n).alias(f"g{n}") for n in (1, 2, 3, 4)],
-        )
-        .select(
-            unit_id,
-            "lang",
-            "pos",
-            (F.col("g1") != "").alias("adjective_first"),
-            F.when(F.col("g1") != "", F.col("g1")).otherwise(F.col("g4")).alias("adjective"),
-            F.when(F.col("g1") != "", F.col("g2")).otherwise(F.col("g3")).alias("noun"),
-        )
+        holding.withColumn("_at", F.explode(apart))
+        .select(unit_id, "lang", "_at", *[F.get(pieces, F.col("_at") + k).alias(f"_{n}") for k, n in ((0, "first"), (2, "second"))])
+        .withColumn("adjective_first", adjective(F.col("_first")) & noun_like(F.col("_second")))
+        .withColumn("adjective", F.when(F.col("adjective_first"), F.col("_first")).otherwise(F.col("_second")))
+        .withColumn("noun", F.when(F.col("adjective_first"), F.col("_second")).otherwise(F.col("_first")))
         .withColumn("_noun", F.lower("noun"))
     )
     nouns = (
@@ -242,31 +245,25 @@ def agree(
     )
     form = gl.follow_capital(F.col("adjective"), _form(inflections))
     noun = F.col("noun")
-    rewritten = known.withColumn(
-        "_pair",
-        F.when(F.col("adjective_first"), F.concat_ws(" ", form, noun)).otherwise(
-            F.concat_ws(" ", noun, form)
-        ),
-    )
-    per_unit = rewritten.groupBy(unit_id).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("pos", "_pair"))), lambda x: x["_pair"]
-        ).alias("_pairs")
+    pair = F.when(F.col("adjective_first"), F.concat_ws(" ", form, noun)).otherwise(F.concat_ws(" ", noun, form))
+    per_unit = known.groupBy(unit_id).agg(
+        F.map_from_entries(F.collect_list(F.struct("_at", pair.alias("_pair")))).alias("_pairs")
     )
-    parts = F.split(F.col(text), F.col("_pattern"), -1)
-    joined = F.array_join(
-        F.transform(
-            parts,
-            lambda part, i: F.concat(F.coalesce(F.get(F.col("_pairs"), i - 1), F.lit("")), part),
+    written = F.transform(
+        split,
+        lambda piece, i: F.coalesce(
+            F.try_element_at("_pairs", i),
+            F.when(
+                F.try_element_at("_pairs", i - 1).isNull() & F.try_element_at("_pairs", i - 2).isNull(), piece
+            ).otherwise(F.lit("")),
         ),
-        "",
     )
     return (
-        tagged.join(per_unit, unit_id, "left")
+        units.join(per_unit, unit_id, "left")
         .withColumn(
-            "agreed", F.when(F.col("_pairs").isNotNull(), joined).otherwise(F.col(text))
+            "agreed", F.when(F.col("_pairs").isNotNull(), F.array_join(written, "")).otherwise(F.col(text))
         )
-        .drop("_pairs", "_pattern")
+        .drop("_pairs")
     )
 
 

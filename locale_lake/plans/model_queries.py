@@ -140,7 +140,47 @@ def protect_restore(spark: SparkSession, folder: str) -> DataFrame:
     return staged.select("doc_id", "restored")
 
 
-@query("agreement_pairs")
+@query(
+    "agreement_pairs",
+    r"""
+    WITH d AS (
+        SELECT doc_id AS unit_id, lang, text,
+               CASE lang WHEN 'de' THEN 'nicht' WHEN 'fr' THEN 'qui' END AS adj,
+               CASE lang WHEN 'de' THEN 'nichter' WHEN 'fr' THEN 'quel' END AS masc,
+               CASE lang WHEN 'de' THEN 'nichte' WHEN 'fr' THEN 'quelle' END AS fem,
+               regexp_extract_all(text, '[\pL\pN\pM_]+|[^\pL\pN\pM_]+') AS p
+        FROM documents
+    ), e AS (
+        SELECT unit_id, lang, text, adj, masc, fem, i, p[i] AS a, p[i + 2] AS b,
+               regexp_full_match(p[i + 1], '\s+') AS near,
+               lower(p[i]) = adj AS a_adj, lower(p[i + 2]) = adj AS b_adj,
+               regexp_full_match(p[i], '[A-Za-zÀ-ÖØ-öø-ÿß]+') AND NOT list_contains(no, lower(p[i])) AS a_noun,
+               regexp_full_match(p[i + 2], '[A-Za-zÀ-ÖØ-öø-ÿß]+') AND NOT list_contains(no, lower(p[i + 2])) AS b_noun
+        FROM (SELECT *, unnest(range(1, len(p) - 1)) AS i,
+                     CASE lang WHEN 'de' THEN string_split('der die das den dem des ein eine einer einem einen eines kein keine keiner keinem keinen keines', ' ')
+                               ELSE string_split('le la les un une des du au aux ce cet cette ces', ' ') END AS no
+              FROM d WHERE adj IS NOT NULL)
+    ), c AS (
+        SELECT *, (i - 2 * row_number() OVER (PARTITION BY unit_id ORDER BY i)) AS island
+        FROM e WHERE near AND ((a_adj AND b_noun) OR (a_noun AND b_adj))
+    ), k AS (
+        SELECT *, a_adj AND b_noun AS ahead
+        FROM c QUALIFY (row_number() OVER (PARTITION BY unit_id, island ORDER BY i)) % 2 = 1
+    ), w AS (
+        SELECT unit_id, i, CASE WHEN ahead THEN a ELSE b END AS x, CASE WHEN ahead THEN b ELSE a END AS noun,
+               CASE WHEN lower(noun) LIKE '%e' THEN fem ELSE masc END AS bare,
+               CASE WHEN x[1] <> lower(x[1]) THEN upper(bare[1]) || bare[2:] ELSE bare END AS form,
+               CASE WHEN ahead THEN form || ' ' || noun ELSE noun || ' ' || form END AS pair
+        FROM k
+    ), m AS (
+        SELECT unit_id, map(list(i ORDER BY i), list(pair ORDER BY i)) AS pairs FROM w GROUP BY unit_id
+    )
+    SELECT d.unit_id, d.lang,
+           CASE WHEN pairs IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(p) + 1), lambda i:
+               coalesce(pairs[i], CASE WHEN pairs[i - 1] IS NULL AND pairs[i - 2] IS NULL THEN p[i] ELSE '' END)), '') END AS agreed
+    FROM d LEFT JOIN m ON d.unit_id = m.unit_id
+    """,
+)
 def agreement_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every German or French "word nicht/qui" pair, inflected by a lexicon that is
     built from the documents: words ending in -e are feminine, others masculine."""

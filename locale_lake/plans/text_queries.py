@@ -114,18 +114,37 @@ def classify_words(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# fixed values: the denied names, written out for the SQL
+_DENIED_NAMES_SQL = """
+    'defname', 'class', 'parentname', 'workertype', 'compclass', 'thingclass', 'texpath',
+    'graphicclass', 'shaderclass', 'soundtype', 'drawertype', 'researchviewx', 'researchviewy',
+    'packageid', 'identifier', 'hediff', 'def', 'recipeuser', 'thingdef', 'damagedef', 'statdef',
+    'verbclass', 'jobdef', 'workgiverdef', 'traitdef', 'genedef', 'driverclass', 'jobclass',
+    'workgiverclass', 'mentalstateclass', 'incidentclass', 'gizmoclass', 'interactionclass', 'storeas',
+    'tile', 'faction', 'sitepartdefs', 'worldobject', 'worldobjects', 'insignal', 'outsignal',
+    'delayticks', 'value1', 'value2', 'storesitepartsparamsas', 'sitepartsparams', 'stuffcategories',
+    'thingcategories', 'associatedmemes', 'conflictingmemes', 'styles', 'altitudelayer', 'impact',
+    'installablesegmenttypes', 'installablemoduleslottypes', 'installablemoduletypes',
+    'installablesegmentslottypes'
+"""
+_OTHER_TAGS = ("label", "slottypeid", "description", "defnames", "installedcomps", "path_to", "jobstring")
+
+
 @query(
     "deny_tags",
-    f"""WITH tags AS (
+    f"""WITH names AS (SELECT [{_DENIED_NAMES_SQL}] AS denied),
+    tags AS (
       SELECT CASE p_type WHEN 'SMALL' THEN 'slotDefName' WHEN 'ECONOMY' THEN upper(w) WHEN 'LARGE' THEN w || 'TypeID'
-        ELSE w END AS tag
-      FROM (SELECT p_type, list_extract([{_sql_list(fixed.DENIED_TAGS)}, 'label', 'slottypeid'], 1 + p_size) AS w FROM part)
-      WHERE w IS NOT NULL)
-    SELECT tag, {_DENIED_SQL} AS denied, count(*) AS n FROM tags GROUP BY 1, 2""",
+        ELSE w END AS tag, denied
+      FROM (SELECT p_type, denied, list_concat(denied, ['label', 'slottypeid', 'description', 'defnames',
+              'installedcomps', 'path_to', 'jobstring'])[1 + p_partkey % (len(denied) + 7)] AS w FROM part, names))
+    SELECT tag, list_contains(denied, lower(tag)) OR regexp_matches(tag, '(TypeID|SlotID|DefName)$') AS denied, count(*) AS n
+    FROM tags GROUP BY ALL""",
 )
 def deny_tags(spark: SparkSession, folder: str) -> DataFrame:
-    names = F.array(*[F.lit(t) for t in (*fixed.DENIED_TAGS, "label", "slottypeid")])
-    word = F.get(names, F.col("p_size"))
+    """Every denied name as it stands, in capitals and with an ending, and tags that must pass."""
+    every = (*fixed.DENIED_TAGS, *_OTHER_TAGS)
+    word = F.get(F.array(*map(F.lit, every)), F.col("p_partkey") % len(every))
     tag = (
         F.when(F.col("p_type") == "SMALL", "slotDefName")
         .when(F.col("p_type") == "ECONOMY", F.upper(word))
@@ -134,7 +153,6 @@ def deny_tags(spark: SparkSession, folder: str) -> DataFrame:
     )
     return (
         table(spark, folder, "part")
-        .filter(word.isNotNull())
         .select(tag.alias("tag"))
         .groupBy("tag", cl.is_denied(F.col("tag")).alias("denied"))
         .agg(F.count("*").alias("n"))
