@@ -61,8 +61,8 @@ ANSWER_TOKENS_PER_ITEM = 60
 REQUEST_SECONDS = 120
 MAX_REQUEST_SECONDS = 480
 
-# --- fixed values: the stand-in word for a protected term
-TERM_TOKEN = "Zqg"
+# --- the stand-in word for a protected term: letters that no language starts a word with
+TERM_TOKEN = "Wjx"
 
 # --- fixed values: folder names of languages
 LANGUAGE_FOLDERS = {

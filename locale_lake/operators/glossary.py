@@ -28,8 +28,8 @@ def find_terms(
     """Leftmost-longest whole-word hits of a term table of any size.
 
     ``glossary`` has (lang, term, replacement). Every text is cut into words and
-    gaps; each word starts candidate spans of up to ``max_words`` words, which meet
-    the table by equality. Frequent words make hot keys, so the join is spread; the
+    gaps; each word that starts a term starts candidate spans of up to ``max_words``
+    words, which meet the table by equality. Frequent words make hot keys, so the join is spread; the
     term side is never forced into a broadcast. One row per unit with a hit:
     ``hits`` ARRAY<STRUCT<start, size, hit, replacement>>, start and size counted
     in pieces (words and gaps).
@@ -45,23 +45,22 @@ def find_terms(
         lambda i: ((i - first_word) % 2 == 0) & (i <= F.size("_pieces")),
     )
 
-    def spans_at(i: Column) -> Column:
-        return F.transform(
-            F.sequence(
-                F.lit(1), F.least(F.lit(2 * max_words - 1), F.size("_pieces") + 1 - i), F.lit(2)
-            ),
-            lambda size: F.struct(
-                i.alias("start"),
-                size.alias("size"),
-                F.array_join(F.slice("_pieces", i, size), "").alias("hit"),
-            ),
-        )
-
-    # only the short spans are exploded, never the list of pieces
-    spans = (
+    # a row per word with the pieces that a term from here on could take; most words
+    # start no term, and only the others are spelled out as spans
+    window = lambda i: F.struct(i.alias("start"), F.slice("_pieces", i, 2 * max_words - 1).alias("_window"))
+    starts = (
         units.select(unit_id, "lang", pieces.alias("_pieces"))
-        .select(unit_id, "lang", F.explode(F.flatten(F.transform(places, spans_at))).alias("_s"))
-        .select(unit_id, "lang", "_s.*", F.lower("_s.hit").alias("_span"))
+        .select(unit_id, "lang", F.explode(F.transform(places, window)).alias("_w"))
+        .select(unit_id, "lang", "_w.*", F.lower(F.get("_w._window", F.lit(0))).alias("_first"))
+    )
+    firsts = terms.select("lang", F.regexp_extract("_span", _WORDS_AND_GAPS, 1).alias("_first")).distinct()
+    some = skew.lookup(starts, firsts, ["lang", "_first"], "inner", hot_rows, broadcast_rows=BROADCAST_TERMS)
+    spans_at = F.transform(
+        F.sequence(F.lit(1), F.size("_window"), F.lit(2)),
+        lambda size: F.struct(size.alias("size"), F.array_join(F.slice("_window", F.lit(1), size), "").alias("hit")),
+    )
+    spans = some.select(unit_id, "lang", "start", F.explode(spans_at).alias("_s")).select(
+        unit_id, "lang", "start", "_s.*", F.lower("_s.hit").alias("_span")
     )
     found = skew.lookup(
         spans, terms, ["lang", "_span"], "inner", hot_rows, broadcast_rows=BROADCAST_TERMS

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from locale_lake.functions import answers as an
 from locale_lake.functions import classify as cl
 from locale_lake.functions import glossary as gl
+from locale_lake.functions import fixed
 from locale_lake.functions import text as tx
 from locale_lake.operators import glossary as go
 from locale_lake.operators import inference as inf
@@ -255,7 +256,7 @@ def _cut_when_protected(texts: list[str]) -> list[str]:
     another script where it meets a question mark."""
     out = []
     for text in texts:
-        if "Zqg" in text and len(text.split()) >= 8:
+        if fixed.TERM_TOKEN in text and len(text.split()) >= 8:
             out.append(" ".join(text.split()[:2]))
         else:
             out.append(text + "~" + ("漢" if "," in text else ""))
@@ -491,3 +492,47 @@ def truncation_flags(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", spread=True).select(
         "doc_id", cl.is_truncated(F.col("text"), head).alias("truncated")
     )
+
+
+def _fails_on_bars(requests: list[dict]) -> list[str]:
+    """A model that fails as soon as one of its requests holds a bar."""
+    if any("|" in r["prompt"] for r in requests):
+        raise TimeoutError("no answer in time")
+    return [r["prompt"].lower() for r in requests]
+
+
+@query(
+    "call_fallback",
+    "SELECT doc_id, CASE WHEN contains(text, '|') THEN text ELSE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz') END AS final_text, CASE WHEN contains(text, '|') THEN 'TimeoutError: no answer in time' END "
+    "AS call_error FROM (SELECT doc_id, translate(text, 'ÄÖÜÀÂÇÉÈÊËÎÏÔÙÛŒÁÍÓÚÑẞ', 'äöüàâçéèêëîïôùûœáíóúñß') AS text FROM documents)",
+)
+def call_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests that fail keep their draft, and take no other request with them."""
+    accents = ("ÄÖÜÀÂÇÉÈÊËÎÏÔÙÛŒÁÍÓÚÑẞ", "äöüàâçéèêëîïôùûœáíóúñß")
+    requests = table(spark, folder, "documents", spread=True).select(
+        "doc_id",
+        F.translate("text", *accents).alias("prompt"),
+        F.lit(1).alias("n_items"),
+        F.lit(200).alias("answer_tokens"),
+        F.lit(120).alias("timeout_seconds"),
+    )
+    called = inf.call_requests(requests, _fails_on_bars)
+    return called.select("doc_id", F.coalesce("raw", "prompt").alias("final_text"), "call_error")
+
+
+def _fails_on_marks(texts: list[str]) -> list[str]:
+    if any("&&&" in t for t in texts):
+        raise ValueError("cannot read this")
+    return [t + "." for t in texts]
+
+
+@query(
+    "retry_rows",
+    "SELECT doc_id, CASE WHEN NOT contains(text, '&&&') THEN text || '.' END AS answer, "
+    "CASE WHEN contains(text, '&&&') THEN 'ValueError: cannot read this' END AS answer_error FROM documents",
+)
+def retry_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A fault of the model costs the texts at fault their answer and no other."""
+    texts = table(spark, folder, "documents", spread=True).select("doc_id", "text")
+    return inf.translate_column(texts, "text", "answer", _fails_on_marks, delays=()).drop("text")

@@ -6,12 +6,16 @@ translated before, a low-quality one has changed since, a toxic one has no resul
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locale_lake import session
 from locale_lake.functions import text as tx
 from locale_lake.operators import layers, reuse, skew
 from locale_lake.plans.registry import query, table
+from locale_lake.sources.state import commit_run, read_state
 
 KEY = ["pkg_id", "key"]
 
@@ -389,3 +393,36 @@ def scan_summary(spark: SparkSession, folder: str) -> DataFrame:
         F.explode(F.split("text", "\n", -1)).alias("line"),
     )
     return layers.scan_summary(lines)
+
+
+@query(
+    "state_carry",
+    "SELECT source AS pkg_id, lang, doc_id::VARCHAR AS key, "
+    "CASE WHEN lang = 'en' AND source < 'src15' THEN 'third:' WHEN lang IN ('de', 'en') AND source > 'src12' THEN 'second:' "
+    "ELSE 'first:' END || text AS text FROM documents",
+)
+def state_carry(spark: SparkSession, folder: str) -> DataFrame:
+    """State after three runs, of which the later two work on some packages and languages only."""
+    session.ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/state-{uuid.uuid4().hex}"
+    documents = table(spark, folder, "documents")
+    none = F.lit(None).cast("string")
+    runs = (
+        ("first:", F.lit(True)),
+        ("second:", F.col("lang").isin("de", "en") & (F.col("source") > "src12")),
+        ("third:", (F.col("lang") == "en") & (F.col("source") < "src15")),
+    )
+    for run_id, (mark, chosen) in enumerate(runs):
+        rows = documents.filter(chosen).select(
+            F.lit("machine").alias("kind"),
+            F.col("source").alias("pkg_id"),
+            "lang",
+            none.alias("channel"),
+            none.alias("type_key"),
+            F.col("doc_id").cast("string").alias("key"),
+            F.concat(F.lit(mark), "text").alias("text"),
+            none.alias("origin"),
+            F.lit(False).alias("deleted"),
+        )
+        commit_run({"state": rows}, rows, path, run_id)
+    return read_state(spark, path, "state").select("pkg_id", "lang", "key", "text")

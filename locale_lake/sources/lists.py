@@ -19,20 +19,23 @@ def split_lines(
 
     Blank lines and ``//`` lines stay as comment rows, so numbers do not move.
     A line break at the end of a file does not start another line. Files without
-    a single entry are dropped; that is decided on the content, before the lines
-    are made, so no join is needed.
+    a single entry are dropped: their lines become an empty list, so no join is needed.
     """
     breaks = "(?:" + line_breaks + ")"
     body = F.regexp_replace("content", breaks + r"\z", "")
-    has_entry = F.exists(F.col("_lines"), lambda line: ~_is_comment(line))
+    none = F.array().cast("array<string>")
+    lines = tx.let(
+        F.split(body, line_breaks, -1),
+        lambda ls: F.when(F.exists(ls, lambda line: ~_is_comment(line)), ls).otherwise(none),
+    )
     return (
-        files.withColumn("_lines", F.split(body, line_breaks, -1))
-        .filter(has_entry)
-        .select(
+        # an inner generator would have its input worked out again, as a filter before the scan is spread
+        files.select(
             *keep,
             *[c for c in ("prefix",) if c in files.columns],
-            F.posexplode("_lines").alias("_no", "text"),
+            F.posexplode_outer(lines).alias("_no", "text"),
         )
+        .filter(F.col("_no").isNotNull())
         .withColumn("is_comment", _is_comment(F.col("text")))
         .withColumn(
             "key",

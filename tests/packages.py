@@ -37,7 +37,7 @@ PACKAGES: dict[str, dict[str, str | bytes]] = {
         "Defs/Things.xml": defs(
             thing("Lamp", "<label>oil lamp</label><description>It gives light.</description>")
         ),
-        "About/About.xml": HEAD + "<ModMetaData><name>Cats &amp; Dogs</name><packageId>cats.dogs</packageId>"
+        "About/About.xml": HEAD + "<ModMetaData><name>Salt &amp; Pepper</name><packageId>salt.pepper</packageId>"
         "<supportedVersions><li>1.5</li><li>1.6</li></supportedVersions></ModMetaData>",
     },
     "keyed_plus_defs": {
@@ -59,8 +59,8 @@ PACKAGES: dict[str, dict[str, str | bytes]] = {
         "Patches/P.xml": patch(operation("Replace", 'Defs/FooDef[defName="One"]/label', "<label>patched one</label>")),
     },
     "stale": {
-        f"{EN}/DefInjected/ThingDef/Things.xml": language("<Lamp.label>cockpit segment</Lamp.label>"),
-        "Defs/Things.xml": defs(thing("Lamp", "<label>Cockpit</label>")),
+        f"{EN}/DefInjected/ThingDef/Things.xml": language("<Lamp.label>kitchen corner</Lamp.label>"),
+        "Defs/Things.xml": defs(thing("Lamp", "<label>Kitchen</label>")),
     },
     "nested_version": {
         "1.6/Defs/Things.xml": defs(thing("Lamp", "<label>oil lamp</label>")),
@@ -206,7 +206,7 @@ PACKAGES: dict[str, dict[str, str | bytes]] = {
     "quest": {
         "Defs/Q.xml": defs(
             thing("Q", "<label>quest name</label><text>some words</text><storeAs>siteTile</storeAs>"
-                       "<inSignal>site.Entered now</inSignal><moduleTypeID>cockpit part</moduleTypeID>")
+                       "<inSignal>site.Entered now</inSignal><moduleTypeID>kitchen part</moduleTypeID>")
         ),
     },
     "malformed": {

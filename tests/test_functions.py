@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from locale_lake.functions import answers as an
 from locale_lake.functions import classify as cl
+from locale_lake.functions import fixed
 from locale_lake.functions import glossary as gl
 from locale_lake.functions import text as tx
 
@@ -19,19 +20,19 @@ def apply(spark, values, function, schema="v string"):
 
 CLASSIFIED = [
     ("defName", "Any value", "denied_tag"), ("DEFNAME", "x y", "denied_tag"),
-    ("driverClass", "x y", "denied_tag"), ("moduleTypeID", "cockpit", "denied_tag"),
-    ("slottypeid", "cockpit", "text"), ("integrationDefName", "a b", "denied_tag"),
+    ("driverClass", "x y", "denied_tag"), ("moduleTypeID", "kitchen", "denied_tag"),
+    ("slottypeid", "kitchen", "text"), ("integrationDefName", "a b", "denied_tag"),
     ("installableSegmentTypes", "a b", "denied_tag"), ("installedComps", "a b", "text"),
     ("impact", "low", "denied_tag"), ("label", "", "blank"), ("label", None, "blank"),
     ("label", " \n\t", "blank"), ("label", "123", "number"), ("label", " -4.5% ", "number"),
     ("label", "true", "boolean"), ("label", "False", "boolean"), ("label", "(5,3)", "no_letter"),
-    ("label", "(0.5, 1.2, 3)", "no_letter"), ("label", "3 walls", "text"),
-    ("label", "Med_Cables", "underscore_word"), ("label", "heavy_duty pipe", "text"),
-    ("label", "UI/Structures/Old", "path"), ("label", "a.b.c/d-e", "path"),
-    ("label", "wall/floor paint", "text"), ("label", "#E5E54C", "hex_colour"),
-    ("label", "MyMod.JobDriver", "dotted_identifier"), ("label", "Cockpit", "text"),
-    ("label", "cockpit", "text"), ("label", "ShuttleModule", "humped_identifier"),
-    ("label", "HP", "humped_identifier"), ("label", "camelCase", "text"),
+    ("label", "(7.25; -3)", "no_letter"), ("label", "9 doors", "text"),
+    ("label", "Iron_Gate", "underscore_word"), ("label", "rough_cut board", "text"),
+    ("label", "Art/Rooms/Blue", "path"), ("label", "a.b.c/d-e", "path"),
+    ("label", "red/green paint", "text"), ("label", "#0A1B2C", "hex_colour"),
+    ("label", "Acme.TaskRunner", "dotted_identifier"), ("label", "Kitchen", "text"),
+    ("label", "kitchen", "text"), ("label", "BoatEngine", "humped_identifier"),
+    ("label", "QX", "humped_identifier"), ("label", "camelCase", "text"),
     ("label", "Лампа", "text"), ("label", "words\\n\\nmore words", "text"),
 ]
 
@@ -46,22 +47,22 @@ def test_classify(spark):
 
 def test_rule_strings(spark):
     rows = [
-        ("rulesStrings", "distress->Distress Call", True),
-        ("RULESSTRINGS", "join(tag=meme_Artist)     ->text\nmore", True),
-        ("label", "distress->Distress Call", False),
+        ("rulesStrings", "greeting->Good morning", True),
+        ("RULESSTRINGS", "pick(kind=song)   ->words\nand more", True),
+        ("label", "greeting->Good morning", False),
         ("rulesStrings", "no arrow", False),
     ]
     ours = apply(
         spark, [r[:2] for r in rows], tx.is_rule_string(F.col("t"), F.col("v")), "t string, v string"
     )
     assert ours == [r[2] for r in rows]
-    (parts,) = apply(spark, ["join(tag=a)     ->our text"], tx.rule_parts(F.col("v")))
-    assert tuple(parts) == ("join(tag=a)     ", "our text")
+    (parts,) = apply(spark, ["pick(kind=b)   ->own words"], tx.rule_parts(F.col("v")))
+    assert tuple(parts) == ("pick(kind=b)   ", "own words")
 
 
 HELD = [
-    "{0} and [founderName] said \\n hello (rest of text)", "key->text {x}", "key(tag=x) -> a",
-    "[x]->words", "<color=#33d733>green</color>\\r", "plain", "", "{не} [да]", "{a b} [c-d]",
+    "{0} and [ownerName] said \\n hello (rest of text)", "key->text {x}", "key(tag=x) -> a",
+    "[x]->words", "<color=#123abc>green</color>\\r", "plain", "", "{не} [да]", "{a b} [c-d]",
     "{0}{1}", "  {0}  ", "a {0}\nb",
 ]
 PATTERN = re.compile(
@@ -135,52 +136,45 @@ def test_escape_comment_folder(spark):
     ]
 
 
-TERMS = {"pipe": "труба", "heavy-duty": "усиленный", "heavy-duty pipe": "усиленная труба", "Dryad": "Дриада"}
+TERMS = {"door": "Tür", "oak": "eichen", "oak door": "Eichentür", "Elm": "Ulme"}
 
-
-def protect(text, terms):
-    tokens, low = [], {k.lower(): v for k, v in terms.items()}
-
-    def swap(match):
-        value = low[match.group(0).lower()]
-        if match.group(0)[0].isupper() and value[0].islower():
-            value = value[0].upper() + value[1:]
-        tokens.append(value)
-        return f" Zqg{len(tokens) - 1} "
-
-    pattern = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
-    return re.sub(rf"\b({pattern})\b", swap, text, flags=re.I), tokens
+# text, what a model gets (T stands for the stand-in word), and the replacements
+PROTECTED = [
+    ("Oak door and a door", " T0  and a  T1 ", ["Eichentür", "Tür"]),
+    ("no terms", "no terms", []),
+    ("DOOR, door.", " T0 ,  T1 .", ["Tür", "Tür"]),
+    ("doorway door-post", "doorway  T0 -post", ["Tür"]),
+    ("elm Oak", " T0   T1 ", ["Ulme", "Eichen"]),
+    ("", "", []),
+    ("Tür door", "Tür  T0 ", ["Tür"]),
+    ("oak", " T0 ", ["eichen"]),
+    ("xdoor doory (door)!", "xdoor doory ( T0 )!", ["Tür"]),
+]
+GLOSSED = [text for text, _, _ in PROTECTED]
 
 
-GLOSSED = [
-    "Heavy-duty pipe and a pipe", "no terms", "PIPE, pipe.", "pipeline pipe-work", "dryad Pipe",
-    "", "труба pipe", "heavy-duty", "xpipe pipey (pipe)!",
-]
+def stand_in(text):
+    return re.sub(r"T(\d)", rf"{fixed.TERM_TOKEN}\1", text)
 
 
 def test_glossary_protect(spark):
     v = F.col("v")
-    assert apply(spark, GLOSSED, gl.protect(v, TERMS)) == [protect(t, TERMS)[0] for t in GLOSSED]
-    assert apply(spark, GLOSSED, gl.replacements(v, TERMS)) == [protect(t, TERMS)[1] for t in GLOSSED]
+    assert apply(spark, GLOSSED, gl.protect(v, TERMS)) == [stand_in(t) for _, t, _ in PROTECTED]
+    assert apply(spark, GLOSSED, gl.replacements(v, TERMS)) == [r for _, _, r in PROTECTED]
 
 
 def test_glossary_restore(spark):
-    raw = [
-        ("Zqg0-Kabel and Zqg1 .", ["t0", "t1"]), ("a  Zqg7 b", ["t0"]), ("Zqg0 Zqg0,x", ["t0"]),
-        ("none", []), (" Zqg99999999999 ", ["t0"]), ("a - Zqg0 - b", ["t"]),
+    answers = [
+        ("T0-Schloss and T1 .", ["t0", "t1"], "t0 Schloss and t1."),
+        ("a  T7 b", ["t0"], "a T7 b"),
+        ("T0 T0,x", ["t0"], "t0 t0,x"),
+        ("none", [], "none"),
+        (" T99999999999 ", ["t0"], "T99999999999"),
+        ("a - T0 - b", ["t"], "a t b"),
     ]
-
-    def restore(text, tokens):
-        def swap(match):
-            n = int(match.group(1))
-            return f" {tokens[n]} " if n < len(tokens) else match.group(0)
-
-        text = re.sub(r"\s*-?\s*Zqg([0-9]+)\s*-?\s*", swap, text)
-        text = re.sub(r" {2,}", " ", text).strip()
-        return re.sub(r"\s+([.,!?;:])", r"\1", text)
-
-    ours = apply(spark, raw, gl.restore(F.col("v"), F.col("t")), "v string, t array<string>")
-    assert ours == [restore(t, k) for t, k in raw]
+    rows = [(stand_in(text), tokens) for text, tokens, _ in answers]
+    ours = apply(spark, rows, gl.restore(F.col("v"), F.col("t")), "v string, t array<string>")
+    assert ours == [stand_in(text) for _, _, text in answers]
 
 
 RAW = [

@@ -120,11 +120,11 @@ def test_failed_engine_falls_back_and_is_not_remembered(spark, tmp_path):
     roots = packages.write(tmp_path / "in", ["stale"])
     out, state = tmp_path / "out", tmp_path / "state"
     assert rows(run(spark, roots, out, state, 1, broken)) == {
-        "Lamp.label": ("Cockpit", "fallback")
+        "Lamp.label": ("Kitchen", "fallback")
     }
     assert read_state(spark, str(state), "memory").count() == 0
     again = rows(run(spark, roots, out, state, 2, prefix, update=True))
-    assert again == {"Lamp.label": ("RU:Cockpit", "draft")}
+    assert again == {"Lamp.label": ("RU:Kitchen", "draft")}
 
 
 def test_engine_options():

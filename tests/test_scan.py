@@ -43,7 +43,7 @@ def test_unit_ids_are_unique(scanned):
         ("keyed_plus_defs", [("Greeting", "Hello there"), ("Lamp.label", "oil lamp"), ("Lamp.description", "It glows.")]),
         ("partial_cover", [("Lamp.label", "oil lamp"), ("Cut.label", "cut wood")]),
         ("empty_cover", []),
-        ("stale", [("Lamp.label", "Cockpit")]),
+        ("stale", [("Lamp.label", "Kitchen")]),
         ("nested_version", [("Lamp.label", "oil lamp")]),
         ("numeric_version", [("Lamp.label", "newest lamp")]),
         ("manifest", [("New.label", "new lamp")]),
@@ -144,7 +144,7 @@ def test_malformed_files_are_quarantined(scanned):
 def test_package_metadata(scanned):
     row = scanned["packages"]["defs_only"]
     assert (row.name, row.package_id, row.supported_versions) == (
-        "Cats & Dogs", "cats.dogs", ["1.5", "1.6"]
+        "Salt & Pepper", "salt.pepper", ["1.5", "1.6"]
     )
     assert row.source_lang_dir is None
     assert scanned["packages"]["stale"].source_lang_dir == "Languages/English"
