@@ -354,3 +354,96 @@ def newest_version(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws(".", "p_size", (F.col("p_partkey") % 20)).alias("version"),
     )
     return fs.newest_by(versions, ["p_type", "p_brand"], "version")
+
+
+_PATHS_SQL = """files AS (
+      SELECT p_brand AS pkg_id, CASE p_type
+        WHEN 'SMALL' THEN ['Sub', 'Languages', 'ENGLISH', 'Keyed', p_partkey || '.xml']
+        WHEN 'ECONOMY' THEN ['1.' || p_size, 'Languages', 'English', 'Keyed', p_partkey || '.xml']
+        WHEN 'LARGE' THEN ['1.' || p_size, 'Defs', p_partkey || '.xml']
+        WHEN 'MEDIUM' THEN ['Mod' || p_size, 'Defs', p_partkey || '.xml']
+        WHEN 'PROMO' THEN CASE WHEN p_size > 40 THEN ['Languages', 'German', p_partkey || '.txt'] ELSE ['About', 'About.xml'] END
+        ELSE ['LoadFolders.xml'] END AS rel
+      FROM part)"""
+_ROOTS_SQL = """items AS (
+      SELECT p_brand AS pkg_id, p_size, p_partkey, CASE WHEN p_retailprice % 2 < 1 THEN '1.' || p_size ELSE 'Mod' || (p_size % 9) END AS root
+      FROM part WHERE p_type = 'STANDARD' AND p_brand < 'Brand#40'),
+    best AS (SELECT pkg_id, max(p_size) AS p_size FROM items GROUP BY 1),
+    named AS (
+      SELECT pkg_id, root, min(p_partkey) AS root_rank, bool_and(p_partkey % 3 = 0) AS conditional
+      FROM items JOIN best USING (pkg_id, p_size)
+      WHERE (pkg_id, root) IN (SELECT pkg_id, rel[1] FROM files WHERE len(rel) > 1) GROUP BY 1, 2),
+    roots AS (
+      SELECT pkg_id, root, root_rank::INTEGER AS root_rank, conditional FROM named
+      UNION ALL
+      SELECT DISTINCT pkg_id, '', 0, false FROM files WHERE pkg_id NOT IN (SELECT pkg_id FROM named)
+      UNION ALL
+      SELECT pkg_id, arg_max(rel[1], rel[1][3:]::INTEGER), 1, false FROM files
+      WHERE rel[1] LIKE '1.%' AND pkg_id NOT IN (SELECT pkg_id FROM named) GROUP BY 1)"""
+_LANGUAGES_SQL = """spots AS (
+      SELECT pkg_id, list_position(rel, 'Languages') AS spot, array_to_string(rel[1:spot], '/') AS languages, rel
+      FROM files WHERE list_position(rel, 'Languages') < len(rel)),
+    languages AS (
+      SELECT pkg_id, arg_min(languages, (spot, languages)) AS languages FROM spots
+      WHERE rel[1] NOT LIKE '1.%' OR spot = 1 OR (pkg_id, rel[1]) IN (SELECT pkg_id, root FROM roots) GROUP BY 1)"""
+
+
+def _path_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of packages (one per brand) as the listing gives them."""
+    name = F.concat(F.col("p_partkey").cast("string"), F.lit(".xml"))
+    version = F.concat(F.lit("1."), F.col("p_size").cast("string"))
+    words = lambda *parts: F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    german = words("Languages", "German", F.concat(F.col("p_partkey").cast("string"), F.lit(".txt")))
+    rel = (
+        F.when(F.col("p_type") == "SMALL", words("Sub", "Languages", "ENGLISH", "Keyed", name))
+        .when(F.col("p_type") == "ECONOMY", words(version, "Languages", "English", "Keyed", name))
+        .when(F.col("p_type") == "LARGE", words(version, "Defs", name))
+        .when(F.col("p_type") == "MEDIUM", words(F.concat(F.lit("Mod"), F.col("p_size").cast("string")), "Defs", name))
+        .when((F.col("p_type") == "PROMO") & (F.col("p_size") > 40), german)
+        .when(F.col("p_type") == "PROMO", words("About", "About.xml"))
+        .otherwise(words("LoadFolders.xml"))
+    )
+    files = table(spark, folder, "part").select(F.col("p_brand").alias("pkg_id"), rel.alias("rel"))
+    return files.withColumn("rel_path", F.array_join("rel", "/"))
+
+
+def _manifest_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """A manifest for some packages: a top node per version, an item per part."""
+    part = table(spark, folder, "part").filter("p_type = 'STANDARD' AND p_brand < 'Brand#40'")
+    size, key = F.col("p_size").cast("int"), F.col("p_partkey").cast("int")
+    none = F.lit(None).cast("string")
+    tops = part.select(
+        F.col("p_brand").alias("pkg_id"), F.array(size).alias("pos"), F.concat(F.lit("v1."), size.cast("string")).alias("tag"),
+        F.lit("").alias("text"),
+    ).distinct().withColumn("attrs", F.expr("map()").cast("map<string,string>"))
+    root = F.when(F.col("p_retailprice") % 2 < 1, F.concat(F.lit("/1."), size.cast("string"), F.lit("/"))).otherwise(
+        F.concat(F.lit("Mod"), (size % 9).cast("string"))
+    )
+    attrs = F.when(key % 3 == 0, F.create_map(F.lit("IfModActive"), F.lit("x"))).otherwise(F.expr("map()").cast("map<string,string>"))
+    items = part.select(F.col("p_brand").alias("pkg_id"), F.array(size, key).alias("pos"), F.lit("li").alias("tag"), root.alias("text"), attrs.alias("attrs"))
+    return tops.unionByName(items).select("*", F.lit("LoadFolders.xml").alias("file_id"), none.alias("parse_error"))
+
+
+@query("package_roots", f"WITH {_PATHS_SQL}, {_ROOTS_SQL} SELECT * FROM roots")
+def package_roots(spark: SparkSession, folder: str) -> DataFrame:
+    """Folders that count: by the manifest where one names a folder that is there, else by version."""
+    return fs.newest_roots(_path_table(spark, folder), _manifest_nodes(spark, folder))
+
+
+@query("language_root", f"WITH {_PATHS_SQL}, {_ROOTS_SQL}, {_LANGUAGES_SQL} SELECT * FROM languages")
+def language_root(spark: SparkSession, folder: str) -> DataFrame:
+    files = _path_table(spark, folder)
+    return fs.language_roots(files, fs.newest_roots(files, _manifest_nodes(spark, folder)))
+
+
+@query(
+    "source_language",
+    f"""WITH {_PATHS_SQL}, {_ROOTS_SQL}, {_LANGUAGES_SQL}
+    SELECT pkg_id, languages || '/' || min(rel[spot + 1]) AS lang_dir
+    FROM spots JOIN languages USING (pkg_id, languages) WHERE lower(rel[spot + 1]) = 'english' AND len(rel) > spot + 1
+    GROUP BY pkg_id, languages""",
+)
+def source_language(spark: SparkSession, folder: str) -> DataFrame:
+    files = _path_table(spark, folder)
+    roots = fs.newest_roots(files, _manifest_nodes(spark, folder))
+    return fs.source_language(files, fs.language_roots(files, roots))
