@@ -15,7 +15,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the rounds grow with the logarithm of the longest path. Every round is cut off
     by a checkpoint; nothing is collected.
     """
-    one = links.select(F.col(a).alias("node"), F.col(b).alias("other")).filter("node <> other")
+    # both directions must come from one evaluation: made anew, links may span otherwise
+    one = cut_lineage(links.select(F.col(a).alias("node"), F.col(b).alias("other")).filter("node <> other"))
     both = cut_lineage(one.unionByName(one.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
     roots = both.groupBy("node").agg(F.min("other").alias("root")).select("node", F.least("node", "root").alias("root"))
     roots = cut_lineage(roots)

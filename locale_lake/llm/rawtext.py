@@ -55,7 +55,16 @@ def _spread(n: int, seed: int) -> np.ndarray:
 _CHAR = _spread(256, 17)[LOWER]
 _PLACE = _spread(8, 1009) | np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93
-_POWERS: dict[str, np.ndarray] = {}
+
+
+class _Powers(dict):
+    """Powers worked out in this process; functions that are sent to workers leave them behind."""
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_POWERS = _Powers()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

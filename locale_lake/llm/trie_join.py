@@ -316,7 +316,8 @@ def _join(table: pa.Table) -> pa.Table:
     for row in rows:
         groups.setdefault((row["group"], row["one"], row["two"]), []).append(row)
     out: tuple[list, list] = ([], [])
-    for (_, one, two), members in groups.items():
+    for (_, one, two), members in sorted(groups.items()):
+        members.sort(key=lambda m: m["key"])  # the same links however often a task is run
         sequences = [np.frombuffer(m["tokens"], dtype=np.uint64) for m in members]
         sizes = [m["n"] for m in members]
         build = [i for i, m in enumerate(members) if m["part"] == one]

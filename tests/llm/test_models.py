@@ -237,3 +237,17 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_join_task_gives_the_same_links_in_any_order():
+    draw = np.random.default_rng(2)
+    base = np.sort(draw.choice(500, size=60, replace=False)).astype(np.uint64)
+    rows = []
+    for i in range(30):
+        tokens = np.unique(np.concatenate([base[draw.random(60) < 0.93], draw.choice(500, 3).astype(np.uint64)]))
+        rows.append({"group": b"g", "one": 0, "two": 0, "part": 0, "key": bytes([i]), "n": len(tokens), "tokens": tokens.tobytes()})
+    first = trie_join._join(pa.Table.from_pylist(rows)).to_pylist()
+    assert len(first) > 5
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        assert trie_join._join(pa.Table.from_pylist(rows)).to_pylist() == first
