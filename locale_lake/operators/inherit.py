@@ -7,6 +7,7 @@ are decided for all pairs at once, and whole subtrees are adopted by their label
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable
 
@@ -248,14 +249,59 @@ def merge_inherited(
     materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
     hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
-    """Trees with everything they inherit, farthest ancestor first.
-
-    Only definitions with a known parent take part; the others pass unchanged.
-    The nodes of all ancestors are fetched by one lookup (spread over tasks where
-    many definitions share a parent); after that everything is keyed by the heir.
-    One round serves all packages and all definitions of that distance.
+    """Trees with everything they inherit.
+
+    From the roots down, every definition is merged once with its resolved parent, so
+    a parent is resolved once however many heirs it has. One round serves all packages
+    and all definitions with that many ancestors; parents reach their heirs by a
+    lookup that spreads frequent ones. Where ancestors form a cycle, what is inherited
+    depends on where one starts, and each heir is walked by itself. Definitions
+    without a known parent pass unchanged.
     """
     own = trees.select("tree_id", *_NODE, "attrs")
+    way = F.transform(F.sort_array(F.collect_list(F.struct("dist", "anc_id"))), lambda x: x["anc_id"])
+    ways = materialise(
+        chain.groupBy("tree_id")
+        .agg(way.alias("way"))
+        .select("tree_id", "way", F.size("way").alias("length"), F.get("way", F.lit(0)).alias("parent"))
+    )
+    untouched = own.join(ways, "tree_id", "left_anti").drop("attrs")
+    above = ways.select(F.col("tree_id").alias("parent"), F.col("way").alias("_above"))
+    rest = F.slice("way", F.lit(2), F.greatest(F.col("length") - 1, F.lit(0)))
+    cut_short = skew.lookup(ways, above, ["parent"], "left", hot_rows).filter(
+        (F.col("length") > 1) & ~rest.eqNullSafe(F.col("_above")) | (F.col("length") == 1) & F.col("_above").isNotNull()
+    )
+    cut_short = materialise(cut_short.select("tree_id"))
+    results, plain = [untouched], ways
+    if not cut_short.isEmpty():
+        near = chain.join(cut_short.withColumnRenamed("tree_id", "anc_id"), "anc_id", "left_semi").select("tree_id")
+        circular = materialise(near.unionByName(cut_short).distinct())
+        results.append(_merge_each(own, chain.join(circular, "tree_id", "left_semi"), materialise, hot_rows))
+        plain = materialise(ways.join(circular, "tree_id", "left_anti"))
+    longest = plain.agg(F.max("length")).first()[0]
+    if longest is not None:
+        heirs = plain.select("tree_id", "length", "parent")
+        members = heirs.select("tree_id").unionByName(plain.select(F.explode("way").alias("tree_id"))).distinct()
+        facts = _with_facts(own.join(members, "tree_id", "left_semi"))
+        line = materialise(facts.join(heirs, "tree_id", "left").withColumn("length", F.coalesce("length", F.lit(0))))
+        resolved = line.filter("length = 0").drop("length", "parent")
+        for length in range(1, longest + 1):
+            child = line.filter(F.col("length") == length).drop("length", "parent")
+            asking = heirs.filter(F.col("length") == length).select("tree_id", "parent")
+            theirs = skew.lookup(asking, resolved.withColumnRenamed("tree_id", "parent"), ["parent"], "inner", hot_rows)
+            resolved = materialise(merge_level(child, theirs.drop("parent")))
+            results.append(resolved.select("tree_id", *_NODE))
+    return functools.reduce(DataFrame.unionByName, results)
+
+
+def _merge_each(
+    trees: DataFrame,
+    chain: DataFrame,
+    materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+    hot_rows: int = skew.HOT_ROWS,
+) -> DataFrame:
+    """Heirs merged with their own copies of all ancestors, farthest first."""
+    own = trees
     length = chain.groupBy("tree_id").agg(F.max("dist").alias("length"))
     levels = (
         chain.select("tree_id", "anc_id", "dist")
@@ -266,8 +312,6 @@ def merge_inherited(
     )
     levels = materialise(levels)
     longest = levels.agg(F.max("dist")).first()[0]
-    if longest is None:
-        return own.drop("attrs")
     involved = own.join(
         levels.select(F.col("anc_id").alias("tree_id")).distinct(), "tree_id", "left_semi"
     )
@@ -285,5 +329,4 @@ def merge_inherited(
         above = starting if merged is None else merged.unionByName(starting)
         merged = materialise(merge_level(nodes_at(dist - 1).filter(
             F.col("length") >= dist).drop("dist", "length"), above))
-    untouched = own.join(length, "tree_id", "left_anti").drop("attrs")
-    return untouched.unionByName(merged.select("tree_id", *_NODE))
+    return merged.select("tree_id", *_NODE)
