@@ -113,6 +113,50 @@ def repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
     return units.repeated_units(table(spark, folder, "documents"), kind="line", min_words=20)
 
 
+@query(
+    "op6_repeated_passages",
+    r"""
+    WITH lines AS (
+        SELECT doc_id, i, line, sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(line) - 1 AS start
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+              FROM documents)
+    ), l AS (
+        SELECT doc_id, start, start + len(line) AS stop, (sum(n) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS upto, upto - n AS before
+        FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines)
+        WHERE n > 0
+    ), least AS (
+        SELECT a.doc_id, a.start, b.stop, a.before, b.upto
+        FROM l a ASOF JOIN l b ON a.doc_id = b.doc_id AND a.before + 20 <= b.upto
+        UNION
+        SELECT b.doc_id, a.start, b.stop, a.before, b.upto
+        FROM l b ASOF JOIN l a ON a.doc_id = b.doc_id AND b.upto - 20 >= a.before
+    ), d AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), u AS (
+        SELECT least.*, md5(array_to_string(w[before + 1:upto], ' ')) AS unit FROM least JOIN d ON least.doc_id = d.doc_id
+    ), ranked AS (
+        SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start
+        FROM u WINDOW w AS (PARTITION BY unit ORDER BY doc_id, start)
+    ), again AS (
+        SELECT *, coalesce(start < max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop
+                                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS goes_on
+        FROM ranked WHERE doc_id <> kept_doc_id OR start <> kept_start
+    ), numbered AS (
+        SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, stop
+                                                                ROWS UNBOUNDED PRECEDING) AS passage
+        FROM again
+    )
+    SELECT doc_id, min(start)::BIGINT AS start, max(stop)::BIGINT AS "end", (max(upto) - min(before))::BIGINT AS n_words,
+           arg_min(kept_doc_id, (start, stop)) AS kept_doc_id, arg_min(kept_start, (start, stop))::BIGINT AS kept_start
+    FROM numbered GROUP BY doc_id, passage
+    """,
+)
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return units.repeated_passages(table(spark, folder, "documents"), min_words=20)
+
+
 @query(
     "op7_prefix_tree_join",
     r"""

@@ -140,6 +140,17 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> Iterato
             yield np.zeros(0, dtype=np.uint64)
 
 
+def runs(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes (a row) of each run ``starts:ends`` of word hashes, however far runs overlap."""
+    up, down = _powers(len(hashes) + 1)
+    out = np.empty((len(starts), 2), dtype=np.uint64)
+    for column, values in enumerate((hashes, mix(hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)))):
+        sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * up[:-1], out=sums[1:])
+        out[:, column] = mix((sums[ends] - sums[starts]) * down[starts])
+    return out
+
+
 class Condensed:
     """Texts as the lower-cased runs of a byte class, each followed by one space, in one buffer."""
 

@@ -6,8 +6,10 @@ import re
 from collections.abc import Iterator
 from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locale_lake.llm import rawtext
@@ -96,6 +98,92 @@ def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = 20) ->
     )
 
 
+def _windows(min_words: int):
+    """Least runs of lines with ``min_words`` words: from each line on, and up to each line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in rawtext.slices(batch, "text"):
+                texts = rawtext.Texts(rows.column("text"))
+                words = texts.words(rawtext.NOT_SPACE)
+                breaks = texts.data == 10
+                breaks[texts.offsets[1:] - 1] = True  # the space after each text
+                line = np.cumsum(breaks)[words.starts] if len(words.starts) else np.zeros(0, np.int64)
+                before = np.flatnonzero(np.diff(line, prepend=-1))  # lines that have words, by their first one
+                upto = np.append(before[1:], len(line))[: len(before)]
+                row = np.searchsorted(words.offsets, before, side="right") - 1
+                numbers = np.arange(len(before))
+                last = np.searchsorted(upto, before + min_words)
+                on = last < len(before)
+                on[on] = row[last[on]] == row[on]
+                first = np.searchsorted(before, upto - min_words, side="right") - 1
+                back = first >= 0
+                back[back] = row[first[back]] == row[back]
+                pairs = np.concatenate([np.stack([numbers, last], 1)[on], np.stack([first, numbers], 1)[back]])
+                first, last = np.unique(pairs, axis=0).T if len(pairs) else (numbers[:0], numbers[:0])
+                digests = rawtext.runs(words.hashes(), before[first], upto[last])
+                ends = np.flatnonzero(breaks)
+                starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+                points = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])
+                row, zero = row[first], points[texts.offsets[row[first]]]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": rows.column("doc_id").take(pa.array(row, pa.int64())),
+                        "start": pa.array(points[starts[line[before[first]]]] - zero, pa.int64()),
+                        "end": pa.array(points[ends[line[before[last]]]] - zero, pa.int64()),
+                        "before": pa.array(before[first] - words.offsets[row], pa.int64()),
+                        "upto": pa.array(upto[last] - words.offsets[row], pa.int64()),
+                        "digest": pa.array([d.tobytes() for d in digests], pa.binary()),
+                    }
+                )
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 20) -> DataFrame:
+    """The passages to remove: runs of lines, of any length, that repeat an earlier place.
+
+    A passage is a run of lines with at least ``min_words`` words together; lines
+    without words are passed over, words compare as in ``repeated_units``. Every run
+    that occurs twice is covered by its least runs of ``min_words`` words, taken from
+    each line on and up to each line: these are digested, their earliest occurrence
+    (by doc_id, null last, then place) stays, and the others are joined to passages
+    where they overlap. A line that goes has a copy at an earlier place, so one stays.
+    A passage that begins or ends inside a line counts with its whole lines only.
+
+    Returns doc_id, start, end (code points of the original text, end exclusive),
+    n_words, and kept_doc_id and kept_start, the earliest place of the first least
+    run of the passage. Odd rows are treated as in ``repeated_units``.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    found = cut_lineage(
+        docs.select("doc_id", "text").mapInArrow(
+            _windows(min_words), f"doc_id {id_type}, start bigint, end bigint, before bigint, upto bigint, digest binary"
+        )
+    )
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
+    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("other"))
+    first = first.filter("first <> other").select("digest", "first")
+    again = skew.lookup(found, first, ["digest"], "inner", broadcast_rows=BROADCAST_DIGESTS).filter(rank != F.col("first"))
+    in_order = W.partitionBy("doc_id").orderBy("start", "end")
+    reached = F.max("end").over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    begins = F.coalesce((F.col("start") >= reached), F.lit(True)).cast("int")
+    return (
+        again.withColumn("begins", begins)
+        .withColumn("passage", F.sum("begins").over(in_order.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy("doc_id", "passage")
+        .agg(
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            (F.max("upto") - F.min("before")).alias("n_words"),
+            F.min_by("first", F.struct("start", "end")).alias("first"),
+        )
+        .select(
+            "doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")
+        )
+    )
+
+
 def _without(text: str | None, cuts: list) -> str | None:
     out, done = [], 0
     for start, end in sorted({(c["start"], c["end"]) for c in cuts}):

@@ -263,6 +263,42 @@ def test_repeated_units(spark):
     assert list(units.pieces("a\n \nb\nc", "paragraph")) == [(0, 1), (4, 7)]
 
 
+def test_passages_of_short_lines(spark):
+    short = [f"Line {k} has five words" for k in range(6)]  # 30 words, no line of 20
+    rows = [(1, "\n".join(["x é", *short, "y"]), "a"), (2, "\n".join(["other", "", *short[:3], " ", *short[3:], "end"]), "a")]
+    rows += [(3, "\n".join(short[:3]), "a"), (4, "w " * 25, "a"), (5, "W " * 25 + "\nz", "a"), *[(10 * i if i else i, t, s) for i, t, s in ODD[:4]]]
+    assert not [r for r in units.repeated_units(docs(spark, rows), "line", 20).collect() if r["doc_id"] == 2]
+    got = {tuple(r) for r in units.repeated_passages(docs(spark, rows), 20).collect()}
+    text = rows[1][1]
+    assert got == {(2, text.index("Line 0"), text.index("\nend"), 30, 1, 4), (5, 0, 50, 25, 4, 0)}
+    cut = units.without_units(docs(spark, rows), units.repeated_passages(docs(spark, rows), 20))
+    assert {r["doc_id"]: r["text"] for r in cut.collect()}[2] == "other\n\nend"
+
+
+def test_passages_cover_every_repeated_run(spark):
+    draw = random.Random(6)
+    lines = [" ".join(f"w{k}{n}" for n in range(draw.randint(0, 4))) for k in range(12)]
+    rows = [(i, "\n".join(draw.choice(lines) for _ in range(8)), "s") for i in range(60)]
+    full = {i: [(k, x) for k, x in enumerate(t.split("\n")) if x] for i, t, _ in rows}
+    seen, want = set(), set()
+    for i, kept in full.items():  # every run of lines with 6 words, not the least ones only
+        for a in range(len(kept)):
+            for b in range(a + 1, len(kept) + 1):
+                run = " ".join(x for _, x in kept[a:b])
+                if len(run.split()) >= 6:
+                    if run in seen:
+                        want |= {(i, k) for k, _ in kept[a:b]}
+                    seen.add(run)
+    got = set()
+    for r in units.repeated_passages(docs(spark, rows), 6).collect():
+        text = dict((i, t) for i, t, _ in rows)[r["doc_id"]]
+        at = text[: r["start"]].count("\n")
+        inside = text[r["start"] : r["end"]].split("\n")
+        assert sum(len(x.split()) for x in inside) == r["n_words"]
+        got |= {(r["doc_id"], at + k) for k, x in enumerate(inside) if x}
+    assert got == want and want
+
+
 # ---- decontamination ----------------------------------------------------------
 
 
