@@ -18,6 +18,12 @@ TOXIC, OTHER = 1500, 4500
 BLOCK = 64
 # Cosines are told apart to this step, so that ties do not hang on rounding.
 STEP = 1e-5
+# A word in more than this part of the examples has its list in blocks with maxima.
+FREQUENT = 16
+# Postings of the other lists that are added up at once.
+MEET = 1_000_000
+# What a word counts that tells nothing, and the chi-square at which one counts half.
+LEAST, CHI2 = 0.02, 15.0
 
 
 def _counts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -41,75 +47,165 @@ def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
-def telling_words(
-    words: list[np.ndarray], y: np.ndarray, weights: np.ndarray, share: float = 0.02, chi2: float = 15.0, precision: float = 0.8
-) -> np.ndarray:
-    """Sorted hashes of words that toxic examples hold more often than chance would have it.
+def word_weights(words: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of all words of the examples, and how much each counts.
 
-    A word must be in ``share`` of the toxic examples (2 at least), and ``precision`` of
-    the weight of the examples that hold it must be toxic.
+    A word that toxic examples hold beyond chance counts more, up to 1; none is dropped:
+    LEAST is what a word counts whose classes are as chance would have them.
     """
-    if not words or not y.any():
-        return np.zeros(0, dtype=np.uint64)
     all_words, n = np.unique(np.concatenate(words), return_counts=True)
-    toxic, k = np.unique(np.concatenate([w for w, t in zip(words, y, strict=True) if t]), return_counts=True)
-    in_toxic = np.zeros(len(all_words))
-    in_toxic[np.searchsorted(all_words, toxic)] = k
+    toxic = np.concatenate([np.zeros(0, np.uint64), *[w for w, t in zip(words, y, strict=True) if t]])
+    in_toxic = np.bincount(np.searchsorted(all_words, toxic), minlength=len(all_words))
     expected = n * y.mean()
-    beyond = (in_toxic - expected) ** 2 / np.maximum(expected, 0.5)
-    one, other = weights[y == 1][0], (weights[y == 0][0] if (y == 0).any() else 0.0)  # a weight per class
-    precise = in_toxic * one >= precision * (in_toxic * one + (n - in_toxic) * other)
-    return all_words[(in_toxic > expected) & (beyond >= chi2) & precise & (in_toxic >= max(2, share * y.sum()))]
+    beyond = np.where(in_toxic > expected, (in_toxic - expected) ** 2 / np.maximum(expected, 0.5), 0.0)
+    lift = in_toxic / np.maximum(n, 1)  # few of the examples are toxic: a word of theirs alone says most
+    return all_words, LEAST + (1 - LEAST) * lift * beyond / (beyond + CHI2)
+
+
+@dataclass
+class Rows:
+    """Sparse vectors: those of row ``i`` are ``ends[i]:ends[i + 1]`` of words and weights."""
+
+    ends: np.ndarray
+    words: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, matrix: np.ndarray) -> Rows:
+        owner, words = np.nonzero(matrix)
+        return cls(np.searchsorted(owner, np.arange(len(matrix) + 1)), words, matrix[owner, words].astype(np.float32))
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.ends))
+
+    def take(self, numbers: np.ndarray) -> Rows:
+        counts = np.diff(self.ends)[numbers]
+        at = _spans(self.ends[numbers], counts)
+        return Rows(np.concatenate([[0], np.cumsum(counts)]), self.words[at], self.weights[at])
+
+
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of the spans from ``starts`` on, one span after the other."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(counts.sum())
 
 
 class Vectors:
-    """TF-IDF vectors of unit length over a sorted vocabulary of word hashes."""
+    """TF-IDF vectors of unit length over a sorted vocabulary of word hashes.
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray):
-        self.vocabulary, self.idf = vocabulary, idf
+    Words outside the vocabulary have no example to meet; they count in the length
+    only, each as ``other`` (the weight of a word in no document).
+    """
 
-    def of(self, words: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """Matrix of ``rows`` vectors, and whether each has any word of the vocabulary."""
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, other: float = 0.0):
+        self.vocabulary, self.idf, self.other = vocabulary, idf, other
+
+    def of(self, words: np.ndarray, owner: np.ndarray, rows: int) -> tuple[Rows, np.ndarray]:
+        """``rows`` vectors, and whether each has any word of the vocabulary."""
         v = len(self.vocabulary)
         at = np.minimum(np.searchsorted(self.vocabulary, words), v - 1)
         known = self.vocabulary[at] == words
-        counts = np.bincount(owner[known] * v + at[known], minlength=rows * v).reshape(rows, v)
-        matrix = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * self.idf
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        return (matrix / np.maximum(norms, 1e-12)).astype(np.float32), norms[:, 0] > 0
+        pairs, counts = np.unique(owner[known] * v + at[known], return_counts=True)
+        who, at = pairs // v, pairs % v
+        weights = (1 + np.log(counts)) * self.idf[at]
+        squares = np.bincount(who, weights**2, minlength=rows)
+        strange, counts = np.unique(np.stack([owner[~known].astype(np.uint64), words[~known]], 1), axis=0, return_counts=True)
+        if len(strange):
+            squares += np.bincount(strange[:, 0].astype(np.int64), ((1 + np.log(counts)) * self.other) ** 2, minlength=rows)
+        weights = (weights / np.sqrt(squares)[who]).astype(np.float32)
+        ends = np.searchsorted(who, np.arange(rows + 1))
+        return Rows(ends, at, weights), np.diff(ends) > 0
 
 
 @dataclass
 class Index:
-    """Example vectors by block, and the largest weight of each word in each block."""
+    """Posting lists of all words over examples in blocks.
+
+    Lists that hold more than a FREQUENTth of the examples are kept block by block as
+    rows of ``hot``, with their largest weight in each block; of the others, ``ends``,
+    ``examples`` and ``weights`` are the postings.
+    """
 
     vectors: Vectors
-    matrix: np.ndarray  # words x examples
-    largest: np.ndarray  # words x blocks
+    place: np.ndarray  # row of a word in hot, -1 for the others
+    hot: np.ndarray
+    largest: np.ndarray  # hot words x blocks
+    ends: np.ndarray
+    examples: np.ndarray
+    weights: np.ndarray
     y: np.ndarray
     ids: np.ndarray
     slope: float = 0.0
     shift: float = 0.0
-    unseen: float = 0.0  # score of a text without any word of the vocabulary
+    unseen: float = 0.0  # score of a text without words
+    strange: float = 0.0  # score of a text that shares no word with any example
 
     @classmethod
-    def build(cls, vectors: Vectors, matrix: np.ndarray, y: np.ndarray, ids: np.ndarray) -> Index:
+    def build(cls, vectors: Vectors, rows: Rows | np.ndarray, y: np.ndarray, ids: np.ndarray) -> Index:
+        rows = rows if isinstance(rows, Rows) else Rows.of(rows)
+        owner = rows.owner
         # examples that lead with the same word share blocks, which keeps bounds low elsewhere
-        order = np.lexsort((ids, -matrix.max(axis=1), matrix.argmax(axis=1)))
-        matrix, y, ids = matrix[order].T.copy(), y[order], ids[order]
-        blocks = range(0, matrix.shape[1], BLOCK)
-        largest = np.stack([matrix[:, b : b + BLOCK].max(axis=1) for b in blocks], axis=1)
-        return cls(vectors, matrix, largest, y, ids)
-
-    def nearest(self, queries: np.ndarray, k: int, leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples, exactly; ties to the smaller number.
-
-        Blocks are visited by their bound; a query skips a block whose bound lies below
-        its k-th best cosine so far.
-        """
-        n, total = len(queries), self.matrix.shape[1]
-        k = min(k, total)
-        bounds = queries @ self.largest
+        by_weight = np.lexsort((rows.words, -rows.weights, owner))
+        lead = np.full(len(rows), -1)
+        most = np.zeros(len(rows))
+        some = np.flatnonzero(np.diff(rows.ends))
+        lead[some], most[some] = rows.words[by_weight[rows.ends[some]]], rows.weights[by_weight[rows.ends[some]]]
+        order = np.lexsort((ids, -most, lead))
+        rows, y, ids = rows.take(order), y[order], ids[order]
+        total, v = len(rows), len(vectors.vocabulary)
+        held = np.bincount(rows.words, minlength=v)
+        frequent = held > max(1, total // FREQUENT)
+        place = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        owner, often = rows.owner, frequent[rows.words]
+        hot = np.zeros((int(frequent.sum()), total), dtype=np.float32)
+        hot[place[rows.words[often]], owner[often]] = rows.weights[often]
+        blocks = range(0, total, BLOCK)
+        largest = np.stack([hot[:, b : b + BLOCK].max(axis=1) for b in blocks], axis=1)
+        by_word = np.flatnonzero(~often)
+        by_word = by_word[np.argsort(rows.words[by_word], kind="stable")]
+        ends = np.concatenate([[0], np.cumsum(np.where(frequent, 0, held))])
+        return cls(vectors, place, hot, largest, ends, owner[by_word].astype(np.int32), rows.weights[by_word], y, ids)
+
+    @property
+    def matrix(self) -> np.ndarray:
+        """All weights, words x examples (for small indexes)."""
+        out = np.zeros((len(self.place), len(self.ids)))
+        out[self.place >= 0] = self.hot
+        out[np.repeat(np.arange(len(self.place)), np.diff(self.ends)), self.examples] = self.weights
+        return out
+
+    def nearest(self, queries: Rows | np.ndarray, k: int, leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k nearest examples, exactly; ties to the smaller number."""
+        queries = queries if isinstance(queries, Rows) else Rows.of(queries)
+        k = min(k, len(self.ids))
+        met = np.concatenate([[0], np.cumsum(np.diff(self.ends)[queries.words])])[queries.ends]
+        found, cosines, start = [np.zeros((0, k), np.int64)], [np.zeros((0, k))], 0
+        while start < len(queries):
+            end = min(int(np.searchsorted(met, met[start] + MEET, side="right")) - 1, start + BLOCK)
+            end = max(end, start + 1)
+            part = self._nearest(queries.take(np.arange(start, end)), k, None if leave_out is None else leave_out[start:end])
+            found.append(part[0])
+            cosines.append(part[1])
+            start = end
+        return np.concatenate(found), np.concatenate(cosines)
+
+    def _nearest(self, queries: Rows, k: int, leave_out: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The short lists are added up; then blocks are visited by their bound, and a query
+        skips a block whose bound lies below its k-th best cosine so far."""
+        n, total, owner = len(queries), len(self.ids), queries.owner
+        often = self.place[queries.words] >= 0
+        hot = np.zeros((n, len(self.hot)))
+        hot[owner[often], self.place[queries.words[often]]] = queries.weights[often]
+        words, weights = queries.words[~often], queries.weights[~often].astype(np.float64)
+        counts = self.ends[words + 1] - self.ends[words]
+        at = _spans(self.ends[words], counts)
+        cell = np.repeat(owner[~often] * total, counts) + self.examples[at]
+        short = np.bincount(cell, np.repeat(weights, counts) * self.weights[at], minlength=n * total).reshape(n, total)
+        bounds = hot @ self.largest + np.maximum.reduceat(short, np.arange(0, total, BLOCK), axis=1)
         best = np.full((n, k), -1, dtype=np.int64)  # cosine in steps, then number, in one key
         for b in np.argsort(-bounds.max(axis=0), kind="stable"):
             floor = best.min(axis=1) >> 24
@@ -117,7 +213,7 @@ class Index:
             if not len(active):
                 continue
             first = int(b) * BLOCK
-            cosines = queries[active] @ self.matrix[:, first : first + BLOCK]
+            cosines = hot[active] @ self.hot[:, first : first + BLOCK].astype(np.float64) + short[active, first : first + BLOCK]
             numbers = np.arange(first, first + cosines.shape[1])
             keys = (np.rint(np.clip(cosines, 0, 2) / STEP).astype(np.int64) << 24) | ((1 << 24) - 1 - numbers)
             if leave_out is not None:
@@ -178,9 +274,10 @@ def train(
 ) -> Index | None:
     """Index of up to ``toxic`` and ``other`` labelled examples outside the held-out fold.
 
-    Document frequencies of the vocabulary are counted over all documents. The logistic
-    curve is fitted to the votes each example gets from the others, with both classes
-    weighted to their shares among all labels. None if no example tells anything.
+    Every word of the examples is indexed; its document frequency is counted over all
+    documents. The logistic curve is fitted to the votes each example gets from the
+    others, with both classes weighted to their shares among all labels. None if the
+    examples have no words or none is toxic.
     """
     able = sampling.labelled(labels, "toxic", modulus, held_out)
     shares = {r["y"]: r["count"] for r in able.groupBy("y").count().collect()}
@@ -195,24 +292,27 @@ def train(
     y, ids = np.array([r["y"] for r in rows]), np.array([r["doc_id"] for r in rows], dtype=np.int64)
     rate = {v: shares.get(v, 0) / max(1, int((y == v).sum())) for v in (0, 1)}
     weights = np.where(y == 1, rate[1], rate[0])
-    vocabulary = telling_words(words, y, weights)
-    if not len(vocabulary):
+    if not y.any() or not any(map(len, words)):
         return None
-    sums = docs.select("text").mapInArrow(_document_counts(vocabulary), "word int, n bigint").groupBy("word").agg(F.sum("n"))
-    found = dict(map(tuple, sums.collect()))  # one row per word of the vocabulary
-    n = found.pop(len(vocabulary), 1)
-    held = np.array([found.get(i, 0) for i in range(len(vocabulary))])
-    vectors = Vectors(vocabulary, np.log(1 + n / np.maximum(held, 1)))
+    vocabulary, tells = word_weights(words, y)
+    sums = docs.select("text").mapInArrow(_document_counts(vocabulary), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    found = sums.toArrow()  # one row per word of the vocabulary
+    held = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+    held[found.column("word").to_numpy()] = found.column("n").to_numpy()
+    n = max(int(held[-1]), 1)
+    vectors = Vectors(vocabulary, tells * np.log(1 + n / np.maximum(held[:-1], 1)), LEAST * np.log(1 + n))
     flat = np.concatenate([np.repeat(w, c) for w, c in zip(words, counts, strict=True)])
     owner = np.repeat(np.arange(len(rows)), [int(c.sum()) for c in counts])
     matrix, some = vectors.of(flat, owner, len(rows))
-    index = Index.build(vectors, matrix[some], y[some], ids[some])
+    matrix = matrix.take(np.flatnonzero(some))
+    index = Index.build(vectors, matrix, y[some], ids[some])
     place = {int(i): p for p, i in enumerate(index.ids)}
     own = np.array([place[int(i)] for i in ids[some]])
-    votes = index.votes(*index.nearest(matrix[some], k, leave_out=own))
+    votes = index.votes(*index.nearest(matrix, k, leave_out=own))
     index.slope, index.shift = calibrate(votes, y[some], weights[some] / weights.mean())
     bare = ~some
     index.unseen = float((weights[bare] * y[bare]).sum() / max(weights[bare].sum(), 1.0)) if bare.any() else 0.0
+    index.strange = float((weights * y).sum() / weights.sum())
     return index
 
 
@@ -222,9 +322,9 @@ _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), (
 def scored(docs: DataFrame, index: Index | None, k: int = 30, modulus: int = 4, held_out: int = 2, evidence: int = 3) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (the nearest examples) for every row.
 
-    Texts without a word of the vocabulary, the null and empty ones among them, get
-    the rate of toxic examples among such texts and no evidence; without an index
-    every score is 0. Texts are read whole; rows that repeat are answered each.
+    A text that shares no word with any example gets the rate of toxic ones among all
+    labels and no evidence, a text without words that among examples without words;
+    without an index every score is 0. Texts are read whole; rows that repeat are answered each.
     Labels, lang and source are no inputs; other columns are ignored.
     """
 
@@ -237,8 +337,9 @@ def scored(docs: DataFrame, index: Index | None, k: int = 30, modulus: int = 4,
                     words = rawtext.Texts(rows.column("text")).words(rawtext.ALNUM)
                     owner = np.repeat(np.arange(n), words.counts)
                     matrix, some = index.vectors.of(words.hashes(), owner, n)
+                    score[words.counts > 0] = index.strange
                     if some.any():
-                        found, cosines = index.nearest(matrix[some], k)
+                        found, cosines = index.nearest(matrix.take(np.flatnonzero(some)), k)
                         score[some] = index.calibrated(index.votes(found, cosines))
                         for i, numbers, near in zip(np.flatnonzero(some), found, cosines, strict=True):
                             shown[i] = [

@@ -175,6 +175,35 @@ def test_nearest_equals_a_full_scan():
         assert np.allclose(cosines[row], every[row, want] * toxicity.STEP)
 
 
+def test_lists_of_any_length_give_the_same_neighbours(monkeypatch):
+    draw = np.random.default_rng(4)
+    matrix = np.maximum(draw.random((200, 90)) - 0.85, 0) * (np.arange(90) % 9 == draw.integers(0, 9, (200, 1)))
+    matrix += np.maximum(draw.random((200, 90)) - 0.97, 0)
+    vectors, y = toxicity.Vectors(np.arange(90, dtype=np.uint64), np.ones(90)), np.arange(200) % 2
+    found = []
+    for frequent in (1, 16, 10**6):  # no list in blocks, some, all with two examples
+        monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+        index = toxicity.Index.build(vectors, matrix, y, np.arange(200))
+        assert index.matrix.sum() == pytest.approx(matrix.sum(), rel=1e-5)
+        found.append(index.nearest(matrix[:80], 7))
+    assert all(np.array_equal(f[0], found[0][0]) and np.allclose(f[1], found[0][1], atol=2e-5) for f in found)
+
+
+def test_rare_toxic_wording_has_neighbours(spark):
+    rows = [(i, f"plain talk of things n{i} m{i}", "s") for i in range(300)]
+    rows += [(1000 + i, f"plain talk slur{i // 4} vile{i // 4} of things", "s") for i in range(80)]  # 20 wordings
+    rows += [(2000 + i, f"slur{i} vile{i}", "s") for i in range(20)] + [(3000, "nothing known", "s")]
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i, _, _ in rows if i < 2000], "doc_id bigint, toxic int")
+    index = toxicity.train(docs(spark, rows), labels)
+    assert len(index.vectors.vocabulary) > 400  # all words of the examples
+    got = {r["doc_id"]: r for r in toxicity.scored(docs(spark, rows), index).collect()}
+    able = {i // 4 for i in range(80) if fold(1000 + i, 4) != 2}
+    for i in able:
+        assert {(e["doc_id"] - 1000) // 4 for e in got[2000 + i]["evidence"][:1]} == {i}
+    assert min(got[2000 + i]["score"] for i in able) > max(got[i]["score"] for i in range(300))
+    assert got[3000]["evidence"] == [] and 0 < got[3000]["score"] < 1
+
+
 def test_models_of_odd_rows(spark):
     rows = [*ODD, *[(100 + i, "fine words here " * 4 + f"n{i}", "s") for i in range(40)], *[(200 + i, "bad awful nasty " * 4 + f"m{i}", "s") for i in range(40)]]
     df = docs(spark, rows)
