@@ -19,8 +19,10 @@ SHARE, FINE = 75, 100
 DEAL_SHINGLES = 4_000_000
 # Sets in one tree; larger groups of candidates are joined tree by tree.
 TREE_SETS = 1000
-# Sets that meet in one task, about (small groups of candidates share tasks).
+# Rows of one task, about: two trees, or small groups of candidates.
 TASK_SETS = 2000
+# Bytes of text whose shingles share a bucket while they are counted.
+BUCKET_BYTES = 32_000_000
 BROADCAST_IDS = 1_000_000
 
 _KEPT_BITS, _LARGE = np.uint64(8), 127
@@ -342,7 +344,9 @@ def candidate_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     sets that have each; only those that several have travel back to their sets.
     """
     spark = docs.sparkSession
-    labels = _labels(spark, _partitions(spark))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a multiple of the partitions, so that each gets as many
+    labels = _labels(spark, _partitions(spark) * max(1, -(-size // (BUCKET_BYTES * _partitions(spark)))))
     dealt = docs.select("text").mapInArrow(_deal(width, labels), DEALT)
     counted = dealt.groupBy("bucket").applyInArrow(_count(labels), DEALT)
     return cut_lineage(counted.groupBy("bucket").applyInArrow(_collect, SETS))
@@ -373,17 +377,20 @@ def links(docs: DataFrame, width: int = 5, tree_sets: int = TREE_SETS) -> DataFr
     """
     sets = candidate_sets(docs, width)
     groups = cut_lineage(candidate_groups(sets))
-    parts = groups.groupBy("group").agg(F.count("*").alias("n")).select("group", F.ceil(F.col("n") / tree_sets).cast("int").alias("parts"))
+    parts = groups.groupBy("group").agg(F.count("*").alias("n")).select(
+        "group", "n", F.ceil(F.col("n") / tree_sets).cast("int").alias("parts")
+    )
     members = (
         sets.join(groups, "key")
-        .join(parts, "group")
+        .join(parts.select("group", "parts"), "group")
         .withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("one", F.least("part", "with"))
         .withColumn("two", F.greatest("part", "with"))
     )
-    tasks = max(1, groups.count() // TASK_SETS, _partitions(sets.sparkSession))
-    task = F.pmod(F.xxhash64("group", "one", "two"), F.lit(tasks)).cast("int")
+    rows = parts.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0  # every set meets every tree of its group
+    tasks = max(rows // TASK_SETS, _partitions(sets.sparkSession))
+    task = F.pmod(F.xxhash64("group", "one", "two"), F.lit(tasks)).cast("bigint")
     return (
         members.select(task.alias("task"), "group", "one", "two", "part", "key", "n", "tokens")
         .groupBy("task")

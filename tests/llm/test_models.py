@@ -56,6 +56,21 @@ def test_classes_equal_brute_force(spark, monkeypatch, tree_sets):
     assert len(found) == len(rows)
 
 
+def test_join_tasks_stay_small_in_a_large_group(spark, monkeypatch):
+    words = [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join([*words, f"x{i}"]), "s") for i in range(200)]
+    buckets = []
+    monkeypatch.setattr(trie_join, "_join", lambda t: pa.table({"a": pa.array([str(t.num_rows).encode()]), "b": pa.array([b""])}))
+    labels = trie_join._labels
+    monkeypatch.setattr(trie_join, "_labels", lambda s, n: buckets.append(n) or labels(s, n))
+    monkeypatch.setattr(trie_join, "TASK_SETS", 20)
+    monkeypatch.setattr(trie_join, "BUCKET_BYTES", 5000)
+    sizes = [int(r["a"]) for r in trie_join.links(docs(spark, rows), 5, 10).collect()]
+    assert sum(sizes) >= 200 * 20 and max(sizes) < 200  # never the whole group
+    size = sum(len(t) for _, t, _ in rows)
+    assert size / 5000 <= buckets[0] <= size / 5000 + 2
+
+
 def test_classes_of_odd_rows(spark):
     rows = [*ODD, (None, "word", "b"), (7, "word", "b"), (7, "word", "b"), (None, "alone", "b"), (8, "x y", "b"), (8, "z", "b")]
     found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in trie_join.near_duplicates(docs(spark, rows)).collect()), key=str)
