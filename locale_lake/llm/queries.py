@@ -187,6 +187,38 @@ def prefix_tree_join(spark: SparkSession, folder: str) -> DataFrame:
     return trie_join.near_duplicates(table(spark, folder, "documents"))
 
 
+@query(
+    "op7_prefix_tree_links",
+    r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+    ), n AS (
+        SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), pairs AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+    ), links AS (
+        SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * m >= 75 * (x.n + y.n - m)
+    ), reach(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM d
+        UNION
+        SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a
+    )
+    SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id,
+           coalesce(any_value(c.n_links), 0)::BIGINT AS n_links
+    FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN reach ON d.doc_id = reach.doc_id
+    LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) c ON d.doc_id = c.a
+    GROUP BY d.doc_id
+    """,
+)
+def prefix_tree_links(spark: SparkSession, folder: str) -> DataFrame:
+    return trie_join.near_duplicates(table(spark, folder, "documents"), count_links=True)
+
+
 @query(
     "op8_suffix_automaton",
     r"""

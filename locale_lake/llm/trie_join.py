@@ -312,12 +312,15 @@ class Forest:
 
 
 def _join(table: pa.Table) -> pa.Table:
-    """Join the sets of each (group, tree, tree) and return links that span what is linked."""
+    """Join the sets of each (group, tree, tree): links that span what is linked, as a and b.
+
+    Rows without b say how many copies the sets have that link with a, in this pair of trees.
+    """
     rows = table.to_pylist()
     groups: dict[tuple, list[dict]] = {}
     for row in rows:
         groups.setdefault((row["group"], row["one"], row["two"]), []).append(row)
-    out: tuple[list, list] = ([], [])
+    out: tuple[list, list, list] = ([], [], [])
     for (_, one, two), members in sorted(groups.items()):
         members.sort(key=lambda m: m["key"])  # the same links however often a task is run
         sequences = [np.frombuffer(m["tokens"], dtype=np.uint64) for m in members]
@@ -327,14 +330,24 @@ def _join(table: pa.Table) -> pa.Table:
         if not build or not probe:
             continue
         tree, forest = Tree([sequences[i] for i in build], [sizes[i] for i in build]), Forest(len(members))
+        met = [0] * len(members)
         for i in probe:
             for k in tree.linked(sequences[i], sizes[i]):
                 if build[k] != i:
                     forest.link(i, build[k])
+                    met[i] += members[build[k]]["copies"]
+                    if one != two:  # inside one tree the other direction has its own turn
+                        met[build[k]] += members[i]["copies"]
         for x, y in forest.links:
             out[0].append(members[x]["key"])
             out[1].append(members[y]["key"])
-    return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
+            out[2].append(0)
+        for i, n in enumerate(met):
+            if n:
+                out[0].append(members[i]["key"])
+                out[1].append(None)
+                out[2].append(n)
+    return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary()), "n": pa.array(out[2], pa.int64())})
 
 
 def candidate_sets(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -370,16 +383,23 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, width: int = 5, tree_sets: int = TREE_SETS) -> DataFrame:
-    """Links between distinct sets that span all that are linked: a and b, keys of sets.
+    """Links between distinct sets that span all that are linked: a and b, keys of sets."""
+    return joined(docs, width, tree_sets).filter("b IS NOT NULL").select("a", "b")
+
+
+def joined(docs: DataFrame, width: int = 5, tree_sets: int = TREE_SETS, copies: DataFrame | None = None) -> DataFrame:
+    """Spanning links a and b, and rows (a, no b, n) whose n add up to the copies linked with a.
 
     Groups of candidates up to ``tree_sets`` are joined in one tree; larger ones are
     dealt into several, and every two of them are joined in a task of their own.
+    ``copies`` has key and n, the rows that have a set (1 each without it).
     """
     sets = candidate_sets(docs, width)
     groups = cut_lineage(candidate_groups(sets))
     parts = groups.groupBy("group").agg(F.count("*").alias("n")).select(
         "group", "n", F.ceil(F.col("n") / tree_sets).cast("int").alias("parts")
     )
+    sets = sets.withColumn("copies", F.lit(1).cast("bigint")) if copies is None else sets.join(copies.select("key", F.col("n").alias("copies")), "key")
     members = (
         sets.join(groups, "key")
         .join(parts.select("group", "parts"), "group")
@@ -392,13 +412,13 @@ def links(docs: DataFrame, width: int = 5, tree_sets: int = TREE_SETS) -> DataFr
     tasks = max(rows // TASK_SETS, _partitions(sets.sparkSession))
     task = F.pmod(F.xxhash64("group", "one", "two"), F.lit(tasks)).cast("bigint")
     return (
-        members.select(task.alias("task"), "group", "one", "two", "part", "key", "n", "tokens")
+        members.select(task.alias("task"), "group", "one", "two", "part", "key", "n", "copies", "tokens")
         .groupBy("task")
-        .applyInArrow(_join, "a binary, b binary")
+        .applyInArrow(_join, "a binary, b binary, n bigint")
     )
 
 
-def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, count_links: bool = False) -> DataFrame:
     """Classes of documents whose shingle sets link, directly or through others.
 
     A set holds the distinct shingles of ``width`` words (maximal runs of other than
@@ -414,15 +434,28 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     that can be reached, its own included). Null and empty texts have no shingles and
     link with nothing. A null doc_id never names a class; it stays null if its class
     has no other. Rows that repeat are answered each; other columns are ignored.
+    With ``count_links`` n_links follows: the other rows whose sets are equal or link.
     """
     keyed = cut_lineage(set_keys(docs, width))
     classes = keyed.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    roots = graph.components(links(docs, width)).withColumnRenamed("node", "key")
+    if count_links:
+        classes = cut_lineage(classes)
+        all_links = cut_lineage(joined(docs, width, copies=classes))
+        spanning = all_links.filter("b IS NOT NULL").select("a", "b")
+    else:
+        spanning = links(docs, width)
+    roots = graph.components(spanning).withColumnRenamed("node", "key")
     placed = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     several = placed.join(named, "root").filter("n > 1 OR root <> key OR component_id <> least").select("key", "component_id")
     found = skew.lookup(keyed, several, ["key"], "left", broadcast_rows=BROADCAST_IDS // 10)
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    answer = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")]
+    if not count_links:
+        return found.select(*answer)
+    met = all_links.filter("b IS NULL").select(F.col("a").alias("key"), "n").unionByName(classes.select("key", (F.col("n") - 1).alias("n")))
+    met = met.groupBy("key").agg(F.sum("n").alias("n_links")).filter("n_links > 0")
+    counted = skew.lookup(found, met, ["key"], "left", broadcast_rows=BROADCAST_IDS // 10)
+    return counted.select(*answer, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:

@@ -60,7 +60,7 @@ def test_join_tasks_stay_small_in_a_large_group(spark, monkeypatch):
     words = [f"w{k}" for k in range(80)]
     rows = [(i, " ".join([*words, f"x{i}"]), "s") for i in range(200)]
     buckets = []
-    monkeypatch.setattr(trie_join, "_join", lambda t: pa.table({"a": pa.array([str(t.num_rows).encode()]), "b": pa.array([b""])}))
+    monkeypatch.setattr(trie_join, "_join", lambda t: pa.table({"a": pa.array([str(t.num_rows).encode()]), "b": pa.array([b""]), "n": pa.array([0])}))
     labels = trie_join._labels
     monkeypatch.setattr(trie_join, "_labels", lambda s, n: buckets.append(n) or labels(s, n))
     monkeypatch.setattr(trie_join, "TASK_SETS", 20)
@@ -71,6 +71,21 @@ def test_join_tasks_stay_small_in_a_large_group(spark, monkeypatch):
     assert size / 5000 <= buckets[0] <= size / 5000 + 2
 
 
+@pytest.mark.parametrize("tree_sets", [4, 1000])
+def test_links_are_counted_whole(spark, monkeypatch, tree_sets):
+    rows = near_copies(random.Random(3))
+    rows += [(10_000 + i, t) for i, t in rows[:9]]  # equal texts
+    original = trie_join.joined
+    monkeypatch.setattr(trie_join, "joined", lambda d, width, copies: original(d, width, tree_sets, copies))
+    found = trie_join.near_duplicates(docs(spark, [(*r, "s") for r in rows]), count_links=True).collect()
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = {
+        i: sum(j != i and bool(x) and 100 * len(x & y) >= 75 * len(x | y) for j, y in sets.items()) for i, x in sets.items()
+    }
+    assert {r["doc_id"]: r["n_links"] for r in found} == want and max(want.values()) > 2
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_classes(rows)
+
+
 def test_classes_of_odd_rows(spark):
     rows = [*ODD, (None, "word", "b"), (7, "word", "b"), (7, "word", "b"), (None, "alone", "b"), (8, "x y", "b"), (8, "z", "b")]
     found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in trie_join.near_duplicates(docs(spark, rows)).collect()), key=str)
