@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from locale_lake.llm import (
+    bisector,
     bitsliced,
     contamination,
+    content_sort,
     factorisation,
     langid,
     mixing,
     notices,
+    rtree,
     sampling,
     secrets,
     toxicity,
@@ -314,3 +316,93 @@ def string_kernel_language(spark: SparkSession, folder: str) -> DataFrame:
 )
 def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"), weights=(5, 2, 1), copies=3)
+
+
+@query(
+    "op11_content_sort",
+    r"""
+    WITH n AS (
+        SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t, length(coalesce(text, '')) AS m
+        FROM documents
+    )
+    SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+           row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+    FROM n WINDOW w AS (PARTITION BY t ORDER BY m DESC, doc_id)
+    """,
+)
+def sorted_contents(spark: SparkSession, folder: str) -> DataFrame:
+    return content_sort.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query(
+    "op12_tree_negatives",
+    """
+    WITH v AS (
+        SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), pairs AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+               list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id
+        WHERE a.vec_id % 100 = 0
+    ), positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+        FROM pairs WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT p.anchor_id, positive_id,
+           (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10
+    """,
+)
+def tree_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").withColumn("label", moved)
+    return rtree.hard_negatives(vectors, vectors.filter("vec_id % 100 = 0"), positives=5, negatives=10, scale=256, low=30, high=90)
+
+
+def clusters_sql(k: int, rounds: int) -> str:
+    """Lloyd's rounds written out, one pair of steps after the other."""
+    nearest = """
+    a{r} AS MATERIALIZED (
+        SELECT n, arg_min(c, (d, c)) AS c, min(d) AS d
+        FROM (SELECT v.n, c.c, list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+              FROM v, c{r} AS c)
+        GROUP BY n
+    )"""
+    moved = """
+    c{s} AS MATERIALIZED (
+        SELECT old.c, coalesce(new.q, old.q) AS q
+        FROM c{r} AS old LEFT JOIN (
+            SELECT c, list(((s - ((s % m) + m) % m) // m)::BIGINT ORDER BY i) AS q
+            FROM (SELECT c, i, sum(x) AS s, count(*) AS m
+                  FROM (SELECT a.c, unnest(v.q) AS x, generate_subscripts(v.q, 1) AS i FROM a{r} AS a JOIN v ON a.n = v.n)
+                  GROUP BY c, i)
+            GROUP BY c
+        ) AS new ON old.c = new.c
+    )"""
+    steps = [nearest.format(r=r) + ("," + moved.format(r=r, s=r + 1) if r < rounds else "") for r in range(rounds + 1)]
+    return f"""
+    WITH v AS MATERIALIZED (
+        SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+        FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), c0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY h) - 1 AS c, q
+        FROM (SELECT q, sha256('2:' || vec_id::VARCHAR) AS h FROM v ORDER BY h LIMIT {k})
+    ), {",".join(steps)}
+    SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+           (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+    FROM a{rounds} AS a JOIN v ON a.n = v.n JOIN c{rounds} AS c ON a.c = c.c
+    """
+
+
+@query("op13_bisector_clusters", clusters_sql(40, 5))
+def bisector_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return bisector.clustered(table(spark, folder, "embeddings"), k=40, rounds=5, scale=256, dims=64, seed="2")
