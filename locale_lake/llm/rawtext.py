@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Rows are worked on in slices of at most so many bytes of text (or one row).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def _lower_table() -> np.ndarray:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,22 +17,16 @@ from locale_lake.session import cut_lineage
 # Two sets link if FINE x overlap >= SHARE x union.
 SHARE, FINE = 75, 100
 # Shingles that a task gathers before it deals them out.
-DEAL_SHINGLES = 4_000_000
-# Sets in one tree; larger groups of candidates are joined tree by tree.
-TREE_SETS = 1000
-# Rows of one task, about: two trees, or small groups of candidates.
-TASK_SETS = 2000
+DEAL_SHINGLES = 500_000
+# Sets and bytes of tokens in one tree; larger groups of candidates are joined tree by tree.
+TREE_SETS, TREE_BYTES = 1000, 4_000_000
+# Rows and bytes of one task, about: two trees, or small groups of candidates.
+TASK_SETS, TASK_BYTES = 2000, 16_000_000
 # Bytes of text whose shingles share a bucket while they are counted.
-BUCKET_BYTES = 32_000_000
+BUCKET_BYTES = 12_000_000
 BROADCAST_IDS = 1_000_000
 
-_KEPT_BITS, _LARGE = np.uint64(8), 127
-
-
-def _labels(spark: SparkSession, n: int) -> list[int]:
-    """n integers of which a hash partitioning into n partitions puts one into each."""
-    dealt = spark.range(16 * n + 64).select(F.col("id").cast("int"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"))
-    return sorted(r[0] for r in dealt.groupBy("p").agg(F.min("id").alias("id")).select("id").collect())
+_KEPT_BITS = np.uint64(8)
 
 
 def _partitions(spark: SparkSession) -> int:
@@ -75,41 +70,43 @@ def _pack7(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
 
 
-def _unpack7(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 7, 8), dtype=np.uint8)
-    out[:, :7] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 7)
+def _unpacked(packed: list[bytes], width: int) -> np.ndarray:
+    """Tokens of ``width`` bytes each as one array."""
+    out = np.zeros((sum(map(len, packed)) // width, 8), dtype=np.uint8)
+    at = 0
+    for piece in packed:
+        rows = len(piece) // width
+        out[at : at + rows, :width] = np.frombuffer(piece, dtype=np.uint8).reshape(-1, width)
+        at += rows
     return out.reshape(-1).view(np.uint64)
 
 
 DEALT = "bucket int, keys binary, sizes binary, counts binary, tokens binary"
 
 
-def _deal(width: int, labels: list[int]):
-    """Cut every set by ranges of its tokens; a row holds what some sets have in one range."""
-    n = len(labels)
+def _deal(width: int, n: int):
+    """Cut every set by n ranges of its tokens; a row holds what some sets have in one range."""
 
     def rows_of(sets: list[np.ndarray], keys: list[bytes]) -> pa.RecordBatch:
         tokens = np.concatenate(sets) >> _KEPT_BITS
-        owner = np.repeat(np.arange(len(sets), dtype=np.int64), [len(s) for s in sets])
-        bucket = ((tokens >> np.uint64(24)) * np.uint64(n)) >> np.uint64(32)
-        order = np.argsort(bucket.astype(np.uint16 if n < 65_536 else np.uint32), kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=n))
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        bucket = (((tokens >> np.uint64(24)) * np.uint64(n)) >> np.uint64(32)).astype(np.uint16 if n < 65_536 else np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        tokens, owner, bucket = tokens[order], owner[order], bucket[order]
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = np.append(starts[1:], len(bucket))
         all_keys = np.frombuffer(b"".join(keys), dtype=np.uint64).reshape(-1, 2)
         all_sizes = np.array([len(s) for s in sets], dtype=np.int32)
         out: dict[str, list] = {"bucket": [], "keys": [], "sizes": [], "counts": [], "tokens": []}
-        start = 0
-        for label, end in zip(labels, ends.tolist(), strict=True):
-            if end > start:
-                own = owner[start:end]
-                first = np.flatnonzero(np.diff(own, prepend=-1))
-                who = own[first]
-                out["bucket"].append(label)
-                out["keys"].append(all_keys[who].tobytes())
-                out["sizes"].append(all_sizes[who].tobytes())
-                out["counts"].append(np.diff(first, append=len(own)).astype(np.int32).tobytes())
-                out["tokens"].append(_pack7(tokens[start:end]))
-            start = end
+        for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+            own = owner[start:end]
+            first = np.flatnonzero(np.diff(own, prepend=np.int32(-1)))
+            who = own[first]
+            out["bucket"].append(int(bucket[start]))
+            out["keys"].append(all_keys[who].tobytes())
+            out["sizes"].append(all_sizes[who].tobytes())
+            out["counts"].append(np.diff(first, append=len(own)).astype(np.int32).tobytes())
+            out["tokens"].append(_pack7(tokens[start:end]))
         return pa.RecordBatch.from_pydict(
             {k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()}
         )
@@ -134,35 +131,40 @@ def _deal(width: int, labels: list[int]):
     return run
 
 
-def _gathered(table: pa.Table, token_bytes: int, more: str | None = None):
+def _gathered(table: pa.Table, token_bytes: int):
     """The rows of a bucket: set keys as dense numbers, their sizes, and owner, token per entry."""
     keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint64).reshape(-1, 2)
     sizes = np.frombuffer(b"".join(table.column("sizes").to_pylist()), dtype=np.int32)
     counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.int32)
-    packed = b"".join(table.column("tokens").to_pylist())
-    tokens = _unpack7(packed) if token_bytes == 7 else np.frombuffer(packed, dtype=np.uint64)
+    tokens = _unpacked(table.column("tokens").to_pylist(), token_bytes)
     order = np.lexsort((keys[:, 1], keys[:, 0]))
     new = np.ones(len(order), dtype=bool)
     new[1:] = (keys[order][1:] != keys[order][:-1]).any(axis=1)
-    number = np.empty(len(order), dtype=np.int64)
+    number = np.empty(len(order), dtype=np.int32)
     number[order] = np.cumsum(new) - 1
     firsts = order[new]
     return keys[firsts], sizes[firsts], np.repeat(number, counts), tokens
 
 
-def _count(labels: list[int]):
+def _rarity(sets_with: np.ndarray) -> np.ndarray:
+    """A byte that grows with the number of sets that have a token, by eighths of a power of two."""
+    return np.minimum(np.floor(8 * np.log2(sets_with)), 255).astype(np.uint64)
+
+
+def _count(n: int):
     """Keep the tokens that several sets have; the row says for each how rare it is."""
-    n = len(labels)
 
     def run(table: pa.Table) -> pa.Table:
         keys, sizes, owner, tokens = _gathered(table, 7)
         order = np.argsort(tokens)
-        ranked = tokens[order]
-        same = ranked[1:] == ranked[:-1]
-        twice = np.zeros(len(ranked), dtype=bool)
+        tokens = tokens[order]
+        owner = owner[order]
+        del order
+        same = tokens[1:] == tokens[:-1]
+        twice = np.zeros(len(tokens), dtype=bool)
         twice[1:] |= same
         twice[:-1] |= same
-        tokens, owner = ranked[twice], owner[order[twice]]
+        tokens, owner = tokens[twice], owner[twice]
         order = np.lexsort((owner, tokens))
         tokens, owner = tokens[order], owner[order]
         fresh = np.ones(len(tokens), dtype=bool)
@@ -170,26 +172,24 @@ def _count(labels: list[int]):
         tokens, owner = tokens[fresh], owner[fresh]
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
         sets_with = np.diff(first, append=len(tokens))
-        many = np.repeat(sets_with, sets_with)
+        several = np.repeat(sets_with > 1, sets_with)
         # the order of all tokens: rare before frequent, then by hash
-        ordered = (np.minimum(many, _LARGE).astype(np.uint64) << np.uint64(56)) | tokens
-        ordered, owner = ordered[many > 1], owner[many > 1]
+        tokens = ((np.repeat(_rarity(sets_with), sets_with) << np.uint64(56)) | tokens)[several]
+        owner = owner[several]
         place = (rawtext.mix(keys[:, 0] ^ keys[:, 1]) % np.uint64(n)).astype(np.int64)
         order = np.lexsort((owner, place[owner]))
-        ordered, owner = ordered[order], owner[order]
-        ends = np.searchsorted(place[owner], np.arange(n), side="right")
+        tokens, owner = tokens[order], owner[order]
+        bucket = place[owner]
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
         out: dict[str, list] = {"bucket": [], "keys": [], "sizes": [], "counts": [], "tokens": []}
-        start = 0
-        for label, end in zip(labels, ends.tolist(), strict=True):
-            if end > start:
-                own = owner[start:end]
-                at = np.flatnonzero(np.diff(own, prepend=-1))
-                out["bucket"].append(label)
-                out["keys"].append(keys[own[at]].tobytes())
-                out["sizes"].append(sizes[own[at]].tobytes())
-                out["counts"].append(np.diff(at, append=len(own)).astype(np.int32).tobytes())
-                out["tokens"].append(ordered[start:end].tobytes())
-            start = end
+        for start, end in zip(starts.tolist(), np.append(starts[1:], len(bucket))[: len(starts)].tolist(), strict=True):
+            own = owner[start:end]
+            at = np.flatnonzero(np.diff(own, prepend=np.int32(-1)))
+            out["bucket"].append(int(bucket[start]))
+            out["keys"].append(keys[own[at]].tobytes())
+            out["sizes"].append(sizes[own[at]].tobytes())
+            out["counts"].append(np.diff(at, append=len(own)).astype(np.int32).tobytes())
+            out["tokens"].append(tokens[start:end].tobytes())
         return pa.table({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()})
 
     return run
@@ -311,43 +311,57 @@ class Forest:
             self.links.append((x, y))
 
 
+def _binaries(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Views of the 64-bit tokens of each row, without copies."""
+    out = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk):
+            held = memoryview(data) if data else memoryview(b"")
+            out += [np.frombuffer(held[x:y], dtype=np.uint64) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return out
+
+
 def _join(table: pa.Table) -> pa.Table:
     """Join the sets of each (group, tree, tree): links that span what is linked, as a and b.
 
-    Rows without b say how many copies the sets have that link with a, in this pair of trees.
+    Rows without b say how many copies the sets have that link with a, in this pair of
+    trees. Sets come in the order of their keys: the same links however often a task is run.
     """
-    rows = table.to_pylist()
-    groups: dict[tuple, list[dict]] = {}
-    for row in rows:
-        groups.setdefault((row["group"], row["one"], row["two"]), []).append(row)
-    out: tuple[list, list, list] = ([], [], [])
-    for (_, one, two), members in sorted(groups.items()):
-        members.sort(key=lambda m: m["key"])  # the same links however often a task is run
-        sequences = [np.frombuffer(m["tokens"], dtype=np.uint64) for m in members]
-        sizes = [m["n"] for m in members]
-        build = [i for i, m in enumerate(members) if m["part"] == one]
-        probe = [i for i, m in enumerate(members) if m["part"] == two]
+    order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("group", "one", "two", "key")])
+    table = table.take(order)
+    groups, one, two, part, sizes = (table.column(c).to_pylist() for c in ("group", "one", "two", "part", "n"))
+    keys, sequences = table.column("key"), _binaries(table.column("tokens"))
+    copies = table.column("copies").to_pylist() if "copies" in table.column_names else [1] * len(sizes)
+    starts = [i for i in range(len(sizes)) if not i or (groups[i], one[i], two[i]) != (groups[i - 1], one[i - 1], two[i - 1])]
+    a, b, n = [], [], []
+    for start, end in zip(starts, [*starts[1:], len(sizes)], strict=True):
+        build = [i for i in range(start, end) if part[i] == one[start]]
+        probe = [i for i in range(start, end) if part[i] == two[start]]
         if not build or not probe:
             continue
-        tree, forest = Tree([sequences[i] for i in build], [sizes[i] for i in build]), Forest(len(members))
-        met = [0] * len(members)
+        tree, forest = Tree([sequences[i] for i in build], [sizes[i] for i in build]), Forest(end - start)
+        met = [0] * (end - start)
         for i in probe:
             for k in tree.linked(sequences[i], sizes[i]):
-                if build[k] != i:
-                    forest.link(i, build[k])
-                    met[i] += members[build[k]]["copies"]
-                    if one != two:  # inside one tree the other direction has its own turn
-                        met[build[k]] += members[i]["copies"]
+                j = build[k]
+                if j != i:
+                    forest.link(i - start, j - start)
+                    met[i - start] += copies[j]
+                    if one[start] != two[start]:  # inside one tree the other direction has its own turn
+                        met[j - start] += copies[i]
         for x, y in forest.links:
-            out[0].append(members[x]["key"])
-            out[1].append(members[y]["key"])
-            out[2].append(0)
-        for i, n in enumerate(met):
-            if n:
-                out[0].append(members[i]["key"])
-                out[1].append(None)
-                out[2].append(n)
-    return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary()), "n": pa.array(out[2], pa.int64())})
+            a.append(start + x)
+            b.append(start + y)
+            n.append(0)
+        for i, m in enumerate(met):
+            if m:
+                a.append(start + i)
+                b.append(None)
+                n.append(m)
+    take = lambda at: pa.chunked_array(keys.take(pa.array(at, pa.int64())).chunks, pa.binary())
+    return pa.table({"a": take(a), "b": take(b), "n": pa.array(n, pa.int64())})
 
 
 def candidate_sets(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -356,12 +370,10 @@ def candidate_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     Tokens are shuffled once, in packed arrays by range of their hash, to count the
     sets that have each; only those that several have travel back to their sets.
     """
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # a multiple of the partitions, so that each gets as many
-    labels = _labels(spark, _partitions(spark) * max(1, -(-size // (BUCKET_BYTES * _partitions(spark)))))
-    dealt = docs.select("text").mapInArrow(_deal(width, labels), DEALT)
-    counted = dealt.groupBy("bucket").applyInArrow(_count(labels), DEALT)
+    buckets = max(4 * _partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+    dealt = docs.select("text").mapInArrow(_deal(width, buckets), DEALT)
+    counted = dealt.groupBy("bucket").applyInArrow(_count(buckets), DEALT)
     return cut_lineage(counted.groupBy("bucket").applyInArrow(_collect, SETS))
 
 
@@ -383,41 +395,112 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, width: int = 5, tree_sets: int = TREE_SETS) -> DataFrame:
-    """Links between distinct sets that span all that are linked: a and b, keys of sets."""
-    return joined(docs, width, tree_sets).filter("b IS NOT NULL").select("a", "b")
-
-
-def joined(docs: DataFrame, width: int = 5, tree_sets: int = TREE_SETS, copies: DataFrame | None = None) -> DataFrame:
-    """Spanning links a and b, and rows (a, no b, n) whose n add up to the copies linked with a.
+    """Links between distinct sets that span all that are linked: a and b, keys of sets.
 
-    Groups of candidates up to ``tree_sets`` are joined in one tree; larger ones are
-    dealt into several, and every two of them are joined in a task of their own.
-    ``copies`` has key and n, the rows that have a set (1 each without it).
+    Small groups of candidates take one tree. A large one is first joined inside its
+    trees; one set of each tree's largest class then meets those of the other trees.
+    Only sets that are not in the group's largest class by then still meet all other
+    trees: near copies, however many, are linked once along the trees, and every pair
+    of sets that could join two classes is looked at.
+    """
+    members = _members(docs, width, tree_sets)
+    inside = _joins(members.filter("one = two AND part = one"))
+    inside = cut_lineage(inside.filter("b IS NOT NULL").select("a", "b"))
+    large = members.filter("trees > 1 AND one = two AND part = one")
+    large = cut_lineage(large.select("group", "part", "band", "key", "n", "copies", "tokens", "near"))
+    if large.isEmpty():
+        return inside
+    heads = _classes(large, inside).groupBy("group", "part", "band", "root").agg(F.count("*").alias("m"), F.min("key").alias("key"))
+    heads = heads.groupBy("group", "part").agg(F.max_by("key", F.struct("m", "key")).alias("key"))
+    met = large.join(heads.select("key"), "key", "left_semi")
+    several = met.groupBy("group").agg(F.ceil(F.count("*") / tree_sets).cast("int").alias("shares"))
+    share = F.pmod(F.xxhash64("key"), F.col("shares")).cast("int")
+    met = met.join(several, "group").withColumn("part", share).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    met = met.withColumns({"one": F.least("part", "with"), "two": F.greatest("part", "with")})
+    across = cut_lineage(inside.unionByName(_joins(met).filter("b IS NOT NULL").select("a", "b")))
+    placed = cut_lineage(_classes(large, across).select("group", "key", "root"))
+    main = placed.groupBy("group", "root").agg(F.count("*").alias("m")).groupBy("group").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
+    apart = placed.join(main, "group").filter("root <> main").select("key")
+    probes = cut_lineage(large.join(apart, "key", "left_semi"))
+    if probes.isEmpty():
+        return across
+    chunks = probes.groupBy("group").agg(F.ceil(F.count("*") / tree_sets).cast("int").alias("chunks"))
+    chunk = -1 - F.pmod(F.xxhash64("key", F.lit(3)), F.col("chunks")).cast("int")
+    asked = probes.join(chunks, "group").withColumn("two", chunk).withColumn("one", F.explode("near")).filter("one <> part")
+    asked = asked.withColumn("part", F.col("two")).drop("chunks")
+    trees = large.join(chunks, "group").withColumn("one", F.col("part")).withColumn("two", F.explode(F.sequence(-F.col("chunks"), F.lit(-1)))).drop("chunks")
+    rest = _joins(asked.unionByName(trees.select(*asked.columns))).filter("b IS NOT NULL").select("a", "b")
+    return cut_lineage(across.unionByName(rest))
+
+
+def _classes(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """The sets with the root of their class so far, their own key where nothing is linked."""
+    roots = graph.components(links.join(sets.select(F.col("key").alias("a")), "a", "left_semi"))
+    return sets.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def _members(docs: DataFrame, width: int, tree_sets: int, copies: DataFrame | None = None) -> DataFrame:
+    """A row per set and pair of trees (one, two) that it has to be in.
+
+    A group with more than ``tree_sets`` sets or TREE_BYTES of tokens is cut by length
+    first: linked sets are in the same band of lengths (powers of 4/3) or in the next.
+    A band is dealt into as many trees as it needs.
     """
     sets = candidate_sets(docs, width)
     groups = cut_lineage(candidate_groups(sets))
-    parts = groups.groupBy("group").agg(F.count("*").alias("n")).select(
-        "group", "n", F.ceil(F.col("n") / tree_sets).cast("int").alias("parts")
-    )
     sets = sets.withColumn("copies", F.lit(1).cast("bigint")) if copies is None else sets.join(copies.select("key", F.col("n").alias("copies")), "key")
-    members = (
-        sets.join(groups, "key")
-        .join(parts.select("group", "parts"), "group")
-        .withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("one", F.least("part", "with"))
-        .withColumn("two", F.greatest("part", "with"))
+    # a base just above 4/3 keeps rounding out of the way
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.3334))).cast("int")
+    sets = cut_lineage(sets.join(groups, "key").withColumn("band", band))
+    cost = F.greatest(F.col("n") / tree_sets, F.col("bytes") / TREE_BYTES)
+    bands = (
+        sets.groupBy("group", "band")
+        .agg(F.count("*").alias("n"), F.sum(F.octet_length("tokens")).alias("bytes"))
+        .withColumn("parts", F.ceil(cost).cast("int"))
+    )
+    each = F.struct("band", "parts")
+    whole = bands.groupBy("group").agg(
+        (F.ceil(F.greatest(F.sum("n") / tree_sets, F.sum("bytes") / TREE_BYTES))).cast("int").alias("trees"), F.collect_list(each).alias("bands")
+    )
+    own = F.aggregate("bands", F.lit(1), lambda acc, x: F.when(x["band"] == F.col("band"), x["parts"]).otherwise(acc))
+    number = lambda band, part: band * 2**20 + part
+    close = F.filter("bands", lambda x: F.abs(x["band"] - F.col("band")) <= 1)
+    near = F.flatten(F.transform(close, lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda p: number(x["band"], p))))
+    single = F.col("trees") == 1
+    return (
+        sets.join(whole, "group")
+        .withColumn("part", F.when(single, 0).otherwise(number(F.col("band"), F.pmod(F.xxhash64("key"), own).cast("int"))))
+        .withColumn("near", F.when(single, F.array(F.lit(0))).otherwise(near))
+        .withColumn("with", F.explode("near"))
+        .withColumns({"one": F.least("part", "with"), "two": F.greatest("part", "with")})
+        .drop("bands", "with", "prefix")
     )
-    rows = parts.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0  # every set meets every tree of its group
-    tasks = max(rows // TASK_SETS, _partitions(sets.sparkSession))
+
+
+def _joins(members: DataFrame) -> DataFrame:
+    """Join every (group, one, two): tasks follow the replicated rows and their bytes."""
+    told = members.agg(F.count("*").alias("rows"), F.sum(F.octet_length("tokens")).alias("bytes")).first()
+    tasks = max(told["rows"] // TASK_SETS, (told["bytes"] or 0) // TASK_BYTES, _partitions(members.sparkSession))
     task = F.pmod(F.xxhash64("group", "one", "two"), F.lit(tasks)).cast("bigint")
     return (
         members.select(task.alias("task"), "group", "one", "two", "part", "key", "n", "copies", "tokens")
+        # joining costs CPU, so partitions are not merged by their bytes
+        .repartition(int(min(tasks, 16 * _partitions(members.sparkSession))), "task")
         .groupBy("task")
         .applyInArrow(_join, "a binary, b binary, n bigint")
     )
 
 
+def joined(docs: DataFrame, width: int = 5, tree_sets: int = TREE_SETS, copies: DataFrame | None = None) -> DataFrame:
+    """Spanning links a and b, and rows (a, no b, n) whose n add up to the copies linked with a.
+
+    To count links every two trees of a group that may hold linked sets are joined, in
+    tasks of their own. ``copies`` has key and n, the rows that have a set (1 each
+    without it).
+    """
+    return _joins(_members(docs, width, tree_sets, copies))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, count_links: bool = False) -> DataFrame:
     """Classes of documents whose shingle sets link, directly or through others.
 

@@ -61,14 +61,32 @@ def test_join_tasks_stay_small_in_a_large_group(spark, monkeypatch):
     rows = [(i, " ".join([*words, f"x{i}"]), "s") for i in range(200)]
     buckets = []
     monkeypatch.setattr(trie_join, "_join", lambda t: pa.table({"a": pa.array([str(t.num_rows).encode()]), "b": pa.array([b""]), "n": pa.array([0])}))
-    labels = trie_join._labels
-    monkeypatch.setattr(trie_join, "_labels", lambda s, n: buckets.append(n) or labels(s, n))
+    deal = trie_join._deal
+    monkeypatch.setattr(trie_join, "_deal", lambda width, n: buckets.append(n) or deal(width, n))
     monkeypatch.setattr(trie_join, "TASK_SETS", 20)
     monkeypatch.setattr(trie_join, "BUCKET_BYTES", 5000)
+    # the stand-in links nothing, so every set still has to meet all other trees
     sizes = [int(r["a"]) for r in trie_join.links(docs(spark, rows), 5, 10).collect()]
     assert sum(sizes) >= 200 * 20 and max(sizes) < 200  # never the whole group
     size = sum(len(t) for _, t, _ in rows)
-    assert size / 5000 <= buckets[0] <= size / 5000 + 2
+    assert buckets == [max(8, -(-size // 5000))]
+
+
+def test_a_large_group_of_near_copies_is_linked_along_its_trees(spark, monkeypatch):
+    words = [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join([*words, f"x{i}"]), "s") for i in range(200)]
+    rows += [(500 + i, " ".join([f"x{i}", *words[: 58 + i]]), "s") for i in range(5)]  # candidates, some of them linked
+    joined, original = [], trie_join._joins
+    monkeypatch.setattr(trie_join, "_joins", lambda members: joined.append(members.count()) or original(members))
+    found = {r["doc_id"]: r["component_id"] for r in trie_join.near_duplicates(docs(spark, rows)).collect()}
+    want = {i: root for i, (_, root) in brute_classes([r[:2] for r in rows]).items()}
+    assert len(joined) == 1 and found == want and len(set(want.values())) > 1
+    joined.clear()
+    links = trie_join.links
+    monkeypatch.setattr(trie_join, "links", lambda d, width: links(d, width, 10))
+    found = {r["doc_id"]: r["component_id"] for r in trie_join.near_duplicates(docs(spark, rows)).collect()}
+    assert found == want
+    assert len(joined) == 3 and sum(joined) < 205 * 4  # not once for every tree of the group
 
 
 @pytest.mark.parametrize("tree_sets", [4, 1000])
