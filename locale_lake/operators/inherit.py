@@ -8,7 +8,6 @@ are decided for all pairs at once, and whole subtrees are adopted by their label
 from __future__ import annotations
 
 import functools
-import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 
 from locale_lake.functions import text as tx
 from locale_lake.operators import skew
-from locale_lake.operators.tree import parent, prefixes
-from locale_lake.session import cut_lineage
+from locale_lake.operators.tree import drop_first, parent, prefixes
+from locale_lake.session import rewritten
 
 
 def name_registry(heads: DataFrame, order: list[str]) -> DataFrame:
@@ -36,42 +35,45 @@ def ancestors(
     node: str,
     up: str,
     scope: list[str] | None = None,
-    materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+    materialise: Callable[[DataFrame], DataFrame] = rewritten,
 ) -> DataFrame:
     """Transitive closure of parent pointers: (scope, node, ancestor, dist).
 
-    ``links`` has one row per node. Each round follows one pointer for all nodes
-    together; a pointer to nowhere ends the walk, and so does a node that is
-    already on the way (cycle guard, which includes the start). A round is
-    written to the checkpoint folder, so plans stay as small as the first.
+    ``links`` has one row per node. A node's way is the list of its next ancestors;
+    a round appends to every way the way of its last member, so ways double and the
+    rounds grow with the logarithm of the longest one. A pointer to nowhere ends a
+    way, and so does a node that is already on it (cycle guard, which includes the
+    start): pointers are a function, so all that follows a repetition repeats too.
     """
     scope = scope or []
-    # one lookup tells whether an ancestor exists and where its own pointer leads
-    table = links.select(*scope, F.col(node).alias("ancestor"), F.col(up).alias("_next"))
-    frontier = links.filter(F.col(up).isNotNull()).select(
-        *scope, node, F.col(up).alias("ancestor"), F.array(node).alias("_way")
-    )
-    found = links.select(*scope, node, F.col(up).alias("ancestor"), F.lit(0).alias("dist")).limit(0)
-    for dist in itertools.count(1):  # ends: every way is free of repetitions
-        open_ended = frontier.filter(~F.array_contains("_way", F.col("ancestor")))
-        reached = materialise(skew.lookup(open_ended, table, [*scope, "ancestor"], "inner"))
-        if reached.isEmpty():
-            return found
-        found = found.unionByName(
-            reached.select(*scope, node, "ancestor", F.lit(dist).alias("dist"))
-        )
-        frontier = reached.filter(F.col("_next").isNotNull()).select(
-            *scope,
-            node,
-            F.col("_next").alias("ancestor"),
-            F.concat("_way", F.array("ancestor")).alias("_way"),
+    few = skew.has_at_most(links, skew.HOT_ROWS)  # then no pointer can be hot
+
+    def follow(many: DataFrame, one: DataFrame, how: str) -> DataFrame:
+        keys = [*scope, "_end"]
+        return many.join(one, keys, how) if few else skew.lookup(many, one, keys, how)
+
+    pointers = links.select(*scope, node, F.col(up).alias("_end")).filter("_end IS NOT NULL").filter(F.col("_end") != F.col(node))
+    there = links.select(*scope, F.col(node).alias("_end"))
+    ways = materialise(follow(pointers, there, "inner").select(*scope, node, F.array("_end").alias("_way")))
+    length = 1
+    while not ways.filter(F.size("_way") == length).isEmpty():  # ends: no way is longer than there are nodes
+        further = ways.select(*scope, F.col(node).alias("_end"), F.col("_way").alias("_on"))
+        unfinished = ways.filter(F.size("_way") == length).withColumn("_end", F.element_at("_way", -1))
+        whole = F.concat(F.array(node), "_way", F.coalesce("_on", F.slice("_way", 1, 0)))
+        longer = follow(unfinished, further, "left").select(
+            *scope, node, drop_first(F.array_distinct(whole), 1).alias("_way")
         )
+        ways = materialise(ways.filter(F.size("_way") < length).unionByName(longer))
+        length *= 2
+    return ways.select(*scope, node, F.posexplode("_way").alias("_d", "ancestor")).select(
+        *scope, node, "ancestor", (F.col("_d") + 1).alias("dist")
+    )
 
 
 def chains(
     heads: DataFrame,
     registry: DataFrame,
-    materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+    materialise: Callable[[DataFrame], DataFrame] = rewritten,
 ) -> DataFrame:
     """(pkg_id, tree_id, anc_id, dist) of every definition with a known parent.
 
@@ -246,7 +248,7 @@ def merge_level(child: DataFrame, above: DataFrame) -> DataFrame:
 def merge_inherited(
     trees: DataFrame,
     chain: DataFrame,
-    materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+    materialise: Callable[[DataFrame], DataFrame] = rewritten,
     hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
     """Trees with everything they inherit.
@@ -297,7 +299,7 @@ def merge_inherited(
 def _merge_each(
     trees: DataFrame,
     chain: DataFrame,
-    materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+    materialise: Callable[[DataFrame], DataFrame] = rewritten,
     hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
     """Heirs merged with their own copies of all ancestors, farthest first."""

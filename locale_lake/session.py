@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +71,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def rewritten(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder.
+
+    For loops: the plan starts anew at a scan with its true size and prunes columns. A
+    checkpoint keeps the size estimate of the plan it cuts off, and estimates that are
+    multiplied round by round soon cost more than the rounds.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
