@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locale_lake.llm import rawtext, sampling
+from locale_lake.session import cut_lineage
 
 # Letters: ASCII letters and every character beyond ASCII.
 _LETTERS = rawtext._class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -87,7 +90,10 @@ def fit(bits: np.ndarray, languages: list[str], landmarks: int, ridge: float) ->
     names = sorted(set(languages))
     y = np.array([[float(x == name) for name in names] for x in languages]).reshape(len(languages), len(names))
     # landmarks: the first rows of each language in turn
-    turn = {i: languages[:i].count(x) for i, x in enumerate(languages)}
+    turn, met = {}, Counter()
+    for i, x in enumerate(languages):
+        turn[i] = met[x]
+        met[x] += 1
     marks = _unit(bits[sorted(turn, key=lambda i: (turn[i], languages[i]))[:landmarks]])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max(initial=1e-12)
@@ -111,25 +117,31 @@ def _presence_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def train(
-    docs: DataFrame, modulus: int = 3, held_out: int = 1, per_language: int = 300, landmarks: int = 256, ridge: float = 0.1
+    docs: DataFrame,
+    modulus: int = 3,
+    held_out: int = 1,
+    per_language: int = 300,
+    landmarks: int = 256,
+    ridge: float = 0.1,
+    languages: int = 200,
 ) -> Model | None:
     """Learn from up to ``per_language`` texts of each language outside the held-out fold.
 
-    Only their n-gram bitmaps (4 KB each) come to the driver. Texts without a letter
-    teach nothing. None if there is nothing to learn from.
+    Only the n-gram bitmaps (4 KB each) of the ``languages`` most frequent ones come to
+    the driver. Texts without a letter teach nothing. None if there is nothing to
+    learn from.
     """
     able = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     able = able.filter(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (sampling.fold(F.col("doc_id"), modulus) != held_out)
     )
-    sizes = able.groupBy("lang").count().orderBy("lang").collect()
+    sizes = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     # thin large languages before any text is sorted; twice what is wanted is enough
     share = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) / 1_000_000
-    thin = [F.when(F.col("lang") == r["lang"], share < 2.0 * per_language / r["count"] + 1e-4) for r in sizes]
-    if not sizes:
-        return None
-    able = able.filter(F.coalesce(*thin)).filter(has_letter(F.col("text")))
-    sample = sampling.bounded(able, "lang", [r["lang"] for r in sizes], per_language)
+    thin = able.join(F.broadcast(cut_lineage(sizes)), "lang").filter(share < 2.0 * per_language / F.col("n") + 1e-4)
+    draw = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(2024)), "doc_id")
+    ranked = thin.filter(has_letter(F.col("text"))).select("doc_id", "text", "lang", F.row_number().over(draw).alias("rank"))
+    sample = ranked.filter(F.col("rank") <= per_language)
     rows = sample.mapInArrow(_presence_bits, "doc_id bigint, lang string, bits binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], bytes(r["bits"])))
     if not rows:
@@ -148,12 +160,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     are replaced.
     """
     docs = docs.drop("lang_pred", "score")
-    kept = docs.columns
+    kept, letter = docs.columns, sampling.unused(docs, "letter")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in rawtext.slices(batch, "text"):
-                able = rows.column("_letter").to_pylist()
+                able = rows.column(letter).to_pylist()
                 names, shares = ["und"] * rows.num_rows, [0.0] * rows.num_rows
                 if model:
                     outputs = np.concatenate([model.scores(b) for b in _blocks(rows)])
@@ -172,10 +184,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 )
 
     schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.withColumn("_letter", has_letter(F.col("text"))).mapInArrow(run, schema)
+    return docs.withColumn(letter, has_letter(F.col("text"))).mapInArrow(run, schema)
 
 
 def identified(docs: DataFrame, least: float = 0.3, **options) -> DataFrame:
-    """The documents whose language is told with a score of ``least`` or more, columns as before."""
-    told = predict(docs.select(*[F.col(c) for c in docs.columns]), train(docs, **options))
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    """The documents whose language is told with a score of ``least`` or more, columns as before.
+
+    Null and empty texts go; rows that repeat are told each; columns may have any names.
+    """
+    held = {c: sampling.unused(docs, f"own_{c}") for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    told = predict(docs.withColumnsRenamed(held), train(docs, **options))
+    told = told.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")
+    return told.withColumnsRenamed({v: k for k, v in held.items()}).select(*docs.columns)

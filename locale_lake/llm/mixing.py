@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locale_lake.llm.sampling import unused
 from locale_lake.operators import skew
 from locale_lake.session import cut_lineage
 
@@ -98,17 +99,18 @@ def mix_sources(
     ranked = ranked.withColumn("part", part)
     in_source = W.partitionBy("src").orderBy("part").rowsBetween(W.unboundedPreceding, 0)
     ranges = (
-        ranked.groupBy("src", "part", "due").agg(F.sum("size").alias("words")).withColumn("end", F.sum("words").over(in_source))
+        ranked.groupBy("src", "part", "due", "chance").agg(F.sum("size").alias("words")).withColumn("end", F.sum("words").over(in_source))
     )
-    # the range in which the words due run out
+    # the range in which the words due run out; a source that has its last copy has no more due
     cuts = cut_lineage(
-        ranges.filter("end > due")
+        ranges.filter("chance > 0 AND end > due")
         .groupBy("src")
         .agg(F.min("part").alias("cut"), F.min_by(F.col("end") - F.col("words"), "part").alias("begun"))
     )
     placed = skew.lookup(ranked, cuts, ["src"], broadcast_rows=BROADCAST_SOURCES)
     at_cut = F.coalesce(F.col("part") == F.col("cut"), F.lit(False))
-    clear = placed.filter(~at_cut).withColumn("more", F.when(F.col("part") > F.col("cut"), 0).otherwise(1))
+    late = (F.col("part") > F.col("cut")) | (F.col("chance") == 0)
+    clear = placed.filter(~at_cut).withColumn("more", F.when(late, 0).otherwise(1))
     running = W.partitionBy("src", "part").orderBy("q", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     middle = F.col("begun") + F.coalesce(F.sum("size").over(running), F.lit(0)) + F.col("size") / 2
     edge = placed.filter(at_cut).withColumn("more", F.when(middle <= F.col("due"), 1).otherwise(0))
@@ -126,9 +128,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     added = ["size", "source_size", "target", "taken"]
     decided = mix_sources(docs, **options).filter("taken > 0")
-    decided = decided.groupBy("doc_id").agg(*[F.max_by(c, F.struct("taken", "size")).alias(f"_{c}") for c in added])
-    decided = decided.withColumnRenamed("doc_id", "_id")
     kept = docs.drop(*added)
-    return kept.join(decided, kept["doc_id"].eqNullSafe(decided["_id"])).select(
-        *[kept[c] for c in kept.columns], *[F.col(f"_{c}").alias(c) for c in added]
+    own, names = unused(kept, "id_of_mix"), {c: unused(kept, f"mix_{c}") for c in added}
+    decided = decided.groupBy(F.col("doc_id").alias(own)).agg(
+        *[F.max_by(c, F.struct("taken", "size")).alias(name) for c, name in names.items()]
+    )
+    return kept.join(decided, F.col("doc_id").eqNullSafe(F.col(own))).select(
+        *kept.columns, *[F.col(name).alias(c) for c, name in names.items()]
     )

@@ -139,12 +139,11 @@ def _scanner(base: tuple[Notice, ...], notices: tuple[Notice, ...]):
                     for text, start, end in exact(words, notice.phrase):
                         if notice in base:
                             bases[text].append((words.word_at(text, start), notice.label))
-                        seen[text][(start, end, notice.label)] = 0
+                        seen[text][(start, end, notice.label)] = (1.0, 0)
                     if notice.edits:
                         for text, start, end, edits in fuzzy(words, notice, patterns[notice]):
-                            key = (start, end, notice.label)
-                            seen[text][key] = min(edits, seen[text].get(key, edits))
-                longest = {x.label: len(x.phrase) for x in notices}
+                            key, told = (start, end, notice.label), (1 - edits / len(notice.phrase), -edits)
+                            seen[text][key] = max(told, seen[text].get(key, told))
                 shown = [
                     [
                         {
@@ -152,13 +151,13 @@ def _scanner(base: tuple[Notice, ...], notices: tuple[Notice, ...]):
                             "start": words.code_point(i, start),
                             "end": words.code_point(i, end - 1) + 1,
                             "start_word": words.word_at(i, start),
-                            "edits": edits,
+                            "edits": -edits,
                         }
-                        for (start, end, label), edits in sorted(found.items())
+                        for (start, end, label), (_, edits) in sorted(found.items())
                     ]
                     for i, found in enumerate(seen)
                 ]
-                score = [max((1 - x["edits"] / longest[x["label"]] for x in found), default=0.0) for found in shown]
+                score = [max((told for told, _ in found.values()), default=0.0) for found in seen]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": rows.column("doc_id"),

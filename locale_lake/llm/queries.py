@@ -87,40 +87,15 @@ def license_notices(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_secret_ledger")
 def secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    return secrets.digest(secrets.findings_by_row(documents, secrets.scan_unseen(documents)))
+    return secrets.digest(secrets.findings_by_row(documents, secrets.scanned_in_runs(documents)))
 
 
-@query(
-    "op6_repeated_lines",
-    r"""
+def passages_sql(text: str) -> str:
+    """Runs of units with 20 words; ``text`` is the text with a line feed after every unit, as long as before."""
+    return r"""
     WITH lines AS (
         SELECT doc_id, i, line, sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(line) - 1 AS start
-        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
-              FROM documents)
-    ), u AS (
-        SELECT doc_id, start, start + len(line) AS stop, len(w) AS n_words, array_to_string(w, ' ') AS unit
-        FROM (SELECT *, regexp_extract_all(
-                  translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
-              FROM lines)
-        WHERE len(w) >= 20
-    ), ranked AS (
-        SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start
-        FROM u WINDOW w AS (PARTITION BY unit ORDER BY doc_id, start)
-    )
-    SELECT doc_id, start::BIGINT AS start, stop::BIGINT AS "end", n_words, kept_doc_id, kept_start::BIGINT AS kept_start
-    FROM ranked WHERE doc_id <> kept_doc_id OR start <> kept_start
-    """,
-)
-def repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return units.repeated_units(table(spark, folder, "documents"), kind="line", min_words=20)
-
-
-@query(
-    "op6_repeated_passages",
-    r"""
-    WITH lines AS (
-        SELECT doc_id, i, line, sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(line) - 1 AS start
-        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+        FROM (SELECT doc_id, unnest(string_split({text}, chr(10))) AS line, generate_subscripts(string_split({text}, chr(10)), 1) AS i
               FROM documents)
     ), l AS (
         SELECT doc_id, start, start + len(line) AS stop, (sum(n) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS upto, upto - n AS before
@@ -153,12 +128,45 @@ def repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
     SELECT doc_id, min(start)::BIGINT AS start, max(stop)::BIGINT AS "end", (max(upto) - min(before))::BIGINT AS n_words,
            arg_min(kept_doc_id, (start, stop)) AS kept_doc_id, arg_min(kept_start, (start, stop))::BIGINT AS kept_start
     FROM numbered GROUP BY doc_id, passage
-    """,
-)
+    """.replace("{text}", text)
+
+
+@query("op6_repeated_lines", passages_sql(r"regexp_replace(text, '([.,;:!?|])[\x20\x09-\x0D]', '\1' || chr(10), 'g')"))
+def repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines and pieces of lines, in runs of 20 words and more."""
+    return units.repeated_passages(table(spark, folder, "documents"), min_words=20, kind="clause")
+
+
+@query("op6_repeated_passages", passages_sql("text"))
 def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return units.repeated_passages(table(spark, folder, "documents"), min_words=20)
 
 
+@query(
+    "op6_long_lines",
+    r"""
+    WITH lines AS (
+        SELECT doc_id, i, line, sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(line) - 1 AS start
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+              FROM documents)
+    ), u AS (
+        SELECT doc_id, start, start + len(line) AS stop, len(w) AS n_words, array_to_string(w, ' ') AS unit
+        FROM (SELECT *, regexp_extract_all(
+                  translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+              FROM lines)
+        WHERE len(w) >= 20
+    ), ranked AS (
+        SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start
+        FROM u WINDOW w AS (PARTITION BY unit ORDER BY doc_id, start)
+    )
+    SELECT doc_id, start::BIGINT AS start, stop::BIGINT AS "end", n_words, kept_doc_id, kept_start::BIGINT AS kept_start
+    FROM ranked WHERE doc_id <> kept_doc_id OR start <> kept_start
+    """,
+)
+def long_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return units.repeated_units(table(spark, folder, "documents"), kind="line", min_words=20)
+
+
 @query(
     "op7_prefix_tree_join",
     r"""

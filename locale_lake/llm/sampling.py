@@ -1,4 +1,4 @@
-"""Folds and bounded samples of labelled rows."""
+"""Folds, bounded samples of labelled rows, and names that do not clash."""
 
 from __future__ import annotations
 
@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as no column of ``df`` begins with."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text modulo ``modulus``; -1 without id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)), F.lit(-1)).cast("int")

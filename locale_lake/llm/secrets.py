@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locale_lake.llm import rawtext
+from locale_lake.llm.sampling import unused
+from locale_lake.operators import skew
+from locale_lake.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -47,6 +51,13 @@ MORE = (
     Rule("url_password", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/:@]{3,100}@", ("://",)),
 )
 RULES = BASE + MORE
+#: the rules before the last change: assignments had fewer names
+EARLIER = (
+    Rule("assign", 0, r"""(password|token)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ("password", "token"), group=2, least=12, flags=re.A | re.I),
+    *RULES[1:],
+)
+# Blobs with findings (some 200 bytes each) are broadcast up to this.
+BROADCAST_BLOBS = 200_000
 
 _FINDING = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _HEX = rawtext._class((0x30, 0x39), (0x61, 0x66))
@@ -104,18 +115,29 @@ def blobs(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
 
 
+def _may_match(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Can any of the rules match at all? A text that holds no sign of one need not travel."""
+    lower = F.lower(text)
+    signs = [lower.contains(needle) for needle in sorted({n for r in rules for n in r.needles})]
+    if any(not r.needles for r in rules):
+        signs.append(text.rlike("[0-9a-f]{16}"))
+    return functools.reduce(Column.__or__, signs, F.lit(False))
+
+
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan every (blob, rule and version) that the ledger lacks, each once.
 
     A text is scanned once however many rows or versions of a path hold it. Copies
     are dropped inside each task before they are shuffled, so a blob that makes up
-    much of the table meets in one row per task. ``ledger`` has blob and rule
-    (``kind@version``), as from ``ledger_rows``. Returns blob, todo (rules applied)
-    and findings (kind, start, end in code points, end exclusive; by start, then in
-    the order of the rules). Null counts as the empty text, which has no findings.
+    much of the table meets in one row per task; a text without a sign of any rule
+    goes as its digest alone. ``ledger`` has blob and rule (``kind@version``), as from
+    ``ledger_rows``. Returns blob, todo (rules applied) and findings (kind, start, end
+    in code points, end exclusive; by start, then in the order of the rules). Null
+    counts as the empty text, which has no findings. Columns besides text are ignored.
     """
     keys = F.array(*[F.lit(r.key) for r in rules])
-    unseen = blobs(docs.select(F.coalesce("text", F.lit("")).alias("text"))).dropDuplicates(["blob"])
+    unseen = blobs(docs.select(F.coalesce("text", F.lit("")).alias("text")))
+    unseen = unseen.select("blob", F.when(_may_match(F.col("text"), rules), F.col("text")).alias("text")).dropDuplicates(["blob"])
     if ledger is None:
         unseen = unseen.withColumn("todo", keys)
     else:
@@ -137,28 +159,72 @@ def ledger_rows(scanned: DataFrame) -> DataFrame:
     return scanned.select("blob", F.explode("todo").alias("rule"))
 
 
-def findings_by_row(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+def scanned_in_runs(docs: DataFrame, runs: tuple[tuple[Rule, ...], ...] = (EARLIER, RULES)) -> DataFrame:
+    """Scans under one set of rules after the other; each run scans what the ledger so far lacks.
+
+    After a change of one rule only that rule is applied again. Scans are written to
+    the shared checkpoint folder, as a ledger outlives its run.
+    """
+    scanned, ledger = None, None
+    for rules in runs:
+        found = cut_lineage(scan_unseen(docs, ledger, rules))
+        scanned = found if scanned is None else scanned.unionByName(found)
+        ledger = ledger_rows(scanned)
+    return scanned
+
+
+def current(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob and findings, one row per blob: of each rule the newest version that was applied.
+
+    What an older version of a rule found goes, and so do kinds that ``rules`` lack.
+    """
+
+    def newest(place: int, kind: str) -> Column:
+        def told(run: Column) -> Column:
+            version = F.transform(
+                F.filter(run["todo"], lambda key: F.substring_index(key, "@", 1) == kind), lambda key: F.substring_index(key, "@", -1).cast("int")
+            )
+            of_kind = F.transform(
+                F.filter(run["findings"], lambda f: f["kind"] == kind), lambda f: F.struct(f["start"], F.lit(place).alias("place"), f["end"], f["kind"])
+            )
+            return F.struct(F.coalesce(F.array_max(version), F.lit(-1)).alias("version"), of_kind.alias("found"))
+
+        return F.array_max(F.transform("runs", told))["found"]
+
+    kinds = list(dict.fromkeys(r.kind for r in rules))
+    found = F.sort_array(F.concat(*[newest(k, kind) for k, kind in enumerate(kinds)]))
+    return (
+        scanned.groupBy("blob")
+        .agg(F.collect_list(F.struct("todo", "findings")).alias("runs"))  # a row per scan
+        .filter(F.exists("runs", lambda r: F.size(r["findings"]) > 0))
+        .select("blob", F.transform(found, lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end"))).alias("findings"))
+        .filter(F.size("findings") > 0)
+    )
+
+
+def findings_by_row(docs: DataFrame, scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and the findings of its text, for every row; [] if there are none."""
-    hits = scanned.filter(F.size("findings") > 0).select("blob", "findings")
+    hits = cut_lineage(current(scanned, rules))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    return (
-        blobs(docs.select("doc_id", "text"))
-        .select("doc_id", "blob")
-        .join(hits, "blob", "left")
-        .select("doc_id", F.coalesce("findings", none).alias("findings"))
+    keyed = blobs(docs.select("doc_id", "text")).select("doc_id", "blob")
+    return skew.lookup(keyed, hits, ["blob"], broadcast_rows=BROADCAST_BLOBS).select(
+        "doc_id", F.coalesce("findings", none).alias("findings")
     )
 
 
-def redacted(docs: DataFrame, scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
+def redacted(docs: DataFrame, scanned: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows with every finding replaced by ``mark``, all columns kept; ``n_chars`` follows the text.
 
-    Overlapping findings become one mark. Texts without findings stay as they are.
+    Overlapping findings become one mark. Texts without findings stay as they are,
+    null and empty ones among them; rows that repeat are redacted each; columns may
+    have any names.
     """
-    hits = scanned.filter(F.size("findings") > 0).select("blob", F.col("findings").alias("_findings"))
     columns = docs.columns
+    blob, spans, new = (unused(docs, n) for n in ("blob", "findings", "redacted"))
+    hits = cut_lineage(current(scanned, rules)).select(F.col("blob").alias(blob), F.col("findings").alias(spans))
     # findings come by start: cut between the end of all before and the start of the next
     step = F.aggregate(
-        "_findings",
+        spans,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("done")),
         lambda acc, f: F.struct(
             F.when(
@@ -173,16 +239,13 @@ def redacted(docs: DataFrame, scanned: DataFrame, mark: str = "[secret]") -> Dat
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["done"] + 1).cast("int"), F.length("text"))),
     )
-    keyed = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    joined = keyed.join(hits, keyed["_blob"] == hits["blob"], "left")
-    text = F.when(F.col("_findings").isNull(), F.col("text")).otherwise(step)
-    out = joined.withColumn("_text", text)
+    keyed = docs.withColumn(blob, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    changed = F.col(spans).isNotNull()
+    out = skew.lookup(keyed, hits, [blob], broadcast_rows=BROADCAST_BLOBS).withColumn(new, F.when(changed, step).otherwise(F.col("text")))
     if "n_chars" in columns:
-        changed = F.col("_findings").isNotNull()
-        out = out.withColumn(
-            "n_chars", F.when(changed, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        )
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in columns])
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(changed, F.length(new).cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(new).alias("text") if c == "text" else F.col(c) for c in columns])
 
 
 def digest(findings: DataFrame) -> DataFrame:

@@ -13,9 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locale_lake.llm import rawtext
+from locale_lake.llm.sampling import unused
 from locale_lake.operators import skew
 from locale_lake.session import cut_lineage
 
+#: characters after which white space ends a clause
+STOPS = ".,;:!?|"
+_STOP = rawtext._class(*[(ord(c), ord(c)) for c in STOPS])
 BREAKS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[\x20\x09\x0B-\x0D]*\n\s*")}
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _CAPITALS = {c: c + 32 for c in range(65, 91)}
@@ -98,15 +102,23 @@ def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = 20) ->
     )
 
 
-def _windows(min_words: int):
-    """Least runs of lines with ``min_words`` words: from each line on, and up to each line."""
+def _breaks(data: np.ndarray, kind: str) -> np.ndarray:
+    """Bytes that end a unit: line feeds, and for clauses white space after a stop."""
+    breaks = data == 10
+    if kind == "clause":
+        breaks[1:] |= _STOP[data[:-1]] & ~rawtext.NOT_SPACE[data[1:]]
+    return breaks
+
+
+def _windows(min_words: int, kind: str):
+    """Least runs of units with ``min_words`` words: from each unit on, and up to each unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in rawtext.slices(batch, "text"):
                 texts = rawtext.Texts(rows.column("text"))
                 words = texts.words(rawtext.NOT_SPACE)
-                breaks = texts.data == 10
+                breaks = _breaks(texts.data, kind)
                 breaks[texts.offsets[1:] - 1] = True  # the space after each text
                 line = np.cumsum(breaks)[words.starts] if len(words.starts) else np.zeros(0, np.int64)
                 before = np.flatnonzero(np.diff(line, prepend=-1))  # lines that have words, by their first one
@@ -140,16 +152,21 @@ def _windows(min_words: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 20) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = 20, kind: str = "line") -> DataFrame:
     """The passages to remove: runs of lines, of any length, that repeat an earlier place.
 
-    A passage is a run of lines with at least ``min_words`` words together; lines
+    A passage is a run of units with at least ``min_words`` words together. Units are
+    lines or, with the kind ``clause``, what lies between line feeds and the white
+    space after one of ``.,;:!?|``: long lines are cut, short ones joined. Units
     without words are passed over, words compare as in ``repeated_units``. Every run
     that occurs twice is covered by its least runs of ``min_words`` words, taken from
-    each line on and up to each line: these are digested, their earliest occurrence
+    each unit on and up to each unit: these are digested, their earliest occurrence
     (by doc_id, null last, then place) stays, and the others are joined to passages
-    where they overlap. A line that goes has a copy at an earlier place, so one stays.
-    A passage that begins or ends inside a line counts with its whole lines only.
+    where they overlap. A unit that goes has a copy at an earlier place, so one stays.
+    A passage that begins or ends inside a unit counts with its whole units only.
+
+    Digests are counted as 8 bytes first, inside the tasks as far as they meet there;
+    only runs whose digest occurs again travel with their places.
 
     Returns doc_id, start, end (code points of the original text, end exclusive),
     n_words, and kept_doc_id and kept_start, the earliest place of the first least
@@ -158,12 +175,14 @@ def repeated_passages(docs: DataFrame, min_words: int = 20) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     found = cut_lineage(
         docs.select("doc_id", "text").mapInArrow(
-            _windows(min_words), f"doc_id {id_type}, start bigint, end bigint, before bigint, upto bigint, digest binary"
+            _windows(min_words, kind), f"doc_id {id_type}, start bigint, end bigint, before bigint, upto bigint, digest binary"
         )
-    )
+    ).withColumn("short", F.xxhash64("digest"))
+    several = cut_lineage(found.groupBy("short").agg(F.count("*").alias("n")).filter("n > 1").select("short"))
+    found = cut_lineage(skew.lookup(found, several, ["short"], "inner", broadcast_rows=BROADCAST_DIGESTS).drop("short"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
     first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("other"))
-    first = first.filter("first <> other").select("digest", "first")
+    first = cut_lineage(first.filter("first <> other").select("digest", "first"))
     again = skew.lookup(found, first, ["digest"], "inner", broadcast_rows=BROADCAST_DIGESTS).filter(rank != F.col("first"))
     in_order = W.partitionBy("doc_id").orderBy("start", "end")
     reached = F.max("end").over(in_order.rowsBetween(W.unboundedPreceding, -1))
@@ -193,19 +212,24 @@ def _without(text: str | None, cuts: list) -> str | None:
 
 
 def without_units(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` with the removed units cut from the texts; ``removed`` keeps their offsets."""
-    cuts = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "end")).alias("_cuts"))
+    """``docs`` with the removed units cut from the texts; ``removed`` keeps their offsets.
+
+    Null texts stay null; rows that share a doc_id, null included, lose the same
+    places; columns may have any names.
+    """
+    own, cut = unused(docs, "id_of_cuts"), unused(docs, "cuts")
+    cuts = removed.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("start", "end")).alias(cut))
     kept = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                _without(t, c) if c else t
-                for t, c in zip(batch.column("text").to_pylist(), batch.column("_cuts").to_pylist(), strict=True)
+                _without(t, c) if c and t is not None else t
+                for t, c in zip(batch.column("text").to_pylist(), batch.column(cut).to_pylist(), strict=True)
             ]
             place = batch.schema.get_field_index("text")
             batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.column(place).type))
             yield batch.select(kept)
 
-    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["_id"]), "left").select(*docs.columns, "_cuts")
+    joined = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col(own)), "left").select(*docs.columns, cut)
     return joined.mapInArrow(run, docs.schema)

@@ -192,6 +192,12 @@ def base_secrets(text):
     return sorted(out)
 
 
+def test_a_notice_is_scored_by_its_own_length(spark):
+    rows = [(1, "under the mitt license", None), (2, "Permission is herby granted, free of charge", None), (3, "under the mit license", None)]
+    got = {r["doc_id"]: r["score"] for r in notices.find_notices(docs(spark, rows)).collect()}
+    assert got == {1: pytest.approx(1 - 1 / 21), 2: pytest.approx(1 - 1 / 43), 3: 1.0}
+
+
 def test_secrets(spark):
     rows = [*ODD, *SECRETS, (30, SECRETS[0][1], "copy")]
     df = docs(spark, rows)
@@ -223,6 +229,49 @@ def test_ledger_scans_each_blob_and_rule_version_once(spark):
     third = secrets.scan_unseen(new, ledger.unionByName(secrets.ledger_rows(second)), newer)
     assert {tuple(r["todo"]) for r in third.collect()} == {("hex@2",)} and third.count() == 5
     assert secrets.scan_unseen(new.limit(0)).count() == 0
+    # joined again after the change: one row per document, and what the old version found is gone
+    every = both.unionByName(third)
+    told = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.findings_by_row(new, every, newer)).collect()}
+    plain = secrets.digest(secrets.findings_by_row(new, secrets.scan_unseen(new, None, newer), newer)).collect()
+    assert len(plain) == len(told) == new.count() and {r["doc_id"]: r["spans"] for r in plain} == told
+    assert len(secrets.redacted(new, every, rules=newer).collect()) == new.count()
+
+
+def test_runs_under_changed_rules_give_what_one_scan_gives(spark):
+    stale = "my token=abcdefghijkl0123 and api_key=abcdefghijkl9999"  # the earlier rules know the first only
+    df = docs(spark, [*SECRETS, *ODD, (40, stale, "s"), (41, stale, "s")])
+    scanned = secrets.scanned_in_runs(df)
+    of_stale = scanned.filter(F.col("blob") == F.unhex(F.sha2(F.lit(stale), 256))).collect()
+    assert [r["todo"] for r in of_stale] == [[r.key for r in secrets.EARLIER], ["assign@1"]]
+    shown = lambda scan: sorted((r["doc_id"] or 0, r["spans"]) for r in secrets.digest(secrets.findings_by_row(df, scan)).collect())
+    assert shown(scanned) == shown(secrets.scan_unseen(df)) and dict(shown(scanned))[41].count("assign") == 2
+    assert {r["text"] for r in secrets.redacted(df, scanned).filter("doc_id >= 40").collect()} == {"my [secret] and [secret]"}
+
+
+CLASHING = ("blob", "_blob", "findings", "redacted", "_text", "letter", "_letter", "size", "taken", "mix_size", "id_of_mix", "_size", "cuts", "_cuts", "id_of_cuts", "lang_pred", "own_score", "word", "_id")
+
+
+def test_columns_of_any_name_pass_through(spark):
+    from locale_lake.llm import content_sort, langid, trie_join
+
+    rows = [(i, f"text {i} of words token=abcdefghijkl{i}", "s", "en") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    df = df.withColumns({c: F.lit(f"own {c}") for c in CLASHING}).withColumn("score", F.lit(0.5))
+    items = spark.createDataFrame([("b", "nothing of this stands there at all in any text")], "item_id string, text string")
+    cut = units.repeated_units(df, min_words=2)
+    for out in (
+        secrets.redacted(df, secrets.scan_unseen(df)),
+        langid.identified(df, least=0.0, per_language=5),
+        units.without_units(df, cut),
+        trie_join.one_of_each(df),
+        contamination.decontaminate(df, items),
+        content_sort.deduplicated(df),
+    ):
+        assert out.columns == df.columns
+        told = out.collect()
+        assert told and all(r[c] == f"own {c}" for r in told for c in CLASHING) and {r["score"] for r in told} == {0.5}
+    mixed = mixing.mixed_documents(df)
+    assert mixed.collect() and set(df.columns) <= set(mixed.columns) and mixed.first()["mix_size"] == "own mix_size"
 
 
 def test_redaction(spark):
@@ -275,6 +324,17 @@ def test_passages_of_short_lines(spark):
     assert {r["doc_id"]: r["text"] for r in cut.collect()}[2] == "other\n\nend"
 
 
+def test_passages_inside_long_lines(spark):
+    passage = ", ".join(f"clause {k} has five words" for k in range(8))
+    rows = [(1, f"Own start of one and {passage}, own end é.", "a"), (2, f"é Another, begins here; {passage}. And goes on", "a")]
+    rows += [(3, " ".join(passage.split()[:22]) + " differs", "a"), *[(10 * i if i else i, t, s) for i, t, s in ODD[:4]]]
+    got = [tuple(r) for r in units.repeated_passages(docs(spark, rows), 20, "clause").collect()]
+    text, first = rows[1][1], rows[0][1]
+    begin, end = text.index("clause 1"), text.index("clause 7") - 1  # the first and last of them differ at their edges
+    assert [r for r in got if r[0] == 2] == [(2, begin, end, 30, 1, first.index("clause 1"))]
+    assert not units.repeated_passages(docs(spark, rows), 20).count()
+
+
 def test_passages_cover_every_repeated_run(spark):
     draw = random.Random(6)
     lines = [" ".join(f"w{k}{n}" for n in range(draw.randint(0, 4))) for k in range(12)]
