@@ -112,7 +112,8 @@ def _deal(width: int, n: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, keys, held, seen = [], [], 0, set()
+        sets, keys, held = [], [], 0
+        seen: set[bytes] = set()  # 16 bytes for each text of the task
         for batch in batches:
             for rows in rawtext.slices(batch, "text"):
                 for found in _sets(rows, width):
@@ -124,7 +125,7 @@ def _deal(width: int, n: int):
                     held += len(found)
                     if held >= DEAL_SHINGLES:
                         yield rows_of(sets, keys)
-                        sets, keys, held, seen = [], [], 0, set()
+                        sets, keys, held = [], [], 0
         if sets:
             yield rows_of(sets, keys)
 
@@ -371,7 +372,8 @@ def candidate_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     sets that have each; only those that several have travel back to their sets.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * _partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+    # rows grow with the square of the buckets: no more than memory, or the cores, call for
+    buckets = max(1, -(-size // BUCKET_BYTES), min(_partitions(docs.sparkSession), size // 1_000_000))
     dealt = docs.select("text").mapInArrow(_deal(width, buckets), DEALT)
     counted = dealt.groupBy("bucket").applyInArrow(_count(buckets), DEALT)
     return cut_lineage(counted.groupBy("bucket").applyInArrow(_collect, SETS))
