@@ -59,6 +59,7 @@ RETRY_DELAYS_SECONDS = (2, 5, 10, 20)
 MIN_ANSWER_TOKENS = 200
 ANSWER_TOKENS_PER_ITEM = 60
 REQUEST_SECONDS = 120
+PARALLEL_REQUESTS = 2
 MAX_REQUEST_SECONDS = 480
 
 # --- the stand-in word for a protected term: letters that no language starts a word with

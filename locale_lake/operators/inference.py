@@ -5,9 +5,12 @@ The only Python in here is the call of the user's function on Arrow batches.
 
 from __future__ import annotations
 
+import queue
 import string
+import threading
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -83,6 +86,65 @@ def each_or_none(
     return first[0] + second[0], first[1] + second[1]
 
 
+class _Call:
+    """One call in a thread of its own; what it says after its time is not heard."""
+
+    def __init__(self, function: Callable, item: object, seconds: float, finished: queue.SimpleQueue):
+        self.deadline = time.monotonic() + seconds
+        self.result: object = None
+
+        def run() -> None:
+            try:
+                told: object = function(item)
+            except BaseException as failure:
+                told = failure
+            finished.put((self, told))
+
+        threading.Thread(target=run, daemon=True).start()
+
+
+def in_order(
+    function: Callable, items: Iterable, parallel: int, seconds: Callable[[object], float], ahead: int | None = None
+) -> Iterator[object]:
+    """The function's results in the order of the items, with up to ``parallel`` calls at once.
+
+    Items are drawn as calls become free, never more than ``ahead`` beyond the next
+    result that is due, so a slow call holds back a bounded buffer. A call that takes
+    longer than ``seconds`` of its item is given up, as is one that raises: its
+    exception is the result, and its place is free for the next one.
+    """
+    finished: queue.SimpleQueue = queue.SimpleQueue()
+    due: deque[_Call] = deque()
+    running: set[_Call] = set()
+    rest, more = iter(items), True
+    ahead = ahead or 4 * parallel
+    while True:
+        while more and len(running) < parallel and len(due) < ahead:
+            try:
+                item = next(rest)
+            except StopIteration:
+                more = False
+                break
+            call = _Call(function, item, seconds(item), finished)
+            due.append(call)
+            running.add(call)
+        while due and due[0] not in running:
+            yield due.popleft().result
+        if not due and not more:
+            return
+        if not running:
+            continue
+        try:
+            call, told = finished.get(timeout=max(0.0, min(c.deadline for c in running) - time.monotonic()))
+            if call in running:
+                call.result = told
+                running.discard(call)
+        except queue.Empty:
+            for call in [c for c in running if c.deadline <= time.monotonic()]:
+                call.result = TimeoutError("no answer in time")
+                running.discard(call)
+
+
 def translate_column(
     df: DataFrame,
     source: str,
@@ -377,19 +439,43 @@ def call_requests(
     requests: DataFrame,
     call_fn: CallFn,
     materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+    parallel: int = fixed.PARALLEL_REQUESTS,
+    per_call: int = 1,
 ) -> DataFrame:
     """Adds ``raw`` and ``call_error``; a failed request is a row, never an exception.
 
-    The function gets the requests of an Arrow batch at once; if that fails,
-    the batch is halved until the faulty ones are alone, and only these go without an answer.
+    Every task keeps up to ``parallel`` calls under way, each with ``per_call``
+    requests, and goes on reading while they are: answers wait in a bounded buffer and
+    leave in the order of the rows. A call that fails is halved until the faulty
+    requests are alone; one that takes longer than the ``timeout_seconds`` of its
+    requests is given up. Only these go without an answer.
     """
     wanted = ["prompt", "n_items", "answer_tokens", "timeout_seconds"]
 
+    def asked(calls: list[dict]) -> tuple[list[str | None], list[str | None]]:
+        return each_or_none(call_fn, calls, delays=())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            calls = batch.select(wanted).to_pylist()
-            raw, errors = each_or_none(call_fn, calls, delays=())
-            yield _with_columns(batch, {"raw": raw, "call_error": errors})
+        begun: deque[pa.RecordBatch] = deque()
+
+        def chunks() -> Iterator[list[dict]]:
+            for batch in batches:
+                if batch.num_rows:
+                    begun.append(batch)
+                    calls = batch.select(wanted).to_pylist()
+                    yield from (calls[i : i + per_call] for i in range(0, len(calls), per_call))
+
+        raw: list[str | None] = []
+        errors: list[str | None] = []
+        for told in in_order(asked, chunks(), parallel, lambda c: sum(x["timeout_seconds"] for x in c)):
+            if isinstance(told, BaseException):
+                n = min(per_call, begun[0].num_rows - len(raw))
+                told = ([None] * n, [f"{type(told).__name__}: {told}"] * n)
+            raw += told[0]
+            errors += told[1]
+            if len(raw) == begun[0].num_rows:
+                yield _with_columns(begun.popleft(), {"raw": raw, "call_error": errors})
+                raw, errors = [], []
 
     return materialise(requests.mapInArrow(run, _extended(requests, "raw", "call_error")))
 
@@ -439,6 +525,7 @@ def polish(
     template: str = DEFAULT_ITEM,
     profile: str = "braces",
     materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+    parallel: int = fixed.PARALLEL_REQUESTS,
 ) -> DataFrame:
     """Adds ``final_text`` and ``polished`` to units that carry a draft."""
     group = group or ["pkg_id"]
@@ -453,7 +540,7 @@ def polish(
     )
     # the package is both a grouping column and a field of the items
     responses = call_requests(
-        render_requests(requests, mode, template), call_fn, materialise=materialise
+        render_requests(requests, mode, template), call_fn, materialise=materialise, parallel=parallel
     )
     items = parse_answers(responses, mode).select("item.*", "answer")
     done = apply_answers(items, profile=profile).select(unit_id, "final_text", "polished")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locale_lake.operators import skew
+from locale_lake.session import cut_lineage
 
 ORIGINS = ("override", "reuse", "memory")
 
@@ -151,6 +155,56 @@ def reuse_summary(units: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def elect_leaders(todo: DataFrame, text: str = "source_text", package: str = "pkg_seq") -> DataFrame:
+    """Adds ``leads``: does a unit belong to the first package that needs a result for its text?
+
+    Packages run in ``package`` order, and a text that one has translated is memory for
+    all that follow. So only the first package's units go to a model; the others wait.
+    """
+    first = todo.groupBy(text).agg(F.min(package).alias("_first"))
+    return (
+        skew.lookup(todo, first, [text], "left")
+        .withColumn("leads", F.col(package).eqNullSafe(F.col("_first")))
+        .drop("_first")
+    )
+
+
+def fill_followers(
+    followers: DataFrame, led: DataFrame, order: list[str], text: str = "source_text"
+) -> DataFrame:
+    """Adds ``memory_text``: what the leading package left for the text, its last unit's result.
+
+    Units that fell back to their source text leave nothing behind.
+    """
+    left = skew.latest(led.filter("origin <> 'fallback'"), [text], ["final_text"], order)
+    return skew.lookup(
+        followers.drop("memory_text"), left.withColumnRenamed("final_text", "memory_text"), [text], "left"
+    )
+
+
+def in_package_order(
+    todo: DataFrame,
+    infer: Callable[[DataFrame], DataFrame],
+    order: list[str],
+    materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+) -> DataFrame:
+    """Results of one run over many packages, as if they were translated one after the other.
+
+    ``infer`` adds ``final_text`` and ``origin``. It sees each text in the first package
+    that needs it; later packages take that result from memory (origin ``memory``).
+    Where the first package got none, the others are translated by themselves.
+    """
+    elected = materialise(elect_leaders(todo))
+    led = materialise(infer(elected.filter("leads").drop("leads")))
+    filled = materialise(fill_followers(elected.filter("NOT leads").drop("leads"), led, order))
+    known = filled.filter("memory_text IS NOT NULL")
+    known = known.withColumns({"final_text": F.col("memory_text"), "origin": F.lit("memory")})
+    alone = infer(filled.filter("memory_text IS NULL"))
+    columns = [*dict.fromkeys([*todo.columns, "final_text", "origin"])]
+    plain = [led, known, alone]
+    return functools.reduce(DataFrame.unionByName, [df.select(*columns) for df in plain])
+
+
 def propagate_memory(
     units: DataFrame,
     text: str = "source_text",

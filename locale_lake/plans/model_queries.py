@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -536,3 +537,40 @@ def retry_rows(spark: SparkSession, folder: str) -> DataFrame:
     """A fault of the model costs the texts at fault their answer and no other."""
     texts = table(spark, folder, "documents", spread=True).select("doc_id", "text")
     return inf.translate_column(texts, "text", "answer", _fails_on_marks, delays=()).drop("text")
+
+
+def _reports_company(active: list) -> inf.CallFn:
+    """A model that takes its time and says how many calls were under way meanwhile."""
+
+    def model(requests: list[dict]) -> list[str]:
+        active.append(1)
+        time.sleep(0.03)
+        company = len(active)
+        active.pop()
+        if any("?" in r["prompt"] for r in requests):
+            raise ValueError("no questions")
+        return [f"{company} {r['n_items']}" for r in requests]
+
+    return model
+
+
+@query(
+    "call_overlap",
+    "WITH "
+    + _REQUESTS_SQL.format(size=40)
+    + """, requests AS (SELECT role, batch, count(*) AS n, bool_or(contains(text, '?')) AS asks FROM items GROUP BY 1, 2)
+    SELECT role AS pkg_id, batch, CASE WHEN NOT asks THEN n END AS answered,
+      CASE WHEN asks THEN 'ValueError: no questions' END AS call_error, true AS together FROM requests""",
+)
+def call_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """Up to four calls of a task at once; each answer stays with its request, a fault costs one."""
+    requests = inf.render_requests(_requests(spark, folder, 40)).select(
+        "pkg_id", "batch", "prompt", "n_items", "answer_tokens", "timeout_seconds"
+    )
+    # few tasks, so that each has several requests
+    called = inf.call_requests(requests.repartition(2, "pkg_id", "batch"), _reports_company([]), parallel=4)
+    told = F.split("raw", " ")
+    most = called.agg((F.max(told[0].cast("int")) > 1).alias("together"))
+    return called.select("pkg_id", "batch", told[1].cast("bigint").alias("answered"), "call_error").crossJoin(
+        F.broadcast(most)  # one row
+    )

@@ -426,3 +426,35 @@ def state_carry(spark: SparkSession, folder: str) -> DataFrame:
         )
         commit_run({"state": rows}, rows, path, run_id)
     return read_state(spark, path, "state").select("pkg_id", "lang", "key", "text")
+
+
+@query(
+    "memory_run",
+    """WITH units AS (SELECT turn AS pkg_seq, conv_id, substr(text, 1, 3) AS source_text FROM conversations),
+    fresh AS (
+      SELECT *, CASE WHEN source_text LIKE '%e%' AND pkg_seq % 2 = 0 THEN 'fallback' ELSE 'draft' END AS own,
+        min(pkg_seq) OVER (PARTITION BY source_text) AS first FROM units),
+    leaders AS (
+      SELECT source_text, arg_max(pkg_seq || ':' || conv_id || ':' || source_text, conv_id) AS text
+      FROM fresh WHERE pkg_seq = first AND own <> 'fallback' GROUP BY 1)
+    SELECT pkg_seq, conv_id, CASE WHEN pkg_seq > first AND text IS NOT NULL THEN 'memory' ELSE own END AS origin,
+      CASE WHEN pkg_seq > first AND text IS NOT NULL THEN text WHEN own = 'fallback' THEN source_text
+        ELSE pkg_seq || ':' || conv_id || ':' || source_text END AS final_text
+    FROM fresh LEFT JOIN leaders USING (source_text)""",
+)
+def memory_run(spark: SparkSession, folder: str) -> DataFrame:
+    """One run over packages (turns) that share texts: the first package's result serves the later ones,
+    unless it got none."""
+    units = table(spark, folder, "conversations").select(
+        F.col("turn").cast("bigint").alias("pkg_seq"), "conv_id", F.substring("text", 1, 3).alias("source_text")
+    )
+    told = F.concat_ws(":", "pkg_seq", "conv_id", "source_text")
+
+    def infer(todo: DataFrame) -> DataFrame:
+        """A model whose answer depends on the unit, and that fails on some texts in even packages."""
+        fails = F.col("source_text").contains("e") & (F.col("pkg_seq") % 2 == 0)
+        return todo.withColumns(
+            {"final_text": F.when(fails, F.col("source_text")).otherwise(told), "origin": F.when(fails, "fallback").otherwise("draft")}
+        )
+
+    return reuse.in_package_order(units, infer, ["conv_id"]).select("pkg_seq", "conv_id", "origin", "final_text")

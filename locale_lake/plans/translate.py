@@ -35,6 +35,7 @@ class Options:
     profile: str = "braces"
     glossary: dict[str, str] | None = None
     retry_delays: Sequence[float] = fixed.RETRY_DELAYS_SECONDS
+    parallel: int = fixed.PARALLEL_REQUESTS
 
 
 @dataclass
@@ -142,9 +143,25 @@ def translate_corpus(
     if cancelled():
         raise RunCancelled("stopped before the first unit")
     todo = reuse.pending(known).drop("settled_text", "origin")
-    fresh = _infer(todo, translate_fn, call_fn, size, options)
+    fresh = cut_lineage(
+        reuse.in_package_order(
+            todo,
+            lambda units: _infer(units, translate_fn, call_fn, size, options),
+            ["layer", "sort_path", "seq"],
+        )
+    )
     if cancelled():
         raise RunCancelled("stopped after the draft")
+    # what this run's earlier packages left counts as memory
+    followed = fresh.filter("origin = 'memory'").select(
+        "unit_id", F.col("final_text").alias("_followed")
+    )
+    told = known.join(followed, "unit_id", "left").withColumns(
+        {
+            "memory_text": F.coalesce("memory_text", "_followed"),
+            "origin": F.when(F.col("_followed").isNotNull(), "memory").otherwise(F.col("origin")),
+        }
+    )
 
     settled = known.filter(F.col("origin").isNotNull()).withColumn(
         "final_text", F.col("settled_text")
@@ -171,7 +188,7 @@ def translate_corpus(
     return Outcome(
         results=results,
         files=written.unionByName(about),
-        summary=reuse.reuse_summary(known, ["pkg_id"]),
+        summary=reuse.reuse_summary(told, ["pkg_id"]),
     )
 
 
@@ -203,6 +220,7 @@ def _infer(todo, translate_fn, call_fn, size: int, options: Options) -> DataFram
             buckets=["layer", "file_id", "sort_path"],
             order=["seq"],
             profile=options.profile,
+            parallel=options.parallel,
         )
     else:
         ready = ready.withColumns(

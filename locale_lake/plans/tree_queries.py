@@ -9,7 +9,7 @@ from locale_lake.functions import text as tx
 from locale_lake.operators import inherit, patches, tree
 from locale_lake.plans.registry import query, table
 from locale_lake.plans.text_queries import _REASON_SQL
-from locale_lake.session import cut_lineage
+from locale_lake.session import cut_lineage, rewritten
 from locale_lake.sources import files as fs
 from locale_lake.sources import xml
 
@@ -228,6 +228,81 @@ def inherit_merge(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_RULES_SQL = """
+RECURSIVE heads AS (
+  SELECT p_partkey AS id, 'n' || p_partkey AS name, CASE WHEN p_partkey % 11 <> 7 THEN 'n' || p_partkey // 4 ELSE 'nowhere' END AS up,
+    p_partkey % 2 AS odd, p_size, p_name, p_type, p_partkey || '' AS tree FROM part
+  UNION ALL
+  SELECT p_partkey, 'n' || p_partkey, CASE WHEN p_partkey % 11 <> 7 THEN 'n' || p_partkey // 4 ELSE 'nowhere' END,
+    p_partkey % 2, p_size, 'again ' || p_name, p_type, p_partkey || 'again' FROM part WHERE p_size > 40),
+registry AS (SELECT name, arg_min(tree, tree) AS tree FROM heads GROUP BY name),
+own AS (
+  SELECT h.*, r.tree AS up_tree,
+    CASE WHEN p_size % 5 <> 0 THEN p_type END AS label,
+    CASE WHEN p_size % 7 = 0 THEN [] ELSE [p_name, p_type] END AS steps, p_size % 10 = 1 AS alone,
+    CASE WHEN odd = 1 THEN p_name END AS a, CASE WHEN odd = 0 OR p_size % 3 = 0 THEN p_type END AS b, p_size % 10 = 2 AS cut
+  FROM heads h LEFT JOIN registry r ON r.name = h.up AND r.tree <> h.tree),
+done AS (
+  SELECT tree, label, steps, a, b FROM own WHERE up_tree IS NULL
+  UNION ALL
+  SELECT o.tree, coalesce(o.label, d.label),
+    CASE WHEN o.alone THEN o.steps WHEN len(o.steps) = 0 THEN d.steps ELSE d.steps || o.steps END,
+    CASE WHEN o.cut THEN o.a ELSE coalesce(o.a, d.a) END, CASE WHEN o.cut THEN o.b ELSE coalesce(o.b, d.b) END
+  FROM own o JOIN done d ON o.up_tree = d.tree)
+"""
+
+
+@query(
+    "inherit_rules",
+    f"""WITH {_RULES_SQL}
+    SELECT tree AS tree_id, 'label' AS field_path, 'type ' || label AS text FROM done WHERE label IS NOT NULL
+    UNION ALL SELECT tree, 'extra.a', 'a ' || a FROM done WHERE a IS NOT NULL
+    UNION ALL SELECT tree, 'extra.b', 'b ' || b FROM done WHERE b IS NOT NULL
+    UNION ALL SELECT tree, 'steps.' || (generate_subscripts(steps, 1) - 1), 'step ' || unnest(steps) FROM done""",
+)
+def inherit_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every rule of inheritance, from names to merged fields: the first definition of a name is
+    the one that counts; lists are joined, refused, or taken over whole; elements meet by tag."""
+    part = table(spark, folder, "part", spread=True)
+    number = F.col("p_partkey").cast("string")
+    again = part.filter("p_size > 40").withColumn("p_name", F.concat(F.lit("again "), "p_name"))
+    every = part.withColumn("tree_id", number).unionByName(again.withColumn("tree_id", F.concat(number, F.lit("again"))))
+    parent_name = F.concat(F.lit("n"), F.expr("p_partkey div 4").cast("string"))
+    heads = every.select(
+        F.lit("all").alias("pkg_id"),
+        "tree_id",
+        F.concat(F.lit("n"), number).alias("name"),
+        F.when(F.col("p_partkey") % 11 != 7, parent_name).otherwise("nowhere").alias("parent_name"),
+    )
+    size, odd = F.col("p_size"), F.col("p_partkey") % 2 == 1
+    node = "struct<pos:array<int>,tags:array<string>,tag:string,text:string,attrs:map<string,string>>"
+
+    def row(pos: list[int], tags: list[str], text: Column, refuses: Column | None = None) -> Column:
+        attrs = F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")
+        if refuses is not None:
+            attrs = F.when(refuses, F.create_map(F.lit("Inherit"), F.lit("False"))).otherwise(attrs)
+        return F.struct(
+            F.array(*[F.lit(p) for p in pos]), F.array(*[F.lit(t) for t in tags]), F.lit(tags[-1] if tags else "PartDef"), text, attrs
+        ).cast(node)
+
+    said = lambda what, column: F.concat(F.lit(what), column)
+    filled, has_b = size % 7 != 0, ~odd | (size % 3 == 0)
+    rows = F.array(
+        row([], [], F.lit("")),
+        F.when(size % 5 != 0, row([0], ["label"], said("type ", F.col("p_type")))),
+        row([1], ["steps"], F.lit(""), size % 10 == 1),
+        F.when(filled, row([1, 0], ["steps", "li"], said("step ", F.col("p_name")))),
+        F.when(filled, row([1, 1], ["steps", "li"], said("step ", F.col("p_type")))),
+        row([2], ["extra"], F.lit(""), size % 10 == 2),
+        F.when(odd, row([2, 0], ["extra", "a"], said("a ", F.col("p_name")))),
+        F.when(has_b, row([2, 1], ["extra", "b"], said("b ", F.col("p_type")))),
+    )
+    trees = every.select("tree_id", F.explode(rows).alias("n")).filter("n IS NOT NULL").select("tree_id", "n.*")
+    registry = rewritten(inherit.name_registry(heads, ["tree_id"]))
+    chain = inherit.chains(heads, registry)
+    return tree.walk_fields(inherit.merge_inherited(trees, chain)).select("tree_id", "field_path", "text")
+
+
 @query(
     "dual_types",
     """WITH tags AS (

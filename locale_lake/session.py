@@ -86,3 +86,20 @@ def rewritten(df: DataFrame) -> DataFrame:
     path = f"{folder}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme it has for Spark; paths of local disks stay plain.
+
+    Tasks open paths by themselves, so what the default file system means has to be
+    settled before they do.
+    """
+    if path.startswith("file:"):
+        return "/" + path[5:].lstrip("/")
+    if "://" in path:
+        return path
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() == "file":
+        return os.path.abspath(path)
+    return system.makeQualified(place).toString()

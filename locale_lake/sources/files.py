@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from locale_lake.functions import fixed
 from locale_lake.functions import text as tx
 from locale_lake.operators import skew
+from locale_lake.session import qualified
 
 # Package dimension tables (roots, language folders) are broadcast only when
 # counted to be no larger; else the join is spread over tasks.
@@ -30,7 +31,7 @@ def packages_in(spark: SparkSession, folder: str) -> DataFrame:
 
     Packages are numbered by name, in buckets of equal first letters.
     """
-    folder = folder.rstrip("/")
+    folder = qualified(spark, folder.rstrip("/"))
     paths = _listing(spark, [folder]).select(_local(F.col("path")).alias("path"))
     base = folder if "://" in folder else _plain(folder)
     names = (
@@ -50,7 +51,7 @@ def packages_in(spark: SparkSession, folder: str) -> DataFrame:
 
 def packages_from(spark: SparkSession, roots: list[str]) -> DataFrame:
     """(pkg_id, pkg_seq) for an explicit, ordered list of package folders."""
-    rows = [(_plain(root), i) for i, root in enumerate(roots)]
+    rows = [(_plain(qualified(spark, root)), i) for i, root in enumerate(roots)]
     return spark.createDataFrame(rows, "pkg_id string, pkg_seq bigint")
 
 
