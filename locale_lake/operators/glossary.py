@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from locale_lake.operators import skew
 # A term table is broadcast only after counting that it has no more rows than this.
 BROADCAST_TERMS = 50_000
 _WORDS_AND_GAPS = r"(?U)(\w+|\W+)"
+# the same in tasks; this library's words have marks in them, as the JVM's have
+_PIECE, _WORD = regex.compile(r"\w+|\W+"), regex.compile(r"\w")
 
 
 def find_terms(
@@ -27,16 +31,20 @@ def find_terms(
 ) -> DataFrame:
     """Leftmost-longest whole-word hits of a term table of any size.
 
-    ``glossary`` has (lang, term, replacement). Every text is cut into words and
-    gaps; each word that starts a term starts candidate spans of up to ``max_words``
-    words, which meet the table by equality. Frequent words make hot keys, so the join is spread; the
-    term side is never forced into a broadcast. One row per unit with a hit:
-    ``hits`` ARRAY<STRUCT<start, size, hit, replacement>>, start and size counted
-    in pieces (words and gaps).
+    ``glossary`` has (lang, term, replacement); terms of more than ``max_words`` words
+    are left out. A text is its words and the gaps between them. Up to BROADCAST_TERMS
+    terms become a tree of words that goes to the tasks, and every text is walked
+    along it once. More terms meet the texts by a join: each word that starts a term
+    starts candidate spans, which meet the table by equality; frequent words make hot
+    keys, so that join is spread. One row per unit with a hit: ``hits``
+    ARRAY<STRUCT<start, size, hit, replacement>>, start and size counted in pieces
+    (words and gaps).
     """
     terms = glossary.groupBy("lang", F.lower("term").alias("_span")).agg(
         F.min("replacement").alias("replacement")
     )
+    if skew.has_at_most(terms, BROADCAST_TERMS):
+        return _walked(units, terms, max_words, text, unit_id)
     pieces = F.regexp_extract_all(F.col(text), F.lit(_WORDS_AND_GAPS), F.lit(1))
     # words and gaps alternate, so words sit at every second place
     first_word = F.when(F.get("_pieces", F.lit(0)).rlike(r"(?U)^\w"), 1).otherwise(2)
@@ -80,6 +88,75 @@ def find_terms(
     return grouped.select(unit_id, _without_overlaps(F.col("_found")).alias("hits"))
 
 
+def term_trees(terms: list[tuple[str, str, str]], max_words: int) -> dict[str, dict]:
+    """Per language a tree of pieces; the key "" of a node holds the replacement of the term that ends there."""
+    trees: dict[str, dict] = {}
+    for lang, term, replacement in terms:
+        pieces = _PIECE.findall(term)
+        if not pieces or len(pieces) > 2 * max_words - 1 or not (_WORD.match(pieces[0]) and _WORD.match(pieces[-1])):
+            continue
+        node = trees.setdefault(lang, {})
+        for piece in pieces:
+            node = node.setdefault(piece, {})
+        node[""] = replacement
+    return trees
+
+
+def walk_terms(text: str, tree: dict) -> list[dict]:
+    """Hits of a text, leftmost first and each as long as can be; the next begins behind it."""
+    pieces = _PIECE.findall(text)
+    hits: list[dict] = []
+    place = 0
+    while place < len(pieces):
+        node, end, replacement = tree.get(pieces[place].lower()), 0, None
+        reach = place + 1
+        while node is not None:
+            if "" in node:
+                end, replacement = reach, node[""]
+            node = node.get(pieces[reach].lower()) if reach < len(pieces) else None
+            reach += 1
+        if end:
+            hits.append({"start": place + 1, "size": end - place, "hit": "".join(pieces[place:end]), "replacement": replacement})
+        place = end or place + 1
+    return hits
+
+
+def _walked(units: DataFrame, terms: DataFrame, max_words: int, text: str, unit_id: str) -> DataFrame:
+    trees = term_trees([(r["lang"], r["_span"], r["replacement"]) for r in terms.collect()], max_words)
+    id_type = units.schema[unit_id].dataType.simpleString()
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("hit", pa.string()), ("replacement", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                walk_terms(said, trees[lang]) if said and lang in trees else []
+                for lang, said in zip(batch.column("_lang").to_pylist(), batch.column("_said").to_pylist(), strict=True)
+            ]
+            some = pa.array([i for i, hits in enumerate(found) if hits], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_unit").take(some), pa.array([h for h in found if h], kind)], names=[unit_id, "hits"]
+            )
+
+    said = units.select(F.col(unit_id).alias("_unit"), F.col("lang").alias("_lang"), F.col(text).alias("_said"))
+    found = said.mapInArrow(run, f"`{unit_id}` {id_type}, hits array<struct<start:int,size:int,hit:string,replacement:string>>")
+    capital = F.transform(
+        "hits",
+        lambda h: F.struct(
+            h["start"].alias("start"),
+            h["size"].alias("size"),
+            h["hit"].alias("hit"),
+            gl.follow_capital(h["hit"], h["replacement"]).alias("replacement"),
+        ),
+    )
+    return found.select(unit_id, capital.alias("hits"))
+
+
+def longest_term(glossary: DataFrame) -> int:
+    """Words of the longest term, 1 at least."""
+    words = F.size(F.regexp_extract_all("term", F.lit(r"(?U)(\w+)"), F.lit(1)))
+    return max(1, glossary.agg(F.max(words)).first()[0] or 1)
+
+
 def _without_overlaps(found: Column) -> Column:
     """Keep a hit if it starts after the last kept one ended."""
     row = "struct<start:int,size:int,hit:string,replacement:string>"

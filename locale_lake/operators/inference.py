@@ -22,6 +22,7 @@ from locale_lake.functions import classify as cl
 from locale_lake.functions import fixed
 from locale_lake.functions import glossary as gl
 from locale_lake.functions import text as tx
+from locale_lake.operators import glossary as go
 from locale_lake.operators import skew
 from locale_lake.session import cut_lineage
 
@@ -227,29 +228,41 @@ def translate_pieces(
     pieces: DataFrame,
     translate_fn: TranslateFn,
     lang: str,
-    glossary: dict[str, str] | None = None,
+    glossary: dict[str, str] | DataFrame | None = None,
     delays: Sequence[float] = fixed.RETRY_DELAYS_SECONDS,
     materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+    lexicon: DataFrame | None = None,
+    inflections: dict | None = None,
 ) -> DataFrame:
     """(piece, translated, error, n) per distinct piece, with both quality guards.
 
+    ``glossary`` is a small dictionary or a table (lang, term, replacement) of any
+    size. Where terms were put back, the adjectives of ``inflections`` follow the nouns
+    of the ``lexicon`` (see ``glossary.agree``).
+
     Each model pass is written to the shared checkpoint folder before anything
     reads it: a model need not answer twice the same, so a recomputed task must
     not ask again. Only pieces a guard flags are asked a second time.
     """
-    terms = glossary or {}
+    terms = {} if glossary is None else glossary
     distinct = pieces.filter(F.col("piece").isNotNull()).groupBy("piece").agg(F.count("*").alias("n"))
-    protected = distinct.select(
-        "piece",
-        "n",
-        gl.protect(F.col("piece"), terms).alias("_protected"),
-        (gl.replacements(F.col("piece"), terms) if terms else F.array().cast("array<string>")).alias(
-            "_tokens"
-        ),
-    )
+    if isinstance(terms, DataFrame):
+        spoken = materialise(distinct.withColumn("lang", F.lit(lang)))
+        held = go.protect_terms(spoken, terms.filter(F.col("lang") == lang), go.longest_term(terms), "piece", "piece")
+        protected = held.select("piece", "n", F.col("protected").alias("_protected"), F.col("tokens").alias("_tokens"))
+    else:
+        protected = distinct.select(
+            "piece",
+            "n",
+            gl.protect(F.col("piece"), terms).alias("_protected"),
+            (gl.replacements(F.col("piece"), terms) if terms else F.array().cast("array<string>")).alias(
+                "_tokens"
+            ),
+        )
+    has_terms = isinstance(terms, DataFrame) or bool(terms)
 
     def restored(raw: str) -> Column:
-        return gl.restore(F.col(raw), F.col("_tokens")) if terms else F.col(raw)
+        return gl.restore(F.col(raw), F.col("_tokens")) if has_terms else F.col(raw)
 
     first = materialise(
         translate_column(protected, "_protected", "_raw", translate_fn, delays).select(
@@ -276,6 +289,14 @@ def translate_pieces(
     if lang in fixed.FOREIGN_SCRIPT_TARGETS:
         script_checked = materialise(script_checked)
 
+    if has_terms and inflections and lexicon is not None:
+        spoken = script_checked.withColumn("lang", F.lit(lang))
+        script_checked = materialise(
+            go.agree(spoken, lexicon, inflections, "translated", "piece")
+            .withColumn("translated", F.coalesce("agreed", "translated"))
+            .select(*columns)
+        )
+
     # far fewer words than the source: try without stand-ins, take it if longer
     short = F.coalesce(cl.is_truncated(F.col("piece"), F.col("translated")), F.lit(False))
     bare = translate_column(script_checked.filter(short), "piece", "_bare", translate_fn, delays)
@@ -292,13 +313,15 @@ def draft(
     units: DataFrame,
     translate_fn: TranslateFn,
     lang: str,
-    glossary: dict[str, str] | None = None,
+    glossary: dict[str, str] | DataFrame | None = None,
     text: str = "source_text",
     unit_id: str = "unit_id",
     profile: str = "braces",
     delays: Sequence[float] = fixed.RETRY_DELAYS_SECONDS,
     hot_rows: int = skew.HOT_ROWS,
     materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+    lexicon: DataFrame | None = None,
+    inflections: dict | None = None,
 ) -> DataFrame:
     """Adds ``draft_text`` and ``draft_error``.
 
@@ -307,7 +330,9 @@ def draft(
     A unit with a failed piece has no draft. Blank text passes through.
     """
     pieces = explode_pieces(units.filter(~tx.is_blank(F.col(text))), text, unit_id, profile)
-    known = translate_pieces(pieces, translate_fn, lang, glossary, delays, materialise)
+    known = translate_pieces(
+        pieces, translate_fn, lang, glossary, delays, materialise, lexicon, inflections
+    )
     # how often a piece occurs was counted when the pieces were made distinct
     counts = known.select(F.xxhash64("piece").alias("_hot"), F.col("n").alias("_n"))
     joined = skew.lookup(

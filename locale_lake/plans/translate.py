@@ -33,7 +33,9 @@ class Options:
     with_source: bool = False
     key_scope: str = "typed"
     profile: str = "braces"
-    glossary: dict[str, str] | None = None
+    glossary: dict[str, str] | DataFrame | None = None  # or a table (lang, term, replacement)
+    lexicon: DataFrame | None = None  # (lang, noun, gender, number)
+    inflections: dict | None = None  # see operators.glossary.agree
     retry_delays: Sequence[float] = fixed.RETRY_DELAYS_SECONDS
     parallel: int = fixed.PARALLEL_REQUESTS
 
@@ -203,6 +205,8 @@ def _infer(todo, translate_fn, call_fn, size: int, options: Options) -> DataFram
                 options.glossary,
                 profile=options.profile,
                 delays=options.retry_delays,
+                lexicon=options.lexicon,
+                inflections=options.inflections,
             )
         )
     else:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 _BOM = b"\xef\xbb\xbf"
 _FLUSH_ROWS = 8192
+_FEED_BYTES = 65_536
 _NODE = pa.schema(
     [
         ("pos", pa.list_(pa.int32())),
@@ -38,25 +39,96 @@ _NODE_FIELDS = T.StructType(
 ).fields
 
 
+class _Rows:
+    """Parser target that turns events into node rows; it holds the open elements and nothing else.
+
+    An element's row waits for its text, which ends at its first child or its end, so
+    rows come in document order.
+    """
+
+    def __init__(self, keep_comments: bool, has_bom: bool):
+        self.rows: list[tuple] = []
+        self.has_bom, self.keep_comments = has_bom, keep_comments
+        self.pos: list[int] = []
+        self.tags: list[str] = []
+        self.children: list[int] = []  # of each open element, so far
+        self.waiting: tuple[str, dict] | None = None
+        self.said: list[str] = []
+
+    def _leave(self) -> None:
+        if self.waiting is not None:
+            tag, attrs = self.waiting
+            row = (list(self.pos), list(self.tags), tag, list(attrs.items()), "".join(self.said), False, self.has_bom, None)
+            self.rows.append(row)
+            self.waiting, self.said = None, []
+
+    def _place(self) -> None:
+        if self.children:
+            self.pos.append(self.children[-1])
+            self.children[-1] += 1
+
+    def start(self, tag: str, attrs: dict) -> None:
+        self._leave()
+        self._place()
+        self.tags.append(tag)
+        self.children.append(0)
+        self.waiting = (tag, attrs)
+
+    def data(self, text: str) -> None:
+        if self.waiting is not None:
+            self.said.append(text)
+
+    def comment(self, text: str) -> None:
+        if self.keep_comments and self.children:  # those outside the root are of no node
+            self._leave()
+            place = [*self.pos, self.children[-1]]
+            self.children[-1] += 1
+            self.rows.append((place, [*self.tags, ""], None, [], text, True, self.has_bom, None))
+
+    def end(self, tag: str) -> None:
+        self._leave()
+        self.tags.pop()
+        self.children.pop()
+        if self.pos:
+            self.pos.pop()
+
+    def close(self) -> None:
+        pass
+
+
+class _Nothing:
+    def close(self) -> None:
+        pass
+
+
+def _fed(target: object, content: memoryview) -> Iterator[None]:
+    """Feed a document to a parser in steps; a malformed one raises."""
+    parser = ET.XMLParser(target=target)
+    for at in range(0, len(content), _FEED_BYTES):
+        parser.feed(content[at : at + _FEED_BYTES])
+        yield
+    parser.close()
+
+
 def node_rows(content: bytes, keep_comments: bool) -> Iterator[tuple]:
-    """Pre-order node rows of one document; a malformed one gives one error row."""
+    """Pre-order node rows of one document; a malformed one gives one error row.
+
+    The document is read as a stream of events, first only to see that it is well
+    formed, so memory is bound by the depth of the tree, whatever its size.
+    """
     has_bom = content.startswith(_BOM)
-    parser = ET.XMLParser(target=ET.TreeBuilder(insert_comments=keep_comments))
+    body = memoryview(content)[len(_BOM) if has_bom else 0 :]
     try:
-        root = ET.fromstring(content[len(_BOM):] if has_bom else content, parser=parser)
+        for _ in _fed(_Nothing(), body):
+            pass
     except (ET.ParseError, ValueError, LookupError) as error:
         yield None, None, None, None, None, None, has_bom, str(error)
         return
-    stack = [(root, [], [])]
-    while stack:
-        element, pos, above = stack.pop()
-        comment = element.tag is ET.Comment
-        tag = None if comment else element.tag
-        tags = [*above, tag or ""]
-        yield pos, tags, tag, list(element.attrib.items()), element.text or "", comment, has_bom, None
-        if not comment:
-            children = [(child, [*pos, i], tags) for i, child in enumerate(element)]
-            stack.extend(reversed(children))
+    target = _Rows(keep_comments, has_bom)
+    for _ in _fed(target, body):
+        yield from target.rows
+        target.rows = []
+    yield from target.rows
 
 
 def shred_xml(

@@ -305,3 +305,79 @@ def test_glossary_of_no_language_changes_nothing(spark):
     frame = spark.createDataFrame([("xx", "a pipe")], "lang string, v string")
     out = gl.by_language(F.col("lang"), {"en": TERMS}, lambda t: gl.protect(F.col("v"), t), F.col("v"))
     assert frame.select(out.alias("o")).first().o == "a pipe"
+
+
+def test_term_tree_and_term_join_find_the_same(spark, monkeypatch):
+    from locale_lake.operators import glossary as go
+
+    rows = [
+        (1, "en", "The Oil Lamp, the oil lamp's oil; LAMP oil lamps"),
+        (2, "en", "éa oil  lamp oil-lamp oil lamp"),
+        (3, "de", "oil lamp Öl"),
+        (4, "xx", "oil"),
+        (5, "en", None),
+        (6, "en", ""),
+        (7, "en", "a b c d a b c a b"),
+    ]
+    units = spark.createDataFrame(rows, "unit_id int, lang string, text string")
+    terms = [("en", "oil lamp", "lampe"), ("en", "oil", "huile"), ("en", "Oil-Lamp", "x-y"), ("de", "öl", "OIL"), ("en", "a b c d", "four"), ("en", "a b", "two"), ("en", "b c", "never"), ("en", "lamp", "lumière"), ("en", "a b c d a b c", "long")]
+    glossary = spark.createDataFrame(terms, "lang string, term string, replacement string")
+    shown = lambda max_words: sorted((r.unit_id, [tuple(h) for h in r.hits]) for r in go.find_terms(units, glossary, max_words).collect())
+    walked = {n: shown(n) for n in (1, 2, 4)}
+    monkeypatch.setattr(go, "BROADCAST_TERMS", 0)
+    assert {n: shown(n) for n in (1, 2, 4)} == walked
+    hits = dict(walked[4])
+    assert [h[2:] for h in hits[1]] == [("Oil Lamp", "Lampe"), ("oil lamp", "lampe"), ("oil", "huile"), ("LAMP", "Lumière"), ("oil", "huile")]
+    assert [h[2] for h in hits[7]] == ["a b c d", "a b", "a b"] and [h[3] for h in hits[3]] == ["OIL"]
+    assert go.longest_term(glossary) == 7
+
+
+def test_parser_streams_documents():
+    import tracemalloc
+
+    from locale_lake.sources.xml import node_rows
+
+    text = b"\xef\xbb\xbf<a x='1'>t<!-- c -->u<b>v &amp; w</b>y<?pi z?><c/><!--d--></a><!--e-->"
+    plain = [(r[0], r[1], r[2], r[3], r[4], r[5]) for r in node_rows(text, False)]
+    assert plain == [
+        ([], ["a"], "a", [("x", "1")], "tu", False), ([0], ["a", "b"], "b", [], "v & w", False), ([1], ["a", "c"], "c", [], "", False),
+    ]
+    spoken = [(r[0], r[2], r[4], r[5], r[6]) for r in node_rows(text, True)]
+    assert spoken == [
+        ([], "a", "t", False, True), ([0], None, " c ", True, True), ([1], "b", "v & w", False, True),
+        ([2], "c", "", False, True), ([3], None, "d", True, True),
+    ]
+    errors = [list(node_rows(c, False)) for c in (b"", b"<a><b></a>", b"<a>&none;</a>", b"<a/><b/>")]
+    assert all(len(e) == 1 and e[0][7] for e in errors)
+    large = b"<r>" + b"".join(b"<i n='%d'><t>text %d</t></i>" % (i, i) for i in range(60_000)) + b"</r>"
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in node_rows(large, False)) == 120_001
+        assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_ancestors_of_a_long_chain(spark):
+    rows = [(i, i - 1 if i else None) for i in range(700)] + [(1000, 1001), (1001, 1002), (1002, 1001), (2000, 2000), (3000, 9999)]
+    found = inherit.ancestors(spark.createDataFrame(rows, "n int, up int"), "n", "up").collect()
+    told = {}
+    for r in found:
+        told.setdefault(r.n, []).append((r.dist, r.ancestor))
+    assert sorted(told[699]) == [(d, 699 - d) for d in range(1, 700)] and len(told[1]) == 1 and 0 not in told
+    assert sorted(told[1000]) == [(1, 1001), (2, 1002)] and told[1001] == [(1, 1002)] and told[1002] == [(1, 1001)]
+    assert 2000 not in told and 3000 not in told and len(found) == 699 * 700 // 2 + 4
+
+
+def test_terms_of_a_table_reach_the_model_and_come_back(spark):
+    from locale_lake.operators import inference as inf
+
+    units = spark.createDataFrame([("u1", "Red oil lamp here"), ("u2", "nothing")], "unit_id string, source_text string")
+    glossary = spark.createDataFrame([("de", "oil lamp", "Öllampe"), ("fr", "nothing", "rien")], "lang string, term string, replacement string")
+    lexicon = spark.createDataFrame([("de", "öllampe", "Fem", "Sing")], "lang string, noun string, gender string, number string")
+    forms = {"de": {"rot": {("Fem", "Sing"): "rote"}}}
+    asked = lambda texts: [t.replace("Red", "Rot").replace("here", "hier") for t in texts]
+    told = {r.unit_id: r.draft_text for r in inf.draft(units, asked, "de", glossary, delays=(), lexicon=lexicon, inflections=forms).collect()}
+    assert told == {"u1": "Rote Öllampe hier", "u2": "nothing"}
+    plain = inf.draft(units, asked, "de", {"oil lamp": "Öllampe"}, delays=()).filter("unit_id = 'u1'").first()
+    assert plain.draft_text == "Rot Öllampe hier"

@@ -202,3 +202,107 @@ def test_one_fault_costs_one_answer():
     answers, errors = inf.each_or_none(touchy, texts, ())
     assert answers == ["A", "B", "C", None, "D", "E"]
     assert [e is None for e in errors] == [True, True, True, False, True, True]
+
+
+def test_calls_overlap_and_answers_stay_in_order():
+    import threading
+    import time
+
+    active, most, lock = [0], [0], threading.Lock()
+
+    def slow(item):
+        with lock:
+            active[0] += 1
+            most[0] = max(most[0], active[0])
+        time.sleep(0.05 if item % 3 else 0.15)
+        with lock:
+            active[0] -= 1
+        if item == 7:
+            raise OSError("gone")
+        return item * 10
+
+    start = time.monotonic()
+    told = list(inf.in_order(slow, range(20), 4, lambda item: 30))
+    assert time.monotonic() - start < 20 * 0.08 and most[0] == 4
+    assert [t for i, t in enumerate(told) if i != 7] == [i * 10 for i in range(20) if i != 7]
+    assert isinstance(told[7], OSError)
+    # a call without an answer in its time is given up; the others are not held up by it
+    hangs = threading.Event()
+    told = list(inf.in_order(lambda i: hangs.wait(20) if i == 1 else i, range(6), 2, lambda i: 0.2))
+    hangs.set()
+    assert isinstance(told[1], TimeoutError) and [told[i] for i in (0, 2, 3, 4, 5)] == [0, 2, 3, 4, 5]
+    # what is drawn ahead of the next result is bounded
+    drawn = []
+    results = inf.in_order(lambda i: time.sleep(0.2 if i == 0 else 0), (drawn.append(i) or i for i in range(100)), 2, lambda i: 9, ahead=5)
+    next(results)
+    assert len(drawn) <= 6 and len(list(results)) == 99
+    assert list(inf.in_order(slow, [], 3, lambda i: 1)) == []
+
+
+def test_faulty_requests_lose_only_their_own_answer(spark):
+    def model(requests):
+        if any(r["prompt"] == "hang" for r in requests):
+            import time
+
+            time.sleep(5)
+        if any("bad" in r["prompt"] for r in requests):
+            raise ValueError("no")
+        return [r["prompt"].upper() for r in requests]
+
+    prompts = ["bad 1"] + [f"p{i}" for i in range(30)] + ["hang", "q"]
+    rows = [(i, p, 1, 200, 1) for i, p in enumerate(prompts)]
+    df = spark.createDataFrame(rows, "i int, prompt string, n_items int, answer_tokens int, timeout_seconds int").coalesce(1)
+    for per_call in (1, 4):
+        told = {r.prompt: (r.raw, r.call_error) for r in inf.call_requests(df, model, parallel=3, per_call=per_call).collect()}
+        assert len(told) == 33 and told["bad 1"] == (None, "ValueError: no")
+        if per_call == 1:
+            assert told["hang"] == (None, "TimeoutError: no answer in time")
+            assert all(told[p] == (p.upper(), None) for p in prompts if p not in ("bad 1", "hang"))
+
+
+def test_equal_texts_of_two_packages_are_asked_once(spark, tmp_path):
+    roots = packages.write(tmp_path / "in", ["defs_only", "keyed_plus_defs"])  # both have "oil lamp"
+    calls = str(tmp_path / "calls.txt")
+
+    def call(requests):
+        with open(calls, "a") as log:
+            log.writelines(r["prompt"] + "\n" for r in requests)
+        return [f"<ANS>1: polished {r['prompt'].split('key: ')[1].split(' ')[0]}</ANS>" for r in requests]
+
+    scan = scan_corpus(spark, roots, fs.packages_from(spark, roots))
+    outcome = translate_corpus(
+        spark, scan, str(tmp_path / "out"), str(tmp_path / "state"), 1,
+        Options(lang="ru", retry_delays=(), batch_size=1), prefix, call,
+    )
+    prompts = [line for line in open(calls).read().splitlines() if "oil lamp" in line]
+    assert len(prompts) == 1
+    texts = {(r.pkg_id.rsplit("/", 1)[1], r.key): (r.final_text, r.origin) for r in outcome.results.filter("not is_comment").collect()}
+    assert texts["defs_only", "Lamp.label"] == ("polished Lamp.label", "polished")
+    assert texts["keyed_plus_defs", "Lamp.label"] == ("polished Lamp.label", "memory")
+    found = {r.pkg_id.rsplit("/", 1)[1]: r.from_memory for r in outcome.summary.collect()}
+    assert found == {"defs_only": 0, "keyed_plus_defs": 1}
+
+
+def test_a_file_is_written_by_several_tasks(spark, tmp_path):
+    from locale_lake.sinks import files as sink
+
+    rows = [
+        (f"{tmp_path}/o#1 é", "keyed", path, i % 3, f"{i:05d}", i, f"k{i}", False, path == "Keyed/a.xml", f"s{i}", f"<t{i}>")
+        for path, n in (("Keyed/a.xml", 900), ("Keyed/b.xml", 3), ("Keyed/c.xml", 400))
+        for i in range(n)
+    ]
+    schema = "out_root string, channel string, out_path string, layer int, sort_path string, seq bigint, key string, is_comment boolean, has_bom boolean, source_text string, final_text string"
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        written = sink.write_language_files(spark.createDataFrame(rows, schema).repartition(3), "Tongue").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    folder = tmp_path / "o#1 é/Languages/Tongue/Keyed"
+    assert sorted(f.name for f in folder.iterdir()) == ["a.xml", "b.xml", "c.xml"]  # no pieces are left
+    assert {r.file.rsplit("/", 1)[1]: r.lines for r in written} == {"a.xml": 900, "b.xml": 3, "c.xml": 400}
+    for name, n in (("a.xml", 900), ("b.xml", 3), ("c.xml", 400)):
+        order = sorted(range(n), key=lambda i: (i % 3, i))
+        want = sink.XML_HEAD + "".join(f"  <k{i}>&lt;t{i}&gt;</k{i}>\n" for i in order) + sink.XML_FOOT
+        assert (folder / name).read_bytes() == (b"\xef\xbb\xbf" if name == "a.xml" else b"") + want.encode()
