@@ -4,78 +4,74 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locale_lake.llm import integers
+
 # Rows in a block of the index (a slice of a block is a bitmap of 2 KB), and
 # queries that a task holds at once.
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 2_048
-# Quantised components beyond this are set to it.
-LARGEST = 2**24
 
 INDEX = "block int, n int, dims int, ids binary, low binary, width int, slices binary"
-QUERIES = "part int, n int, dims int, ids binary, vectors binary"
-FOUND = "query_id bigint, vec_id bigint, score bigint"
+QUERIES = "part int, n int, dims int, ids binary, vectors binary, large boolean"
+FOUND = "query_id bigint, vec_id bigint, score bigint, exact binary"
+# Sums of this many bits are added up in 64-bit integers.
+_BITS = 60
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """vec_id and integer components ``q``, one row per distinct pair.
+    """vec_id and integer components (``integers.quantised``), one row per distinct pair."""
+    return integers.quantised(vectors.filter("vec_id IS NOT NULL"), scale).dropDuplicates()
 
-    Vectors that are null or hold a null, NaN or infinite component are left out.
-    """
-    x = F.col("embedding")
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    step = lambda v: F.greatest(F.least(F.floor(v.cast("double") * scale), F.lit(LARGEST)), F.lit(-LARGEST)).cast("int")
-    return (
-        vectors.filter(x.isNotNull() & F.col("vec_id").isNotNull() & fine)
-        .select("vec_id", F.transform(x, step).alias("q"))
-        .dropDuplicates()
-    )
 
+def _matrix(rows: pd.DataFrame, scale: int) -> np.ndarray:
+    q = pa.array([None if v is None else list(v) for v in rows["q"]], pa.list_(pa.int32()))
+    return integers.matrix(q, pa.array([None if v is None else list(v) for v in rows["wide"]], pa.list_(pa.float64())), scale)
 
-def _matrix(q: pd.Series) -> np.ndarray:
-    dims = max(map(len, q))
-    out = np.zeros((len(q), dims), dtype=np.int64)
-    for i, v in enumerate(q):
-        out[i, : len(v)] = v
-    return out
 
+def _bits(value: int) -> int:
+    return int(value).bit_length()
 
-def _index_block(rows: pd.DataFrame) -> pd.DataFrame:
+
+def _index_block(rows: pd.DataFrame, scale: int) -> pd.DataFrame:
     """Slices of a block: component minus the block's least value, bit by bit, one bitmap each."""
     rows = rows.sort_values("vec_id", kind="stable")
-    values = _matrix(rows["q"])
+    values = _matrix(rows, scale)
     n, dims = values.shape
     low = values.min(axis=0)
     above = values - low
-    width = max(1, int(above.max(initial=0)).bit_length())
-    padded = np.zeros((-(-n // 64) * 64, dims), dtype=np.int64)
+    width = max(1, _bits(above.max()) if above.size else 1)
+    padded = np.zeros((-(-n // 64) * 64, dims), dtype=values.dtype)
     padded[:n] = above
-    slices = [np.packbits((padded.T >> b).astype(np.uint8) & 1, axis=1, bitorder="little") for b in range(width)]
+    slices = [np.packbits(((padded.T >> b) & 1).astype(np.uint8), axis=1, bitorder="little") for b in range(width)]
     return pd.DataFrame(
         {
             "block": [rows["block"].iloc[0]],
             "n": [n],
             "dims": [dims],
             "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()],
-            "low": [low.tobytes()],
+            "low": [",".join(map(str, low.tolist())).encode()],
             "width": [width],
             "slices": [np.stack(slices, axis=1).tobytes()],  # dims x width x bytes
         }
     )
 
 
-def _query_part(rows: pd.DataFrame) -> pd.DataFrame:
-    values = _matrix(rows["q"])
+def _query_part(rows: pd.DataFrame, scale: int) -> pd.DataFrame:
+    values = _matrix(rows, scale)
+    large = values.dtype == object
     return pd.DataFrame(
         {
             "part": [rows["part"].iloc[0]],
             "n": [values.shape[0]],
             "dims": [values.shape[1]],
             "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()],
-            "vectors": [values.tobytes()],
+            "vectors": [",".join(map(str, values.ravel().tolist())).encode() if large else values.tobytes()],
+            "large": [large],
         }
     )
 
@@ -132,7 +128,7 @@ class Block:
     def __init__(self, row: pd.Series):
         self.n, self.width, self.dims = int(row["n"]), int(row["width"]), int(row["dims"])
         self.ids = np.frombuffer(row["ids"], dtype=np.int64)
-        self.low = np.frombuffer(row["low"], dtype=np.int64)
+        self.low = [int(v) for v in row["low"].decode().split(",") if v]
         words = -(-self.n // 64)
         self.slices = np.frombuffer(row["slices"], dtype=np.uint64).reshape(self.dims, self.width, words)
         bits = np.zeros(words * 64, dtype=np.uint8)
@@ -142,16 +138,17 @@ class Block:
     def sums(self, factors: np.ndarray) -> list[np.ndarray]:
         """Slices of the sum of factor x (component - low), for factors of 0 or more."""
         weighted: dict[int, list[np.ndarray]] = {}
-        for bit in range(int(factors.max(initial=0)).bit_length()):
+        for bit in range(_bits(factors.max()) if len(factors) else 0):
             chosen = self.slices[np.flatnonzero((factors >> bit) & 1)]
-            for b in range(self.width):
-                weighted.setdefault(bit + b, []).append(chosen[:, b])
+            if len(chosen):
+                for b in range(self.width):
+                    weighted.setdefault(bit + b, []).append(chosen[:, b])
         return add_slices({w: np.concatenate(x) for w, x in weighted.items()})
 
     def top(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Row ids and scores of the k best; equal scores go to the smaller id."""
         d = min(self.dims, len(query))
-        factors = np.zeros(self.dims, dtype=np.int64)
+        factors = np.zeros(self.dims, dtype=query.dtype)
         factors[:d] = query[:d]
         # a negative factor f counts as |f| x (2**width - 1 - value), whose bits are the flipped bits
         sign = factors < 0
@@ -161,7 +158,8 @@ class Block:
             flipped.__dict__.update(self.__dict__)
             flipped.slices = np.where(sign[:, None, None], self.slices ^ self.members, self.slices)
         slices = flipped.sums(np.abs(factors)) or [np.zeros_like(self.members)]
-        base = int((factors * self.low).sum()) - (2**self.width - 1) * int(np.abs(factors[sign]).sum())
+        factors_told = factors.tolist()
+        base = sum(f * v for f, v in zip(factors_told, self.low, strict=True)) + (2**self.width - 1) * sum(f for f in factors_told if f < 0)
         members = self.members
         own = np.searchsorted(self.ids, [query_id, query_id + 1])
         if own[0] < own[1]:
@@ -172,13 +170,23 @@ class Block:
         first = _rows(sure)
         rest = _rows(tied)[: k - len(first)]  # ids ascend with the rows
         found = np.concatenate([first, rest])
-        scores = np.full(len(found), base, dtype=np.int64)
+        small = len(slices) < _BITS and _bits(base) < _BITS
+        scores = np.full(len(found), base, dtype=np.int64 if small else object)
         word, bit = found // 64, (found % 64).astype(np.uint64)
         for w, one in enumerate(slices):
-            scores += ((one[word] >> bit) & np.uint64(1)).astype(np.int64) << w
+            scores += ((one[word] >> bit) & np.uint64(1)).astype(scores.dtype) << w
         return self.ids[found], scores
 
 
+def _told(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores as a BIGINT shows them, and bytes that order those beyond it."""
+    if scores.dtype == np.int64:
+        return scores, np.full(len(scores), None, dtype=object)
+    exact = np.empty(len(scores), dtype=object)
+    exact[:] = [integers.sortable(v) for v in scores]
+    return np.array([integers.clipped(int(v)) for v in scores], dtype=np.int64), exact
+
+
 def _search(k: int):
     def search(_, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -186,14 +194,18 @@ def _search(k: int):
             block = Block(row)
             for _, part in queries.iterrows():
                 ids = np.frombuffer(part["ids"], dtype=np.int64)
-                vectors = np.frombuffer(part["vectors"], dtype=np.int64).reshape(int(part["n"]), int(part["dims"]))
+                shape = (int(part["n"]), int(part["dims"]))
+                if part["large"]:
+                    vectors = np.array([int(v) for v in part["vectors"].decode().split(",") if v], dtype=object).reshape(shape)
+                else:
+                    vectors = np.frombuffer(part["vectors"], dtype=np.int64).reshape(shape)
                 for query_id, vector in zip(ids.tolist(), vectors, strict=True):
                     rows, scores = block.top(vector, query_id, k)
-                    found.append((np.full(len(rows), query_id, dtype=np.int64), rows, scores))
+                    found.append((np.full(len(rows), query_id, dtype=np.int64), rows, *_told(scores)))
         if not found:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "exact": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "int64", "exact": object})
         columns = [np.concatenate(x) for x in zip(*found, strict=True)]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score", "exact"), columns, strict=True)))
 
     return search
 
@@ -210,8 +222,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64)
     Both tables have ``vec_id`` and ``embedding``; other columns are ignored. A row
     with the query's own id is no candidate. Vectors that are null, or hold null or
     non-finite components, and rows without id take no part; repeated rows count
-    once; shorter vectors are filled with zeros; components beyond 2**24 after
-    scaling are set to it. An empty table gives no rows; with fewer than k
+    once; shorter vectors are filled with zeros. Components of any size count: vectors
+    with one beyond 2**24 after scaling are dealt into blocks of their own, whose
+    bitmaps are as many as their bits. Scores beyond a BIGINT are compared exactly and
+    show its largest or least value. An empty table gives no rows; with fewer than k
     candidates a query gets all.
 
     Returns query_id, rank (from 1), vec_id, score.
@@ -219,9 +233,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64)
     rows, asked = quantised(vectors, scale), quantised(queries, scale)
     n_rows, n_asked = vectors.count(), queries.count()
     blocks, parts = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_asked // QUERY_ROWS))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id", "q"), F.lit(n)).cast("int")
-    index = rows.withColumn("block", deal(blocks)).groupBy("block").applyInPandas(_index_block, INDEX)
-    packed = asked.withColumn("part", deal(parts)).groupBy("part").applyInPandas(_query_part, QUERIES)
+    # large vectors keep to themselves, or their bits would be everyone's
+    deal = lambda n: F.pmod(F.xxhash64("vec_id", "q", "wide"), F.lit(n)).cast("int") + F.when(F.col("q").isNull(), n).otherwise(0)
+    index = rows.withColumn("block", deal(blocks)).groupBy("block").applyInPandas(lambda df: _index_block(df, scale), INDEX)
+    packed = asked.withColumn("part", deal(parts)).groupBy("part").applyInPandas(lambda df: _query_part(df, scale), QUERIES)
+    large = lambda df: 1 if integers.quantised(df, scale).filter("q IS NULL").isEmpty() else 2
+    blocks, parts = large(vectors) * blocks, large(queries) * parts
     everywhere = lambda df, n, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     found = (
         everywhere(index, parts, "part")
@@ -229,7 +246,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64)
         .cogroup(everywhere(packed, blocks, "block").groupBy("block", "part"))
         .applyInPandas(_search(k), FOUND)
     )
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("exact").desc(), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )

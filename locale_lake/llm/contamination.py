@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locale_lake.llm import rawtext
+from locale_lake.llm.sampling import unused
+from locale_lake.session import cut_lineage
 
-# One automaton holds the items up to so many words; more items make more automata,
-# which the documents pass one after the other.
-AUTOMATON_WORDS = 2_000_000
+# One automaton holds the items up to so many bytes of text, or one item; more items
+# make more automata, each for a pass of its own over the documents.
+AUTOMATON_BYTES = 600_000
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _SPANS, _ITEMS = pa.list_(_SPAN), pa.list_(pa.string())
@@ -131,29 +137,32 @@ class Automaton:
                     items.add(item)
 
 
-def automata(items: DataFrame, window: int, words: int = AUTOMATON_WORDS) -> list[Automaton]:
-    """Automata of at most about ``words`` words each; items stream through the driver."""
-    built: list[Automaton] = []
-    held: list[tuple[str, str | None]] = []
+@dataclass(frozen=True)
+class Shard:
+    """Items that share an automaton, as word hashes: what a task needs to build it."""
 
-    def add() -> None:
-        found = rawtext.Texts(pa.array([x[1] for x in held], pa.large_string())).words(rawtext.ALNUM)
-        hashes, at = found.hashes().tolist(), found.offsets.tolist()
-        for i, (name, _) in enumerate(held):
-            if not built or built[-1].words >= words:
-                built.append(Automaton(window))
-            built[-1].add(name, hashes[at[i] : at[i + 1]])
-        held.clear()
+    names: list[str]
+    counts: list[int]
+    hashes: bytes
 
-    rows = items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("string"), "text")
-    for row in rows.toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == 1000:
-            add()
-    add()
-    for one in built:
-        one.finish()
-    return built
+    def automaton(self, window: int) -> Automaton:
+        built, hashes, at = Automaton(window), np.frombuffer(self.hashes, dtype=np.uint64).tolist(), 0
+        for name, count in zip(self.names, self.counts, strict=True):
+            built.add(name, hashes[at : at + count])
+            at += count
+        built.finish()
+        return built
+
+
+def shards(items: DataFrame, size: int = AUTOMATON_BYTES) -> Iterator[Shard]:
+    """The items in shards of about ``size`` bytes; the driver holds one at a time. At least one, maybe empty."""
+    rows = items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // size))
+    rows = rows if n == 1 else rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    for k in range(n):
+        some = rows.collect() if n == 1 else rows.filter(F.col("shard") == k).collect()
+        found = rawtext.Texts(pa.array([r["text"] for r in some], pa.large_string())).words(rawtext.ALNUM)
+        yield Shard([r["item_id"] for r in some], found.counts.tolist(), found.hashes().tobytes())
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -192,23 +201,29 @@ def scan(words: rawtext.Words, automaton: Automaton) -> dict[int, tuple[list[tup
     return {t: (merged(s), {automaton.names[i] for i in items}) for t, (s, items) in found.items()}
 
 
-def _pass(automaton: Automaton, first: bool, last: bool):
+def _digest(texts: pa.Array) -> pa.Array:
+    """16 bytes that stand for each text; null counts as empty."""
+    return pa.array([md5((t or "").encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in texts.to_pylist()], pa.binary())
+
+
+def _pass(shard: Shard, window: int, every: bool, named: bool):
+    """Spans and items of each text; of those without any only if ``every``; ``named`` by their digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shard.automaton(window)
         for batch in batches:
             for rows in rawtext.slices(batch, "text"):
                 words = rawtext.Texts(rows.column("text")).words(rawtext.ALNUM)
-                n = rows.num_rows
-                spans = [[] for _ in range(n)] if first else rows.column("spans").to_pylist()
-                items = [[] for _ in range(n)] if first else rows.column("items").to_pylist()
-                for i, (more, names) in scan(words, automaton).items():
-                    old = [(x["start"], x["end"]) for x in spans[i]]
-                    spans[i] = [{"start": a, "end": b} for a, b in merged([*old, *more])]
-                    items[i] = sorted({*items[i], *names})
+                found = scan(words, automaton)
+                at = list(range(rows.num_rows)) if every else sorted(found)
+                spans = [[{"start": a, "end": b} for a, b in found[i][0]] if i in found else [] for i in at]
+                items = [sorted(found[i][1]) if i in found else [] for i in at]
+                take = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": rows.column("doc_id"),
-                        **({} if last else {"text": rows.column("text")}),
-                        "n_words": pa.array(words.counts, pa.int64()),
+                        "doc_id": rows.column("doc_id").take(take),
+                        **({"digest": _digest(rows.column("text").take(take))} if named else {}),
+                        "n_words": pa.array(words.counts, pa.int64()).take(take),
                         "spans": pa.array(spans, _SPANS),
                         "items": pa.array(items, _ITEMS),
                     }
@@ -217,7 +232,30 @@ def _pass(automaton: Automaton, first: bool, last: bool):
     return run
 
 
-def find_spans(docs: DataFrame, items: DataFrame, window: int = 10, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
+_FOUND = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+
+
+def _hits(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """doc_id, digest, spans and items of the texts that any pass found something in."""
+    every = functools.reduce(DataFrame.unionByName, parts).filter(F.size("spans") > 0)
+    per_text = every.groupBy("doc_id", "digest").agg(
+        F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )  # a row a pass
+    joined = F.aggregate(
+        "spans",
+        F.array().cast("array<struct<start:bigint,end:bigint>>"),
+        lambda acc, s: F.when(
+            F.coalesce(s["start"] <= F.try_element_at(acc, F.lit(-1))["end"], F.lit(False)),
+            F.concat(
+                F.slice(acc, F.lit(1), F.size(acc) - 1),
+                F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end"))),
+            ),
+        ).otherwise(F.concat(acc, F.array(s))),
+    )
+    return per_text.withColumn("spans", joined)
+
+
+def find_spans(docs: DataFrame, items: DataFrame, window: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """Words of each document that stand inside an occurrence of an item's window.
 
     A window is ``window`` consecutive words of an item; an item with fewer words,
@@ -227,83 +265,134 @@ def find_spans(docs: DataFrame, items: DataFrame, window: int = 10, automaton_wo
     rows of ``items`` without item_id are left out, rows that share one count as one
     item; repeated documents are answered each. Columns besides doc_id and text
     (item_id and text) are ignored.
+
+    Items are sharded by bytes of text. A pass over the documents takes one shard,
+    whose automaton its tasks build; where there are several, each pass leaves the
+    texts it found something in, and these meet by id and digest.
     """
-    chain = automata(items, window, automaton_words) or [Automaton(window)]
-    if not chain[0].names:
-        chain[0].finish()
     frame, id_type = docs.select("doc_id", "text"), docs.schema["doc_id"].dataType.simpleString()
-    found = f"doc_id {id_type}, {{}}n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
-    for k, automaton in enumerate(chain):
-        last = k == len(chain) - 1
-        frame = frame.mapInArrow(_pass(automaton, k == 0, last), found.format("" if last else "text string, "))
-    return frame
-
-
-def cleaned(texts: pa.Array, chain: list[Automaton], span_words: int, coverage: float) -> list[str | None]:
+    parts: list[DataFrame] = []
+    held: Shard | None = None
+    for shard in shards(items, automaton_bytes):
+        if held is not None:
+            kind = f"doc_id {id_type}, digest binary, {_FOUND}"
+            parts.append(cut_lineage(frame.mapInArrow(_pass(held, window, not parts, True), kind)))
+        held = shard
+    if not parts:
+        return frame.mapInArrow(_pass(held, window, True, False), f"doc_id {id_type}, {_FOUND}")
+    parts.append(cut_lineage(frame.mapInArrow(_pass(held, window, False, True), f"doc_id {id_type}, digest binary, {_FOUND}")))
+    hits = _hits(docs, parts).withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "spans": "_spans", "items": "_items"})
+    rows = parts[0].select("doc_id", "digest", "n_words")
+    return rows.join(hits, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("_spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"),
+        F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
+    )
+
+
+def cut(words: rawtext.Words, k: int, spans: list[tuple[int, int]], span_words: int, coverage: float) -> tuple[str | None, bool]:
+    """Text ``k`` without the spans that reach a limit, None if it goes as a whole; and whether it changed."""
+    at, end = int(words.offsets[k]), int(words.offsets[k + 1])
+    if sum(b - a for a, b in spans) >= coverage * (end - at):
+        return None, True
+    gone = [(a, b) for a, b in spans if b - a >= span_words]
+    base = int(words.texts.offsets[k])
+    raw = words.texts.data[base : int(words.texts.offsets[k + 1]) - 1].tobytes()
+    pieces, done = [], 0
+    for a, b in gone:
+        pieces.append(raw[done : int(words.starts[at + a]) - base])
+        done = int(words.starts[at + b] if at + b < end else words.ends[at + b - 1]) - base
+    pieces.append(raw[done:])
+    return b"".join(pieces).decode("utf-8"), bool(gone)
+
+
+def cleaned(texts: pa.Array, automaton: Automaton, span_words: int, coverage: float) -> list[str | None]:
     """Texts without the spans that reach a limit; None for texts to drop."""
     out: list[str | None] = texts.to_pylist()
     todo = list(range(len(out)))
     while todo:
-        some = pa.array([out[i] or "" for i in todo], pa.large_string())
-        words = rawtext.Texts(some).words(rawtext.ALNUM)
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for automaton in chain:
-            for k, (spans, _) in scan(words, automaton).items():
-                hits.setdefault(k, []).extend(spans)
+        words = rawtext.Texts(pa.array([out[i] or "" for i in todo], pa.large_string())).words(rawtext.ALNUM)
         again = []
-        for k, spans in hits.items():
-            at, end = int(words.offsets[k]), int(words.offsets[k + 1])
-            spans = merged(spans)
-            hit = sum(b - a for a, b in spans)
-            if hit >= coverage * (end - at):
-                out[todo[k]] = None
-                continue
-            cut = [(a, b) for a, b in spans if b - a >= span_words]
-            if not cut:
-                continue
-            base = int(words.texts.offsets[k])
-            raw = words.texts.data[base : int(words.texts.offsets[k + 1]) - 1].tobytes()
-            pieces, done = [], 0
-            for a, b in cut:
-                pieces.append(raw[done : int(words.starts[at + a]) - base])
-                done = int(words.starts[at + b] if at + b < end else words.ends[at + b - 1]) - base
-            pieces.append(raw[done:])
-            out[todo[k]] = b"".join(pieces).decode("utf-8")
-            again.append(todo[k])
+        for k, (spans, _) in scan(words, automaton).items():
+            out[todo[k]], changed = cut(words, k, spans, span_words, coverage)
+            if changed and out[todo[k]] is not None:
+                again.append(todo[k])
         todo = again  # what has moved together may form a window anew
     return out
 
 
+def _changed(rows: pa.RecordBatch, new: list[str | None], columns: list[str]) -> pa.RecordBatch:
+    """The rows with new texts (and ``n_chars``), without those whose text is gone."""
+    texts = rows.column("text")
+    old = texts.to_pylist()
+    keep = pa.array([x is None or y is not None for x, y in zip(old, new, strict=True)], pa.bool_())
+    place = rows.schema.get_field_index("text")
+    rows = rows.set_column(place, rows.schema.field(place), pa.array(new, texts.type))
+    if "n_chars" in columns:
+        place = rows.schema.get_field_index("n_chars")
+        counts = [
+            len(t) if t != o and t is not None else n for t, o, n in zip(new, old, rows.column("n_chars").to_pylist(), strict=True)
+        ]
+        rows = rows.set_column(place, rows.schema.field(place), pa.array(counts, rows.schema.field(place).type))
+    return rows.filter(keep)
+
+
 def decontaminate(
-    docs: DataFrame, items: DataFrame, window: int = 10, span_words: int = 1, coverage: float = 0.5
+    docs: DataFrame, items: DataFrame, window: int = 10, span_words: int = 1, coverage: float = 0.5, automaton_bytes: int = AUTOMATON_BYTES
 ) -> DataFrame:
     """The documents without contaminated spans, with all their columns.
 
     Spans of at least ``span_words`` words go (from the first word of the span to the
     word after it); a document whose contaminated words are ``coverage`` of all its
     words or more goes as a whole. Documents without a hit stay as they are, null and
-    empty texts included; ``n_chars``, where there is one, follows the text.
+    empty texts included; ``n_chars``, where there is one, follows the text. Rows that
+    repeat are cut each; columns may have any names.
+
+    With one shard of items a task cuts a text until nothing is left to cut; with
+    several the passes are repeated over the texts that the last round changed.
     """
-    chain = automata(items, window)
     columns, types = docs.columns, docs.schema
+    every = list(itertools.islice(shards(items, automaton_bytes), 2))
+    if len(every) == 1:
+        shard = every[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = shard.automaton(window)
+            for batch in batches:
+                for rows in rawtext.slices(batch, "text"):
+                    yield _changed(rows, cleaned(rows.column("text"), automaton, span_words, coverage), columns)
+
+        return docs.mapInArrow(run, types)
+
+    digest, spans, own = (unused(docs, n) for n in ("digest_of_text", "spans_of_text", "id_of_text"))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in rawtext.slices(batch, "text"):
-                texts = rows.column("text")
-                new = cleaned(texts, chain, span_words, coverage)
-                old = texts.to_pylist()
-                keep = pa.array([x is None or y is not None for x, y in zip(old, new, strict=True)], pa.bool_())
-                changed = [x != y for x, y in zip(old, new, strict=True)]
-                place = rows.schema.get_field_index("text")
-                rows = rows.set_column(place, rows.schema.field(place), pa.array(new, texts.type))
-                if "n_chars" in columns:
-                    place = rows.schema.get_field_index("n_chars")
-                    counts = [
-                        len(t) if c and t is not None else n
-                        for t, c, n in zip(new, changed, rows.column("n_chars").to_pylist(), strict=True)
-                    ]
-                    rows = rows.set_column(place, rows.schema.field(place), pa.array(counts, rows.schema.field(place).type))
-                yield rows.filter(keep)
-
-    return docs.mapInArrow(run, types)
+                words = rawtext.Texts(rows.column("text")).words(rawtext.ALNUM)
+                told = rows.column(spans).to_pylist()
+                new = [cut(words, k, [(x["start"], x["end"]) for x in told[k]], span_words, coverage)[0] for k in range(rows.num_rows)]
+                yield _changed(rows.select(columns), new, columns)
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    todo, done = docs, []
+    while True:
+        frame = todo.select("doc_id", "text")
+        parts = [
+            cut_lineage(frame.mapInArrow(_pass(shard, window, False, True), f"doc_id {id_type}, digest binary, {_FOUND}"))
+            for shard in shards(items, automaton_bytes)
+        ]
+        long = F.exists("spans", lambda s: s["end"] - s["start"] >= span_words)
+        size = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
+        words = functools.reduce(DataFrame.unionByName, parts).groupBy("doc_id", "digest").agg(F.max("n_words").alias("n"))
+        hits = _hits(docs, parts).join(words.withColumnsRenamed({"doc_id": "_id"}), "digest").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+        hits = cut_lineage(
+            hits.filter(long | (size >= coverage * F.col("n"))).select(F.col("doc_id").alias(own), F.col("digest").alias(digest), F.col("spans").alias(spans))
+        )
+        if hits.isEmpty():
+            return functools.reduce(DataFrame.unionByName, [*done, todo])
+        named = todo.withColumn(spans + "_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+        joined = named.join(hits, (F.col(spans + "_key") == F.col(digest)) & F.col("doc_id").eqNullSafe(F.col(own)), "left")
+        done.append(joined.filter(F.col(spans).isNull()).select(*columns))
+        todo = cut_lineage(joined.filter(F.col(spans).isNotNull()).select(*columns, spans).mapInArrow(once, types))

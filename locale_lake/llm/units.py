@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from locale_lake.llm import rawtext
 from locale_lake.llm.sampling import unused
 from locale_lake.operators import skew
-from locale_lake.session import cut_lineage
+from locale_lake.session import cut_lineage, rewritten
 
 #: characters after which white space ends a clause
 STOPS = ".,;:!?|"
@@ -25,6 +25,8 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _CAPITALS = {c: c + 32 for c in range(65, 91)}
 # A table of repeated digests (16 bytes and an id each) up to this is broadcast.
 BROADCAST_DIGESTS = 200_000
+# Ids of texts with repeated runs (8 bytes each) are broadcast up to this.
+BROADCAST_IDS = 500_000
 
 
 def pieces(text: str, kind: str) -> Iterator[tuple[int, int]]:
@@ -110,8 +112,11 @@ def _breaks(data: np.ndarray, kind: str) -> np.ndarray:
     return breaks
 
 
-def _windows(min_words: int, kind: str):
-    """Least runs of units with ``min_words`` words: from each unit on, and up to each unit."""
+def _windows(min_words: int, kind: str, thin: bool = False):
+    """Least runs of units with ``min_words`` words: from each unit on, and up to each unit.
+
+    ``thin``: of the first kind only, and half a digest instead of places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,6 +133,15 @@ def _windows(min_words: int, kind: str):
                 last = np.searchsorted(upto, before + min_words)
                 on = last < len(before)
                 on[on] = row[last[on]] == row[on]
+                if thin:
+                    digests = rawtext.runs(words.hashes(), before[on], upto[last[on]])
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "doc_id": rows.column("doc_id").take(pa.array(row[on], pa.int64())),
+                            "half": pa.array(digests[:, 0].astype(np.int64), pa.int64()),
+                        }
+                    )
+                    continue
                 first = np.searchsorted(before, upto - min_words, side="right") - 1
                 back = first >= 0
                 back[back] = row[first[back]] == row[back]
@@ -165,21 +179,27 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, kind: str = "line")
     where they overlap. A unit that goes has a copy at an earlier place, so one stays.
     A passage that begins or ends inside a unit counts with its whole units only.
 
-    Digests are counted as 8 bytes first, inside the tasks as far as they meet there;
-    only runs whose digest occurs again travel with their places.
+    A repeated run holds the least run from its first unit on, so 8 bytes of those
+    digests are counted first, inside the tasks as far as they meet there. Only texts
+    in which one occurs again are cut into all their least runs, with places.
 
     Returns doc_id, start, end (code points of the original text, end exclusive),
     n_words, and kept_doc_id and kept_start, the earliest place of the first least
     run of the passage. Odd rows are treated as in ``repeated_units``.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = cut_lineage(
-        docs.select("doc_id", "text").mapInArrow(
+    texts = docs.select("doc_id", "text")
+    halves = rewritten(texts.mapInArrow(_windows(min_words, kind, thin=True), f"doc_id {id_type}, half bigint"))
+    several = cut_lineage(halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half"))
+    touched = skew.lookup(halves, several, ["half"], "inner", broadcast_rows=BROADCAST_DIGESTS).select("doc_id").distinct()
+    touched = cut_lineage(touched)
+    near = F.broadcast(touched) if skew.has_at_most(touched, BROADCAST_IDS) else touched
+    again = texts.join(near, texts["doc_id"].eqNullSafe(near["doc_id"]), "left_semi")
+    found = rewritten(
+        again.mapInArrow(
             _windows(min_words, kind), f"doc_id {id_type}, start bigint, end bigint, before bigint, upto bigint, digest binary"
         )
-    ).withColumn("short", F.xxhash64("digest"))
-    several = cut_lineage(found.groupBy("short").agg(F.count("*").alias("n")).filter("n > 1").select("short"))
-    found = cut_lineage(skew.lookup(found, several, ["short"], "inner", broadcast_rows=BROADCAST_DIGESTS).drop("short"))
+    )
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
     first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("other"))
     first = cut_lineage(first.filter("first <> other").select("digest", "first"))

@@ -51,10 +51,20 @@ def test_top_k_of_odd_vectors(spark):
     rows += [(None, [1.0, 1.0]), (6, [-1.0]), (7, [])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = sorted(map(tuple, bitsliced.top_k(df, df.filter("vec_id = 0"), k=20).collect()))
-    assert got == [(0, 1, 5, 64 * 2**24 - 32 * 64), (0, 2, 7, 0), (0, 3, 6, -4096)]
+    assert got == [(0, 1, 5, 2**63 - 1), (0, 2, 7, 0), (0, 3, 6, -4096)]
     assert bitsliced.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    draw = random.Random(9)
+    rows = [(i, [draw.choice([-1e30, -3.5, 0.25, 2.0**20, 2.0**40, 1e30]) for _ in range(4)] if i % 3 else [draw.random() for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(map(tuple, bitsliced.top_k(df, df.filter("vec_id % 5 = 0"), k=7).collect()))
+    q = [(i, [int(v) * 64 if abs(v) > 2**50 else int(np.floor(64 * v)) for v in x]) for i, x in rows]
+    want = brute_top(q, [x for x in q if x[0] % 5 == 0], 7)
+    assert got == [(a, r, v, max(-(2**63), min(2**63 - 1, s))) for a, r, v, s in want]
+
+
 def test_slices_add_up():
     draw = np.random.default_rng(1)
     values = draw.integers(0, 2, (37, 128)).astype(np.uint8)
@@ -388,8 +398,8 @@ def test_spans_equal_brute_force(spark):
     rows = [*ODD, *rows[10:], (200, "A, b; " + (items[4][1] or ""), None)]
     bench = spark.createDataFrame([(*x, "x") for x in items], "item_id bigint, text string, spans string")
     named = [x for x in items if x[0] is not None]
-    for words in (1_000_000, 10):  # one automaton, and several in a chain
-        found = contamination.find_spans(docs(spark, rows), bench, automaton_words=words).collect()
+    for size in (1_000_000, 60):  # one automaton, and several passes
+        found = contamination.find_spans(docs(spark, rows), bench, automaton_bytes=size).collect()
         assert len(found) == len(rows)
         by_id = {r["doc_id"]: r for r in found}
         for i, text, _ in rows:
@@ -412,6 +422,17 @@ def test_decontaminate(spark):
     assert out[12]["text"] == own and out[12]["n_chars"] is None and out[1]["text"] is None and len(out) == len(rows) - 1
 
 
+def test_shards_of_items_cut_what_one_automaton_cuts(spark):
+    first, second = (" ".join(f"{x}{i}" for i in range(14)) for x in "pq")
+    bench = spark.createDataFrame([(1, first), (2, second), (3, first[:40])], "item_id bigint, text string")
+    own = " ".join(f"own{i}" for i in range(60))
+    nested = " ".join(second.split()[:7] + first.split() + second.split()[7:])  # the second item once the first is gone
+    rows = [*ODD, (10, f"{own} {first} {own} {second}", None), (11, f"{first} {second}", None), (12, f"{own} {nested} end", None), (12, f"{own} {nested} end", None), (None, own, None)]
+    shown = lambda **k: sorted(((r["doc_id"] or 0, r["text"] or "") for r in contamination.decontaminate(docs(spark, rows), bench, **k).collect()))
+    assert shown() == shown(automaton_bytes=40)
+    assert dict(shown())[12] == f"{own} end" and 11 not in dict(shown())
+
+
 # ---- words --------------------------------------------------------------------
 
 
