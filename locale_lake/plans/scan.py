@@ -125,16 +125,18 @@ def scan_corpus(
     keys = key_columns(key_scope)
     packages = cut_lineage(packages)
     listing = cut_lineage(fs.read_corpus(spark, locations, packages))
-
-    def contents(pattern: str) -> DataFrame:
-        return fs.read_corpus(spark, locations, packages, pattern)
-
-    manifests = contents(fs.MANIFEST).filter(F.size("rel") == 1)
+    manifests = fs.read_corpus(spark, locations, packages, fs.MANIFEST).filter(F.size("rel") == 1)
     manifest_nodes = cut_lineage(xml.shred_xml(manifests, ["pkg_id", "file_id"]))
     roots = cut_lineage(fs.newest_roots(listing, manifest_nodes))
     languages = fs.language_roots(listing, roots, all_language_roots)
     lang_dirs = cut_lineage(fs.source_language(listing, languages, source_folder))
 
+    # folders are chosen on the listing, so files that do not count are not opened
+    chosen = fs.chosen_files(fs.place_files(listing, roots, lang_dirs))
+
+    def contents(pattern: str) -> DataFrame:
+        return fs.read_corpus(spark, locations if chosen is None else chosen, packages, pattern)
+
     # every file that is used is opened and parsed once, whatever it is used for
     described = [*_FILE, "area", "root_rank", "channel", "def_type", "out_path", "spoken"]
     placed = fs.place_files(contents("*.xml"), roots, lang_dirs).withColumn(

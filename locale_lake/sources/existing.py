@@ -32,8 +32,10 @@ def read_existing(
     if not parents or not _exists(spark, parents[0]):
         return spark.createDataFrame([], schema).select(*keys, "text")
     roots = out.select(F.col("out_root").alias("pkg_id"), F.col("pkg_id").alias("_owner"))
-    content = fs.read_corpus(spark, parents, roots, content="*.{xml,txt}")
     lang_dirs = roots.select("pkg_id", F.lit(f"Languages/{lang_folder}").alias("lang_dir"))
+    # only what belongs to these packages and this language is opened
+    chosen = fs.chosen_files(fs.channel_files(fs.read_corpus(spark, parents, roots), lang_dirs))
+    content = fs.read_corpus(spark, parents if chosen is None else chosen, roots, content="*.{xml,txt}")
     found = fs.channel_files(content, lang_dirs).withColumn("pkg_id", F.col("_owner"))
     described = ["pkg_id", "file_id", "sort_path", "channel", "def_type", "out_path"]
     nodes = xml.shred_xml(found.filter("channel <> 'strings'"), described, keep_comments=True)

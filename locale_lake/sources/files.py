@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from locale_lake.session import qualified
 # Package dimension tables (roots, language folders) are broadcast only when
 # counted to be no larger; else the join is spread over tasks.
 BROADCAST_PACKAGES = 1_000_000
+# Files that are used are opened by name up to this many; beyond, all files of a kind
+# are read and those that are not used are dropped after.
+CHOSEN_FILES = 20_000
 
 
 # the manifest's name in any case
@@ -62,6 +67,8 @@ def _plain(path: str) -> str:
 
 
 def _listing(spark: SparkSession, paths: list[str], glob: str | None = None) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -110,6 +117,14 @@ def read_corpus(
     )
 
 
+def chosen_files(used: DataFrame) -> list[str] | None:
+    """Paths of the files that are used, as patterns that match themselves; None if they are too many for a list."""
+    paths = [r[0] for r in used.select("file_id").distinct().limit(CHOSEN_FILES + 1).collect()]
+    if len(paths) > CHOSEN_FILES:
+        return None
+    return [re.sub(r"([\\{}\[\]*?])", r"\\\1", path) for path in sorted(paths)]
+
+
 def _version(tag: Column) -> Column:
     """(major, minor) of a version tag; numbers compare, not text."""
     return F.when(

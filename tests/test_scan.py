@@ -165,3 +165,38 @@ def test_other_source_folder(spark, tmp_path):
     roots = packages.write(tmp_path, ["german"])
     scan = scan_corpus(spark, roots, fs.packages_from(spark, roots), source_folder="deutsch")
     assert [r.source_text for r in scan.units.collect()] == ["deutscher Text"]
+
+
+def test_only_files_that_count_are_opened(spark, tmp_path, monkeypatch):
+    from locale_lake.sources.existing import read_existing
+
+    for path in (
+        "a/Languages/English/Keyed/K [1].xml", "a/Languages/German/Keyed/K.xml", "a/Defs/T.xml", "a/Textures/t.xml",
+        "a/About/About.xml", "a/notes.txt", "b/Languages/English/Strings/{x}.txt", "b/Languages/French/Strings/x.txt",
+    ):
+        (tmp_path / "in" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / path).write_text("line\n" if path.endswith("txt") else f"<LanguageData><k>of {path}</k></LanguageData>")
+    corpus = f"{tmp_path}/in"
+    opened: list[str] = []
+    original = fs.read_corpus
+
+    def recorded(session, locations, packages, content=None):
+        found = original(session, locations, packages, content)
+        if content and content != fs.MANIFEST:
+            opened.extend(f.split("/in/", 1)[1] for f in found.inputFiles())
+        return found
+
+    monkeypatch.setattr(fs, "read_corpus", recorded)
+    keys = lambda: sorted((r.key, r.source_text) for r in scan_corpus(spark, [corpus], fs.packages_in(spark, corpus)).units.collect())
+    told = keys()
+    names = {"a/Languages/English/Keyed/K%20%5B1%5D.xml", "a/Defs/T.xml", "a/About/About.xml", "b/Languages/English/Strings/%7Bx%7D.txt"}
+    assert {f.replace(" ", "%20").replace("[", "%5B").replace("]", "%5D").replace("{", "%7B").replace("}", "%7D") for f in opened} == names
+    assert [t for _, t in told] == ["line", "of a/Languages/English/Keyed/K [1].xml"] or len(told) == 2
+    monkeypatch.setattr(fs, "CHOSEN_FILES", 1)  # too many for a list: all are read, the result is the same
+    assert keys() == told
+    monkeypatch.undo()
+    opened.clear()
+    monkeypatch.setattr(fs, "read_corpus", recorded)
+    packages = spark.createDataFrame([(f"{corpus}/a", f"{corpus}/a")], "pkg_id string, out_root string")
+    assert [r.text for r in read_existing(spark, packages, "German", ["pkg_id", "key"]).collect()] == ["of a/Languages/German/Keyed/K.xml"]
+    assert opened == ["a/Languages/German/Keyed/K.xml"]
