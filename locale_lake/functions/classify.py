@@ -84,8 +84,8 @@ def classify(tag: Column, text: Column, extra_denied: tuple[str, ...] = ()) -> C
     return F.when(is_denied(tag, extra_denied), "denied_tag").otherwise(classify_value(text))
 
 
-def is_translatable(tag: Column, text: Column) -> Column:
-    return classify(tag, text) == "text"
+def is_translatable(tag: Column, text: Column, extra_denied: tuple[str, ...] = ()) -> Column:
+    return classify(tag, text, extra_denied) == "text"
 
 
 def is_trivial(text: Column) -> Column:

@@ -8,8 +8,12 @@ are decided for all pairs at once, and whole subtrees are adopted by their label
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+import itertools
+import sys
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,6 +109,11 @@ def chains(
     )
 
 
+# Chains of up to so many ancestors are folded in one pass.
+FOLD_LEVELS = 24
+# what ``functions.text`` calls blank
+_BLANK = regex.compile(r"\s*")
+
 _NODE = ["pos", "tags", "tag", "text"]
 _FACTS = ["refuses", "child_tags", "lo", "hi", "is_first"]
 
@@ -253,12 +262,12 @@ def merge_inherited(
 ) -> DataFrame:
     """Trees with everything they inherit.
 
-    From the roots down, every definition is merged once with its resolved parent, so
-    a parent is resolved once however many heirs it has. One round serves all packages
-    and all definitions with that many ancestors; parents reach their heirs by a
-    lookup that spreads frequent ones. Where ancestors form a cycle, what is inherited
-    depends on where one starts, and each heir is walked by itself. Definitions
-    without a known parent pass unchanged.
+    A definition is folded with the trees of its chain, farthest ancestor first, in one
+    ordered pass over all of them. Chains of more than FOLD_LEVELS ancestors are
+    merged level by level instead: from the roots down, every definition is merged once
+    with its resolved parent, however many heirs that has, and where ancestors form a
+    cycle each heir is walked by itself. Definitions without a known parent pass
+    unchanged.
     """
     own = trees.select("tree_id", *_NODE, "attrs")
     way = F.transform(F.sort_array(F.collect_list(F.struct("dist", "anc_id"))), lambda x: x["anc_id"])
@@ -268,13 +277,130 @@ def merge_inherited(
         .select("tree_id", "way", F.size("way").alias("length"), F.get("way", F.lit(0)).alias("parent"))
     )
     untouched = own.join(ways, "tree_id", "left_anti").drop("attrs")
+    results = [untouched, _fold(own, chain, ways.filter(F.col("length") <= FOLD_LEVELS), hot_rows)]
+    long = materialise(ways.filter(F.col("length") > FOLD_LEVELS))
+    if not long.isEmpty():
+        results.append(_merge_long(own, chain, ways, long, materialise, hot_rows))
+    return functools.reduce(DataFrame.unionByName, results)
+
+
+class _Element:
+    __slots__ = ("tag", "text", "refuses", "children")
+
+    def __init__(self, tag: str | None, text: str | None, refuses: bool):
+        self.tag, self.text, self.refuses = tag, text, refuses
+        self.children: list[_Element] = []
+
+
+def inherited(child: _Element, above: _Element) -> _Element:
+    """The child's element with what it inherits from the corresponding one; see ``merge_level``."""
+    if child.refuses or not above.children or (not child.children and not _BLANK.fullmatch(child.text or "")):
+        return child
+    out = _Element(child.tag, child.text, child.refuses)
+    mine = {c.tag for c in child.children}
+    if not child.children:
+        out.children = above.children
+    elif mine == {"li"} == {a.tag for a in above.children}:
+        out.children = above.children + child.children
+    else:
+        first: dict[str | None, _Element] = {}
+        for a in above.children:
+            first.setdefault(a.tag, a)
+        met = [inherited(c, first[c.tag]) if c.tag in first else c for c in child.children]
+        out.children = met + [a for a in above.children if a.tag not in mine]
+    return out
+
+
+def _element_tree(rows: list[dict]) -> _Element | None:
+    """The tree of node rows in document order."""
+    root, way = None, []
+    for row in rows:
+        element = _Element(row["tag"], row["text"], row["refuses"])
+        depth = len(row["pos"])
+        del way[depth:]
+        if way:
+            way[-1].children.append(element)
+        elif root is None:
+            root = element
+        way.append(element)
+    return root
+
+
+def _node_rows(tree_id: str, root: _Element) -> Iterator[tuple]:
+    stack = [(root, [], [])]
+    while stack:
+        element, pos, tags = stack.pop()
+        yield tree_id, pos, tags, element.tag, element.text
+        stack += [(c, [*pos, i], [*tags, c.tag or ""]) for i, c in reversed([*enumerate(element.children)])]
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tree, farthest ancestor first, and place: one resolved tree each."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+    rows = (row for batch in batches for row in batch.to_pylist())
+    out: list[tuple] = []
+    for tree_id, members in itertools.groupby(rows, lambda r: r["tree_id"]):
+        resolved = None
+        for _, nodes in itertools.groupby(members, lambda r: r["dist"]):
+            own = _element_tree(list(nodes))
+            if own is not None:
+                resolved = own if resolved is None else inherited(own, resolved)
+        if resolved is not None:
+            out += _node_rows(tree_id, resolved)
+        if len(out) >= 10_000:
+            yield _node_batch(out)
+            out = []
+    if out:
+        yield _node_batch(out)
+
+
+def _node_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string(), pa.string())
+    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["tree_id", *_NODE])
+
+
+def _fold(trees: DataFrame, chain: DataFrame, heirs: DataFrame, hot_rows: int) -> DataFrame:
+    """Heirs folded with their chains, farthest ancestor first, each heir by itself.
+
+    An heir's nodes and those of its ancestors meet in one shuffle and are read in
+    order, so no step waits for another. Copies of an ancestor's nodes grow with its
+    heirs; chains are short, and what is common to many comes from a spread lookup.
+    """
+    chosen = heirs.select("tree_id")
+    levels = chain.join(chosen, "tree_id").select("tree_id", "anc_id", "dist").unionByName(
+        chosen.select("tree_id", F.col("tree_id").alias("anc_id"), F.lit(0).cast("int").alias("dist"))
+    )
+    refuses = F.lower(F.coalesce(F.try_element_at("attrs", F.lit("Inherit")), F.lit(""))) == "false"
+    nodes = trees.select(F.col("tree_id").alias("anc_id"), *_NODE, refuses.alias("refuses"))
+    few = skew.has_at_most(levels, hot_rows)  # then no ancestor can be hot
+    met = levels.join(nodes, "anc_id") if few else skew.lookup(levels, nodes, ["anc_id"], "inner", hot_rows)
+    return (
+        met.select("tree_id", (-F.col("dist")).alias("dist"), "pos", "tag", "text", "refuses")
+        .repartition("tree_id")
+        .sortWithinPartitions("tree_id", "dist", "pos")
+        .mapInArrow(_folded, "tree_id string, pos array<int>, tags array<string>, tag string, text string")
+    )
+
+
+def _merge_long(
+    own: DataFrame,
+    chain: DataFrame,
+    ways: DataFrame,
+    long: DataFrame,
+    materialise: Callable[[DataFrame], DataFrame],
+    hot_rows: int,
+) -> DataFrame:
+    """Heirs with long chains: level by level, where a parent is resolved once for all of them."""
+    members = long.select("tree_id").unionByName(long.select(F.explode("way").alias("tree_id"))).distinct()
+    ways = materialise(ways.join(members, "tree_id", "left_semi"))
     above = ways.select(F.col("tree_id").alias("parent"), F.col("way").alias("_above"))
     rest = F.slice("way", F.lit(2), F.greatest(F.col("length") - 1, F.lit(0)))
     cut_short = skew.lookup(ways, above, ["parent"], "left", hot_rows).filter(
         (F.col("length") > 1) & ~rest.eqNullSafe(F.col("_above")) | (F.col("length") == 1) & F.col("_above").isNotNull()
     )
     cut_short = materialise(cut_short.select("tree_id"))
-    results, plain = [untouched], ways
+    results, plain = [], ways
     if not cut_short.isEmpty():
         near = chain.join(cut_short.withColumnRenamed("tree_id", "anc_id"), "anc_id", "left_semi").select("tree_id")
         circular = materialise(near.unionByName(cut_short).distinct())
@@ -293,7 +419,8 @@ def merge_inherited(
             theirs = skew.lookup(asking, resolved.withColumnRenamed("tree_id", "parent"), ["parent"], "inner", hot_rows)
             resolved = materialise(merge_level(child, theirs.drop("parent")))
             results.append(resolved.select("tree_id", *_NODE))
-    return functools.reduce(DataFrame.unionByName, results)
+    every = functools.reduce(DataFrame.unionByName, results)
+    return every.join(long.select("tree_id"), "tree_id", "left_semi")
 
 
 def _merge_each(

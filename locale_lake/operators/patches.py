@@ -86,6 +86,7 @@ def patch_fields(
     nodes: DataFrame,
     carry: list[str],
     materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+    denied_tags: tuple[str, ...] = (),
 ) -> DataFrame:
     """(carry, def_type, def_name, field_path, text, patch_pos) of all operations.
 
@@ -146,9 +147,9 @@ def patch_fields(
         )
 
     described = ["file_id", "value_pos", "child_pos", "child_tag", "own_name"]
-    fields = walk_fields(trees(payload, "value_pos"), described).withColumnRenamed("pos", "_pos")
+    fields = walk_fields(trees(payload, "value_pos"), described, denied_tags).withColumnRenamed("pos", "_pos")
     inner = walk_fields(
-        trees(payload.filter(F.col("own_name").isNotNull()), "child_pos"), described
+        trees(payload.filter(F.col("own_name").isNotNull()), "child_pos"), described, denied_tags
     ).withColumnRenamed("pos", "_pos")
 
     place = ["file_id", "value_pos"]

@@ -94,12 +94,14 @@ def unit_key(name: Column, path: Column) -> Column:
     return F.concat_ws(".", name, F.when(path != "", path))
 
 
-def walk_fields(trees: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def walk_fields(
+    trees: DataFrame, carry: list[str] | None = None, denied_tags: tuple[str, ...] = ()
+) -> DataFrame:
     """Leaves that hold text: (tree_id, pos, field_path, test_tag, text, carry...).
 
     Tags are joined by dots; members of a list (all siblings ``li``) are numbered
     from 0. A member is tested under its list's tag, and a rule string passes even
-    where the value alone would not.
+    where the value alone would not. ``denied_tags`` hold no text, besides those known.
     """
     carry = carry or []
     in_document = W.partitionBy("tree_id").orderBy("pos")
@@ -163,8 +165,8 @@ def walk_fields(trees: DataFrame, carry: list[str] | None = None) -> DataFrame:
         F.element_at("_numbers", -1).isNotNull().alias("_member"),
     )
     fields = plain.unionByName(numbered)
-    passes = cl.is_translatable(F.col("test_tag"), F.col("text")) | (
-        F.col("_member") & tx.is_rule_string(F.col("test_tag"), F.col("text"))
+    passes = cl.is_translatable(F.col("test_tag"), F.col("text"), denied_tags) | (
+        F.col("_member") & tx.is_rule_string(F.col("test_tag"), F.col("text")) & ~F.lower("test_tag").isin(*[t.lower() for t in denied_tags])
     )
     return fields.filter(passes).drop("_member")
 

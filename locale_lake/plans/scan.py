@@ -35,7 +35,7 @@ class Scan:
         return self.units.filter(~F.col("is_comment"))
 
 
-def definition_fields(nodes: DataFrame) -> DataFrame:
+def definition_fields(nodes: DataFrame, denied_tags: tuple[str, ...] = ()) -> DataFrame:
     """Fields of all definitions, inheritance resolved across a package's files."""
     carry = ["pkg_id", "file_id", "sort_path", "stem", "root_rank", "ordinal"]
     trees = tree.def_trees(nodes)
@@ -46,7 +46,7 @@ def definition_fields(nodes: DataFrame) -> DataFrame:
     concrete = tree.filter_defs(heads)
     chain = inherit.chains(concrete, registry)
     resolved = inherit.merge_inherited(trees, chain)
-    fields = tree.walk_fields(resolved).join(concrete, "tree_id")
+    fields = tree.walk_fields(resolved, denied_tags=denied_tags).join(concrete, "tree_id")
     return tree.emit_types(fields).select(
         *carry,
         "def_type",
@@ -114,13 +114,15 @@ def scan_corpus(
     new_key_policy: str = "first",
     all_language_roots: bool = False,
     line_breaks: str = lists.NEWLINES,
+    denied_tags: tuple[str, ...] = (),
 ) -> Scan:
     """Scan packages: language files < definitions < patches, per package.
 
     Layers come together by joins on (package, channel, type, key), so packages of
     any size and number are merged in the same few shuffles. What several steps
     read (folder choices, parsed nodes, fields) is written once to the checkpoint
-    folder: files are parsed once, and plans stay small.
+    folder: files are parsed once, and plans stay small. ``denied_tags`` never hold text,
+    besides the tags that are known to hold none.
     """
     keys = key_columns(key_scope)
     packages = cut_lineage(packages)
@@ -148,7 +150,7 @@ def scan_corpus(
     def area(name: str) -> DataFrame:
         return readable.filter(F.col("area") == name)
 
-    fields = cut_lineage(definition_fields(area("definitions")))
+    fields = cut_lineage(definition_fields(area("definitions"), denied_tags))
     entries = xml.read_keyed(readable.filter("spoken"))
     rank = {"keyed": KEYED, "injected": INJECTED, "strings": STRINGS}
     language = _language_units(entries, rank)
@@ -174,6 +176,7 @@ def scan_corpus(
         patches.patch_fields(
             area("patches"),
             ["pkg_id", "file_id", "sort_path", "stem", "root_rank"],
+            denied_tags=denied_tags,
         )
     )
     stems = patch_fields.groupBy("pkg_id", "stem").agg(

@@ -381,3 +381,46 @@ def test_terms_of_a_table_reach_the_model_and_come_back(spark):
     assert told == {"u1": "Rote Öllampe hier", "u2": "nothing"}
     plain = inf.draft(units, asked, "de", {"oil lamp": "Öllampe"}, delays=()).filter("unit_id = 'u1'").first()
     assert plain.draft_text == "Rot Öllampe hier"
+
+
+def test_fold_and_levels_resolve_the_same_trees(spark, monkeypatch):
+    draw = random.Random(12)
+
+    def nodes(tree_id):
+        out = [(tree_id, [], [], "Def", "", {})]
+
+        def grow(pos, tags, depth):
+            n = draw.choice([0, 1, 2, 3]) if depth < 4 else 0
+            only_items = draw.random() < 0.4
+            for i in range(n):
+                tag = "li" if only_items else draw.choice(["a", "b", "c", "li"])
+                here, way = [*pos, i], [*tags, tag]
+                attrs = {"Inherit": draw.choice(["False", "true"])} if draw.random() < 0.2 else {}
+                at = len(out)
+                out.append(None)
+                below = grow(here, way, depth + 1)
+                text = draw.choice(["", " ", f"{tree_id}-{here}"]) if not below else ""
+                out[at] = (tree_id, here, way, tag, text, attrs)
+            return n
+
+        grow([], [], 0)
+        return out
+
+    ups = {f"d{i}": f"d{draw.randrange(i)}" for i in range(1, 40)} | {"x": "y", "y": "z", "z": "y", "lone": "nowhere"}
+    rows = [r for t in ["d0", *ups] for r in nodes(t)]
+    trees = spark.createDataFrame(rows, "tree_id string, pos array<int>, tags array<string>, tag string, text string, attrs map<string,string>")
+    links = spark.createDataFrame([("d0", None), *ups.items()], "tree_id string, up string")
+    chain = inherit.ancestors(links, "tree_id", "up").select("tree_id", F.col("ancestor").alias("anc_id"), "dist")
+
+    def shown():
+        told = defaultdict(list)
+        for r in inherit.merge_inherited(trees, chain).collect():
+            told[r.tree_id].append((r.pos, r.tags, r.tag, r.text))
+        return {t: [x[1:] for x in sorted(found, key=lambda x: x[0])] for t, found in told.items()}
+
+    folded = shown()
+    assert set(folded) == {"d0", *ups} and max(map(len, folded.values())) > 12
+    monkeypatch.setattr(inherit, "FOLD_LEVELS", 0)
+    assert shown() == folded
+    monkeypatch.setattr(inherit, "FOLD_LEVELS", 3)
+    assert shown() == folded
