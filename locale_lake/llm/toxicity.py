@@ -274,7 +274,8 @@ def train(
 ) -> Index | None:
     """Index of up to ``toxic`` and ``other`` labelled examples outside the held-out fold.
 
-    Every word of the examples is indexed; its document frequency is counted over all
+    Every word of the examples is indexed, and words that toxic examples hold beyond
+    chance weigh more, so the cosine is one of label-weighted vectors. A word's document frequency is counted over all
     documents. The logistic curve is fitted to the votes each example gets from the
     others, with both classes weighted to their shares among all labels. None if the
     examples have no words or none is toxic.
@@ -305,9 +306,10 @@ def train(
     owner = np.repeat(np.arange(len(rows)), [int(c.sum()) for c in counts])
     matrix, some = vectors.of(flat, owner, len(rows))
     matrix = matrix.take(np.flatnonzero(some))
-    index = Index.build(vectors, matrix, y[some], ids[some])
-    place = {int(i): p for p, i in enumerate(index.ids)}
-    own = np.array([place[int(i)] for i in ids[some]])
+    # rows are numbered while the index is made: an id may have several
+    index = Index.build(vectors, matrix, y[some], np.arange(int(some.sum())))
+    own = np.argsort(index.ids)
+    index.ids = ids[some][index.ids]
     votes = index.votes(*index.nearest(matrix, k, leave_out=own))
     index.slope, index.shift = calibrate(votes, y[some], weights[some] / weights.mean())
     bare = ~some
