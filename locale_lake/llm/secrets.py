@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,13 +115,22 @@ def blobs(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
 
 
-def _may_match(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """Can any of the rules match at all? A text that holds no sign of one need not travel."""
-    lower = F.lower(text)
-    signs = [lower.contains(needle) for needle in sorted({n for r in rules for n in r.needles})]
-    if any(not r.needles for r in rules):
-        signs.append(text.rlike("[0-9a-f]{16}"))
-    return functools.reduce(Column.__or__, signs, F.lit(False))
+def _signs(rules: tuple[Rule, ...]):
+    """Null in place of every text without a sign of any rule: such a text need not travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in rawtext.slices(batch, "text"):
+                texts = rawtext.Texts(rows.column("text"))
+                lower = rawtext.LOWER[texts.data].tobytes()
+                some = np.zeros(rows.num_rows, dtype=bool)
+                for rule in rules:
+                    some[_holding(texts, rule, lower)] = True
+                text = rows.column("text")
+                kept = pc.if_else(pa.array(some), text, pa.scalar(None, text.type))
+                yield pa.RecordBatch.from_arrays([rows.column("blob"), kept], names=["blob", "text"])
+
+    return run
 
 
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -137,7 +146,7 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     """
     keys = F.array(*[F.lit(r.key) for r in rules])
     unseen = blobs(docs.select(F.coalesce("text", F.lit("")).alias("text")))
-    unseen = unseen.select("blob", F.when(_may_match(F.col("text"), rules), F.col("text")).alias("text")).dropDuplicates(["blob"])
+    unseen = unseen.select("blob", "text").mapInArrow(_signs(rules), "blob binary, text string").dropDuplicates(["blob"])
     if ledger is None:
         unseen = unseen.withColumn("todo", keys)
     else:
