@@ -372,8 +372,9 @@ def candidate_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     sets that have each; only those that several have travel back to their sets.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # rows grow with the square of the buckets: no more than memory, or the cores, call for
-    buckets = max(1, -(-size // BUCKET_BYTES), min(_partitions(docs.sparkSession), size // 1_000_000))
+    # a set's key goes to every bucket: no more of them than memory, or some tasks a core, call for
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    buckets = max(1, -(-size // BUCKET_BYTES), min(4 * cores, size // 4_000_000))
     dealt = docs.select("text").mapInArrow(_deal(width, buckets), DEALT)
     counted = dealt.groupBy("bucket").applyInArrow(_count(buckets), DEALT)
     return cut_lineage(counted.groupBy("bucket").applyInArrow(_collect, SETS))
