@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from locale_lake.operators import skew
 from locale_lake.session import cut_lineage
 
+# Hashes of a run's texts are broadcast up to this (4 MB).
+BROADCAST_TEXTS = 500_000
 ORIGINS = ("override", "reuse", "memory")
 
 
@@ -100,6 +102,19 @@ def apply_overrides(units: DataFrame, overrides: DataFrame, keys: list[str]) ->
     )
 
 
+def _asked_for(memory: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Memory of the run's own texts, where these are few enough for a list of 8-byte hashes.
+
+    Memory grows with all runs and a run may be small: what it does not ask for is
+    dropped where it is read, and takes no part in the shuffle that finds the last result.
+    """
+    wanted = texts.select(F.xxhash64(*keys).alias("_wanted")).distinct()
+    if not skew.has_at_most(wanted, BROADCAST_TEXTS):
+        return memory
+    marked = memory.withColumn("_wanted", F.xxhash64(*keys))
+    return marked.join(F.broadcast(wanted), "_wanted", "left_semi").drop("_wanted")
+
+
 def lookup_memory(
     units: DataFrame,
     memory: DataFrame,
@@ -115,7 +130,7 @@ def lookup_memory(
     """
     keys = [*(languages or []), "source_text"]
     hot = skew.hot_keys(units if texts is None else texts, keys, hot_rows)
-    known = skew.latest(memory, keys, ["target_text"], ["seq"])
+    known = skew.latest(_asked_for(memory, units if texts is None else texts, keys), keys, ["target_text"], ["seq"])
     settled = F.col("reused_text").isNotNull() | F.col("override_text").isNotNull()
     found = skew.lookup(units, known, keys, "left", hot=hot)
     return found.withColumn(

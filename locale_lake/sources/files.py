@@ -13,8 +13,8 @@ from locale_lake.operators import skew
 from locale_lake.session import qualified
 
 # Package dimension tables (roots, language folders) are broadcast only when
-# counted to be no larger; else the join is spread over tasks.
-BROADCAST_PACKAGES = 1_000_000
+# counted to be no larger (a row holds a few paths); else the join is spread over tasks.
+BROADCAST_PACKAGES = 100_000
 # Files that are used are opened by name up to this many; beyond, all files of a kind
 # are read and those that are not used are dropped after.
 CHOSEN_FILES = 20_000

@@ -424,3 +424,15 @@ def test_fold_and_levels_resolve_the_same_trees(spark, monkeypatch):
     assert shown() == folded
     monkeypatch.setattr(inherit, "FOLD_LEVELS", 3)
     assert shown() == folded
+
+
+def test_a_small_run_shuffles_its_own_memory_only(spark, monkeypatch):
+    memory = spark.createDataFrame([("t", f"s{i % 500}", f"r{i}", i) for i in range(1000)], "tgt_lang string, source_text string, target_text string, seq bigint")
+    rows = [("t", "s1", None, None), ("t", "s499", None, None), ("u", "s1", None, None), ("t", "s2", "kept", None), ("t", "new", None, None)]
+    units = spark.createDataFrame(rows, "tgt_lang string, source_text string, reused_text string, override_text string")
+    shown = lambda: sorted((r.tgt_lang, r.source_text, r.memory_text or "") for r in reuse.lookup_memory(units, memory, ["tgt_lang"]).collect())
+    told = shown()
+    assert told == [("t", "new", ""), ("t", "s1", "r501"), ("t", "s2", ""), ("t", "s499", "r999"), ("u", "s1", "")]
+    assert reuse._asked_for(memory, units, ["tgt_lang", "source_text"]).count() == 6
+    monkeypatch.setattr(reuse, "BROADCAST_TEXTS", 0)
+    assert reuse._asked_for(memory, units, ["tgt_lang", "source_text"]) is memory and shown() == told
