@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,8 +125,7 @@ def _signs(rules: tuple[Rule, ...]):
                 some = np.zeros(rows.num_rows, dtype=bool)
                 for rule in rules:
                     some[_holding(texts, rule, lower)] = True
-                text = rows.column("text")
-                kept = pc.if_else(pa.array(some), text, pa.scalar(None, text.type))
+                kept = rows.column("text").take(pa.array(np.arange(rows.num_rows), mask=~some))
                 yield pa.RecordBatch.from_arrays([rows.column("blob"), kept], names=["blob", "text"])
 
     return run

@@ -258,6 +258,18 @@ def test_runs_under_changed_rules_give_what_one_scan_gives(spark):
     assert {r["text"] for r in secrets.redacted(df, scanned).filter("doc_id >= 40").collect()} == {"my [secret] and [secret]"}
 
 
+def test_signs_in_slices_of_a_batch():
+    import pyarrow as pa
+
+    texts = [f"token=abcdefghijkl{i}" + "x" * 400_000 if i % 3 == 0 else None if i % 3 == 1 else "y" * 300_000 for i in range(12)]
+    batch = pa.RecordBatch.from_pydict({"blob": pa.array([bytes([i]) for i in range(12)]), "text": pa.array(texts, pa.string())})
+    out = list(secrets._signs(secrets.RULES)(iter([batch])))
+    assert len(out) > 2  # several slices
+    for b in out:
+        b.validate(full=True)
+    assert [t for b in out for t in b.column("text").to_pylist()] == [t if i % 3 == 0 else None for i, t in enumerate(texts)]
+
+
 CLASHING = ("blob", "_blob", "findings", "redacted", "_text", "letter", "_letter", "size", "taken", "mix_size", "id_of_mix", "_size", "cuts", "_cuts", "id_of_cuts", "lang_pred", "own_score", "word", "_id")
 
 
