@@ -253,15 +253,16 @@ def draft_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cut_when_protected(texts: list[str]) -> list[str]:
-    """A model that loses the tail of long texts with stand-ins, and slips into
-    another script where it meets a question mark."""
-    out = []
-    for text in texts:
-        if fixed.TERM_TOKEN in text and len(text.split()) >= 8:
-            out.append(" ".join(text.split()[:2]))
-        else:
-            out.append(text + "~" + ("漢" if "," in text else ""))
-    return out
+    """A model for long texts: it loses the tail of those with stand-ins."""
+    return [
+        " ".join(text.split()[:2]) if fixed.TERM_TOKEN in text else said
+        for text, said in zip(texts, _slip(texts), strict=True)
+    ]
+
+
+def _slip(texts: list[str]) -> list[str]:
+    """A model that slips into another script where it meets a comma."""
+    return [text + "~" + ("漢" if "," in text else "") for text in texts]
 
 
 _WORDS_SQL = r"len(string_split_regex(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\s+'))"
@@ -285,13 +286,19 @@ _WORDS_SQL = r"len(string_split_regex(regexp_replace({0}, '^\s+|\s+$', '', 'g'),
     FROM protected""",
 )
 def guards(spark: SparkSession, folder: str) -> DataFrame:
-    """Both guards around a model that cuts and slips; one row per distinct piece."""
+    """Both guards around models that cut and slip; one row per distinct piece.
+
+    Long is a piece of eight words with its terms set apart. A stand-in is one word,
+    whatever its term has, so length is told before terms are shielded.
+    """
     pieces = table(spark, folder, "conversations", spread=True).select(
         F.explode(tx.sentences(F.col("text"))).alias("piece")
     )
-    return inf.translate_pieces(pieces, _cut_when_protected, "ru", _SELF["en"], ()).select(
-        "piece", "translated"
-    )
+    terms = _SELF["en"]
+    is_long = tx.words(F.regexp_replace("piece", gl.term_pattern(terms), " $1 ")) >= 8
+    long = inf.translate_pieces(pieces.filter(is_long), _cut_when_protected, "ru", terms, ())
+    short = inf.translate_pieces(pieces.filter(~is_long), _slip, "ru", terms, ())
+    return long.unionByName(short).select("piece", "translated")
 
 
 def _turns(spark: SparkSession, folder: str) -> DataFrame:
