@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locale_lake.functions import fixed
 from locale_lake.functions import text as tx
 from locale_lake.operators import skew
-from locale_lake.operators.tree import drop_first, parent, prefixes
+from locale_lake.operators.tree import drop_first, parent, prefixes, readable, walk_fields
 from locale_lake.session import rewritten
 
 
@@ -269,6 +270,32 @@ def merge_inherited(
     cycle each heir is walked by itself. Definitions without a known parent pass
     unchanged.
     """
+    others, folded = _merged(trees, chain, materialise, hot_rows, _node_rows, _NODES)
+    return others.unionByName(folded)
+
+
+def inherited_fields(
+    trees: DataFrame,
+    chain: DataFrame,
+    denied_tags: tuple[str, ...] = (),
+    materialise: Callable[[DataFrame], DataFrame] = rewritten,
+    hot_rows: int = skew.HOT_ROWS,
+) -> DataFrame:
+    """``tree.walk_fields`` of ``merge_inherited``: definitions that are folded are walked as they are made."""
+    others, folded = _merged(trees, chain, materialise, hot_rows, _leaf_rows, _LEAVES)
+    plain = walk_fields(others, denied_tags=denied_tags)
+    return plain.unionByName(readable(folded, denied_tags).select(*plain.columns))
+
+
+def _merged(
+    trees: DataFrame,
+    chain: DataFrame,
+    materialise: Callable[[DataFrame], DataFrame],
+    hot_rows: int,
+    rows_of: Callable[[str, _Element], Iterator[tuple]],
+    kind: pa.Schema,
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the definitions that are not folded, and ``rows_of`` those that are."""
     own = trees.select("tree_id", *_NODE, "attrs")
     way = F.transform(F.sort_array(F.collect_list(F.struct("dist", "anc_id"))), lambda x: x["anc_id"])
     ways = materialise(
@@ -276,12 +303,12 @@ def merge_inherited(
         .agg(way.alias("way"))
         .select("tree_id", "way", F.size("way").alias("length"), F.get("way", F.lit(0)).alias("parent"))
     )
-    untouched = own.join(ways, "tree_id", "left_anti").drop("attrs")
-    results = [untouched, _fold(own, chain, ways.filter(F.col("length") <= FOLD_LEVELS), hot_rows)]
+    others = own.join(ways, "tree_id", "left_anti").drop("attrs")
+    folded = _fold(own, ways.filter(F.col("length") <= FOLD_LEVELS), hot_rows, rows_of, kind)
     long = materialise(ways.filter(F.col("length") > FOLD_LEVELS))
     if not long.isEmpty():
-        results.append(_merge_long(own, chain, ways, long, materialise, hot_rows))
-    return functools.reduce(DataFrame.unionByName, results)
+        others = others.unionByName(_merge_long(own, chain, ways, long, materialise, hot_rows))
+    return others, folded
 
 
 class _Element:
@@ -311,12 +338,11 @@ def inherited(child: _Element, above: _Element) -> _Element:
     return out
 
 
-def _element_tree(rows: list[dict]) -> _Element | None:
-    """The tree of node rows in document order."""
+def _element_tree(depths: list[int], tags: list, texts: list, refuses: list) -> _Element | None:
+    """The tree of nodes in document order."""
     root, way = None, []
-    for row in rows:
-        element = _Element(row["tag"], row["text"], row["refuses"])
-        depth = len(row["pos"])
+    for depth, tag, text, refused in zip(depths, tags, texts, refuses, strict=True):
+        element = _Element(tag, text, refused)
         del way[depth:]
         if way:
             way[-1].children.append(element)
@@ -326,6 +352,21 @@ def _element_tree(rows: list[dict]) -> _Element | None:
     return root
 
 
+_NODES = pa.schema(
+    [("tree_id", pa.string()), ("pos", pa.list_(pa.int32())), ("tags", pa.list_(pa.string())), ("tag", pa.string()), ("text", pa.string())]
+)
+_LEAVES = pa.schema(
+    [
+        ("tree_id", pa.string()), ("pos", pa.list_(pa.int32())), ("text", pa.string()),
+        ("field_path", pa.string()), ("test_tag", pa.string()), ("_member", pa.bool_()),
+    ]
+)
+_DDL = {
+    _NODES: "tree_id string, pos array<int>, tags array<string>, tag string, text string",
+    _LEAVES: "tree_id string, pos array<int>, text string, field_path string, test_tag string, _member boolean",
+}
+
+
 def _node_rows(tree_id: str, root: _Element) -> Iterator[tuple]:
     stack = [(root, [], [])]
     while stack:
@@ -334,52 +375,123 @@ def _node_rows(tree_id: str, root: _Element) -> Iterator[tuple]:
         stack += [(c, [*pos, i], [*tags, c.tag or ""]) for i, c in reversed([*enumerate(element.children)])]
 
 
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tree, farthest ancestor first, and place: one resolved tree each."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-    rows = (row for batch in batches for row in batch.to_pylist())
-    out: list[tuple] = []
-    for tree_id, members in itertools.groupby(rows, lambda r: r["tree_id"]):
-        resolved = None
-        for _, nodes in itertools.groupby(members, lambda r: r["dist"]):
-            own = _element_tree(list(nodes))
-            if own is not None:
-                resolved = own if resolved is None else inherited(own, resolved)
-        if resolved is not None:
-            out += _node_rows(tree_id, resolved)
-        if len(out) >= 10_000:
-            yield _node_batch(out)
-            out = []
-    if out:
-        yield _node_batch(out)
-
-
-def _node_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string(), pa.string())
-    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=["tree_id", *_NODE])
-
-
-def _fold(trees: DataFrame, chain: DataFrame, heirs: DataFrame, hot_rows: int) -> DataFrame:
-    """Heirs folded with their chains, farthest ancestor first, each heir by itself.
-
-    An heir's nodes and those of its ancestors meet in one shuffle and are read in
-    order, so no step waits for another. Copies of an ancestor's nodes grow with its
-    heirs; chains are short, and what is common to many comes from a spread lookup.
+def _leaf_rows(tree_id: str, root: _Element) -> Iterator[tuple]:
+    """Leaves that hold text, as ``tree.walk_fields`` finds them before it looks at their text."""
+    stack: list[tuple] = [(root, [], [], None, None)]
+    while stack:
+        element, pos, path, number, above = stack.pop()
+        if not element.children:
+            if pos and (element.text or "").strip(fixed.WHITESPACE):
+                test_tag = element.tag if number is None else above.tag or ""
+                yield tree_id, pos, element.text, ".".join(path), test_tag, number is not None
+            continue
+        named = [c.tag for c in element.children if c.tag is not None]
+        # a list is a field, and of nested lists every second level is numbered
+        numbers = bool(pos) and number is None and bool(named) and all(tag == "li" for tag in named)
+        stack += [
+            (c, [*pos, i], [*path, str(i) if numbers else c.tag or ""], i if numbers else None, element)
+            for i, c in reversed([*enumerate(element.children)])
+        ]
+
+
+def _lists(column: pa.Array) -> Iterator[list]:
+    """The lists of a column, one by one; their values are made Python's all at once."""
+    values, ends = column.flatten().to_pylist(), column.value_lengths().to_pylist()
+    start = 0
+    for length in ends:
+        yield values[start : start + (length or 0)]
+        start += length or 0
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(group, dist, tree_id, tree) of rows that hold a tree each."""
+    for batch in batches:
+        plain = [batch.column(name).to_pylist() for name in ("_group", "dist", "tree_id")]
+        nested = [_lists(batch.column(name)) for name in ("depths", "tags", "texts", "refuses")]
+        for group, dist, tree_id, *nodes in zip(*plain, *nested, strict=True):
+            yield group, dist, tree_id, _element_tree(*nodes)
+
+
+def _folded(rows_of: Callable[[str, _Element], Iterator[tuple]], kind: pa.Schema):
+    """Rows by group, farthest ancestor first and the heirs last: one resolved tree an heir."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+        out: list[tuple] = []
+        for _, members in itertools.groupby(_packed(batches), lambda r: r[0]):
+            above = None
+            for _, dist, tree_id, own in members:
+                if own is None:
+                    continue
+                resolved = own if above is None else inherited(own, above)
+                if dist < 0:
+                    above = resolved
+                    continue
+                out += rows_of(tree_id, resolved)
+                if len(out) >= 10_000:
+                    yield _row_batch(out, kind)
+                    out = []
+        if out:
+            yield _row_batch(out, kind)
+
+    return run
+
+
+def _row_batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, schema=kind)
+
+
+# Heirs of one parent that are folded together.
+_HEIRS = 1_000
+
+
+def _fold(
+    trees: DataFrame,
+    heirs: DataFrame,
+    hot_rows: int,
+    rows_of: Callable[[str, _Element], Iterator[tuple]],
+    kind: pa.Schema,
+) -> DataFrame:
+    """Heirs folded with their chains, farthest ancestor first.
+
+    A tree travels as one row. Heirs of one parent with one chain share what is above them: up to about
+    ``_HEIRS`` of them are a group, which gets the trees of the chain once and resolves
+    them once. Groups are read in order, so no step waits for another; what is common
+    to many groups comes from a spread lookup.
     """
-    chosen = heirs.select("tree_id")
-    levels = chain.join(chosen, "tree_id").select("tree_id", "anc_id", "dist").unionByName(
-        chosen.select("tree_id", F.col("tree_id").alias("anc_id"), F.lit(0).cast("int").alias("dist"))
-    )
     refuses = F.lower(F.coalesce(F.try_element_at("attrs", F.lit("Inherit")), F.lit(""))) == "false"
-    nodes = trees.select(F.col("tree_id").alias("anc_id"), *_NODE, refuses.alias("refuses"))
+    node = F.struct("pos", "tag", "text", refuses.alias("refuses"))
+    each = F.sort_array(F.collect_list(node))
+    packed = (
+        trees.groupBy("tree_id")
+        .agg(each.alias("n"))
+        .select(
+            F.col("tree_id").alias("anc_id"),
+            F.transform("n", lambda x: F.size(x["pos"])).alias("depths"),
+            F.col("n.tag").alias("tags"),
+            F.col("n.text").alias("texts"),
+            F.col("n.refuses").alias("refuses"),
+        )
+    )
+    # two heirs of a parent may have other chains where these are cut at themselves
+    keyed = heirs.select("tree_id", "way", F.xxhash64("way").alias("_way"))
+    many = keyed.groupBy("_way").agg(F.ceil(F.count("*") / _HEIRS).alias("_parts")).filter("_parts > 1")
+    part = F.pmod(F.xxhash64("tree_id"), F.coalesce("_parts", F.lit(1)))
+    grouped = keyed.join(many, "_way", "left").select(
+        "tree_id", "way", F.concat_ws("#", F.get("way", F.lit(0)), F.col("_way").cast("string"), part.cast("string")).alias("_group")
+    )
+    above = grouped.groupBy("_group").agg(F.any_value("way").alias("way")).select("_group", F.posexplode("way").alias("_d", "anc_id"))
+    levels = above.select("_group", (-F.col("_d") - 1).alias("dist"), "anc_id").unionByName(
+        grouped.select("_group", F.lit(0).alias("dist"), F.col("tree_id").alias("anc_id"))
+    )
     few = skew.has_at_most(levels, hot_rows)  # then no ancestor can be hot
-    met = levels.join(nodes, "anc_id") if few else skew.lookup(levels, nodes, ["anc_id"], "inner", hot_rows)
+    met = levels.join(packed, "anc_id") if few else skew.lookup(levels, packed, ["anc_id"], "inner", hot_rows)
     return (
-        met.select("tree_id", (-F.col("dist")).alias("dist"), "pos", "tag", "text", "refuses")
-        .repartition("tree_id")
-        .sortWithinPartitions("tree_id", "dist", "pos")
-        .mapInArrow(_folded, "tree_id string, pos array<int>, tags array<string>, tag string, text string")
+        met.select("_group", "dist", F.col("anc_id").alias("tree_id"), "depths", "tags", "texts", "refuses")
+        .repartition("_group")
+        .sortWithinPartitions("_group", "dist")
+        .mapInArrow(_folded(rows_of, kind), _DDL[kind])
     )
 
 

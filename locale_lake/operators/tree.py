@@ -103,7 +103,18 @@ def walk_fields(
     from 0. A member is tested under its list's tag, and a rule string passes even
     where the value alone would not. ``denied_tags`` hold no text, besides those known.
     """
-    carry = carry or []
+    return readable(_leaves(trees, carry or []), denied_tags)
+
+
+def readable(fields: DataFrame, denied_tags: tuple[str, ...] = ()) -> DataFrame:
+    """The leaves whose text is for people; ``_member`` tells members of a list."""
+    passes = cl.is_translatable(F.col("test_tag"), F.col("text"), denied_tags) | (
+        F.col("_member") & tx.is_rule_string(F.col("test_tag"), F.col("text")) & ~F.lower("test_tag").isin(*[t.lower() for t in denied_tags])
+    )
+    return fields.filter(passes).drop("_member")
+
+
+def _leaves(trees: DataFrame, carry: list[str]) -> DataFrame:
     in_document = W.partitionBy("tree_id").orderBy("pos")
     siblings = W.partitionBy("tree_id", "_parent")
     # one shuffle by tree serves all three windows
@@ -111,39 +122,54 @@ def walk_fields(
         trees.select("tree_id", "pos", "tags", "tag", "text", *carry)
         .withColumn("_next", F.lead("pos").over(in_document))
         .withColumn("_parent", parent(F.col("pos")))
-        .withColumn("_in_list", F.bool_and(F.col("tag") == "li").over(siblings))
+        # in this order the second of these finds its rows sorted
         .withColumn("_index", F.row_number().over(siblings.orderBy("pos")) - 1)
+        .withColumn("_in_list", F.bool_and(F.col("tag") == "li").over(siblings))
         .filter(F.size("pos") > 0)
+        .withColumn("_is_leaf", F.col("_next").isNull() | (F.size("_next") <= F.size("pos")))
         # a list is a field, so its members are at least two levels down
-        .withColumn("_in_list", F.col("_in_list") & (F.size("pos") >= 2))
+        .withColumn("_own", F.when(F.coalesce("_in_list", F.lit(False)) & (F.size("pos") >= 2), F.col("_index")))
+        .drop("_next", "_parent", "_in_list", "_index")
     )
-    is_leaf = F.col("_next").isNull() | (F.size("_next") <= F.size("pos"))
-    leaves = marked.filter(is_leaf & ~tx.is_blank(F.col("text"))).drop("_next", "_parent")
-
-    below_list = F.array_contains(F.col("tags"), "li") & (F.size("tags") >= 2)
-    plain = leaves.filter(~below_list).select(
+    leaves = marked.filter(F.col("_is_leaf") & ~tx.is_blank(F.col("text"))).drop("_is_leaf")
+
+    # members stand among elements called "li"; where only the leaf itself is called
+    # so, its own number is all that counts, and most leaves are done in one pass
+    above = prefixes(F.col("pos"), 2, proper=True)
+    member_like = F.filter(above, lambda p: F.get("tags", F.size(p) - 1) == "li")
+    is_nested = F.size(member_like) > 0
+    last = F.size("tags") - 1
+    flat = leaves.filter(~is_nested).select(
         "tree_id",
         "pos",
         "text",
         *carry,
-        F.array_join("tags", ".").alias("field_path"),
-        F.col("tag").alias("test_tag"),
-        F.lit(False).alias("_member"),
+        F.array_join(
+            F.when(F.col("_own").isNull(), F.col("tags")).otherwise(
+                F.concat(F.slice("tags", F.lit(1), last), F.array(F.col("_own").cast("string")))
+            ),
+            ".",
+        ).alias("field_path"),
+        F.when(F.col("_own").isNotNull(), F.get("tags", last - 1)).otherwise(F.col("tag")).alias("test_tag"),
+        F.col("_own").isNotNull().alias("_member"),
     )
-    members = marked.filter("_in_list").select(
-        "tree_id", F.col("pos").alias("_at"), F.col("_index").alias("_i")
+    members = marked.filter(F.col("_own").isNotNull() & ~F.col("_is_leaf")).select(
+        "tree_id", F.col("pos").alias("_at"), F.col("_own").alias("_i")
     )
-    deep = leaves.filter(below_list).drop("_in_list", "_index")
     steps = (
-        deep.withColumn("_at", F.explode(prefixes(F.col("pos"), 2, proper=False)))
+        leaves.filter(is_nested)
+        .withColumn("_at", F.explode(above))
         .join(members, ["tree_id", "_at"], "left")
-        .groupBy("tree_id", "pos", "tags", "tag", "text", *carry)
+        .groupBy("tree_id", "pos", "tags", "tag", "text", "_own", *carry)
         .agg(
             F.sort_array(
                 F.collect_list(F.struct(F.size("_at").alias("n"), F.col("_i").alias("i")))
             ).alias("_steps")
         )
-        .withColumn("_numbers", _list_numbers(F.col("_steps")))
+        .withColumn(
+            "_numbers",
+            _list_numbers(F.concat("_steps", F.array(F.struct(F.size("pos").alias("n"), F.col("_own").alias("i"))))),
+        )
     )
     numbered = steps.select(
         "tree_id",
@@ -164,11 +190,7 @@ def walk_fields(
         .alias("test_tag"),
         F.element_at("_numbers", -1).isNotNull().alias("_member"),
     )
-    fields = plain.unionByName(numbered)
-    passes = cl.is_translatable(F.col("test_tag"), F.col("text"), denied_tags) | (
-        F.col("_member") & tx.is_rule_string(F.col("test_tag"), F.col("text")) & ~F.lower("test_tag").isin(*[t.lower() for t in denied_tags])
-    )
-    return fields.filter(passes).drop("_member")
+    return flat.unionByName(numbered)
 
 
 def _list_numbers(steps: Column) -> Column:

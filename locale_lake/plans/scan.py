@@ -45,8 +45,7 @@ def definition_fields(nodes: DataFrame, denied_tags: tuple[str, ...] = ()) -> Da
     )
     concrete = tree.filter_defs(heads)
     chain = inherit.chains(concrete, registry)
-    resolved = inherit.merge_inherited(trees, chain)
-    fields = tree.walk_fields(resolved, denied_tags=denied_tags).join(concrete, "tree_id")
+    fields = inherit.inherited_fields(trees, chain, denied_tags).join(concrete, "tree_id")
     return tree.emit_types(fields).select(
         *carry,
         "def_type",

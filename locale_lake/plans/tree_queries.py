@@ -222,8 +222,7 @@ def inherit_merge(spark: SparkSession, folder: str) -> DataFrame:
         F.col("ancestor").cast("string").alias("anc_id"),
         "dist",
     )
-    merged = inherit.merge_inherited(trees, chain)
-    return tree.walk_fields(merged).select(
+    return inherit.inherited_fields(trees, chain).select(
         F.col("tree_id").cast("bigint").alias("id"), "field_path", "text"
     )
 
@@ -300,7 +299,7 @@ def inherit_rules(spark: SparkSession, folder: str) -> DataFrame:
     trees = every.select("tree_id", F.explode(rows).alias("n")).filter("n IS NOT NULL").select("tree_id", "n.*")
     registry = rewritten(inherit.name_registry(heads, ["tree_id"]))
     chain = inherit.chains(heads, registry)
-    return tree.walk_fields(inherit.merge_inherited(trees, chain)).select("tree_id", "field_path", "text")
+    return inherit.inherited_fields(trees, chain).select("tree_id", "field_path", "text")
 
 
 @query(
