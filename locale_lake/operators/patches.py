@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from locale_lake.functions import fixed
 from locale_lake.functions import text as tx
+from locale_lake.operators import skew
 from locale_lake.operators.tree import drop_first, parent, short_type, walk_fields
 from locale_lake.session import cut_lineage
 
@@ -26,9 +27,12 @@ def patch_ops(nodes: DataFrame, carry: list[str]) -> DataFrame:
     operations = nodes.filter(kind.isin(*fixed.TEXT_OPERATIONS)).select(
         "file_id", F.col("pos").alias("op_pos"), kind.alias("op"), *carry
     )
+    named = nodes.filter((F.size("pos") > 0) & F.col("tag").isin("xpath", "value")).select(
+        "file_id", parent(F.col("pos")).alias("op_pos"), "pos", "tag", "text"
+    )
     parts = (
-        nodes.filter((F.size("pos") > 0) & F.col("tag").isin("xpath", "value"))
-        .groupBy("file_id", parent(F.col("pos")).alias("op_pos"))
+        skew.dealt(named, named.count(), "file_id", "op_pos")
+        .groupBy("file_id", "op_pos")
         .agg(
             F.min_by("text", F.when(F.col("tag") == "xpath", F.col("pos"))).alias("address"),
             F.min(F.when(F.col("tag") == "value", F.col("pos"))).alias("value_pos"),
@@ -133,7 +137,7 @@ def patch_fields(
 
     def trees(rows: DataFrame, root: str) -> DataFrame:
         """``root`` becomes the root of the tree."""
-        return rows.select(
+        rooted = rows.select(
             F.concat_ws("#", "file_id", F.array_join(F.col(root).cast("array<string>"), ".")).alias("tree_id"),
             F.slice("pos", F.size(root) + 1, F.size("pos")).alias("pos"),
             drop_first(F.col("tags"), F.size(root) + 1).alias("tags"),
@@ -145,6 +149,7 @@ def patch_fields(
             "child_tag",
             "own_name",
         )
+        return skew.dealt(rooted, rows.count(), "tree_id")
 
     described = ["file_id", "value_pos", "child_pos", "child_tag", "own_name"]
     fields = walk_fields(trees(payload, "value_pos"), described, denied_tags).withColumnRenamed("pos", "_pos")

@@ -12,6 +12,8 @@ SPREAD = 64
 # A key is hot from this share of all rows on, so there are at most HOT_SHARE hot
 # keys (8-byte hashes) to broadcast, however large the table.
 HOT_SHARE = 65_536
+# Rows that a task sorts at a time, where rows are wide.
+ROWS_A_TASK = 100_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -99,6 +101,16 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Dealt by keys to so many tasks that each gets ROWS_A_TASK of ``rows`` on the average.
+
+    Left alone, Spark makes tasks by bytes as they are compressed, which for texts that
+    resemble each other may be many times as much in memory.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // ROWS_A_TASK)), *keys) if rows > ROWS_A_TASK else df
+
+
 def number_rows(
     df: DataFrame,
     group: list[str],
