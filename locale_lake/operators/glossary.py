@@ -18,6 +18,7 @@ from locale_lake.operators import skew
 BROADCAST_TERMS = 50_000
 _WORDS_AND_GAPS = r"(?U)(\w+|\W+)"
 # the same in tasks; this library's words have marks in them, as the JVM's have
+_WALKED = 64
 _PIECE, _WORD = regex.compile(r"\w+|\W+"), regex.compile(r"\w")
 
 
@@ -127,7 +128,8 @@ def _walked(units: DataFrame, terms: DataFrame, max_words: int, text: str, unit_
     kind = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("hit", pa.string()), ("replacement", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # few texts at a time, as a batch of long ones is many times as large in Python
+        for batch in (b.slice(at, _WALKED) for b in batches for at in range(0, b.num_rows, _WALKED)):
             found = [
                 walk_terms(said, trees[lang]) if said and lang in trees else []
                 for lang, said in zip(batch.column("_lang").to_pylist(), batch.column("_said").to_pylist(), strict=True)
@@ -284,7 +286,9 @@ def agree(
     def pair_at(i: Column) -> Column:
         first, gap, second = (F.get(pieces, i + k) for k in range(3))
         beside = (adjective(first) & noun_like(second)) | (noun_like(first) & adjective(second))
-        return F.coalesce(gap.rlike(r"^(?U)\s+$") & beside, F.lit(False))
+        # most words are no adjectives, which is told without a pattern
+        named = adjective(first) | adjective(second)
+        return F.coalesce(named & gap.rlike(r"^(?U)\s+$") & beside, F.lit(False))
 
     # words and gaps alternate, so a pair is three pieces; one that starts on the last
     # word of the pair before is left out
@@ -323,23 +327,22 @@ def agree(
     noun = F.col("noun")
     pair = F.when(F.col("adjective_first"), F.concat_ws(" ", form, noun)).otherwise(F.concat_ws(" ", noun, form))
     per_unit = known.groupBy(unit_id).agg(
-        F.map_from_entries(F.collect_list(F.struct("_at", pair.alias("_pair")))).alias("_pairs")
-    )
-    written = F.transform(
-        split,
-        lambda piece, i: F.coalesce(
-            F.try_element_at("_pairs", i),
-            F.when(
-                F.try_element_at("_pairs", i - 1).isNull() & F.try_element_at("_pairs", i - 2).isNull(), piece
-            ).otherwise(F.lit("")),
-        ),
+        F.sort_array(F.collect_list(F.struct("_at", pair.alias("_pair")))).alias("_pairs")
     )
+    # what stands between the pairs, each with the pair that follows it
+
+    def stretch(k: Column) -> Column:
+        begin = F.coalesce(F.get("_pairs", k - 1)["_at"] + 3, F.lit(0))
+        end = F.coalesce(F.get("_pairs", k)["_at"], F.size("_pieces"))
+        between = F.array_join(F.slice("_pieces", begin + 1, end - begin), "")
+        return F.concat(between, F.coalesce(F.get("_pairs", k)["_pair"], F.lit("")))
+
+    written = F.array_join(F.transform(F.sequence(F.lit(0), F.size("_pairs")), stretch), "")
     return (
         units.join(per_unit, unit_id, "left")
-        .withColumn(
-            "agreed", F.when(F.col("_pairs").isNotNull(), F.array_join(written, "")).otherwise(F.col(text))
-        )
-        .drop("_pairs")
+        .withColumn("_pieces", F.when(F.col("_pairs").isNotNull(), split))
+        .withColumn("agreed", F.when(F.col("_pairs").isNotNull(), written).otherwise(F.col(text)))
+        .drop("_pairs", "_pieces")
     )
 
 
