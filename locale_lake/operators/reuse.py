@@ -260,7 +260,7 @@ def propagate_memory(
         "_bucket",
         F.last("_pinned", ignorenulls=True).over(earlier).alias("_pinned_in"),
         F.first("_fresh", ignorenulls=True).over(earlier).alias("_fresh_in"),
-    )
+    ).filter("_pinned_in IS NOT NULL OR _fresh_in IS NOT NULL")  # first buckets, often all, carry nothing
     inside = (
         W.partitionBy(*keys, "_bucket")
         .orderBy(package)
@@ -269,7 +269,7 @@ def propagate_memory(
     return (
         leaves.withColumn("_p", F.last("pinned_text", ignorenulls=True).over(inside))
         .withColumn("_f", F.first("fresh_text", ignorenulls=True).over(inside))
-        .join(carried, [*keys, "_bucket"])
+        .join(carried, [*keys, "_bucket"], "left")
         .select(
             text,
             package,

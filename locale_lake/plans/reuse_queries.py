@@ -227,6 +227,10 @@ pieces AS (
 """
 
 
+# Labels go to the texts up to this (16 bytes each), else texts are shuffled to meet them.
+_LABELS = 1_000_000
+
+
 @query(
     "memory_propagation",
     "WITH "
@@ -249,9 +253,10 @@ pieces AS (
     WINDOW w AS (PARTITION BY source_text ORDER BY pkg_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
 def memory_propagation(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents", spread=True)
+    good = table(spark, folder, "labels").filter("quality = 1").select("doc_id", "quality")
     units = (
-        table(spark, folder, "documents", spread=True)
-        .join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id", "left")
+        skew.lookup(documents, good, ["doc_id"], "left", broadcast_rows=_LABELS)
         .select(
             F.expr("cast(substring(source, 4) as bigint)").alias("pkg_seq"),
             "doc_id",
