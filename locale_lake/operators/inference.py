@@ -335,10 +335,11 @@ def draft(
     )
     # how often a piece occurs was counted when the pieces were made distinct
     counts = known.select(F.xxhash64("piece").alias("_hot"), F.col("n").alias("_n"))
+    rows = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     joined = skew.lookup(
-        pieces, known.drop("n"), ["piece"], "left", hot=skew.hottest(counts, hot_rows)
+        pieces, known.drop("n"), ["piece"], "left", hot=skew.hottest(counts, hot_rows), rows=rows
     )
-    whole = joined.groupBy(unit_id).agg(
+    whole = skew.dealt(joined, rows, unit_id).groupBy(unit_id).agg(
         F.array_join(
             F.transform(
                 F.sort_array(

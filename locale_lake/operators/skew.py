@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,6 +54,7 @@ def lookup(
     spread: int = SPREAD,
     broadcast_rows: int | None = None,
     hot: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join rows to a table that has few rows per key, however frequent a key is.
 
@@ -61,7 +64,8 @@ def lookup(
 
     With ``broadcast_rows``, ``one`` is counted first (never past that number) and
     broadcast if it is no larger; ``many`` is then not shuffled at all. Where
-    ``many`` is costly to make, pass the ``hot`` keys counted on something cheaper.
+    ``many`` is costly to make, pass the ``hot`` keys counted on something cheaper. Where
+    its number of ``rows`` is known, tasks follow it (see ``dealt``).
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup supports left and inner joins")
@@ -71,9 +75,14 @@ def lookup(
         hot = hot_keys(many, keys, hot_rows)
     hot = F.broadcast(hot.withColumn("_is_hot", F.lit(True)))
     rest = [c for c in many.columns if c not in keys]
-    salt = F.when(
-        F.col("_is_hot"), F.pmod(F.xxhash64(*(rest or keys)), F.lit(spread)).cast("int")
-    ).otherwise(F.lit(0))
+    place = F.xxhash64(*(rest or keys))
+    is_null = functools.reduce(Column.__or__, [F.col(key).isNull() for key in keys])
+    # a key that is null meets nothing, so its rows may go anywhere
+    salt = (
+        F.when(is_null, F.pmod(place, F.lit(1 << 20)).cast("int"))
+        .when(F.col("_is_hot"), F.pmod(place, F.lit(spread)).cast("int"))
+        .otherwise(F.lit(0))
+    )
     left = (
         many.withColumn("_hot", F.xxhash64(*keys))
         .join(hot, "_hot", "left")
@@ -93,6 +102,8 @@ def lookup(
         )
         .drop("_hot", "_is_hot")
     )
+    if rows is not None:
+        left, right = (dealt(side, rows, *keys, "_salt") for side in (left, right))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -73,3 +73,12 @@ def test_patch_fields_tasks_follow_rows(spark, tmp_path, monkeypatch):
     spark.createDataFrame(_parts(200)).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     plan = contract.queries()["patch_fields"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [tree_id" in plan
+
+
+def test_rows_without_a_key_are_spread(spark):
+    """Rows whose key is null met in one task, however many there were."""
+    many = spark.range(2000).selectExpr("cast(null as string) AS k", "id")
+    one = spark.createDataFrame([("a", 1)], "k string, v int")
+    joined = skew.lookup(many, one, ["k"], "left")
+    plan = joined._jdf.queryExecution().analyzed().toString()
+    assert "isnull(k#" in plan and joined.filter("v IS NULL").count() == 2000
