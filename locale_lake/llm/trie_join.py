@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from locale_lake.llm import graph, rawtext
 from locale_lake.operators import skew
-from locale_lake.session import cut_lineage
+from locale_lake.session import cut_lineage, rewritten
 
 # Two sets link if FINE x overlap >= SHARE x union.
 SHARE, FINE = 75, 100
@@ -237,13 +237,14 @@ class Tree:
             differ = np.flatnonzero(x[:m] != y[:m])
             shared.append(int(differ[0]) if len(differ) else m)
         self.shared = shared
-        # node: (tokens, children, sets that end here, longest rest below, least size below)
+        # node: (tokens, children, sets that end here, longest rest below, least size below, sets left below, node above)
+        self.ends: list = [None] * len(order)
         self.root = self._node(0, len(order), 0)
 
     def _node(self, first: int, last: int, depth: int):
         """The node of sets first..last, which agree on their tokens before ``depth``."""
         stack: list = []
-        root = [self.sequences[first][:0], [], [], 0, 0]
+        root = [self.sequences[first][:0], [], [], 0, 0, 0, None]
         stack.append((root, first, last, depth))
         nodes = []
         while stack:
@@ -252,23 +253,33 @@ class Tree:
             k = first
             while k < last and len(self.sequences[k]) == depth:
                 node[2].append(k)
+                self.ends[self.order[k]] = node, k
                 k += 1
             while k < last:
                 end = k + 1
                 while end < last and self.shared[end] > depth:
                     end += 1
                 reach = min([len(self.sequences[k]), *self.shared[k + 1 : end]])
-                child = [self.sequences[k][depth:reach], [], [], 0, 0]
+                child = [self.sequences[k][depth:reach], [], [], 0, 0, 0, node]
                 node[1].append(child)
                 stack.append((child, k, end, reach))
                 k = end
         for node, first, last, depth in nodes:
             node[3] = max(len(s) for s in self.sequences[first:last]) - depth
             node[4] = min(self.sizes[first:last])
+            node[5] = last - first
         return root
 
+    def take(self, number: int) -> None:
+        """Leave a set out of the walks to come."""
+        node, k = self.ends[number]
+        node[2].remove(k)
+        while node is not None:
+            node[5] -= 1
+            node = node[6]
+
     def linked(self, tokens: np.ndarray, size: int) -> Iterator[int]:
-        """Numbers of the sets that link with the given one.
+        """Numbers of the sets that link with the given one, of those not taken.
 
         One walk serves all sets below a node: its overlap so far is theirs, and the
         walk turns back where not even the longest rest could make up the overlap
@@ -290,7 +301,8 @@ class Tree:
                 if (SHARE + FINE) * overlap >= SHARE * (size + self.sizes[k]):
                     yield self.order[k]
             for child in node[1]:
-                stack.append((child, overlap))
+                if child[5]:
+                    stack.append((child, overlap))
 
 
 class Forest:
@@ -324,11 +336,45 @@ def _binaries(column: pa.ChunkedArray) -> list[np.ndarray]:
     return out
 
 
-def _join(table: pa.Table) -> pa.Table:
-    """Join the sets of each (group, tree, tree): links that span what is linked, as a and b.
+def _reached(sequences: list[np.ndarray], sizes: list[int], build: list[int], probe: list[int]) -> list[tuple[int, int]]:
+    """What links inside a tree, or between two, as pairs of a class's first set and another of it.
 
-    Rows without b say how many copies the sets have that link with a, in this pair of
-    trees. Sets come in the order of their keys: the same links however often a task is run.
+    A class is walked from set to set, and a set that is reached leaves its tree: all that it
+    links with is met from it. So near copies, however many, are found once each, and the
+    pairs of a class have no long path among them.
+    """
+    tree_of = lambda numbers: Tree([sequences[i] for i in numbers], [sizes[i] for i in numbers])
+    inside = build == probe
+    trees = {True: tree_of(build)}
+    trees[False] = trees[True] if inside else None  # of the probes, when something links
+    sides = {True: build, False: probe}
+    taken, links = set(), []
+    for k, start in enumerate(probe):
+        if start in taken:
+            continue
+        if trees[False] is not None:
+            trees[False].take(k)
+        waiting = [(k, False)]
+        while waiting:
+            k, is_build = waiting.pop()
+            i, other = sides[is_build][k], inside or not is_build
+            if trees[other] is None:
+                trees[other] = tree_of(probe)
+                trees[other].take(probe.index(start))
+            for m in list(trees[other].linked(sequences[i], sizes[i])):
+                trees[other].take(m)
+                taken.add(sides[other][m])
+                links.append((start, sides[other][m]))
+                waiting.append((m, other))
+    return links
+
+
+def _met(table: pa.Table, counting: bool) -> pa.Table:
+    """Join the sets of each (group, tree, tree): pairs a and b that span what is linked.
+
+    When ``counting``, rows without b say how many copies the sets have that link with a, in
+    this pair of trees, and every link is looked at. Sets come in the order of their keys: the
+    same links however often a task is run.
     """
     order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("group", "one", "two", "key")])
     table = table.take(order)
@@ -342,6 +388,12 @@ def _join(table: pa.Table) -> pa.Table:
         probe = [i for i in range(start, end) if part[i] == two[start]]
         if not build or not probe:
             continue
+        if not counting:
+            for x, y in _reached(sequences, sizes, build, probe):
+                a.append(x)
+                b.append(y)
+                n.append(0)
+            continue
         tree, forest = Tree([sequences[i] for i in build], [sizes[i] for i in build]), Forest(end - start)
         met = [0] * (end - start)
         for i in probe:
@@ -365,6 +417,14 @@ def _join(table: pa.Table) -> pa.Table:
     return pa.table({"a": take(a), "b": take(b), "n": pa.array(n, pa.int64())})
 
 
+def _join(table: pa.Table) -> pa.Table:
+    return _met(table, counting=False)
+
+
+def _count_links(table: pa.Table) -> pa.Table:
+    return _met(table, counting=True)
+
+
 def candidate_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     """Distinct sets that share a token of their prefixes with another: key, n, prefix, tokens.
 
@@ -398,7 +458,7 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, width: int = 5, tree_sets: int = TREE_SETS) -> DataFrame:
-    """Links between distinct sets that span all that are linked: a and b, keys of sets.
+    """Pairs of distinct sets, of one class each, that span all that are linked: a and b, keys of sets.
 
     Small groups of candidates take one tree. A large one is first joined inside its
     trees; one set of each tree's largest class then meets those of the other trees.
@@ -408,7 +468,8 @@ def links(docs: DataFrame, width: int = 5, tree_sets: int = TREE_SETS) -> DataFr
     """
     members = _members(docs, width, tree_sets)
     inside = _joins(members.filter("one = two AND part = one"))
-    inside = cut_lineage(inside.filter("b IS NOT NULL").select("a", "b"))
+    # written as tables, as most tasks find nothing and a checkpoint keeps a part of each
+    inside = rewritten(inside.select("a", "b"))
     large = members.filter("trees > 1 AND one = two AND part = one")
     large = cut_lineage(large.select("group", "part", "band", "key", "n", "copies", "tokens", "near"))
     if large.isEmpty():
@@ -420,7 +481,7 @@ def links(docs: DataFrame, width: int = 5, tree_sets: int = TREE_SETS) -> DataFr
     share = F.pmod(F.xxhash64("key"), F.col("shares")).cast("int")
     met = met.join(several, "group").withColumn("part", share).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     met = met.withColumns({"one": F.least("part", "with"), "two": F.greatest("part", "with")})
-    across = cut_lineage(inside.unionByName(_joins(met).filter("b IS NOT NULL").select("a", "b")))
+    across = inside.unionByName(rewritten(_joins(met).select("a", "b")))
     placed = cut_lineage(_classes(large, across).select("group", "key", "root"))
     main = placed.groupBy("group", "root").agg(F.count("*").alias("m")).groupBy("group").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
     apart = placed.join(main, "group").filter("root <> main").select("key")
@@ -432,8 +493,8 @@ def links(docs: DataFrame, width: int = 5, tree_sets: int = TREE_SETS) -> DataFr
     asked = probes.join(chunks, "group").withColumn("two", chunk).withColumn("one", F.explode("near")).filter("one <> part")
     asked = asked.withColumn("part", F.col("two")).drop("chunks")
     trees = large.join(chunks, "group").withColumn("one", F.col("part")).withColumn("two", F.explode(F.sequence(-F.col("chunks"), F.lit(-1)))).drop("chunks")
-    rest = _joins(asked.unionByName(trees.select(*asked.columns))).filter("b IS NOT NULL").select("a", "b")
-    return cut_lineage(across.unionByName(rest))
+    rest = _joins(asked.unionByName(trees.select(*asked.columns))).select("a", "b")
+    return across.unionByName(rewritten(rest))
 
 
 def _classes(sets: DataFrame, links: DataFrame) -> DataFrame:
@@ -480,7 +541,7 @@ def _members(docs: DataFrame, width: int, tree_sets: int, copies: DataFrame | No
     )
 
 
-def _joins(members: DataFrame) -> DataFrame:
+def _joins(members: DataFrame, counting: bool = False) -> DataFrame:
     """Join every (group, one, two): tasks follow the replicated rows and their bytes."""
     told = members.agg(F.count("*").alias("rows"), F.sum(F.octet_length("tokens")).alias("bytes")).first()
     tasks = max(told["rows"] // TASK_SETS, (told["bytes"] or 0) // TASK_BYTES, _partitions(members.sparkSession))
@@ -490,7 +551,7 @@ def _joins(members: DataFrame) -> DataFrame:
         # joining costs CPU, so partitions are not merged by their bytes
         .repartition(int(min(tasks, 16 * _partitions(members.sparkSession))), "task")
         .groupBy("task")
-        .applyInArrow(_join, "a binary, b binary, n bigint")
+        .applyInArrow(_count_links if counting else _join, "a binary, b binary, n bigint")
     )
 
 
@@ -501,7 +562,7 @@ def joined(docs: DataFrame, width: int = 5, tree_sets: int = TREE_SETS, copies:
     tasks of their own. ``copies`` has key and n, the rows that have a set (1 each
     without it).
     """
-    return _joins(_members(docs, width, tree_sets, copies))
+    return _joins(_members(docs, width, tree_sets, copies), counting=True)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, count_links: bool = False) -> DataFrame:

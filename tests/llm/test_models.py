@@ -89,6 +89,42 @@ def test_a_large_group_of_near_copies_is_linked_along_its_trees(spark, monkeypat
     assert len(joined) == 3 and sum(joined) < 205 * 4  # not once for every tree of the group
 
 
+def _near(n, part):
+    """Near copies, and half as many sets apart from them, as rows of a pair of trees."""
+    draw = np.random.default_rng(part + 7)
+    rows = []
+    for i in range(n):
+        tokens = np.arange(100, dtype=np.uint64)
+        tokens = np.union1d(tokens[draw.random(100) < 0.97], np.uint64(1000 * (part + 1) + i)) if i % 3 else tokens[i % 7 :: 9]
+        rows.append({"group": b"g", "one": 0, "two": 0, "part": part, "key": bytes([part, i]), "n": len(tokens), "tokens": tokens.tobytes()})
+    return rows
+
+
+@pytest.mark.parametrize("two", [0, 1])
+def test_a_class_is_walked_once(monkeypatch, two):
+    """Every near copy met every other one, so a tree of them took time by the square of their number."""
+    rows = [r | {"two": two} for r in [*_near(60, 0), *_near(60, 1)] if two or not r["part"]]
+    found, linked = [], trie_join.Tree.linked
+    monkeypatch.setattr(trie_join.Tree, "linked", lambda tree, tokens, n: [found.append(k) or k for k in linked(tree, tokens, n)])
+    pairs = [(r["a"], r["b"]) for r in trie_join._join(pa.Table.from_pylist(rows)).to_pylist()]
+    assert len(found) == len(pairs) < len(rows)
+    sets = {r["key"]: (r["part"], set(np.frombuffer(r["tokens"], np.uint64).tolist())) for r in rows}
+    met = [
+        (x, y) for x, (p, s) in sets.items() for y, (q, t) in sets.items()
+        if x < y and (p != q or not two) and 100 * len(s & t) >= 75 * len(s | t)
+    ]
+    assert len(met) > 10 * len(pairs)
+
+    def classes(links):
+        root = {x: x for x in sets}
+        for _ in range(len(sets)):
+            for x, y in links:
+                root[x] = root[y] = min(root[x], root[y])
+        return root
+
+    assert classes(pairs) == classes(met)
+
+
 @pytest.mark.parametrize("tree_sets", [4, 1000])
 def test_links_are_counted_whole(spark, monkeypatch, tree_sets):
     rows = near_copies(random.Random(3))
