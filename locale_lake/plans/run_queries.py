@@ -13,6 +13,7 @@ from locale_lake.plans.scan import scan_corpus
 from locale_lake.session import ensure_checkpoint_dir
 from locale_lake.sinks import files as sink
 from locale_lake.sources import files as fs
+from locale_lake.sources import lists
 from locale_lake.sources.existing import read_existing
 from locale_lake.streaming import queue
 
@@ -74,12 +75,8 @@ def entry_lines(spark: SparkSession, folder: str) -> DataFrame:
     """What stands in the written language files, line by line."""
     out = _folder(spark, "entry_lines")
     sink.write_language_files(_turn_results(spark, folder, out), "Tongue", with_source=True)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out)
-    path = F.element_at(F.split("path", "/entry_lines-[0-9a-f]+/"), -1)
-    named = files.select(F.split(path, "/Languages/Tongue/").alias("p"), F.col("content").cast("string").alias("body"))
-    return named.select(
-        F.col("p")[0].alias("role"), F.col("p")[1].alias("out_path"), F.posexplode(F.split("body", "\n")).alias("i", "line")
-    ).withColumn("i", F.col("i").cast("bigint"))
+    path = F.split(F.element_at(F.split("path", "/entry_lines-[0-9a-f]+/"), -1), "/Languages/Tongue/")
+    return lists.written_lines(spark, out).select(path[0].alias("role"), path[1].alias("out_path"), "i", "line")
 
 
 @query(

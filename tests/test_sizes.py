@@ -82,3 +82,25 @@ def test_rows_without_a_key_are_spread(spark):
     joined = skew.lookup(many, one, ["k"], "left")
     plan = joined._jdf.queryExecution().analyzed().toString()
     assert "isnull(k#" in plan and joined.filter("v IS NULL").count() == 2000
+
+
+def test_entry_lines_reads_a_file_in_blocks(spark, tmp_path):
+    """A file was one row of one task; here it has many blocks, and what a reader of lines may lose."""
+    texts = ["\ufeffmarked", "two\nlines", "return\rhere\r\n", "", "\u00fc" * 300, "\n\n", " <&> --"]
+    rows = [
+        {"conv_id": i, "turn": i % 6, "role": role, "text": text}
+        for role in ("system", "user", "a b+c%20#\u00fc") for i, text in enumerate(texts * 20)
+    ]
+    schema = "conv_id bigint, turn int, role string, text string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = contract.queries()["entry_lines"](spark, str(tmp_path))
+        assert compare(found, connection, contract.oracle_sql()["entry_lines"]) is None
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert "binaryFile" not in found._jdf.queryExecution().optimizedPlan().toString()
