@@ -12,6 +12,7 @@ import itertools
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -395,8 +396,14 @@ def _leaf_rows(tree_id: str, root: _Element) -> Iterator[tuple]:
 
 
 def _lists(column: pa.Array) -> Iterator[list]:
-    """The lists of a column, one by one; their values are made Python's all at once."""
-    values, ends = column.flatten().to_pylist(), column.value_lengths().to_pylist()
+    """The lists of a column, one by one; their values are made Python's all at once, equal texts as one."""
+    flat, ends = column.flatten(), column.value_lengths().to_pylist()
+    if pa.types.is_string(flat.type):
+        coded = flat.dictionary_encode()
+        texts = np.array([*coded.dictionary.to_pylist(), None], dtype=object)
+        values = texts[coded.indices.fill_null(len(texts) - 1).to_numpy(zero_copy_only=False)].tolist()
+    else:
+        values = flat.to_numpy(zero_copy_only=False).tolist() if not flat.null_count else flat.to_pylist()
     start = 0
     for length in ends:
         yield values[start : start + (length or 0)]

@@ -2,6 +2,7 @@
 
 import __spark_entry__ as contract
 import duckdb
+import pyarrow as pa
 from locale_lake.operators import inherit, skew
 from locale_lake.operators import tree as tree_operators
 from tests.oracle import compare
@@ -104,3 +105,12 @@ def test_entry_lines_reads_a_file_in_blocks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert "binaryFile" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_texts_of_a_batch_are_made_once():
+    """Trees above many heirs come again and again; each of their texts was made anew."""
+    texts = [["a tag", None, "b tag"], None, ["a tag"], []]
+    found = list(inherit._lists(pa.array(texts, pa.list_(pa.string()))))
+    assert found == [x or [] for x in texts] and found[0][0] is found[2][0]
+    assert list(inherit._lists(pa.array([[1, 2], [], None, [3]], pa.list_(pa.int32())))) == [[1, 2], [], [], [3]]
+    assert list(inherit._lists(pa.array([[True, None], [False]], pa.list_(pa.bool_())))) == [[True, None], [False]]
