@@ -132,7 +132,7 @@ def scan_corpus(
     languages = fs.language_roots(listing, roots, all_language_roots)
     lang_dirs = cut_lineage(fs.source_language(listing, languages, source_folder))
 
-    # folders are chosen on the listing, so files that do not count are not opened
+    # folders are chosen on the listing, so what lies in none that counts is not opened
     chosen = fs.chosen_files(fs.place_files(listing, roots, lang_dirs))
 
     def contents(pattern: str) -> DataFrame:

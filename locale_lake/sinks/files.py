@@ -114,12 +114,17 @@ def write_language_files(
 def write_texts(
     texts: DataFrame, materialise: Callable[[DataFrame], DataFrame] = cut_lineage
 ) -> DataFrame:
-    """Write (file, content) rows, one file each."""
+    """Write (file, content) rows, one file each.
+
+    Small rows are many files, so their tasks are as many as cores at least.
+    """
+    spark = texts.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = texts.select(
         "file", F.lit(True).alias("is_list"), F.lit(False).alias("has_bom"), F.col("content").alias("line")
     )
     return materialise(
-        rows.repartition("file").sortWithinPartitions("file").mapInArrow(_write_sorted(None), _PIECES).select("file", "lines")
+        rows.repartition(tasks, "file").sortWithinPartitions("file").mapInArrow(_write_sorted(None), _PIECES).select("file", "lines")
     )
 
 

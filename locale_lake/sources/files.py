@@ -15,9 +15,12 @@ from locale_lake.session import qualified
 # Package dimension tables (roots, language folders) are broadcast only when
 # counted to be no larger (a row holds a few paths); else the join is spread over tasks.
 BROADCAST_PACKAGES = 100_000
-# Files that are used are opened by name up to this many; beyond, all files of a kind
-# are read and those that are not used are dropped after.
-CHOSEN_FILES = 20_000
+# Files that are used are opened by name up to this many, as Spark lists every path that
+# it is given in a task of its own; beyond, the folders that hold them are read, and beyond
+# so many folders all files of a kind. Those that are not used are dropped after.
+CHOSEN_FILES = 500
+# Spark deals small files out by some 30 a task; so many of these make one.
+PACKED_TASKS = 16
 
 
 # the manifest's name in any case
@@ -37,7 +40,7 @@ def packages_in(spark: SparkSession, folder: str) -> DataFrame:
     Packages are numbered by name, in buckets of equal first letters.
     """
     folder = qualified(spark, folder.rstrip("/"))
-    paths = _listing(spark, [folder]).select(_local(F.col("path")).alias("path"))
+    paths = _packed(_listing(spark, [folder]).select(_local(F.col("path")).alias("path")))
     base = folder if "://" in folder else _plain(folder)
     names = (
         paths.select(F.split(F.expr(f"substring(path, {len(base) + 2})"), "/").alias("p"))
@@ -75,6 +78,13 @@ def _listing(spark: SparkSession, paths: list[str], glob: str | None = None) ->
     return reader.load(paths)
 
 
+def _packed(files: DataFrame) -> DataFrame:
+    """A scan of small files in fewer tasks, no less than there are cores."""
+    tasks, cores = files.rdd.getNumPartitions(), files.sparkSession.sparkContext.defaultParallelism
+    packed = max(cores, -(-tasks // PACKED_TASKS))
+    return files.coalesce(packed) if packed < tasks else files
+
+
 def read_corpus(
     spark: SparkSession, locations: list[str], packages: DataFrame, content: str | None = None
 ) -> DataFrame:
@@ -87,7 +97,8 @@ def read_corpus(
     files = _listing(spark, locations, content)
     files = files.select(
         _local(F.col("path")).alias("path"), *(["content"] if content else [])
-    ).withColumn("_parts", F.split("path", "/"))
+    )
+    files = _packed(files).withColumn("_parts", F.split("path", "/"))
     # package folders sit at one of a few depths; each file looks up its prefixes
     depths = [
         row[0]
@@ -118,11 +129,20 @@ def read_corpus(
 
 
 def chosen_files(used: DataFrame) -> list[str] | None:
-    """Paths of the files that are used, as patterns that match themselves; None if they are too many for a list."""
-    paths = [r[0] for r in used.select("file_id").distinct().limit(CHOSEN_FILES + 1).collect()]
-    if len(paths) > CHOSEN_FILES:
-        return None
-    return [re.sub(r"([\\{}\[\]*?])", r"\\\1", path) for path in sorted(paths)]
+    """Paths of the files that are used, or of the folders that hold them, as patterns that match themselves.
+
+    Of folders inside each other only the outer one is named. None if there are too many for a list.
+    """
+    file = F.col("file_id")
+    for place in (file, F.regexp_replace(file, "/[^/]*$", "")):
+        paths = sorted(r[0] + "/" for r in used.select(place.alias("place")).distinct().limit(CHOSEN_FILES + 1).collect())
+        if len(paths) <= CHOSEN_FILES:
+            outer: list[str] = []
+            for path in paths:
+                if not outer or not path.startswith(outer[-1]):
+                    outer.append(path)
+            return [re.sub(r"([\\{}\[\]*?])", r"\\\1", path[:-1]) for path in outer]
+    return None
 
 
 def _version(tag: Column) -> Column:

@@ -207,3 +207,27 @@ def test_tags_that_a_user_denies_hold_no_text(spark, tmp_path):
     found = lambda **k: sorted(r.key for r in scan_corpus(spark, roots, fs.packages_from(spark, roots), **k).units.collect())
     assert found() == ["Lamp.description", "Lamp.label"]
     assert found(denied_tags=("Description",)) == ["Lamp.label"]
+
+
+def test_many_files_are_named_by_their_folders(spark, tmp_path, monkeypatch):
+    """Spark lists every path that it is given in a task of its own: 10,000 files took 10,000 tasks, twice."""
+    monkeypatch.setattr(fs, "CHOSEN_FILES", 3)
+    for path in ("a/Defs/1.xml", "a/Defs/2.xml", "a/Defs/Sub/3.xml", "a/Defs-old/4.xml", "a [b]/Defs/5.xml", "a/Textures/t.xml"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(f"<Defs><T><defName>D{path[-5]}</defName><label>of {path[-5]}</label></T></Defs>")
+    used = fs.read_corpus(spark, [str(tmp_path)], fs.packages_in(spark, str(tmp_path))).filter("file_id LIKE '%/Defs/%'")
+    assert fs.chosen_files(used) == [f"{tmp_path}/a \\[b\\]/Defs", f"{tmp_path}/a/Defs"]
+    units = scan_corpus(spark, [str(tmp_path)], fs.packages_in(spark, str(tmp_path))).units
+    assert sorted(r.source_text for r in units.collect()) == ["of 1", "of 2", "of 3", "of 5"]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Some 30 small files made a task, in the listing and in every step after it."""
+    (tmp_path / "p").mkdir()
+    for i in range(1200):
+        (tmp_path / "p" / f"{i}.txt").write_text("x")
+    cores = spark.sparkContext.defaultParallelism
+    found = fs._listing(spark, [str(tmp_path)])
+    assert found.rdd.getNumPartitions() > cores
+    assert fs._packed(found).rdd.getNumPartitions() == cores
+    assert fs.read_corpus(spark, [str(tmp_path)], fs.packages_in(spark, str(tmp_path)), "*.txt").count() == 1200
