@@ -24,6 +24,8 @@ TREE_SETS, TREE_BYTES = 1000, 4_000_000
 TASK_SETS, TASK_BYTES = 2000, 16_000_000
 # Bytes of text whose shingles share a bucket while they are counted.
 BUCKET_BYTES = 12_000_000
+# A bucket is counted in 2 to this power ranges, one after the other.
+COUNT_BITS = 3
 BROADCAST_IDS = 1_000_000
 
 _KEPT_BITS = np.uint64(8)
@@ -70,7 +72,7 @@ def _pack7(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
 
 
-def _unpacked(packed: list[bytes], width: int) -> np.ndarray:
+def _unpacked(packed: list, width: int) -> np.ndarray:
     """Tokens of ``width`` bytes each as one array."""
     out = np.zeros((sum(map(len, packed)) // width, 8), dtype=np.uint8)
     at = 0
@@ -137,7 +139,7 @@ def _gathered(table: pa.Table, token_bytes: int):
     keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint64).reshape(-1, 2)
     sizes = np.frombuffer(b"".join(table.column("sizes").to_pylist()), dtype=np.int32)
     counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.int32)
-    tokens = _unpacked(table.column("tokens").to_pylist(), token_bytes)
+    tokens = _unpacked([piece.as_buffer() for piece in table.column("tokens")], token_bytes)
     order = np.lexsort((keys[:, 1], keys[:, 0]))
     new = np.ones(len(order), dtype=bool)
     new[1:] = (keys[order][1:] != keys[order][:-1]).any(axis=1)
@@ -152,31 +154,44 @@ def _rarity(sets_with: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(8 * np.log2(sets_with)), 255).astype(np.uint64)
 
 
+def _shared(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that several sets have, with their rarity, and the sets that have them; by token, then by set."""
+    order = np.argsort(tokens)
+    tokens = tokens[order]
+    owner = owner[order]
+    del order
+    same = tokens[1:] == tokens[:-1]
+    twice = np.zeros(len(tokens), dtype=bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    tokens, owner = tokens[twice], owner[twice]
+    order = np.lexsort((owner, tokens))
+    tokens, owner = tokens[order], owner[order]
+    fresh = np.ones(len(tokens), dtype=bool)
+    fresh[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
+    tokens, owner = tokens[fresh], owner[fresh]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+    sets_with = np.diff(first, append=len(tokens))
+    several = np.repeat(sets_with > 1, sets_with)
+    # the order of all tokens: rare before frequent, then by hash
+    tokens = ((np.repeat(_rarity(sets_with), sets_with) << np.uint64(56)) | tokens)[several]
+    return tokens, owner[several]
+
+
 def _count(n: int):
     """Keep the tokens that several sets have; the row says for each how rare it is."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, sizes, owner, tokens = _gathered(table, 7)
-        order = np.argsort(tokens)
-        tokens = tokens[order]
-        owner = owner[order]
-        del order
-        same = tokens[1:] == tokens[:-1]
-        twice = np.zeros(len(tokens), dtype=bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        tokens, owner = tokens[twice], owner[twice]
-        order = np.lexsort((owner, tokens))
-        tokens, owner = tokens[order], owner[order]
-        fresh = np.ones(len(tokens), dtype=bool)
-        fresh[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
-        tokens, owner = tokens[fresh], owner[fresh]
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
-        sets_with = np.diff(first, append=len(tokens))
-        several = np.repeat(sets_with > 1, sets_with)
-        # the order of all tokens: rare before frequent, then by hash
-        tokens = ((np.repeat(_rarity(sets_with), sets_with) << np.uint64(56)) | tokens)[several]
-        owner = owner[several]
+        # a range of the bucket at a time: what is sorted is a small part of it
+        part = np.empty(len(tokens), dtype=np.uint8)
+        for at in range(0, len(tokens), 65_536):
+            place = (tokens[at : at + 65_536] >> np.uint64(24)) * np.uint64(n) & np.uint64(0xFFFFFFFF)
+            part[at : at + 65_536] = place >> np.uint64(32 - COUNT_BITS)
+        shared = [_shared(tokens[own], owner[own]) for k in range(1 << COUNT_BITS) if (own := np.flatnonzero(part == k)).size]
+        del part
+        tokens = np.concatenate([x[0] for x in shared]) if shared else tokens
+        owner = np.concatenate([x[1] for x in shared]) if shared else owner
         place = (rawtext.mix(keys[:, 0] ^ keys[:, 1]) % np.uint64(n)).astype(np.int64)
         order = np.lexsort((owner, place[owner]))
         tokens, owner = tokens[order], owner[order]
